@@ -1,10 +1,10 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Vectors are quantised to integers. A block of vectors is indexed as posting segments: for each dimension and quantised impact
-level the vectors that hold it. For a query, every posting has an impact (query component times vector component, shifted by
-the dimension's least impact so that none is negative); segments are processed by descending impact, adding to accumulators.
-The sum over dimensions of the largest impact not yet processed bounds what any vector can still gain. Processing stops only
-when that bound proves that few vectors can still be among the best; those are rescored exactly from their whole vectors.
+Vectors are quantised to integers. A block of vectors is indexed as posting segments: for each impact level (the quantised size
+of a component) and dimension the vectors that hold it. Segments are processed by descending impact for a block of queries at a
+time, adding to accumulators. What a vector's postings of lower impact can still add is at most the length of that rest of the
+vector times the length of the query. A query stops only when this bound proves that few vectors can still be among the best;
+those are rescored exactly from their whole vectors.
 
 Queries and vectors meet block by block: every block of queries is dealt to every block of vectors.
 
@@ -25,65 +25,71 @@ from pyspark.sql import functions as F
 from .common import read, table
 
 VECTORS, QUERIES = 16_384, 512
-#: Width of a quantised impact level, in units of the quantised component.
-LEVEL = 3
+#: Width of an impact level, in units of the quantised component.
+LEVEL = 8
 #: Rescoring starts when at most this share of a block can still be among the best.
-POSSIBLE = 0.02
+POSSIBLE = 0.1
+#: Queries that hold accumulators for a whole block at a time.
+BATCH = 64
 
 
 class Index:
-    """The posting segments of one block: per dimension, levels by descending component, each with its vectors and components."""
+    """The posting segments of one block, by descending impact and then by dimension."""
 
     def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids, self.vectors = ids, vectors
-        level = np.floor_divide(vectors, LEVEL)
-        self.segments = []
-        for d in range(vectors.shape[1]):
-            order = np.argsort(-level[:, d], kind="stable").astype(np.int32)
-            value = vectors[order, d]
-            cuts = np.flatnonzero(np.diff(level[order, d])) + 1
-            for lo, hi in zip(np.concatenate([[0], cuts]), np.concatenate([cuts, [len(order)]])):
-                self.segments.append((d, value[lo:hi].min(), value[lo:hi].max(), order[lo:hi], value[lo:hi]))
-        self.dimension = np.array([s[0] for s in self.segments])
-        self.least, self.most = np.array([s[1] for s in self.segments]), np.array([s[2] for s in self.segments])
-
-    def best(self, query: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
+        self.ids = ids
+        exact = np.abs(vectors).max(initial=0) ** 2 * vectors.shape[1] < 1 << 24
+        self.vectors = vectors.astype(np.float32 if exact else np.float64)  # either holds every partial sum exactly
+        level = np.abs(vectors) // LEVEL
+        vector, dimension = np.nonzero(vectors)
+        order = np.lexsort((vector, dimension, -level[vector, dimension]))
+        vector, dimension = vector[order], dimension[order]
+        of = level[vector, dimension]
+        starts = np.flatnonzero(np.diff(of, prepend=-1))
+        self.levels = [(vector[lo:hi], dimension[lo:hi]) for lo, hi in zip(starts, np.append(starts[1:], len(of)))]
+        rest = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
+        self.rests = []
+        for v, d in self.levels:
+            rest = rest - np.bincount(v, self.vectors[v, d].astype(np.float64) ** 2, len(ids))
+            self.rests.append(np.sqrt(np.maximum(rest, 0)))
+
+    def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """For each query the k best vectors other than its own, and their scores."""
+        possible = self._possible(queries, k + 1)  # the query's own row may be among the best
+        out = []
+        for q, mine, p in zip(queries.astype(np.float64), own, possible):
+            p = p[self.ids[p] != mine]
+            score = self.vectors[p].astype(np.float64) @ q
+            keep = np.lexsort((self.ids[p], -score))[:k]
+            out.append((self.ids[p[keep]], score[keep].astype(np.int64)))
+        return out
+
+    def _possible(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
+        """For each query all vectors that may be among the k best."""
         n = len(self.ids)
-        weight = query[self.dimension]
-        low, high = np.minimum(weight * self.least, weight * self.most), np.maximum(weight * self.least, weight * self.most)
-        base = np.zeros(len(query), np.int64)
-        np.minimum.at(base, self.dimension, low)
-        impact = high - base[self.dimension]
-        order = np.argsort(-impact, kind="stable")
-        order = order[impact[order] > 0]
-        gain, left = np.zeros(n), None
-        done, size = 0, 0
-        enough = max(4 * k, int(POSSIBLE * n))
-        possible = np.arange(n)
-        while done < len(order):
-            stop, size = done, 0
-            while stop < len(order) and size < 4 * n:
-                size += len(self.segments[order[stop]][3])
-                stop += 1
-            run = [self.segments[i] for i in order[done:stop]]
-            at = np.concatenate([s[3] for s in run])
-            add = np.concatenate([query[s[0]] * s[4] - base[s[0]] for s in run])
-            gain += np.bincount(at, add, n)
-            done = stop
-            rest = order[done:]
-            left = np.zeros(len(query), np.int64)
-            np.maximum.at(left, self.dimension[rest], impact[rest])
-            if n > k + 1:
-                bar = np.partition(gain, n - k - 1)[n - k - 1]
-                if np.count_nonzero(gain >= bar - left.sum()) <= enough:
-                    break
-        if n > k + 1 and left is not None:
-            bar = np.partition(gain, n - k - 1)[n - k - 1]  # the query's own row may be among the k+1 best
-            possible = np.flatnonzero(gain >= bar - left.sum())
-        possible = possible[self.ids[possible] != own]
-        score = self.vectors[possible] @ query
-        keep = np.lexsort((self.ids[possible], -score))[:k]
-        return self.ids[possible[keep]], score[keep]
+        out = [np.arange(n)] * len(queries)
+        if n <= 4 * k:
+            return out
+        open_ = np.arange(len(queries))
+        q = queries.astype(self.vectors.dtype)
+        length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
+        gain = np.zeros((len(q), n), self.vectors.dtype)
+        for (v, d), rest in zip(self.levels, self.rests):
+            plane = np.zeros_like(self.vectors)
+            plane[v, d] = self.vectors[v, d]
+            gain += q[open_] @ plane.T
+            slack = length[open_, None] * rest * (1 + 1e-6)
+            bar = np.partition(gain - slack, n - k, axis=1)[:, n - k]
+            may = gain + slack >= bar[:, None]
+            done = may.sum(axis=1) <= max(4 * k, POSSIBLE * n)
+            for i in np.flatnonzero(done):
+                out[open_[i]] = np.flatnonzero(may[i])
+            open_, gain = open_[~done], gain[~done]
+            if not len(open_):
+                break
+        for i, row in zip(open_, gain):  # every posting is processed: the sums are exact
+            out[i] = np.flatnonzero(row >= np.partition(row, n - k)[n - k])
+        return out
 
 
 def _usable(v: Column, scale: float) -> Column:
@@ -105,9 +111,10 @@ def _meet(k: int):
         found: list[pd.DataFrame] = []
         if len(asks) and len(docs):
             index = Index(docs["vec_id"].to_numpy(np.int64), _matrix(docs["v"], width))
-            for q, v in zip(asks["vec_id"].to_numpy(np.int64), _matrix(asks["v"], width)):
-                ids, score = index.best(v, q, k)
-                found.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": score}))
+            own, queries = asks["vec_id"].to_numpy(np.int64), _matrix(asks["v"], width)
+            for lo in range(0, len(own), BATCH):
+                for q, (ids, score) in zip(own[lo:], index.best(queries[lo : lo + BATCH], own[lo : lo + BATCH], k)):
+                    found.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": score}))
         return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
 
     return run
