@@ -3,7 +3,7 @@
 Documents are dealt into chunks of a bounded size by a hash of their id. Each chunk lists its distinct words, the lists are
 dealt by a hash of the word, each distinct word is encoded once, and the ids go back to the chunk in the order of its list, so
 they are joined by position and no word travels twice. Ids of a document are then its words' ids in order; decoding joins ids
-with the id-to-piece table, whose size is the vocabulary's.
+with the id-to-piece table, whose size is the vocabulary's. Texts, lists and ids are shuffled as compressed binary columns.
 
 Defined results: null text counts as empty and has no ids; an empty table gives no rows; repeated rows and null ids are
 returned like others; other columns of the input are not read. Marks of special tokens inside a text are encoded as the
@@ -12,12 +12,15 @@ library does by default, as special tokens.
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
 import regex
+import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -57,6 +60,7 @@ class Splitter:
         return PIECE.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
 
 
+@functools.lru_cache(2)
 def _load(where: str | None):
     from tokenizers import Tokenizer
 
@@ -77,40 +81,83 @@ def _word_lists(words: set[str], parts: int) -> dict[int, list[str]]:
     return lists
 
 
+def _pack(rows: pa.Table) -> bytes:
+    """Rows as a compressed Arrow stream."""
+    sink = pa.BufferOutputStream()
+    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
+        out.write_table(rows)
+    return sink.getvalue().to_pybytes()
+
+
+def _unpack(column: pa.ChunkedArray) -> pa.Table:
+    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
+
+
+def _pack_words(words: list[str]) -> bytes:
+    """A word holds no white space, so lines keep words apart."""
+    return zstandard.compress("\n".join(words).encode("utf-8", "surrogatepass"))
+
+
+def _unpack_words(packed: bytes) -> list[str]:
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+
+
+def _pack_ids(ids: list[list[int]]) -> bytes:
+    flat = np.fromiter((i for x in ids for i in x), np.int32)
+    return zstandard.compress(np.array([len(ids), *map(len, ids)], np.int32).tobytes() + flat.tobytes())
+
+
+def _unpack_ids(packed: bytes) -> list[list[int]]:
+    flat = np.frombuffer(zstandard.decompress(packed), np.int32).tolist()
+    out, at = [], flat[0] + 1
+    for n in flat[1:at]:
+        out.append(flat[at : at + n])
+        at += n
+    return out
+
+
 def encoded(documents: DataFrame, per_document: Callable, schema: str, where: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Apply ``per_document(rows, words, ids, tokenizer)`` to each chunk: its rows (doc_id, text, ``keep``), the words of each row, the ids of each word."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c) for c in keep])
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
     total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
     chunks = max(1, -(-total // chunk_chars))
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int"))
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            rows, chunk = pa.Table.from_batches([batch]).drop_columns(["chunk"]), batch.column("chunk").to_numpy()
+            order = np.argsort(chunk, kind="stable")
+            found, first = np.unique(chunk[order], return_index=True)
+            parts = [_pack(rows.take(pa.array(x))) for x in np.split(order, first[1:])] if len(found) else []
+            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "rows"])
 
     def words_of(group: pa.Table) -> pa.Table:
         split = Splitter(_load(where))
         seen: set[str] = set()
-        for text in group.column("text"):
+        for text in _unpack(group.column("rows")).column("text"):
             seen.update(split(text.as_py()))
         lists = _word_lists(seen - split.special.keys(), chunks)
-        return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()] * len(lists), pa.int32()), "part": pa.array(list(lists), pa.int32()), "words": pa.array(list(lists.values()), pa.list_(pa.string()))})
+        return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()] * len(lists), pa.int32()), "part": pa.array(list(lists), pa.int32()), "words": pa.array([_pack_words(x) for x in lists.values()], pa.binary())})
 
     def encode(group: pa.Table) -> pa.Table:
-        tokenizer = _load(where)
-        lists = group.column("words").to_pylist()
+        lists = [_unpack_words(x) for x in group.column("words").to_pylist()]
         distinct = list({w for words in lists for w in words})
-        ids = dict(zip(distinct, (x.ids for x in tokenizer.encode_batch(distinct, add_special_tokens=False)), strict=True))
-        return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "ids": pa.array([[ids[w] for w in words] for words in lists], pa.list_(pa.list_(pa.int32())))})
+        ids = dict(zip(distinct, (x.ids for x in _load(where).encode_batch(distinct, add_special_tokens=False)), strict=True))
+        return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "ids": pa.array([_pack_ids([ids[w] for w in words]) for words in lists], pa.binary())})
 
-    def join_back(rows: pa.Table, found: pa.Table) -> pa.Table:
+    def join_back(group: pa.Table, found: pa.Table) -> pa.Table:
         tokenizer = _load(where)
         split = Splitter(tokenizer)
+        rows = _unpack(group.column("rows"))
         texts = [split(x.as_py()) for x in rows.column("text")]
         lists = _word_lists({w for words in texts for w in words} - split.special.keys(), chunks)
         ids: dict[str, list[int]] = {w: [i] for w, i in split.special.items()}
-        for part, values in zip(found.column("part").to_pylist(), found.column("ids").to_pylist()):
-            ids.update(zip(lists[part], values, strict=True))
+        for part, packed in zip(found.column("part").to_pylist(), found.column("ids").to_pylist()):
+            ids.update(zip(lists[part], _unpack_ids(packed), strict=True))
         return per_document(rows, texts, ids, tokenizer)
 
-    lists = dealt.groupBy("chunk").applyInArrow(words_of, "chunk int, part int, words array<string>")
-    found = lists.groupBy("part").applyInArrow(encode, "chunk int, part int, ids array<array<int>>")
+    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")).mapInArrow(pack, "chunk int, rows binary")
+    lists = dealt.groupBy("chunk").applyInArrow(words_of, "chunk int, part int, words binary")
+    found = lists.groupBy("part").applyInArrow(encode, "chunk int, part int, ids binary")
     return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(join_back, schema)
 
 
@@ -150,7 +197,7 @@ def digests(documents: DataFrame, where: str | None = None, id_col: str = "doc_i
         decimal = {w: " ".join(map(str, x)) for w, x in ids.items() if x}
         text = {w: " ".join([piece[i] for i in x]) for w, x in ids.items() if x}
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        columns = {c: rows.column(c) for c in ("doc_id", *keep)}
+        columns = {"doc_id": rows.column("doc_id")} | {c: rows.column(f"keep_{c}") for c in keep}
         columns["n_tokens"] = pa.array([sum([size[w] for w in words]) for words in texts], pa.int64())
         columns["ids_sha256"] = pa.array([sha(" ".join([decimal[w] for w in words if w in decimal])) for words in texts], pa.string())
         columns["decoded_sha256"] = pa.array([sha(" ".join([text[w] for w in words if w in text])) for words in texts], pa.string())
