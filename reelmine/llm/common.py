@@ -85,10 +85,13 @@ class Words:
         last = word.copy()
         last[:-1] &= ~word[1:] | cut[1:n]
         s, e = np.flatnonzero(first), np.flatnonzero(last)
-        total = np.cumsum(self.values[data] * self.power[:n])
-        h = total[e] - total[s] + self.values[data[s]] * self.power[s] if n else np.zeros(0, np.uint64)
-        h = mix(h * self.inverse[s] + (e - s + 1).astype(np.uint64))
-        return h, s, e + 1, np.searchsorted(s, offsets)
+        self.total = np.zeros(n + 1, np.uint64)
+        np.cumsum(self.values[data] * self.power[:n], out=self.total[1:])
+        return self.span(s, e + 1), s, e + 1, np.searchsorted(s, offsets)
+
+    def span(self, s: np.ndarray, e: np.ndarray) -> np.ndarray:
+        """Hashes of the bytes from ``s`` to ``e`` of the last texts."""
+        return mix((self.total[e] - self.total[s]) * self.inverse[s] + (e - s).astype(np.uint64))
 
 
 def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:

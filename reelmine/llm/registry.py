@@ -1,10 +1,20 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__.py``."""
 
-from . import bpe, near_dup, topk
+from . import bpe, decontaminate, lm_score, near_dup, quality, secrets, token_counts, topk, toxicity, warc
 
 QUERIES = {
-    "op4_minhash_near_dedup": near_dup.op4_minhash_near_dedup,
-    "op5_bpe_encode_decode": bpe.op5_bpe_encode_decode,
-    "op8_impact_ordered_topk": topk.op8_impact_ordered_topk,
+    f.__name__: f
+    for f in (
+        token_counts.op1_token_counts,
+        quality.op2_quality_weak_labels,
+        lm_score.op3_lm_cross_entropy,
+        near_dup.op4_minhash_near_dedup,
+        bpe.op5_bpe_encode_decode,
+        secrets.op6_secret_scan,
+        toxicity.op7_toxicity_cnn,
+        topk.op8_impact_ordered_topk,
+        decontaminate.op9_benchmark_decontamination,
+        warc.op10_warc_round_trip,
+    )
 }
-ORACLE = {**topk.ORACLE}
+ORACLE = {**topk.ORACLE, **decontaminate.ORACLE, **warc.ORACLE}
