@@ -5,8 +5,11 @@ shifted circularly by k, gives its value in coordinate k. So coordinate values o
 second permutation, and a signature is the elementwise minimum of such windows.
 
 Copies (equal shingle sets) are folded into one class before banding. Within a band's bucket no pairs are listed: each member
-is compared with the bucket's leader, the verified links are contracted, and only classes that share a bucket and still lie in
-different components go on, first to other leaders and at last to each other. Nothing is dropped by bucket size.
+is compared with the bucket's leader, and the verified links are contracted. Classes of buckets that still hold several
+components go on by their rarest shingles: of two sets that are similar enough, each has one of the other's among its first
+n - ceil(0.8 n) + 1 in the order of frequency, so only classes that share such a shingle can be linked, and what a group of loose
+copies has in common brings nobody together. These buckets again meet leaders first, and at last the members of their different
+components each other. Nothing is dropped by bucket size.
 
 Defined results: null or blank text has an empty set, is linked with nothing and kept; a null id is linked only with equal
 sets, its component is the smallest id there is (else null), and it is kept if there is none; rows that repeat an id and a
@@ -26,8 +29,8 @@ from pyspark.sql import functions as F
 from .common import Words, blocks, lists, mix, read, signed, small, table
 
 UNIVERSE, COORDINATES, ROWS, BANDS = 1 << 22, 256, 5, 51
-#: Of 256 one-bit coordinates, sets with a similarity of 0.8 differ in 26 on average; over 70 has a chance below 1e-12.
-SKETCH_DIFFERENCE = 70
+#: Of 256 one-bit coordinates, sets with a similarity of 0.8 differ in 26 on average; over 64 has a chance below 1e-10.
+SKETCH_DIFFERENCE = 64
 LEADER_ROUNDS = 3
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -137,21 +140,34 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
+    """(cid, shingles) of the classes named in ``ids`` (doc_id)."""
+    rows = docs.join(small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    return table(rows.mapInArrow(_shingles(shingle), "cid long, shingles array<long>"), "sets")
+
+
+def _rarest(sets: DataFrame, percent: int) -> DataFrame:
+    """(band, cid): the shingles of each set by which a set that is similar enough must know it, rarest first."""
+    rows = sets.select("cid", F.size("shingles").alias("n"), F.explode("shingles").alias("band"))
+    often = rows.groupBy("band").agg(F.count("*").alias("often"))
+    first = Window.partitionBy("cid").orderBy("often", "band")
+    known = rows.join(often, "band").withColumn("rank", F.row_number().over(first))
+    return known.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("band", "cid")
+
+
 def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, shingle: int, percent: int) -> DataFrame:
     """The (a, b) among ``pairs`` whose full sets are similar enough. Sizes and sketches are compared first."""
     a, b = info.select(*(F.col(c).alias(f"a_{c}") for c in info.columns)), info.select(*(F.col(c).alias(f"b_{c}") for c in info.columns))
     near = pairs.distinct().join(a, F.col("a") == F.col("a_cid")).join(b, F.col("b") == F.col("b_cid")).where(_possible("a_", "b_", percent)).select("a", "b")
     near = table(near, "pairs")
-    ids = near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct()
-    sets = docs.join(small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text")).mapInArrow(_shingles(shingle), "cid long, shingles array<long>")
-    sets = table(sets, "sets")
+    sets = _sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle)
     x, y = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
     both = near.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
     return both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("total") - F.col("n"))).select("a", "b")
 
 
 def _possible(p: str, q: str, percent: int):
-    """False only for pairs that can't be similar enough: by their sizes for certain, by 256 one-bit coordinates but for a chance below 1e-12."""
+    """False only for pairs that can't be similar enough: by their sizes for certain, by 256 one-bit coordinates but for a chance below 1e-10."""
     n, m = F.col(f"{p}n_shingles"), F.col(f"{q}n_shingles")
     apart = sum((F.bit_count(F.col(f"{p}s{i}").bitwiseXOR(F.col(f"{q}s{i}"))) for i in range(4)), F.lit(0))
     allowed = SKETCH_DIFFERENCE + (80 - percent) * 2 if percent < 80 else SKETCH_DIFFERENCE
@@ -175,9 +191,12 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     links = table(_verified(buckets.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")), docs, info, shingle, percent), "links")
     labels = components(links)
+    buckets = _mixed(buckets.select("band", "cid"), labels)
+    if not buckets.isEmpty():
+        buckets = _rarest(_sets(docs, buckets.select(F.col("cid").alias("doc_id")).distinct(), shingle), percent)
     for turn in range(LEADER_ROUNDS + 1):
-        buckets, more = _mixed(buckets.select("band", "cid"), labels)
-        if more is None:
+        buckets = _mixed(buckets.select("band", "cid"), labels)
+        if buckets.isEmpty():
             break
         if turn < LEADER_ROUNDS:
             first = buckets.groupBy("band").agg(F.min_by(F.struct(F.col("cid").alias("lead"), F.col("comp").alias("with")), F.xxhash64("cid", F.lit(turn))).alias("x")).select("band", "x.*")
@@ -196,12 +215,11 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     return member.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
-def _mixed(buckets: DataFrame, labels: DataFrame) -> tuple[DataFrame, bool | None]:
-    """The buckets whose members lie in several components, and None if there is none."""
+def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
+    """(band, cid, comp) of the buckets whose members lie in several components."""
     known = buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("comp", "cid").alias("comp"))
     several = known.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("band")
-    out = table(known.join(several, "band", "left_semi"), "mixed")
-    return out, None if out.isEmpty() else True
+    return table(known.join(several, "band", "left_semi"), "mixed")
 
 
 def kept_rows(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -62,3 +62,12 @@ def test_kept_rows(spark):
     assert kept.columns == docs.columns
     ids = [r.doc_id for r in kept.collect()]
     assert ids.count(1) == 1 and not {2, 3} & set(ids) and {10, 11, 12, 13} <= set(ids) and 14 not in ids and ids.count(30) == 1
+
+
+def test_a_loose_group_of_copies(spark):
+    """Copies of one text with one to thirty edits: some linked, some alone, all sharing bands."""
+    from .cases import near
+
+    rows = [(i, near(11, 150, i % 30, i)) for i in range(150)]
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    assert found == {(i, n, c) for i, _, n, c in brute(rows, 4, 80)}
