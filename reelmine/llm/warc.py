@@ -236,10 +236,11 @@ def write_and_read(pages: DataFrame, folder: str, at_least: int = 0) -> DataFram
     """Archive ``pages`` (page_id, url, html) under ``folder``, read the archives back and report each page's record."""
     rows = read_chunks(write_archives(records(pages, at_least), folder), data=False).where("last")
     rows = table(rows, "records")
-    full = rows.where("record_type = 'response'").groupBy(F.col("record_id").alias("refers_id")).agg(F.max("bytes_so_far").alias("full_bytes"), F.max("digest_so_far").alias("full_digest"))
-    own = F.col("record_type") == "response"
-    out = rows.join(full, "refers_id", "left")
-    return out.select("page_id", F.when(own, F.col("bytes_so_far")).otherwise(F.col("full_bytes")).alias("payload_bytes"), F.when(own, F.col("digest_so_far")).otherwise(F.col("full_digest")).alias("payload_digest"), "record_type", "refers_to")
+    own = rows.where("record_type = 'response'")
+    full = own.groupBy(F.col("record_id").alias("refers_id")).agg(F.any_value("bytes_so_far").alias("bytes_so_far"), F.any_value("digest_so_far").alias("digest_so_far"))
+    other = rows.where("record_type = 'revisit'").drop("bytes_so_far", "digest_so_far").join(full, "refers_id", "left")
+    columns = ["page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"]
+    return own.select(*columns).unionByName(other.select(*columns))
 
 
 def op10_warc_round_trip(spark: SparkSession, sf_dir: str) -> DataFrame:
