@@ -6,7 +6,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from .functions.text import clock
-from .operators.reports import watch_url
+from .operators.catalog import audio_queue
+from .operators.reports import export_rows, watch_url
 from .plans.registry import query
 from .plans.views import Views
 
@@ -48,6 +49,20 @@ def export_per_video(rows: DataFrame, path: str) -> None:
     out.repartition("channel_id", "video_id").sortWithinPartitions("channel_id", "video_id").write.partitionBy("channel_id", "video_id").text(path)
 
 
+def export_audio_queue(videos: DataFrame, path: str) -> DataFrame:
+    """Write the queue as JSON lines in its order; returns its totals (videos, hours, gigabytes) as one row."""
+    queue = audio_queue(videos)
+    queue.write.json(path)
+    seconds = F.coalesce(F.sum("duration_seconds"), F.lit(0))
+    return queue.agg(F.count("*").alias("videos"), F.round(seconds / 3600, 2).alias("hours"), F.round(seconds / 3600 * 30 / 1024, 3).alias("gigabytes"))
+
+
+def write_plan(path: str, **tables: DataFrame) -> None:
+    """A folder of named tables: a prune plan, a ledger, its contradictions."""
+    for name, rows in tables.items():
+        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+
+
 def corpus_text(paragraphs: DataFrame) -> DataFrame:
     """(video_id, body): [hh:mm:ss] paragraph lines of each video, from (video_id, start, text)."""
     line = F.concat(F.lit("["), clock(F.col("start")), F.lit("] "), F.col("text"))
@@ -80,8 +95,6 @@ def write_archive(cues: DataFrame, path: str) -> None:
     """SELECT video_id, 'https://www.youtube.com/watch?v=' || video_id AS url, length(plaintext) AS text_chars, c.handle AS channel_handle, published_at IS NULL AS undated FROM v_transcripts t JOIN v_videos v USING (video_id) LEFT JOIN v_channels c USING (channel_id)""",
 )
 def _(v: Views) -> DataFrame:
-    from .operators.reports import export_rows
-
     rows = with_link(export_rows(v.transcripts, v.videos, v.channels))
     back = rows.select(F.from_json(json_record(rows), "struct<video_id:bigint,url:string,text:string,channel_handle:string,published_at:string>").alias("j")).select("j.*")
     return back.select("video_id", "url", F.length("text").cast("long").alias("text_chars"), "channel_handle", F.col("published_at").isNull().alias("undated"))
@@ -89,8 +102,6 @@ def _(v: Views) -> DataFrame:
 
 @query("b03_text_records", "SELECT video_id, 5 + 1 + 2 + len(string_split(plaintext, chr(10))) AS lines FROM v_transcripts")
 def _(v: Views) -> DataFrame:
-    from .operators.reports import export_rows
-
     rows = with_link(export_rows(v.transcripts, v.videos, v.channels))
     return rows.select("video_id", (F.size(F.split(text_record(), "\n")) - 1).cast("long").alias("lines"))
 
