@@ -31,7 +31,7 @@ from .common import Words, blocks, lists, mix, read, signed, small, table
 UNIVERSE, COORDINATES, ROWS, BANDS = 1 << 22, 256, 5, 51
 #: Of 256 one-bit coordinates, sets with a similarity of 0.8 differ in 26 on average; over 64 has a chance below 1e-10.
 SKETCH_DIFFERENCE = 64
-LEADER_ROUNDS = 3
+LEADER_ROUNDS = 2
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -146,32 +146,40 @@ def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     return table(rows.mapInArrow(_shingles(shingle), "cid long, shingles array<long>"), "sets")
 
 
-def _rarest(sets: DataFrame, percent: int) -> DataFrame:
-    """(band, cid): the shingles of each set by which a set that is similar enough must know it, rarest first."""
+def _rarest(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(band, cid): the shingles of each set by which a set that is similar enough must know it, rarest first; (cid, met): how many
+    of a set's shingles occur in another set at all, which bounds what it can share."""
     rows = sets.select("cid", F.size("shingles").alias("n"), F.explode("shingles").alias("band"))
-    often = rows.groupBy("band").agg(F.count("*").alias("often"))
+    often = rows.groupBy("band").agg(F.count("*").alias("often")).where("often > 1")
     first = Window.partitionBy("cid").orderBy("often", "band")
-    known = rows.join(often, "band").withColumn("rank", F.row_number().over(first))
-    return known.where((F.col("rank") <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1) & (F.col("often") > 1)).select("band", "cid")
+    known = rows.join(often, "band").withColumn("rank", F.row_number().over(first)).withColumn("met", F.count("*").over(Window.partitionBy("cid")))
+    known = known.where(F.col("rank") + (F.col("n") - F.col("met")) <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
+    known = table(known.select("band", "cid", "met"), "rarest")
+    return known.select("band", "cid"), known.select("cid", "met").distinct()
 
 
-def _verified(pairs: DataFrame, docs: DataFrame, info: DataFrame, shingle: int, percent: int) -> DataFrame:
-    """The (a, b) among ``pairs`` whose full sets are similar enough. Sizes and sketches are compared first."""
+def _near(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) among ``pairs`` that sizes and sketches leave possible."""
     a, b = info.select(*(F.col(c).alias(f"a_{c}") for c in info.columns)), info.select(*(F.col(c).alias(f"b_{c}") for c in info.columns))
-    near = pairs.distinct().join(a, F.col("a") == F.col("a_cid")).join(b, F.col("b") == F.col("b_cid")).where(_possible("a_", "b_", percent)).select("a", "b")
-    near = table(near, "pairs")
-    sets = _sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle)
+    near = pairs.distinct().join(a, F.col("a") == F.col("a_cid")).join(b, F.col("b") == F.col("b_cid")).where(_possible("a_", "b_", percent, "met" in info.columns)).select("a", "b")
+    return table(near, "pairs")
+
+
+def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """The (a, b) whose full sets are similar enough."""
     x, y = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
     both = near.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
-    return both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("total") - F.col("n"))).select("a", "b")
+    return table(both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("total") - F.col("n"))).select("a", "b"), "links")
 
 
-def _possible(p: str, q: str, percent: int):
-    """False only for pairs that can't be similar enough: by their sizes for certain, by 256 one-bit coordinates but for a chance below 1e-10."""
+def _possible(p: str, q: str, percent: int, met: bool = False):
+    """False only for pairs that can't be similar enough: by their sizes (and by how much of them any other set has) for certain, by
+    256 one-bit coordinates but for a chance below 1e-10."""
     n, m = F.col(f"{p}n_shingles"), F.col(f"{q}n_shingles")
     apart = sum((F.bit_count(F.col(f"{p}s{i}").bitwiseXOR(F.col(f"{q}s{i}"))) for i in range(4)), F.lit(0))
     allowed = SKETCH_DIFFERENCE + (80 - percent) * 2 if percent < 80 else SKETCH_DIFFERENCE
-    return (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (apart <= F.lit(allowed))
+    fits = (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (apart <= F.lit(allowed))
+    return fits & (F.lit(100 + percent) * F.least(f"{p}met", f"{q}met") >= F.lit(percent) * (n + m)) if met else fits
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -189,23 +197,28 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
     buckets = table(rows.join(shared, "band").select("band", "cid", "lead"), "buckets")
     info = table(info.join(buckets.select("cid").distinct(), "cid", "left_semi"), "info")
 
-    links = table(_verified(buckets.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")), docs, info, shingle, percent), "links")
+    near = _near(buckets.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")), info, percent)
+    links = _confirmed(near, _sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle), percent)
     labels = components(links)
     buckets = _mixed(buckets.select("band", "cid"), labels)
     if not buckets.isEmpty():
-        buckets = _rarest(_sets(docs, buckets.select(F.col("cid").alias("doc_id")).distinct(), shingle), percent)
+        sets = _sets(docs, buckets.select(F.col("cid").alias("doc_id")).distinct(), shingle)
+        buckets, met = _rarest(sets, percent)
+        info = table(info.join(met, "cid"), "info")
     for turn in range(LEADER_ROUNDS + 1):
         buckets = _mixed(buckets.select("band", "cid"), labels)
         if buckets.isEmpty():
             break
         if turn < LEADER_ROUNDS:
-            first = buckets.groupBy("band").agg(F.min_by(F.struct(F.col("cid").alias("lead"), F.col("comp").alias("with")), F.xxhash64("cid", F.lit(turn))).alias("x")).select("band", "x.*")
+            # at first the set with the fewest shingles of its own leads, which is the likeliest to be linked with the others
+            order = F.struct(F.when(F.lit(turn == 0), F.col("n_shingles") - F.col("met")), F.xxhash64("cid", F.lit(turn)))
+            first = buckets.join(info.select("cid", "n_shingles", "met"), "cid").groupBy("band").agg(F.min_by(F.struct(F.col("cid").alias("lead"), F.col("comp").alias("with")), order).alias("x")).select("band", "x.*")
             pairs = buckets.join(first, "band").where("comp != with").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
         else:
             one = buckets.join(info, "cid")
             x, y = one.select("band", *(F.col(c).alias(f"a_{c}") for c in one.columns if c != "band")), one.select("band", *(F.col(c).alias(f"b_{c}") for c in one.columns if c != "band"))
-            pairs = x.join(y, "band").where((F.col("a_comp") < F.col("b_comp")) & _possible("a_", "b_", percent)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
-        new = table(_verified(pairs, docs, info, shingle, percent), "links")
+            pairs = x.join(y, "band").where((F.col("a_comp") < F.col("b_comp")) & _possible("a_", "b_", percent, True)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
+        new = _confirmed(_near(pairs, info, percent), sets, percent)
         if not new.isEmpty():
             links = links.union(new)
             labels = components(links)
