@@ -175,7 +175,9 @@ def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     patterns = votes(docs).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toArrow()
     pattern, count = patterns.column("pattern").to_numpy().astype(np.int64), patterns.column("n").to_numpy().astype(float)
     rate, p, q = accuracies(pattern, count)
-    chosen = docs.where(F.length(F.trim("text")) > 0).orderBy(F.xxhash64("doc_id", "text")).limit(sample)
+    keyed = docs.where(F.length(F.trim("text")) > 0).withColumn("key", F.xxhash64("doc_id", "text"))
+    keys = keyed.select("key").distinct().orderBy("key").limit(sample)  # the sample's keys meet in one task, its texts do not
+    chosen = keyed.join(F.broadcast(keys), "key", "left_semi").drop("key")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, power = Reader(), 3 ** np.arange(len(LABELLERS))
