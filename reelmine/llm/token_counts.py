@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, table
 
 BLOCK = 1024
 
@@ -88,4 +88,4 @@ def quantiles(sums: DataFrame, shares: list[float]) -> DataFrame:
 
 
 def op1_token_counts(spark, sf_dir: str) -> DataFrame:
-    return tail_sums(histogram(read(spark, sf_dir, "documents")))
+    return tail_sums(table(histogram(read(spark, sf_dir, "documents")), "lengths"))
