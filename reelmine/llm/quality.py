@@ -81,7 +81,7 @@ class Reader:
                 vote(runs > 0.1, runs < 0.02),
                 vote((sentences > 0.7) & (n >= 10), (sentences > 0.02) & (sentences < 0.4)),
                 vote(((length > 25) | (length < 2)) & (n >= 20), (length > 3) & (length < 12)),
-                vote((stop == 0) & (n >= 50), stop > 0.05),
+                vote(np.zeros(len(n), bool), stop > 0.05),  # other languages have none of the listed words
                 vote((kinds < 2 * np.sqrt(n)) & (n >= 20), (kinds > 4 * np.sqrt(n)) & (n >= 20)),
                 vote((commonest > 0.25) & (n >= 20), (commonest < 0.15) & (n >= 20)),
             ]
