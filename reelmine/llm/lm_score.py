@@ -1,10 +1,14 @@
 """Language-model scoring by cross-entropy difference.
 
-A target and a background bigram model share one vocabulary (the most frequent words of both corpora, everything else is one
-unknown word), one order and one smoothing (absolute discounting, interpolated with add-one unigrams). The difference of their
-losses on a token depends on the token and the word before it only, so both models become one table of differences, whose
-size is bounded by the square of the vocabulary, and a document's score is the mean of its tokens' entries: lower means more
-like the target. Counts are taken over every whole text of both corpora.
+A target and a background bigram model share one vocabulary (every word that occurs twice or more in both corpora together; words
+that occur once are one unknown word), one order and one smoothing (absolute discounting, interpolated with add-one unigrams). A
+document's score is the mean difference of its tokens' losses: lower means more like the target. Counts are taken over every whole
+text of both corpora.
+
+Vocabulary and counts grow with the corpora and never meet in one place. Corpora are written as chunks of numbered words. Three
+times each chunk sends sorted lists of distinct hashes with its counts to parts by ranges of the hash, where the lists of all
+chunks meet, and gets the sums for its own entries back: words (which are known), pairs of words (counts), and words again
+(unigrams, tokens after a word, kinds of words after it). A frequent word or pair is one entry of a chunk's list.
 
 Defined results: null or blank text has no tokens and a null score; repeated rows and null ids are scored like others; an empty
 target or background has add-one unigrams only; an empty table gives no rows; other columns are not read.
@@ -12,17 +16,27 @@ target or background has add-one unigrams only; an empty table gives no rows; ot
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, read, signed
+from .common import Words, blocks, mix, read, signed, table
 
-VOCABULARY, DISCOUNT = 2046, 0.5
+DISCOUNT = 0.5
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
+#: Tokens of a chunk (longer documents are taken whole), and of the corpora for each part beyond the first ``PARTS``.
+CHUNK_TOKENS, PART_TOKENS, PARTS = 1 << 20, 1 << 22, 32
+#: What a chunk is part of, kept in the low bits of its number.
+TARGET, BACKGROUND, SCORED = 1, 2, 4
+#: Stand for the word before a text and for unknown words among hashed words.
+START, UNKNOWN = np.uint64(0), np.uint64(1)
+#: chunk, round of the exchange (words, pairs, words again), part of the hashes, their sorted list, numbers of each entry.
+LISTS = "chunk long, round int, part int, keys binary, n binary"
 
 
 def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
@@ -39,94 +53,216 @@ def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
     return corpus.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
-class Coder:
-    """Texts to vocabulary numbers: 0 stands before a text, 1 for unknown words."""
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte of their places."""
+    return zstandard.compress(x.astype("<u8").view(np.uint8).reshape(-1, 8).T.tobytes(), 1)
+
+
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(8, -1).T).view("<u8").ravel()
 
-    def __init__(self, vocabulary: np.ndarray) -> None:
-        self.sorted, self.size, self.words = vocabulary, len(vocabulary) + 2, Words(SPACE)
 
-    def __call__(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """(table cell of each token: the word before it times the size plus its own number; index of each text's first token)."""
-        h, _, _, at = self.words(data, offsets)
-        h = signed(h)
-        place = np.minimum(np.searchsorted(self.sorted, h), max(0, len(self.sorted) - 1))
-        number = np.where(self.sorted[place] == h, place + 2, 1) if len(self.sorted) else np.ones(len(h), np.int64)
-        before = np.concatenate([[0], number[:-1]]) if len(number) else number
-        before[at[:-1][at[:-1] < len(before)]] = 0
-        return before * self.size + number, at
+def _pack_sorted(x: np.ndarray) -> bytes:
+    return _pack(np.diff(x, prepend=np.uint64(0)))
 
 
-def cell_counts(corpus: DataFrame, vocabulary: np.ndarray, text_col: str = "text") -> DataFrame:
-    """(cell, n) over a whole corpus, counted within each task first; at most the square of the vocabulary's rows from a task."""
+def _unpack_sorted(packed: bytes) -> np.ndarray:
+    return np.cumsum(_unpack(packed), dtype=np.uint64)
+
+
+def chunked(corpus: DataFrame, role: int, kind: str, id_col: str | None, text_col: str) -> DataFrame:
+    """(chunk, tokens, ids, lengths, words, numbers): runs of texts as places in the sorted list of their distinct hashed words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder = Coder(vocabulary)
-        total = np.zeros(coder.size**2, np.int64)
+        words, task, held, size, done = Words(SPACE), TaskContext.get().partitionId(), [], 0, 0
+
+        def chunk() -> pa.RecordBatch:
+            ids = pa.concat_arrays([x for x, _, _ in held])
+            w, numbers = np.unique(np.concatenate([x for _, x, _ in held]), return_inverse=True)
+            rows = [_pack(np.concatenate([x for _, _, x in held])), _pack_sorted(w), _pack(numbers)]
+            number = (task << 28 | done) << 3 | role
+            lists = pa.ListArray.from_arrays(pa.array([0, len(ids)], pa.int32()), ids)
+            return pa.RecordBatch.from_arrays([pa.array([number]), pa.array([len(numbers)]), lists, *(pa.array([x], pa.binary()) for x in rows)], names=["chunk", "tokens", "ids", "lengths", "words", "numbers"])
+
         for batch in batches:
-            for _, _, data, at in blocks(batch.column(0)):
-                cells, n = np.unique(coder(data, at)[0], return_counts=True)
-                total[cells] += n
-        cells = np.flatnonzero(total)
-        for lo in range(0, len(cells), 100_000):
-            part = cells[lo : lo + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part.astype(np.int32)), pa.array(total[part])], names=["cell", "n"])
-
-    return corpus.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n"))
-
-
-def log_model(counts: np.ndarray) -> np.ndarray:
-    """log p(word | word before) for a square of counts."""
-    size = len(counts)
-    unigram = counts.sum(axis=0) + 1.0
-    unigram[0] = 0
-    unigram /= unigram.sum()
-    total, kinds = counts.sum(axis=1), np.count_nonzero(counts, axis=1)
-    with np.errstate(divide="ignore", invalid="ignore"):
-        share = np.where(total > 0, DISCOUNT * kinds / total, 1.0)
-        p = np.where(total[:, None] > 0, np.maximum(counts - DISCOUNT, 0) / np.maximum(total, 1)[:, None], 0)
-        out = np.log(p + share[:, None] * unigram[None, :])
-    out[:, 0] = 0
-    assert out.shape == (size, size)
-    return out
-
-
-def _square(counts: DataFrame, size: int) -> np.ndarray:
-    """Counts as an array; the driver gets at most ``size`` squared rows, whatever the corpus."""
-    rows = counts.toArrow()
-    out = np.zeros(size * size)
-    out[rows.column("cell").to_numpy()] = rows.column("n").to_numpy()
-    return out.reshape(size, size)
-
-
-def train(target: DataFrame, background: DataFrame, text_col: str = "text", vocabulary: int = VOCABULARY) -> tuple[np.ndarray, np.ndarray]:
-    """(sorted hashed vocabulary, table of loss differences, target minus background, by cell)."""
+            for lo, hi, data, at in blocks(batch.column("text")):
+                h, _, _, first = words(data, at)
+                held.append((batch.column("doc_id").slice(lo, hi - lo), h, np.diff(first)))
+                size += len(h) + hi - lo
+                if size >= CHUNK_TOKENS:
+                    yield chunk()
+                    held, size, done = [], 0, done + 1
+        if held:
+            yield chunk()
+
+    ids = F.col(id_col) if id_col else F.lit(None).cast(kind)
+    return corpus.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"chunk long, tokens long, ids array<{kind}>, lengths binary, words binary, numbers binary")
+
+
+def _lists(chunk: int, turn: int, parts: int, keys: np.ndarray, n: list[np.ndarray]) -> pa.Table:
+    """A chunk's sorted keys, dealt to parts by even ranges, with the numbers of each entry."""
+    part = ((keys >> np.uint64(32)) * np.uint64(parts) >> np.uint64(32)).astype(np.int64)
+    at = np.searchsorted(part, np.arange(parts + 1))
+    full = np.flatnonzero(np.diff(at))
+    cut = [slice(at[p], at[p + 1]) for p in full]
+    packed = [_pack_sorted(keys[s]) for s in cut], [_pack(np.concatenate([x[s] for x in n])) for s in cut]
+    return pa.table({"chunk": pa.array(np.full(len(full), chunk)), "round": pa.array(np.full(len(full), turn, np.int32)), "part": pa.array(full.astype(np.int32)), "keys": pa.array(packed[0], pa.binary()), "n": pa.array(packed[1], pa.binary())})
+
+
+def _met(lists: DataFrame, width: int, found: Callable) -> DataFrame:
+    """For each part: ``found(entry's place among the distinct keys, distinct keys, entry's chunk, numbers)`` gives new numbers of
+    each entry, which go back to the chunks without the keys, and one number for the part (known)."""
+
+    def run(group: pa.Table) -> pa.Table:
+        chunk = group.column("chunk").to_numpy()
+        keys = [_unpack_sorted(x) for x in group.column("keys").to_pylist()]
+        n = np.concatenate([_unpack(x).astype(np.int64).reshape(width, -1) for x in group.column("n").to_pylist()], axis=1)
+        size = [len(x) for x in keys]
+        distinct, place = np.unique(np.concatenate(keys), return_inverse=True)
+        out, known = found(place, distinct, np.repeat(chunk, size), n)
+        at = np.cumsum([0, *size])
+        back = [_pack(np.concatenate([x[lo:hi] for x in out])) for lo, hi in zip(at, at[1:])]
+        known = np.where(np.arange(len(chunk)) == 0, known, 0)
+        return pa.table({"chunk": group.column("chunk"), "round": group.column("round"), "part": group.column("part"), "n": pa.array(back, pa.binary()), "known": pa.array(known.astype(np.int64))})
+
+    return lists.groupBy("part").applyInArrow(run, "chunk long, round int, part int, n binary, known long")
+
+
+def _sums(place: np.ndarray, n: np.ndarray) -> np.ndarray:
+    return np.bincount(place, n).astype(np.int64)
+
+
+class Chunk:
+    """A chunk's tokens with what the rounds have brought back."""
+
+    def __init__(self, rows: pa.Table, back: pa.Table | None = None) -> None:
+        self.number = rows.column("chunk")[0].as_py()
+        self.words, self.numbers = _unpack_sorted(rows.column("words")[0].as_py()), _unpack(rows.column("numbers")[0].as_py()).astype(np.int64)
+        self.lengths = _unpack(rows.column("lengths")[0].as_py()).astype(np.int64)
+        self.back = sorted(zip(back.column("round").to_pylist(), back.column("part").to_pylist(), back.column("n").to_pylist())) if back else []
+        if back is not None:
+            self._pairs()
+
+    def brought(self, turn: int, width: int) -> np.ndarray:
+        found = [_unpack(n).astype(np.int64).reshape(width, -1) for k, _, n in self.back if k == turn]
+        return np.concatenate(found, axis=1) if found else np.zeros((width, 0), np.int64)
+
+    def _pairs(self) -> None:
+        """Known words in order after START and UNKNOWN; each token's word and the word before it; distinct pairs by their hash."""
+        known = self.brought(0, 1)[0] > 0
+        self.known = np.concatenate([[START, UNKNOWN], self.words[known]])
+        word = np.where(known, np.cumsum(known) + 1, 1)[self.numbers]
+        before = np.concatenate([[0], word[:-1]])[: len(word)]
+        first = np.cumsum(self.lengths) - self.lengths
+        before[first[self.lengths > 0]] = 0
+        hashes = mix(mix(self.known[before]) + self.known[word])
+        self.pairs, at, self.pair, self.n = np.unique(hashes, return_index=True, return_inverse=True, return_counts=True)
+        self.before, self.word = before[at], word[at]
+
+
+def rounds(chunks: DataFrame, keep: np.ndarray | None, parts: int) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """What each of the three rounds brings back to the chunks."""
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for k in range(len(batch)):
+                c = Chunk(pa.Table.from_batches([batch.slice(k, 1)]))
+                yield from _lists(c.number, 0, parts, c.words, [np.bincount(c.numbers, minlength=len(c.words))]).to_batches()
+
+    def known(place, distinct, chunk, n):
+        total = _sums(place, n[0] * ((chunk & (TARGET | BACKGROUND)) > 0))
+        found = total >= 2 if keep is None else (total > 0) & np.isin(signed(distinct), keep)
+        return [found[place].astype(np.int64)], int(found.sum())
+
+    def pairs(rows: pa.Table, back: pa.Table) -> pa.Table:
+        c = Chunk(rows, back)
+        return _lists(c.number, 1, parts, c.pairs, [c.n])
+
+    def counts(place, distinct, chunk, n):
+        """Both corpora's counts, and whether the entry stands for the pair among the kinds of each corpus."""
+        out, own = [], []
+        for role in (TARGET, BACKGROUND):
+            of = (chunk & role) > 0
+            out.append(_sums(place, n[0] * of)[place])
+            mine = np.zeros(len(place), np.int64)
+            at = np.flatnonzero(of)
+            mine[at[np.unique(place[at], return_index=True)[1]]] = 1
+            own.append(mine)
+        return out + own, 0
+
+    def followers(rows: pa.Table, back: pa.Table) -> pa.Table:
+        c = Chunk(rows, back)
+        size, own, out = len(c.known), c.brought(1, 4)[2:], []
+        for k, role in enumerate((TARGET, BACKGROUND)):
+            of = int((c.number & role) > 0)
+            out += [_sums_to(c.word, c.n * of, size), _sums_to(c.before, c.n * of, size), _sums_to(c.before, own[k], size)]
+        return _lists(c.number, 2, parts, c.known, out)
+
+    def sums(place, distinct, chunk, n):
+        return [_sums(place, x)[place] for x in n], 0
+
+    by_chunk = chunks.groupBy("chunk")
+    first = table(_met(chunks.select("chunk", "lengths", "words", "numbers").mapInArrow(words, LISTS), 1, known), "lm-words")
+    second = table(_met(by_chunk.cogroup(first.groupBy("chunk")).applyInArrow(_of_chunk(pairs), LISTS), 1, counts), "lm-pairs")
+    third = table(_met(by_chunk.cogroup(first.unionByName(second).groupBy("chunk")).applyInArrow(_of_chunk(followers), LISTS), 6, sums), "lm-followers")
+    return first, second, third
+
+
+def _sums_to(place: np.ndarray, n: np.ndarray, size: int) -> np.ndarray:
+    return np.bincount(place, n, size).astype(np.int64)
+
+
+def _of_chunk(run: Callable, empty: Callable | None = None) -> Callable:
+    """``run`` for cogroups that have a chunk."""
+    none = empty or (lambda: _lists(0, 0, 1, np.zeros(0, np.uint64), []))
+    return lambda rows, back: run(rows, back) if len(rows) else none()
+
+
+def train(target: DataFrame, background: DataFrame, text_col: str = "text", vocabulary: int | None = None) -> tuple[np.ndarray | None, tuple[DataFrame, DataFrame, str]]:
+    """(sorted hashed words that are kept, None for all that occur twice; the corpora): the counts are taken chunk by chunk when
+    documents are scored. ``vocabulary`` keeps so many of the most frequent words instead; they pass through the driver."""
+    corpora = (target, background, text_col)
+    if vocabulary is None:
+        return None, corpora
     both = word_counts(target, text_col).unionByName(word_counts(background, text_col)).groupBy("word").agg(F.sum("n").alias("n"))
     top = both.orderBy(F.desc("n"), F.asc("word")).limit(vocabulary).select("word").toArrow().column("word").to_numpy()
-    words = np.sort(top.astype(np.int64))
-    models = [log_model(_square(cell_counts(corpus, words, text_col), len(words) + 2)) for corpus in (target, background)]
-    return words, (models[1] - models[0]).astype(np.float32).ravel()
+    return np.sort(top.astype(np.int64)), corpora
 
 
-def score(documents: DataFrame, words: np.ndarray, difference: np.ndarray, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def score(documents: DataFrame, keep: np.ndarray | None, corpora: tuple[DataFrame, DataFrame, str], id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_tokens, score: the mean loss difference in nats per token."""
-    model = documents.sparkSession.sparkContext.broadcast((words, difference))
+    target, background, corpus_col = corpora
+    kind = documents.schema[id_col].dataType.simpleString()
+    same = background is documents and corpus_col == text_col
+    chunks = chunked(target, TARGET, kind, None, corpus_col).unionByName(chunked(documents, SCORED | BACKGROUND * same, kind, id_col, text_col))
+    if not same:
+        chunks = chunks.unionByName(chunked(background, BACKGROUND, kind, None, corpus_col))
+    chunks = table(chunks, "lm-chunks")
+    of = lambda role: F.coalesce(F.sum(F.when(F.col("chunk").bitwiseAND(role) > 0, F.col("tokens"))), F.lit(0))
+    every, *total = chunks.agg(F.coalesce(F.sum("tokens"), F.lit(0)), of(TARGET), of(BACKGROUND)).first()
+    back = rounds(chunks, keep, max(min(PARTS, every // (1 << 17) + 1), every // PART_TOKENS))
+    size = (back[0].agg(F.sum("known")).first()[0] or 0) + 1
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        coder, gain = Coder(model.value[0]), model.value[1]
-        for batch in batches:
-            n, total = [], []
-            for _, _, data, offsets in blocks(batch.column("text")):
-                cells, at = coder(data, offsets)
-                sums = np.concatenate([[0.0], np.cumsum(gain[cells], dtype=np.float64)])
-                n.append(np.diff(at))
-                total.append(sums[at[1:]] - sums[at[:-1]])
-            if n:
-                n, total = np.concatenate(n), np.concatenate(total)
-                mean = pa.array(np.round(total / np.maximum(n, 1), 6), mask=n == 0)
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(n.astype(np.int64)), mean], names=["doc_id", "n_tokens", "score"])
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        c = Chunk(rows, found)
+        pair, word, loss = c.brought(1, 4), c.brought(2, 6), []
+        for k in range(2):
+            n, (unigram, after, kinds) = pair[k], word[3 * k : 3 * k + 3]
+            p = (unigram + 1.0) / (total[k] + size)
+            after, kinds = after[c.before], kinds[c.before]
+            share = np.where(after > 0, DISCOUNT * kinds / np.maximum(after, 1), 1.0)
+            loss.append(-np.log(np.maximum(n - DISCOUNT, 0) / np.maximum(after, 1) + share * p[c.word]))
+        sums = np.concatenate([[0.0], np.cumsum((loss[0] - loss[1])[c.pair])])
+        end = np.cumsum(c.lengths)
+        mean = (sums[end] - sums[end - c.lengths]) / np.maximum(c.lengths, 1)
+        ids = rows.column("ids").combine_chunks().flatten()
+        return pa.table({"doc_id": ids, "n_tokens": pa.array(c.lengths), "score": pa.array(np.round(mean, 6), mask=c.lengths == 0)})
 
-    kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, n_tokens long, score double")
+    scored = F.col("chunk").bitwiseAND(SCORED) > 0
+    brought = back[0].unionByName(back[1]).unionByName(back[2]).where(scored)
+    nothing = lambda: pa.table({"doc_id": pa.array([], ids_type), "n_tokens": pa.array([], pa.int64()), "score": pa.array([], pa.float64())})
+    ids_type = documents.select(id_col).limit(0).toArrow().schema.field(0).type
+    return chunks.where(scored).groupBy("chunk").cogroup(brought.groupBy("chunk")).applyInArrow(_of_chunk(run, nothing), f"doc_id {kind}, n_tokens long, score double")
 
 
 def op3_lm_cross_entropy(spark, sf_dir: str) -> DataFrame:

@@ -77,6 +77,21 @@ def test_lm_edges(spark):
     assert lm_score.score(docs.limit(0), *lm_score.train(docs.limit(0), docs.limit(0))).count() == 0
 
 
+def test_lm_vocabulary_grows_with_the_corpora(spark):
+    word = lambda k: f"w{k:05d}"
+    common = " ".join(word(k) for k in range(3000)) + " "
+    back = spark.createDataFrame([(k, common) for k in range(6)] + [(6, "rare0 rare1 " * 4), (7, "other0 other1 " * 4), (8, "once")], "doc_id long, text string")
+    target = spark.createDataFrame([(common,)] * 6 + [("rare0 rare1 " * 4,)], "text string")
+    found = {r.doc_id: r.score for r in lm_score.score(back, *lm_score.train(target, back)).collect()}
+    total = [18_008, 18_017]
+    after = lambda n, kinds, p, seen: max(seen - 0.5, 0) / n + 0.5 * kinds / n * p if n else p
+    uni = [lambda n, k=k: (n + 1) / (total[k] + 3005) for k in range(2)]
+    loss = lambda k, r: [-math.log(p) for p in (after((7, 9)[k], (2, 4)[k], uni[k](4 * r[k]), r[k]), *[after(4 * r[k], 1, uni[k](4 * r[k]), 4 * r[k])] * 4, *[after(3 * r[k], 1, uni[k](4 * r[k]), 3 * r[k])] * 3)]
+    for i, r in ((6, (1, 1)), (7, (0, 1))):
+        assert found[i] == pytest.approx(np.mean(np.subtract(loss(0, r), loss(1, r))), abs=1e-5)
+    assert found[6] < found[7] - 1
+
+
 BASE = [("assign", re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)), ("access", re.compile("AKIA[A-Z0-9]+")), ("hex", re.compile("[0-9a-f]+"))]
 
 
