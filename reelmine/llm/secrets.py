@@ -83,7 +83,7 @@ def pair_counts(documents: DataFrame, text_col: str = "text") -> np.ndarray:
     counted = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, SIZE * SIZE))
     out[0] += drawn_counts()
-    out[counted.column("kind").to_numpy(), counted.column("pair").to_numpy()] = counted.column("n").to_numpy()
+    out[counted.column("kind").to_numpy(), counted.column("pair").to_numpy()] += counted.column("n").to_numpy()
     return out.reshape(2, SIZE, SIZE) if out[1].any() else np.zeros((2, SIZE, SIZE))
 
 

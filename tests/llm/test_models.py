@@ -123,6 +123,25 @@ def test_markov_models_tell_random_strings(spark):
     assert not spans("thonereandtheinationandthe thtionthentionerestandthatine " + "a" * 50)
 
 
+def test_drawn_and_matched_samples_both_count(spark):
+    rng = np.random.default_rng(12)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/"
+    alphabets = (letters, letters[:62], "0123456789ABCDEF", "0123456789abcdef")
+    drawn = lambda k, n: "".join(rng.choice(list(alphabets[k]), n))
+    plain = [r.text for r in spark.read.parquet(f"{TABLE}/documents.parquet").collect() if r.text and not secrets.base_spans(r.text)]
+    runs = {(k, n): [drawn(k, n) for _ in range(200)] for k in range(4) for n in (20, 24, 31)}
+    for matches in (0, 13, 2000):
+        found = [drawn(3, 40) for _ in range(matches)]
+        counts = secrets.pair_counts(spark.createDataFrame([(t,) for t in plain + found], "text string"))
+        of_pairs = np.zeros(secrets.SIZE**2)
+        for t in found:
+            np.add.at(of_pairs, secrets._pairs(np.frombuffer(t.encode(), np.uint8)), 1)
+        assert (counts[0].ravel() == secrets.drawn_counts() + of_pairs).all()
+        ratio = secrets.ratio_table(counts)
+        for (k, n), strings in runs.items():
+            assert np.mean([any(x[1] == 3 for x in secrets.all_spans(t, ratio)[1]) for t in strings]) > 0.95, (matches, k, n)
+
+
 def test_redaction(spark):
     docs = documents(spark, "n").withColumn("text", F.when(F.col("doc_id") == 1, F.lit("a token = 'abcdefghij' b")).otherwise(F.col("text")))
     out = secrets.redacted(docs, secrets.ratio_table(np.zeros((2, secrets.SIZE, secrets.SIZE))))
