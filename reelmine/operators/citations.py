@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import citations, without_citations, words
 from ..plans.registry import query
-from ..plans.views import Views
+from ..plans.views import Views, card_id
 
 #: Headings of sections that need no citations, marks of notes, limits.
 GAP_HEADING = r"(?i)(doesn'?t\s+say|does\s+not\s+say|doesn'?t\s+cover|does\s+not\s+cover|never\s+addresses|not\s+covered|gaps?|silent|open\s+questions?|try\s+this|in\s+this\s+chapter|about\s+this\s+book)"
@@ -84,7 +84,7 @@ def source_index(docs: DataFrame, cards: DataFrame, manifest: DataFrame) -> tupl
 def chapters(v: Views) -> DataFrame:
     """Documents as chapters whose paragraphs cite cards, some of which don't exist."""
     n = F.col("doc_id")
-    cite = lambda k: F.concat(F.lit("[EV-"), F.lpad(k.cast("string"), 6, "0"), F.lit("]"))
+    cite = lambda k: F.concat(F.lit("["), card_id(k), F.lit("]"))
     text = F.concat(F.lit("# Part\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(" "), cite(n % 1000), F.lit(" "), cite(n * 7 % 3000))
     return v.raw("documents").select(n.alias("doc"), text.alias("text"))
 

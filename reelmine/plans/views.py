@@ -20,6 +20,12 @@ def first_words(text: str, n: int):
     return F.array_join(F.slice(F.split(F.trim(F.col(text)), SPACES), 1, n), " ")
 
 
+def card_id(n):
+    """'EV-' and at least six digits; longer numbers stay whole."""
+    digits = n.cast("string")
+    return F.concat(F.lit("EV-"), F.lpad(digits, F.greatest(F.lit(6), F.length(digits)), F.lit("0")))
+
+
 class Views:
     """Lazily defined views over one folder of tables."""
 
@@ -99,7 +105,7 @@ class Views:
         n = F.col("conv_id") * 10 + F.col("turn")
         types = F.array(*map(F.lit, ("rule", "number", "procedure", "example", "caveat", "opinion", "contradiction", "anecdote")))
         return self.raw("conversations").select(
-            F.concat(F.lit("EV-"), F.lpad(n.cast("string"), 6, "0")).alias("id"),
+            card_id(n).alias("id"),
             F.col("conv_id").alias("video_id"),
             (F.col("turn") * 7).alias("seconds"),
             F.element_at(types, (F.col("turn") % 8 + 1).cast("int")).alias("type"),

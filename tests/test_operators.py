@@ -208,6 +208,15 @@ def test_anchors(spark):
     assert C.verbatim_rate(spark.createDataFrame([("exact",), ("missing",), ("no transcript",)], "verdict string")).first().percent == 50.0
 
 
+def test_card_ids_stay_whole(spark, tmp_path):
+    from reelmine.plans.views import Views
+
+    rows = [(c, t, "user", "a b c") for c in (0, 999, 10_000, 99_999, 100_000, 1_000_000) for t in range(10)]
+    spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").write.parquet(f"{tmp_path}/conversations.parquet")
+    got = {(r.video_id, r.seconds // 7): r.id for r in Views(spark, str(tmp_path)).cards.collect()}
+    assert got == {(c, t): f"EV-{c * 10 + t:06d}" for c, t, _, _ in rows}
+
+
 def test_citation_findings(spark):
     long = "word " * 40
     docs = [
