@@ -214,18 +214,22 @@ def similar_titles(titles: DataFrame, threshold: float = 0.86) -> DataFrame:
     """(a, b) with a before b, from (title, rank): pairs whose similarity reaches the threshold.
 
     Titles of seven characters or more that are so similar share one of their rarer trigrams (at most 0.7 of a title's trigrams
-    are touched by its differences), so each title names its rarest 0.7 and three more; shorter titles meet by their first letters'
-    set of single characters. Lengths are compared before the costly ratio."""
+    are touched by its differences), so each title names its rarest 0.7 and three more; shorter titles meet by their single
+    characters, which titles of seven or more name too if they can reach the threshold with one of six. Lengths are compared before the costly ratio."""
     text = F.col("title")
-    grams = F.when(F.length(text) >= 7, F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3))))).otherwise(F.array_distinct(F.split(text, "")))
+    three = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3))))
+    single = F.array_distinct(F.split(text, ""))
+    meets_short = threshold * (F.length(text) + 6) <= 12
+    grams = F.when(F.length(text) < 7, single).when(meets_short, F.concat(three, single)).otherwise(three)
     rows = table(titles.where("title <> ''").select("title", "rank", F.explode(grams).alias("gram")), "grams")
     often = rows.groupBy("gram").agg(F.count("*").alias("often"))
-    each = Window.partitionBy("title").orderBy("often", "gram")
+    each = Window.partitionBy("title", F.length("gram")).orderBy("often", "gram")
     rare = rows.join(often, "gram").withColumn("rn", F.row_number().over(each)).where(F.col("rn") <= F.ceil(0.7 * F.length("title")) + 3).select("title", "rank", "gram")
     x, y = rare.toDF("a", "ra", "gram"), rare.toDF("b", "rb", "gram")
     near = F.abs(F.length("a") - F.length("b")) <= 0.4 * F.greatest(F.length("a"), F.length("b"))
     possible = F.least(F.length("a"), F.length("b")) * 2 >= threshold * (F.length("a") + F.length("b"))
-    pairs = x.join(y, "gram").where((F.col("ra") < F.col("rb")) & near & possible).select("a", "ra", "b", "rb").distinct()
+    meant = (F.length("gram") > 1) | (F.least(F.length("a"), F.length("b")) < 7)
+    pairs = x.join(y, "gram").where((F.col("ra") < F.col("rb")) & near & possible & meant).select("a", "ra", "b", "rb").distinct()
     return table(pairs, "title-pairs").where(ratio("a", "b") >= threshold)
 
 

@@ -158,6 +158,18 @@ def test_title_clusters_are_greedy(spark):
         assert r.cluster == (want.get(titles[r.video_id]) if r.video_id < 160 else None)
 
 
+def test_title_clusters_of_six_and_seven_characters(spark):
+    rng = random.Random(9)
+    titles = ["abcdef", "abcdefg", "aaaaaa", "aaaaaab", "opening"]
+    for _ in range(60):
+        t = "".join(rng.choice("abcdefgh") for _ in range(6))
+        at = rng.randrange(7)
+        titles += [t, t[:at] + rng.choice("abcdefghxyz") + t[at:]]
+    got = corpus.cluster_titles(spark.createDataFrame(list(enumerate(titles)), "video_id long, title string")).collect()
+    want = greedy(titles, 0.86)
+    assert {r.video_id: r.cluster for r in got} == {i: want[t] for i, t in enumerate(titles)} and want["abcdefg"] == "abcdef"
+
+
 def test_prune_plan(spark):
     rows = [(1, "market news today", 900), (2, "How to Trade", 300), (3, "how to trade!", 400), (4, "alone", 10), (5, "", 500)]
     got = {r.video_id: (r["class"], r.weight) for r in corpus.prune_plan(spark.createDataFrame(rows, "video_id long, title string, words long"), "news").collect()}
