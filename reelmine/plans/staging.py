@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -13,20 +14,25 @@ BROADCAST_ROWS = 1_000_000
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """``spark.checkpoint.dir``, or an own folder where it is unset (tests)."""
+    """``spark.checkpoint.dir``. Where it is unset, an own folder if all tasks run in the driver's process (tests); on a cluster
+    each machine would write to its own disk, so that is refused."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if not found:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         found = "file://" + tempfile.mkdtemp(prefix="reelmine-")
         spark.conf.set("spark.checkpoint.dir", found)
     return found.rstrip("/")
 
 
 def table(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` to the shared folder and read it back."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise unchanged, for a shuffled join."""
+    """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise unchanged, for a shuffled join. For rows of a few
+    numbers or short words: the bound is one of rows, so wide rows need a smaller one."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
