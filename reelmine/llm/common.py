@@ -2,45 +2,21 @@
 
 from __future__ import annotations
 
-import tempfile
-import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-#: A side is broadcast only after its rows were counted and found to be this few; beyond it the join shuffles.
-BROADCAST_ROWS = 1_000_000
+from ..plans.staging import shared_dir, small, table  # noqa: F401
+
 #: Bytes of text that a task holds as numpy arrays at a time (longer documents are taken whole).
-BLOCK_BYTES = 1 << 20
+BLOCK_BYTES = 1 << 18
 
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: ``spark.checkpoint.dir``, or an own one where it is unset (tests)."""
-    found = spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = "file://" + tempfile.mkdtemp(prefix="reelmine-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
-
-
-def table(df: DataFrame, name: str) -> DataFrame:
-    """Write ``df`` to the shared folder and read it back: cuts the lineage and survives lost executors."""
-    path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
-
-
-def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """``df`` with a broadcast hint if a count shows at most ``rows`` rows; otherwise unchanged, for a shuffled join."""
-    return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
-
-
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective mixer of 64-bit words."""
     x = (x ^ (x >> _S30)) * _M1

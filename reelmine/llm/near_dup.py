@@ -4,16 +4,23 @@ Two random permutations of the same universe make every coordinate of a signatur
 shifted circularly by k, gives its value in coordinate k. So coordinate values of one shingle are a contiguous window of the
 second permutation, and a signature is the elementwise minimum of such windows.
 
-Copies (equal shingle sets) are folded into one class before banding. Within a band's bucket no pairs are listed: each member
-is compared with the bucket's leader, and the verified links are contracted. Classes of buckets that still hold several
-components go on by their rarest shingles: of two sets that are similar enough, each has one of the other's among its first
-n - ceil(0.8 n) + 1 in the order of frequency, so only classes that share such a shingle can be linked, and what a group of loose
-copies has in common brings nobody together. These buckets again meet leaders first, and at last the members of their different
-components each other. Nothing is dropped by bucket size.
-
-Defined results: null or blank text has an empty set, is linked with nothing and kept; a null id is linked only with equal
-sets, its component is the smallest id there is (else null), and it is kept if there is none; rows that repeat an id and a
-text are all returned alike; an empty table gives no rows; other columns of the input are not read.
+Copies (equal shingle sets) are folded into one class before banding, and everything up to the result is keyed by the class.
+Within a band's bucket no pairs are listed: each member is compared with the bucket's leader, and the verified links are
+contracted. Classes of buckets that still hold several components go on by their rarest shingles (all of the exact step is
+without loss). Order the shingles of every set by frequency. Of two sets that are similar enough, the first shingle they share
+stands at place i of one and j of the other, and all they can share is what stands there or later, so
+
+    (100 + percent) * min(n - i + 1, m - j + 1) >= percent * (n + m).
+
+That leaves each set a short prefix by which it can meet others, shingles of its own fill the first places of it, and of members
+that meet, those whose shared shingle stands too late are no candidates. Buckets of prefix shingles again meet their leaders
+first; at last members of different components meet if the inequality holds. Nothing is dropped by bucket size.
+
+Defined results: null or blank text has an empty set, is linked with nothing and kept; rows that repeat an id with different
+texts are linked by their own texts, and each row has its own component; rows with a null id are linked like others, a
+component's name is the smallest id in it, null if it has none, and a row is kept if its id is that name; ties cannot occur
+(a component has one smallest id; all rows that repeat it are kept, ``kept_rows`` keeps one of them); very long texts are taken
+whole; an empty table gives no rows; other columns of the input are not read.
 """
 
 from __future__ import annotations
@@ -23,15 +30,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import Words, blocks, lists, mix, read, signed, small, table
 
 UNIVERSE, COORDINATES, ROWS, BANDS = 1 << 22, 256, 5, 51
-#: Of 256 one-bit coordinates, sets with a similarity of 0.8 differ in 26 on average; over 64 has a chance below 1e-10.
-SKETCH_DIFFERENCE = 64
+#: Members whose 256 one-bit coordinates differ in more than this are not compared with a band's leader (sets with a similarity of
+#: 0.8 differ in 26 on average); the exact step does not use it, so nothing is lost by it.
+SKETCH_DIFFERENCE = 48
 LEADER_ROUNDS = 2
+TEXT_KEY = ("text_1", "text_2")
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
 
@@ -102,13 +111,13 @@ def _features(shingle: int):
                 continue
             yield pa.RecordBatch.from_arrays(
                 [
-                    batch.column("doc_id"),
+                    *(batch.column(c) for c in ("doc_id", *TEXT_KEY)),
                     pa.array(n, pa.int64()),
                     pa.array(digest, pa.binary()),
                     lists(np.concatenate(bands), [len(x) for x in bands], pa.int64()),
                     lists(np.concatenate(sketch), [len(x) for x in sketch], pa.int64()),
                 ],
-                names=["doc_id", "n_shingles", "set_id", "bands", "sketch"],
+                names=["doc_id", *TEXT_KEY, "n_shingles", "set_id", "bands", "sketch"],
             )
 
     return run
@@ -120,7 +129,7 @@ def _shingles(shingle: int):
         for batch in batches:
             found = [signed(x) for x in shingler.sets(batch.column("text"))]
             if found:
-                yield pa.RecordBatch.from_arrays([batch.column("doc_id"), lists(np.concatenate(found), [len(x) for x in found], pa.int64())], names=["cid", "shingles"])
+                yield pa.RecordBatch.from_arrays([batch.column("cid"), lists(np.concatenate(found), [len(x) for x in found], pa.int64())], names=["cid", "shingles"])
 
     return run
 
@@ -140,46 +149,92 @@ def components(edges: DataFrame) -> DataFrame:
             return labels
 
 
+def text_key(text: Column) -> list[Column]:
+    """128 bits that stand for a text."""
+    return [F.xxhash64(text).alias(TEXT_KEY[0]), F.xxhash64(F.lit(1), text).alias(TEXT_KEY[1])]
+
+
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
-    """(cid, shingles) of the classes named in ``ids`` (doc_id)."""
-    rows = docs.join(small(ids), "doc_id", "left_semi").groupBy("doc_id").agg(F.min("text").alias("text"))
+    """(cid, shingles) of the classes named in ``ids`` (cid and the text key of a member)."""
+    rows = docs.join(small(ids), [*TEXT_KEY]).groupBy("cid").agg(F.min("text").alias("text"))
     return table(rows.mapInArrow(_shingles(shingle), "cid long, shingles array<long>"), "sets")
 
 
-def _rarest(sets: DataFrame, percent: int) -> tuple[DataFrame, DataFrame]:
-    """(band, cid): the shingles of each set by which a set that is similar enough must know it, rarest first; (cid, met): how many
-    of a set's shingles occur in another set at all, which bounds what it can share."""
+def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
+    """(band, cid, place, n): the shingles of each set by which a set that is similar enough can meet it first, and their places in
+    the order of frequency. Shingles that no other set has come first and need no row."""
     rows = sets.select("cid", F.size("shingles").alias("n"), F.explode("shingles").alias("band"))
     often = rows.groupBy("band").agg(F.count("*").alias("often")).where("often > 1")
-    first = Window.partitionBy("cid").orderBy("often", "band")
-    known = rows.join(often, "band").withColumn("rank", F.row_number().over(first)).withColumn("met", F.count("*").over(Window.partitionBy("cid")))
-    known = known.where(F.col("rank") + (F.col("n") - F.col("met")) <= F.col("n") - F.ceil(F.col("n") * percent / 100) + 1)
-    known = table(known.select("band", "cid", "met"), "rarest")
-    return known.select("band", "cid"), known.select("cid", "met").distinct()
+    known = rows.join(often, "band").withColumn("met", F.count("*").over(Window.partitionBy("cid")))
+    known = known.withColumn("place", F.row_number().over(Window.partitionBy("cid").orderBy("often", "band")) + F.col("n") - F.col("met"))
+    return table(known.where(F.lit(100) * (F.col("n") - F.col("place") + 1) >= F.lit(percent) * F.col("n")).select("band", "cid", "place", "n"), "prefixes")
 
 
-def _near(pairs: DataFrame, info: DataFrame, percent: int) -> DataFrame:
-    """The distinct (a, b) among ``pairs`` that sizes and sketches leave possible."""
-    a, b = info.select(*(F.col(c).alias(f"a_{c}") for c in info.columns)), info.select(*(F.col(c).alias(f"b_{c}") for c in info.columns))
-    near = pairs.distinct().join(a, F.col("a") == F.col("a_cid")).join(b, F.col("b") == F.col("b_cid")).where(_possible("a_", "b_", percent, "met" in info.columns)).select("a", "b")
-    return table(near, "pairs")
+def _can_meet(p: str, q: str, percent: int) -> Column:
+    """False only for sets that can't be similar enough if the shingle of the rows ``p`` and ``q`` is the first that they share."""
+    n, m = F.col(f"{p}n"), F.col(f"{q}n")
+    return F.lit(100 + percent) * F.least(n - F.col(f"{p}place") + 1, m - F.col(f"{q}place") + 1) >= F.lit(percent) * (n + m)
 
 
-def _confirmed(near: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """The (a, b) whose full sets are similar enough."""
     x, y = sets.select(F.col("cid").alias("a"), F.col("shingles").alias("x")), sets.select(F.col("cid").alias("b"), F.col("shingles").alias("y"))
-    both = near.join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
+    both = pairs.distinct().join(x, "a").join(y, "b").select("a", "b", F.size(F.array_intersect("x", "y")).alias("n"), (F.size("x") + F.size("y")).alias("total"))
     return table(both.where(F.lit(100) * F.col("n") >= F.lit(percent) * (F.col("total") - F.col("n"))).select("a", "b"), "links")
 
 
-def _possible(p: str, q: str, percent: int, met: bool = False):
-    """False only for pairs that can't be similar enough: by their sizes (and by how much of them any other set has) for certain, by
-    256 one-bit coordinates but for a chance below 1e-10."""
-    n, m = F.col(f"{p}n_shingles"), F.col(f"{q}n_shingles")
-    apart = sum((F.bit_count(F.col(f"{p}s{i}").bitwiseXOR(F.col(f"{q}s{i}"))) for i in range(4)), F.lit(0))
-    allowed = SKETCH_DIFFERENCE + (80 - percent) * 2 if percent < 80 else SKETCH_DIFFERENCE
-    fits = (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (apart <= F.lit(allowed))
-    return fits & (F.lit(100 + percent) * F.least(f"{p}met", f"{q}met") >= F.lit(percent) * (n + m)) if met else fits
+def _led(buckets: DataFrame, info: DataFrame, percent: int) -> DataFrame:
+    """The distinct (a, b) of a band's leader and its members that sizes and sketches leave possible."""
+    a, b = info.select(*(F.col(c).alias(f"a_{c}") for c in info.columns)), info.select(*(F.col(c).alias(f"b_{c}") for c in info.columns))
+    n, m = F.col("a_n_shingles"), F.col("b_n_shingles")
+    apart = sum((F.bit_count(F.col(f"a_s{i}").bitwiseXOR(F.col(f"b_s{i}"))) for i in range(4)), F.lit(0))
+    fits = (F.lit(100) * F.least(n, m) >= F.lit(percent) * F.greatest(n, m)) & (apart <= F.lit(SKETCH_DIFFERENCE + 2 * max(0, 80 - percent)))
+    pairs = buckets.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")).distinct()
+    return table(pairs.join(a, F.col("a") == F.col("a_cid")).join(b, F.col("b") == F.col("b_cid")).where(fits).select("a", "b"), "pairs")
+
+
+def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
+    """(rows of ``docs`` with their set_id; set_id and comp of each class). ``docs`` has doc_id, text and the text key."""
+    made = docs.mapInArrow(_features(shingle), f"doc_id long, {TEXT_KEY[0]} long, {TEXT_KEY[1]} long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+    made = table(made.withColumn("row", F.monotonically_increasing_id()), "minhash")
+    classes = table(made.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("cid")), "classes")
+    leads = made.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")
+    rows = leads.select("cid", F.explode("bands").alias("band"))
+    shared = rows.groupBy("band").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead != last").select("band", "lead")
+    buckets = table(rows.join(shared, "band").select("band", "cid", "lead"), "buckets")
+    info = table(leads.join(buckets.select("cid").distinct(), "cid", "left_semi").select("cid", *TEXT_KEY, "n_shingles", *(F.col("sketch")[i].alias(f"s{i}") for i in range(4))), "info")
+    keys = info.select("cid", *TEXT_KEY)
+
+    near = _led(buckets, info.drop(*TEXT_KEY), percent)
+    links = _confirmed(near, _sets(docs, keys.join(near.select(F.explode(F.array("a", "b")).alias("cid")).distinct(), "cid", "left_semi"), shingle), percent)
+    labels = components(links)
+    open_ = _mixed(buckets.select("band", "cid"), labels).select("cid").distinct()
+    if not open_.isEmpty():
+        sets = _sets(docs, keys.join(open_, "cid", "left_semi"), shingle)
+        buckets = _prefixes(sets, percent)
+        for turn in range(LEADER_ROUNDS + 1):
+            buckets = _mixed(buckets, labels)
+            if buckets.isEmpty():
+                break
+            if turn < LEADER_ROUNDS:
+                # at first the set whose shared shingle stands earliest leads, which has the fewest shingles of its own
+                order = F.struct(F.when(F.lit(turn == 0), F.col("place")), F.xxhash64("cid", F.lit(turn)))
+                first = buckets.groupBy("band").agg(F.min_by(F.struct(F.col("cid").alias("l_cid"), F.col("comp").alias("l_comp"), F.col("place").alias("l_place"), F.col("n").alias("l_n")), order).alias("x")).select("band", "x.*")
+                pairs = buckets.join(first, "band").where((F.col("comp") != F.col("l_comp")) & _can_meet("", "l_", percent)).select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b"))
+            else:
+                x, y = (buckets.select("band", *(F.col(c).alias(f"{p}{c}") for c in ("cid", "comp", "place", "n"))) for p in ("a_", "b_"))
+                pairs = x.join(y, "band").where((F.col("a_comp") < F.col("b_comp")) & _can_meet("a_", "b_", percent)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
+            new = _confirmed(pairs, sets, percent)
+            if not new.isEmpty():
+                links = links.union(new)
+                labels = components(links)
+            buckets = buckets.drop("comp")
+    return made, classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("set_id", F.coalesce("comp", "cid").alias("comp"))
+
+
+def _prepared(documents: DataFrame, id_col: str, text_col: str) -> DataFrame:
+    text = F.col(text_col).cast("string")
+    return documents.select(F.col(id_col).cast("long").alias("doc_id"), text.alias("text"), *text_key(text))
 
 
 def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
@@ -187,62 +242,45 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
     The bands (51 of 5 rows) miss a pair of similarity 0.8 with a chance of 2e-9, a closer pair with a smaller one.
     """
-    docs = documents.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    made = table(docs.mapInArrow(_features(shingle), "doc_id long, n_shingles long, set_id binary, bands array<long>, sketch array<long>"), "minhash")
-    classes = table(made.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("cid")), "classes")
-    leads = made.join(classes.where("cid is not null").select(F.col("cid").alias("doc_id"), "set_id"), ["doc_id", "set_id"], "left_semi")
-    info = leads.groupBy(F.col("doc_id").alias("cid")).agg(F.max("n_shingles").alias("n_shingles"), *(F.max(F.col("sketch")[i]).alias(f"s{i}") for i in range(4)))
-    rows = leads.select(F.col("doc_id").alias("cid"), F.explode("bands").alias("band"))
-    shared = rows.groupBy("band").agg(F.min("cid").alias("lead"), F.max("cid").alias("last")).where("lead != last")
-    buckets = table(rows.join(shared, "band").select("band", "cid", "lead"), "buckets")
-    info = table(info.join(buckets.select("cid").distinct(), "cid", "left_semi"), "info")
-
-    near = _near(buckets.where("cid != lead").select(F.col("lead").alias("a"), F.col("cid").alias("b")), info, percent)
-    links = _confirmed(near, _sets(docs, near.select(F.explode(F.array("a", "b")).alias("doc_id")).distinct(), shingle), percent)
-    labels = components(links)
-    buckets = _mixed(buckets.select("band", "cid"), labels)
-    if not buckets.isEmpty():
-        sets = _sets(docs, buckets.select(F.col("cid").alias("doc_id")).distinct(), shingle)
-        buckets, met = _rarest(sets, percent)
-        info = table(info.join(met, "cid"), "info")
-    for turn in range(LEADER_ROUNDS + 1):
-        buckets = _mixed(buckets.select("band", "cid"), labels)
-        if buckets.isEmpty():
-            break
-        if turn < LEADER_ROUNDS:
-            # at first the set with the fewest shingles of its own leads, which is the likeliest to be linked with the others
-            order = F.struct(F.when(F.lit(turn == 0), F.col("n_shingles") - F.col("met")), F.xxhash64("cid", F.lit(turn)))
-            first = buckets.join(info.select("cid", "n_shingles", "met"), "cid").groupBy("band").agg(F.min_by(F.struct(F.col("cid").alias("lead"), F.col("comp").alias("with")), order).alias("x")).select("band", "x.*")
-            pairs = buckets.join(first, "band").where("comp != with").select(F.least("cid", "lead").alias("a"), F.greatest("cid", "lead").alias("b"))
-        else:
-            one = buckets.join(info, "cid")
-            x, y = one.select("band", *(F.col(c).alias(f"a_{c}") for c in one.columns if c != "band")), one.select("band", *(F.col(c).alias(f"b_{c}") for c in one.columns if c != "band"))
-            pairs = x.join(y, "band").where((F.col("a_comp") < F.col("b_comp")) & _possible("a_", "b_", percent, True)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
-        new = _confirmed(_near(pairs, info, percent), sets, percent)
-        if not new.isEmpty():
-            links = links.union(new)
-            labels = components(links)
-
-    member = made.select("doc_id", "n_shingles", "set_id").join(classes, "set_id", "left").join(labels.withColumnRenamed("node", "cid"), "cid", "left")
-    found = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.coalesce("comp", "cid"))
+    made, classes = _classes(_prepared(documents, id_col, text_col), shingle, percent)
+    least = made.where("set_id is not null").groupBy("set_id").agg(F.min("doc_id").alias("least")).join(classes, "set_id")
+    named = least.groupBy("comp").agg(F.min("least").alias("least"))
+    named = table(classes.join(named, "comp").select("set_id", "least"), "named")
+    member = made.select("doc_id", "n_shingles", "set_id").join(named, "set_id", "left")
+    found = F.when(F.col("set_id").isNull(), F.col("doc_id")).otherwise(F.col("least"))
     return member.select("doc_id", "n_shingles", found.alias("component_id")).withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """(band, cid, comp) of the buckets whose members lie in several components."""
-    known = buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("band", "cid", F.coalesce("comp", "cid").alias("comp"))
+    """The rows, with comp, of the buckets whose members lie in several components."""
+    known = buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
     several = known.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("band")
     return table(known.join(several, "band", "left_semi"), "mixed")
 
 
-def kept_rows(documents: DataFrame, shingle: int = 5, percent: int = 80) -> DataFrame:
-    """The rows of ``documents`` that stay: one of each component. Of rows that repeat the kept id, one stays."""
-    keep = near_duplicates(documents, shingle=shingle, percent=percent).where("kept and n_shingles > 0").select("doc_id").distinct()
-    named = documents.where("doc_id is not null").join(keep, "doc_id", "left_semi")
-    blank = F.coalesce(F.trim(F.regexp_replace("text", r"[\x09-\x0D]", " ")), F.lit("")) == ""
-    rest = documents.where(blank | F.col("doc_id").isNull())
-    one = Window.partitionBy("doc_id").orderBy(F.xxhash64(*[c for c in documents.columns if c != "doc_id"]))
-    return named.where(~blank).withColumn("__n", F.row_number().over(one)).where("__n = 1").drop("__n").unionByName(rest)
+def kept_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:
+    """The rows of ``documents`` that stay: of each component one with the smallest id (rows without an id come last; of those that
+    repeat the id one text, chosen by a hash), and all rows without words."""
+    made, classes = _classes(_prepared(documents, id_col, text_col), shingle, percent)
+    key = F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", *TEXT_KEY)
+    rows = made.where("set_id is not null").select("set_id", key.alias("key"))
+    best = rows.groupBy("set_id").agg(F.min("key").alias("key")).join(classes, "set_id")
+    best = table(classes.join(best.groupBy("comp").agg(F.min("key").alias("best")), "comp").select("set_id", "best"), "best")
+    judged = table(rows.groupBy("set_id", "key").agg(F.count("*").alias("copies")).join(best, "set_id").where("key != best or copies > 1").select("key.doc_id", *(f"key.{k}" for k in TEXT_KEY), (F.col("key") == F.col("best")).alias("is_best")), "judged")
+    own = ["__near_dup_id", *(f"__near_dup_{k}" for k in TEXT_KEY)]
+    docs = documents.withColumns(dict(zip(own, [F.col(id_col).cast("long"), *text_key(F.col(text_col).cast("string"))])))
+    same = F.col("d.__near_dup_id").eqNullSafe(F.col("j.doc_id"))
+    for k in TEXT_KEY:
+        same &= F.col(f"d.__near_dup_{k}") == F.col(f"j.{k}")
+    met = lambda rows, how: docs.alias("d").join(small(rows).alias("j"), same, how).select("d.*")
+    once = met(judged, "left_anti").drop(*own)
+    again = judged.where("is_best").drop("is_best")
+    if again.isEmpty():
+        return once
+    # rows that repeat the kept id and text: one of them stays
+    one = Window.partitionBy(*own).orderBy(F.xxhash64(*(F.col(f"`{c}`") for c in documents.columns)))
+    again = met(again, "left_semi").withColumn("__near_dup_n", F.row_number().over(one)).where("__near_dup_n = 1")
+    return once.unionByName(again.drop(*own, "__near_dup_n"))
 
 
 def op4_minhash_near_dedup(spark, sf_dir: str) -> DataFrame:

@@ -1,10 +1,12 @@
+import random
 import re
 
+import numpy as np
 import pytest
 
 from reelmine.llm.near_dup import kept_rows, near_duplicates
 
-from .cases import DATA, documents
+from .cases import DATA, documents, near
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -24,9 +26,9 @@ def brute(rows, k, percent):
             x = parent[x]
         return x
 
-    for a, (i, _, x) in enumerate(sets):
-        for b, (j, _, y) in enumerate(sets[:a]):
-            linked = x and y and (x == y or (i is not None and j is not None and 100 * len(x & y) >= percent * len(x | y)))
+    for a, (_, _, x) in enumerate(sets):
+        for b, (_, _, y) in enumerate(sets[:a]):
+            linked = x and y and 100 * len(x & y) >= percent * len(x | y)
             if linked and find(a) != find(b):
                 parent[find(a)] = find(b)
     least = {}
@@ -66,8 +68,64 @@ def test_kept_rows(spark):
 
 def test_a_loose_group_of_copies(spark):
     """Copies of one text with one to thirty edits: some linked, some alone, all sharing bands."""
-    from .cases import near
-
     rows = [(i, near(11, 150, i % 30, i)) for i in range(150)]
     found = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
     assert found == {(i, n, c) for i, _, n, c in brute(rows, 4, 80)}
+
+
+def against(spark, rows, k=4):
+    found = near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=k).collect()
+    assert sorted(map(str, ((r.doc_id, r.n_shingles, r.component_id) for r in found))) == sorted(map(str, ((i, n, c) for i, n, c in each(rows, k))))
+    return found
+
+
+def each(rows, k):
+    """(doc_id, n, component) of each row; rows may repeat ids and texts."""
+    known = {t: (n, c) for _, t, n, c in brute(sorted(set(rows), key=str), k, 80)}
+    return [(i, *(known[t] if shingles(t, k) else (0, i))) for i, t in rows]
+
+
+def test_repeated_and_null_ids_keep_their_links(spark):
+    """Two texts under one id, each with a near copy; near copies without an id; a component without any id."""
+    a, b, c, d = (near(s, 100, 0, 0) for s in (21, 22, 23, 24))
+    rows = [(1, a), (1, b), (2, near(21, 100, 1, 5)), (3, near(22, 100, 1, 6)), (4, c), (None, near(23, 100, 1, 7)), (None, d), (None, near(24, 100, 1, 8)), (None, None), (5, None)]
+    found = against(spark, rows)
+    assert sorted(r.component_id for r in found if r.doc_id in (1, 2, 3)) == [1, 1, 1, 1]
+    kept = kept_rows(spark.createDataFrame([(i, t, "x") for i, t in rows], "doc_id long, text string, best string"), shingle=4)
+    assert kept.columns == ["doc_id", "text", "best"]
+    texts = [r.text for r in kept.collect()]
+    assert {a, b, c} <= set(texts) and texts.count(None) == 2 and len(texts) == 6
+
+
+def test_kept_rows_take_one_of_repeated_rows(spark):
+    a = near(31, 60, 0, 0)
+    docs = spark.createDataFrame([(1, a, "p"), (1, a, "q"), (1, a, "q"), (2, near(31, 60, 1, 1), "r"), (1, near(32, 60, 0, 0), "s")], "doc_id long, text string, __near_dup string")
+    kept = kept_rows(docs, shingle=4).collect()
+    assert sorted(r[2] for r in kept)[-1] == "s" and len(kept) == 2
+
+
+def test_a_loose_group_of_two_thousand_copies(spark):
+    """Edits from a few places and words, so that copies share edits, too: similarities from 0.4 up, many just below 0.8."""
+    rng, base = random.Random(9), near(41, 140, 0, 0).split(" ")
+    rows = []
+    for i in range(2000):
+        words = list(base)
+        for _ in range(rng.randint(0, 9)):
+            words[rng.randrange(40) * 3] = f"edit{rng.randint(0, 3)}"
+        rows.append((i, " ".join(words)))
+    found = {r.doc_id: (r.n_shingles, r.component_id) for r in near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), shingle=4).collect()}
+    names = {}
+    sets = [shingles(t, 4) for _, t in rows]
+    matrix = np.zeros((len(rows), 4000), np.float32)
+    for i, s in enumerate(sets):
+        matrix[i, [names.setdefault(x, len(names)) for x in s]] = 1
+    shared, size = matrix @ matrix.T, matrix.sum(axis=1)
+    linked = 100 * shared >= 80 * (size[:, None] + size - shared)
+    comp = np.arange(len(rows))
+    while True:
+        step = np.where(linked, comp, len(rows)).min(axis=1)
+        if (step == comp).all():
+            break
+        comp = step
+    assert found == {i: (len(sets[i]), comp[i]) for i in range(len(rows))}
+    assert 1 < len(set(comp.tolist())) < 2000
