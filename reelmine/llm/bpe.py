@@ -1,36 +1,45 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Documents are dealt into chunks of a bounded size by a hash of their id. Each chunk lists its distinct words, the lists are
-dealt by a hash of the word, each distinct word is encoded once, and the ids go back to the chunk in the order of its list, so
-they are joined by position and no word travels twice. Ids of a document are then its words' ids in order; decoding joins ids
-with the id-to-piece table, whose size is the vocabulary's. Texts, lists and ids are shuffled as compressed binary columns.
+Texts are split into words where they lie, and runs of texts become chunks: the list of a chunk's distinct words, and the texts
+as numbers of places in that list. The words of all lists make the table of distinct words, in which each word is encoded once;
+its ids are joined with the id-to-piece table, whose size is the vocabulary's, so each distinct word is also decoded once. Ids
+and decoded words go back to the chunks by a join on the word and are joined to the texts by position. No text is shuffled.
 
 Defined results: null text counts as empty and has no ids; an empty table gives no rows; repeated rows and null ids are
-returned like others; other columns of the input are not read. Marks of special tokens inside a text are encoded as the
-library does by default, as special tokens.
+returned like others, each in the chunk where it lies; a very long text makes a chunk of its own; there are no ties; other
+columns of the input are not read. Marks of special tokens inside a text are encoded as the library does by default, as special
+tokens.
 """
 
 from __future__ import annotations
 
 import functools
 import hashlib
+import re
 import unicodedata
-from collections.abc import Callable, Iterator
+from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
 import regex
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read
+from .common import read, table
 
 #: Characters of text in a chunk, about; a longer document makes a longer chunk.
-CHUNK_CHARS = 8_000_000
+CHUNK_CHARS = 4_000_000
+#: Texts from this many characters on are split word by word, without a list of their words.
+LONG_TEXT = 1_000_000
 #: The splitting pattern of the public vocabulary file, with its white space written out.
 WHITE = r"\t-\r \x85\p{Z}"
 PIECE = regex.compile(rf"'s|'t|'re|'ve|'m|'ll|'d|\p{{L}}+|\p{{N}}|[^{WHITE}\p{{L}}\p{{N}}]+")
+#: The same pattern for texts that have no other characters than ASCII, Latin letters, dashes and quotation marks.
+LATIN = r"\xc0-\xd6\xd8-\xf6\xf8-\u024f"
+PLAIN_PIECE = re.compile(rf"'(?:s|t|re|ve|m|ll|d)|[a-z{LATIN}]+|[0-9]|[^\t-\r a-z0-9{LATIN}]+")
+NOT_PLAIN = re.compile(rf"[^\x00-\x7f{LATIN}\u2010-\u2027]")
 
 
 def vocabulary() -> str:
@@ -47,17 +56,29 @@ class Splitter:
         self.special = {str(t): i for i, t in tokenizer.get_added_tokens_decoder().items()}
         self.mark = regex.compile("(" + "|".join(map(regex.escape, self.special)) + ")") if self.special else None
 
-    def __call__(self, text: str) -> list[str]:
+    def __call__(self, text: str) -> Iterable[str]:
         if self.mark and "<|" in text and len(parts := self.mark.split(text)) > 1:
-            return [w for k, part in enumerate(parts) for w in ([part] if k % 2 else self._plain(part))]
-        return self._plain(text)
+            return (w for k, part in enumerate(parts) for w in ([part] if k % 2 else self._words(part)))
+        return self._words(text)
 
     @staticmethod
-    def _plain(text: str) -> list[str]:
+    def _words(text: str) -> Iterable[str]:
+        pattern = PLAIN_PIECE
         if text.isascii():
-            return PIECE.findall(text.lower())
-        # every capital sigma becomes the same letter, wherever it stands
-        return PIECE.findall(unicodedata.normalize("NFC", text).replace("Σ", "σ").lower())
+            text = text.lower()
+        else:
+            # every capital sigma becomes the same letter, wherever it stands
+            text = unicodedata.normalize("NFC", text).replace("Σ", "σ").lower()
+            pattern = PIECE if NOT_PLAIN.search(text) else PLAIN_PIECE
+        return pattern.findall(text) if len(text) < LONG_TEXT else (m[0] for m in pattern.finditer(text))
+
+
+class _Numbers(dict):
+    """Numbers words in the order in which they are first asked for."""
+
+    def __missing__(self, word: str) -> int:
+        self[word] = n = len(self)
+        return n
 
 
 @functools.lru_cache(2)
@@ -70,95 +91,102 @@ def _load(where: str | None):
     return tokenizer
 
 
-def _part(word: str, parts: int) -> int:
-    return int.from_bytes(hashlib.blake2b(word.encode("utf-8", "surrogatepass"), digest_size=4).digest()) % parts
-
-
-def _word_lists(words: set[str], parts: int) -> dict[int, list[str]]:
-    lists: dict[int, list[str]] = {}
-    for w in sorted(words):
-        lists.setdefault(_part(w, parts), []).append(w)
-    return lists
-
-
-def _pack(rows: pa.Table) -> bytes:
-    """Rows as a compressed Arrow stream."""
-    sink = pa.BufferOutputStream()
-    with pa.ipc.new_stream(sink, rows.schema, options=pa.ipc.IpcWriteOptions(compression="zstd")) as out:
-        out.write_table(rows)
-    return sink.getvalue().to_pybytes()
-
+def _pack(x: np.ndarray) -> bytes:
+    """Whole numbers, compressed byte by byte of their places."""
+    return zstandard.compress(x.astype("<u4").view(np.uint8).reshape(-1, 4).T.tobytes(), 1)
 
-def _unpack(column: pa.ChunkedArray) -> pa.Table:
-    return pa.concat_tables([pa.ipc.open_stream(x.as_buffer()).read_all() for x in column])
 
+def _unpack(packed: bytes) -> np.ndarray:
+    return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
-def _pack_words(words: list[str]) -> bytes:
-    """A word holds no white space, so lines keep words apart."""
-    return zstandard.compress("\n".join(words).encode("utf-8", "surrogatepass"))
 
+def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
+    """(chunk, ids, lengths, numbers, words): runs of texts as places in the list of their distinct words."""
+    kind = documents.schema[id_col].dataType.simpleString()
 
-def _unpack_words(packed: bytes) -> list[str]:
-    return zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
-
-
-def _pack_ids(ids: list[list[int]]) -> bytes:
-    flat = np.fromiter((i for x in ids for i in x), np.int32)
-    return zstandard.compress(np.array([len(ids), *map(len, ids)], np.int32).tobytes() + flat.tobytes())
-
-
-def _unpack_ids(packed: bytes) -> list[list[int]]:
-    flat = np.frombuffer(zstandard.decompress(packed), np.int32).tolist()
-    out, at = [], flat[0] + 1
-    for n in flat[1:at]:
-        out.append(flat[at : at + n])
-        at += n
-    return out
-
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        split, task, done = Splitter(_load(where)), TaskContext.get().partitionId(), 0
+        number, ids, numbers, size = _Numbers(), [], [], 0
 
-def encoded(documents: DataFrame, per_document: Callable, schema: str, where: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = (), chunk_chars: int = CHUNK_CHARS) -> DataFrame:
-    """Apply ``per_document(rows, words, ids, tokenizer)`` to each chunk: its rows (doc_id, text, ``keep``), the words of each row, the ids of each word."""
-    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"), *[F.col(c).alias(f"keep_{c}") for c in keep])
-    total = docs.agg(F.sum(F.length("text"))).first()[0] or 0
-    chunks = max(1, -(-total // chunk_chars))
+        def chunk() -> pa.RecordBatch:
+            doc_ids = pa.concat_arrays(ids)
+            columns = [pa.array([task << 32 | done], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)]
+            columns += [pa.array([_pack(np.array([len(x) for x in numbers]))], pa.binary()), pa.array([_pack(np.concatenate(numbers))], pa.binary())]
+            return pa.RecordBatch.from_arrays([*columns, pa.array([list(number)], pa.list_(pa.string()))], names=["chunk", "ids", "lengths", "numbers", "words"])
 
-    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows, chunk = pa.Table.from_batches([batch]).drop_columns(["chunk"]), batch.column("chunk").to_numpy()
-            order = np.argsort(chunk, kind="stable")
-            found, first = np.unique(chunk[order], return_index=True)
-            parts = [_pack(rows.take(pa.array(x))) for x in np.split(order, first[1:])] if len(found) else []
-            yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(parts, pa.binary())], names=["chunk", "rows"])
-
-    def words_of(group: pa.Table) -> pa.Table:
-        split = Splitter(_load(where))
-        seen: set[str] = set()
-        for text in _unpack(group.column("rows")).column("text"):
-            seen.update(split(text.as_py()))
-        lists = _word_lists(seen - split.special.keys(), chunks)
-        return pa.table({"chunk": pa.array([group.column("chunk")[0].as_py()] * len(lists), pa.int32()), "part": pa.array(list(lists), pa.int32()), "words": pa.array([_pack_words(x) for x in lists.values()], pa.binary())})
-
-    def encode(group: pa.Table) -> pa.Table:
-        lists = [_unpack_words(x) for x in group.column("words").to_pylist()]
-        distinct = list({w for words in lists for w in words})
-        ids = dict(zip(distinct, (x.ids for x in _load(where).encode_batch(distinct, add_special_tokens=False)), strict=True))
-        return pa.table({"chunk": group.column("chunk"), "part": group.column("part"), "ids": pa.array([_pack_ids([ids[w] for w in words]) for words in lists], pa.binary())})
-
-    def join_back(group: pa.Table, found: pa.Table) -> pa.Table:
+            first = 0
+            for k, text in enumerate(batch.column("text")):
+                text = text.as_py()
+                numbers.append(np.fromiter(map(number.__getitem__, split(text)), np.uint32))
+                size += len(text) + 1
+                if size >= chunk_chars or k == len(batch) - 1:
+                    ids.append(batch.column("doc_id").slice(first, k + 1 - first))
+                    first = k + 1
+                if size >= chunk_chars:
+                    yield chunk()
+                    done += 1
+                    number, ids, numbers, size = _Numbers(), [], [], 0
+        if ids:
+            yield chunk()
+
+    docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
+    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, lengths binary, numbers binary, words array<string>")
+
+
+def word_table(words: DataFrame, where: str | None = None) -> DataFrame:
+    """(word, ids, text): the ids of each distinct ``word`` and the text that they decode to; words without ids have no row."""
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer = _load(where)
-        split = Splitter(tokenizer)
-        rows = _unpack(group.column("rows"))
-        texts = [split(x.as_py()) for x in rows.column("text")]
-        lists = _word_lists({w for words in texts for w in words} - split.special.keys(), chunks)
-        ids: dict[str, list[int]] = {w: [i] for w, i in split.special.items()}
-        for part, packed in zip(found.column("part").to_pylist(), found.column("ids").to_pylist()):
-            ids.update(zip(lists[part], _unpack_ids(packed), strict=True))
-        return per_document(rows, texts, ids, tokenizer)
-
-    dealt = docs.withColumn("chunk", F.pmod(F.xxhash64("doc_id", F.length("text")), F.lit(chunks)).cast("int")).mapInArrow(pack, "chunk int, rows binary")
-    lists = dealt.groupBy("chunk").applyInArrow(words_of, "chunk int, part int, words binary")
-    found = lists.groupBy("part").applyInArrow(encode, "chunk int, part int, ids binary")
-    return dealt.groupBy("chunk").cogroup(found.groupBy("chunk")).applyInArrow(join_back, schema)
+        special = Splitter(tokenizer).special
+        for batch in batches:
+            ids = [[special[w]] if w in special else tokenizer.encode(w, add_special_tokens=False).ids for w in batch.column("word").to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+
+    encoded = words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
+    encoded = table(encoded.withColumn("number", F.monotonically_increasing_id()), "bpe-words")
+    # a word may be as long as a text, so its pieces are gathered by its number
+    at = encoded.select("number", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(words.sparkSession, where)), "id")
+    found = at.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("x"))
+    return encoded.join(found, "number").select("word", "ids", F.array_join("x.piece", " ").alias("text"))
+
+
+class Chunk:
+    """A chunk's texts with the ids and the decoded text of each of its words."""
+
+    def __init__(self, rows: pa.Table, found: pa.Table) -> None:
+        self.doc_ids = rows.column("ids").combine_chunks().flatten()
+        lengths, numbers = _unpack(rows.column("lengths")[0].as_py()), _unpack(rows.column("numbers")[0].as_py())
+        words = int(numbers.max(initial=-1)) + 1
+        pos = found.column("pos").to_pylist()
+        self.ids: list[list[int]] = [[]] * words
+        self.text = [""] * words
+        for p, ids, text in zip(pos, found.column("ids").to_pylist(), found.column("text").to_pylist()):
+            self.ids[p], self.text[p] = ids, text
+        self.size = np.array([len(x) for x in self.ids], np.int64)
+        full = self.size[numbers] > 0 if words else np.zeros(0, bool)
+        tokens = np.concatenate([[0], np.cumsum(self.size[numbers])]) if words else np.zeros(1, np.int64)
+        before, end = np.concatenate([[0], np.cumsum(full)]), np.cumsum(lengths)
+        self.n_tokens = tokens[end] - tokens[end - lengths]
+        self.numbers, self.bounds = numbers[full], list(zip(before[end - lengths].tolist(), before[end].tolist()))
+
+    def documents(self) -> Iterator[list[int]]:
+        """For each document the numbers of its words, without those that have no ids."""
+        for lo, hi in self.bounds:
+            yield self.numbers[lo:hi].tolist()
+
+
+def encoded(documents: DataFrame, per_chunk: Callable[[Chunk], pa.Table], schema: str, where: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
+    """Apply ``per_chunk`` to the chunks of ``documents``, with the ids and decoded words joined back by position."""
+    chunks = table(chunked(documents, where, id_col, text_col, chunk_chars), "bpe-chunks")
+    known = word_table(chunks.select(F.explode("words").alias("word")), where)
+    back = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("pos", "word")).join(known, "word").select("of_chunk", "pos", "ids", "text")
+
+    def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        return per_chunk(Chunk(rows, found))
+
+    return chunks.select("chunk", "ids", "lengths", "numbers").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(run, schema)
 
 
 def pieces(spark, where: str | None = None) -> DataFrame:
@@ -170,8 +198,8 @@ def pieces(spark, where: str | None = None) -> DataFrame:
 def token_ids(documents: DataFrame, where: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and its ids as an array, a row for each row of ``documents``."""
 
-    def out(rows: pa.Table, texts: list[list[str]], ids: dict[str, list[int]], _) -> pa.Table:
-        return pa.table({"doc_id": rows.column("doc_id"), "ids": pa.array([[i for w in words for i in ids[w]] for words in texts], pa.list_(pa.int32()))})
+    def out(c: Chunk) -> pa.Table:
+        return pa.table({"doc_id": c.doc_ids, "ids": pa.array([[i for w in words for i in c.ids[w]] for words in c.documents()], pa.list_(pa.int32()))})
 
     kind = documents.schema[id_col].dataType.simpleString()
     return encoded(documents, out, f"doc_id {kind}, ids array<int>", where, id_col, text_col)
@@ -180,33 +208,27 @@ def token_ids(documents: DataFrame, where: str | None = None, id_col: str = "doc
 def decode(ids: DataFrame, where: str | None = None) -> DataFrame:
     """``ids`` (doc_id, ids, other columns) with ``decoded``: the pieces of the ids in order, joined as the library joins them when
     the vocabulary names no decoder (by one space). Ids outside the vocabulary give nothing; null ids give an empty text."""
-    table = F.broadcast(pieces(ids.sparkSession, where))
+    known = F.broadcast(pieces(ids.sparkSession, where))
     rows = ids.withColumn("__row", F.monotonically_increasing_id())
-    at = rows.select("__row", F.posexplode("ids").alias("pos", "id")).join(table, "id")
+    at = rows.select("__row", F.posexplode("ids").alias("pos", "id")).join(known, "id")
     text = at.groupBy("__row").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "piece"))), lambda x: x["piece"]), " ").alias("decoded"))
     return rows.join(text, "__row", "left").withColumn("decoded", F.coalesce("decoded", F.lit(""))).drop("__row")
 
 
-def digests(documents: DataFrame, where: str | None = None, id_col: str = "doc_id", text_col: str = "text", keep: tuple[str, ...] = ()) -> DataFrame:
-    """doc_id, n_tokens, ids_sha256, decoded_sha256 and the ``keep`` columns. The ids and the decoded text of a document exist only
-    inside its chunk's task, where each word's ids are joined with the id-to-piece table once."""
+def digests(documents: DataFrame, where: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_tokens, ids_sha256, decoded_sha256. The ids and the decoded text of a document exist only inside its chunk's task."""
 
-    def out(rows: pa.Table, texts: list[list[str]], ids: dict[str, list[int]], tokenizer) -> pa.Table:
-        piece = {i: p for p, i in tokenizer.get_vocab(with_added_tokens=True).items()}
-        size = {w: len(x) for w, x in ids.items()}
-        decimal = {w: " ".join(map(str, x)) for w, x in ids.items() if x}
-        text = {w: " ".join([piece[i] for i in x]) for w, x in ids.items() if x}
+    def out(c: Chunk) -> pa.Table:
+        decimal, text = [" ".join(map(str, x)) for x in c.ids], c.text
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
-        columns = {"doc_id": rows.column("doc_id")} | {c: rows.column(f"keep_{c}") for c in keep}
-        columns["n_tokens"] = pa.array([sum([size[w] for w in words]) for words in texts], pa.int64())
-        columns["ids_sha256"] = pa.array([sha(" ".join([decimal[w] for w in words if w in decimal])) for words in texts], pa.string())
-        columns["decoded_sha256"] = pa.array([sha(" ".join([text[w] for w in words if w in text])) for words in texts], pa.string())
-        return pa.table(columns)
+        ids, decoded = [], []
+        for words in c.documents():
+            ids.append(sha(" ".join([decimal[w] for w in words])))
+            decoded.append(sha(" ".join([text[w] for w in words])))
+        return pa.table({"doc_id": c.doc_ids, "n_tokens": pa.array(c.n_tokens), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
-    kinds = ", ".join(f"`{c}` {documents.schema[c].dataType.simpleString()}" for c in keep)
     kind = documents.schema[id_col].dataType.simpleString()
-    schema = f"doc_id {kind}, " + (kinds + ", " if kinds else "") + "n_tokens long, ids_sha256 string, decoded_sha256 string"
-    return encoded(documents, out, schema, where, id_col, text_col, keep)
+    return encoded(documents, out, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", where, id_col, text_col)
 
 
 def op5_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:
