@@ -1,94 +1,113 @@
 """Exact top-k inner products over an impact-ordered index, score at a time.
 
-Vectors are quantised to integers. A block of vectors is indexed as posting segments: for each impact level (the quantised size
-of a component) and dimension the vectors that hold it. Segments are processed by descending impact for a block of queries at a
-time, adding to accumulators. What a vector's postings of lower impact can still add is at most the length of that rest of the
-vector times the length of the query. A query stops only when this bound proves that few vectors can still be among the best;
-those are rescored exactly from their whole vectors.
+Vectors are quantised to integers. A block of vectors is indexed once, as posting segments: for each impact level (the size of a
+component in half octaves) and dimension the vectors that hold it and their components. The index is a written table, a row for
+each level of a block. Queries walk its segments by descending impact, adding to accumulators of the vectors that a segment
+lists. What a vector's postings of lower impact can still add is at most the length of that rest of the vector times the length
+of the query. A query stops only when this bound proves that few vectors can still be among the best; those are rescored exactly
+from their whole vectors, in integers.
 
-Queries and vectors meet block by block: every block of queries is dealt to every block of vectors.
+Queries and vectors meet block by block: every block of queries is dealt to every block of vectors, a pair of packed rows, so
+that what is shipped is small beside the comparisons it stands for.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part, nor do rows without an id; of
 rows that repeat an id the smallest vector counts; shorter vectors count as padded with zeros; ties go to the smaller id; fewer
-candidates than k give them all; an empty table gives no rows; other columns are not read.
+candidates than k give them all; scores are exact whatever the components' sizes, those beyond 64 bits are an error; an empty
+table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import read, table
 
-VECTORS, QUERIES = 16_384, 512
-#: Width of an impact level, in units of the quantised component.
-LEVEL = 8
+#: Vectors of a block and queries of a block.
+VECTORS, QUERIES = 8192, 2048
+#: Impact levels in an octave.
+LEVELS = 2
 #: Rescoring starts when at most this share of a block can still be among the best.
 POSSIBLE = 0.1
 #: Queries that hold accumulators for a whole block at a time.
-BATCH = 64
+BATCH = 256
+
+Segments = list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]
+
+
+def segments_of(vectors: np.ndarray) -> Segments:
+    """For each level that occurs, the largest first: dimensions, bounds of their segments, vectors and components in them."""
+    vector, dimension = np.nonzero(vectors)
+    value = vectors[vector, dimension]
+    level = np.floor(LEVELS * np.log2(np.abs(value.astype(np.float64)))).astype(np.int64)
+    order = np.lexsort((vector, dimension, -level))
+    vector, dimension, value, level = vector[order], dimension[order], value[order], level[order]
+    cuts = np.flatnonzero(np.diff(level)) + 1
+    out = []
+    for v, d, x in zip(*(np.split(a, cuts) for a in (vector, dimension, value))):
+        first = np.flatnonzero(np.diff(d, prepend=-1))
+        out.append((d[first], np.append(first, len(d)), v, x))
+    return out if len(value) else []
 
 
 class Index:
-    """The posting segments of one block, by descending impact and then by dimension."""
-
-    def __init__(self, ids: np.ndarray, vectors: np.ndarray) -> None:
-        self.ids = ids
-        exact = np.abs(vectors).max(initial=0) ** 2 * vectors.shape[1] < 1 << 24
-        self.vectors = vectors.astype(np.float32 if exact else np.float64)  # either holds every partial sum exactly
-        level = np.abs(vectors) // LEVEL
-        vector, dimension = np.nonzero(vectors)
-        order = np.lexsort((vector, dimension, -level[vector, dimension]))
-        vector, dimension = vector[order], dimension[order]
-        of = level[vector, dimension]
-        starts = np.flatnonzero(np.diff(of, prepend=-1))
-        self.levels = [(vector[lo:hi], dimension[lo:hi]) for lo, hi in zip(starts, np.append(starts[1:], len(of)))]
-        rest = (self.vectors.astype(np.float64) ** 2).sum(axis=1)
-        self.rests = []
-        for v, d in self.levels:
-            rest = rest - np.bincount(v, self.vectors[v, d].astype(np.float64) ** 2, len(ids))
-            self.rests.append(np.sqrt(np.maximum(rest, 0)))
+    """The posting segments of one block and its whole vectors."""
+
+    def __init__(self, ids: np.ndarray, vectors: np.ndarray, segments: Segments | None = None) -> None:
+        self.ids, self.vectors = ids, vectors
+        self.segments = segments_of(vectors) if segments is None else segments
+        self.largest = float(np.abs(vectors.astype(np.float64)).max(initial=0))
+        total = (vectors.astype(np.float64) ** 2).sum(axis=1)
+        self.whole, self.rests, left = float(np.median(np.sqrt(total))) if len(total) else 0.0, [], total
+        for _, _, v, x in self.segments:
+            left = left - np.bincount(v, x.astype(np.float64) ** 2, len(ids))
+            self.rests.append(np.sqrt(np.maximum(left, 0) + 1e-12 * total))  # rounding must not lower the bound
 
     def best(self, queries: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
         """For each query the k best vectors other than its own, and their scores."""
-        possible = self._possible(queries, k + 1)  # the query's own row may be among the best
+        bound = float(np.abs(queries.astype(np.float64)).max(initial=0)) * self.largest * max(1, self.vectors.shape[1])
+        whole = (lambda x: x) if bound < 1 << 62 else (lambda x: x.astype(object))
         out = []
-        for q, mine, p in zip(queries.astype(np.float64), own, possible):
+        for q, mine, p in zip(queries, own, self._possible(queries, k + 1, bound)):  # the query's own row may be among the best
             p = p[self.ids[p] != mine]
-            score = self.vectors[p].astype(np.float64) @ q
-            keep = np.lexsort((self.ids[p], -score))[:k]
-            out.append((self.ids[p[keep]], score[keep].astype(np.int64)))
+            score = whole(self.vectors[p]) @ whole(q)
+            keep = sorted(range(len(p)), key=lambda i: (-score[i], self.ids[p[i]]))[:k] if score.dtype == object else np.lexsort((self.ids[p], -score))[:k]
+            out.append((self.ids[p[keep]], score[keep]))
         return out
 
-    def _possible(self, queries: np.ndarray, k: int) -> list[np.ndarray]:
-        """For each query all vectors that may be among the k best."""
+    def _possible(self, queries: np.ndarray, k: int, bound: float) -> list[np.ndarray]:
+        """For each query all vectors that may be among the k best. ``bound``: no partial sum of a query and a vector exceeds it."""
         n = len(self.ids)
         out = [np.arange(n)] * len(queries)
         if n <= 4 * k:
             return out
-        open_ = np.arange(len(queries))
-        q = queries.astype(self.vectors.dtype)
-        length = np.sqrt((q.astype(np.float64) ** 2).sum(axis=1))
-        gain = np.zeros((len(q), n), self.vectors.dtype)
-        for (v, d), rest in zip(self.levels, self.rests):
-            plane = np.zeros_like(self.vectors)
-            plane[v, d] = self.vectors[v, d]
-            gain += q[open_] @ plane.T
-            slack = length[open_, None] * rest * (1 + 1e-6)
-            bar = np.partition(gain - slack, n - k, axis=1)[:, n - k]
-            may = gain + slack >= bar[:, None]
-            done = may.sum(axis=1) <= max(4 * k, POSSIBLE * n)
+        kind = np.float32 if bound < 1 << 24 else np.float64  # every partial sum is exact below these bounds
+        error = 0.0 if bound < 1 << 53 else bound * self.vectors.shape[1] * 2.0**-50
+        open_, q = np.arange(len(queries)), np.ascontiguousarray(queries.T.astype(kind))
+        length = np.sqrt((queries.astype(np.float64) ** 2).sum(axis=1))
+        gain, look = np.zeros((n, len(queries)), kind), 0.6
+        for (dimensions, at, v, x), rest in zip(self.segments, self.rests):
+            x = x.astype(kind)[:, None]
+            for d, lo, hi in zip(dimensions.tolist(), at[:-1].tolist(), at[1:].tolist()):
+                gain[v[lo:hi]] += x[lo:hi] * q[d]
+            share = float(np.median(rest)) / self.whole if self.whole else 0.0
+            if share > look:
+                continue
+            look = 0.75 * share
+            slack = (np.outer(rest, length[open_]) * (1 + 1e-5) + error).astype(np.float64)
+            bar = np.partition(gain - slack, n - k, axis=0)[n - k]
+            may = gain + slack >= bar
+            done = may.sum(axis=0) <= max(4 * k, POSSIBLE * n)
             for i in np.flatnonzero(done):
-                out[open_[i]] = np.flatnonzero(may[i])
-            open_, gain = open_[~done], gain[~done]
+                out[open_[i]] = np.flatnonzero(may[:, i])
+            if done.any():
+                open_, gain, q = open_[~done], np.ascontiguousarray(gain[:, ~done]), np.ascontiguousarray(q[:, ~done])
             if not len(open_):
                 break
-        for i, row in zip(open_, gain):  # every posting is processed: the sums are exact
-            out[i] = np.flatnonzero(row >= np.partition(row, n - k)[n - k])
+        for i, column in zip(open_, gain.T):  # every posting is processed
+            out[i] = np.flatnonzero(column >= np.partition(column, n - k)[n - k] - 2 * error)
         return out
 
 
@@ -97,40 +116,73 @@ def _usable(v: Column, scale: float) -> Column:
     return F.when(fine, F.transform(v, lambda x: F.floor(x.cast("double") * F.lit(float(scale)))))
 
 
-def _matrix(rows: pd.Series, width: int) -> np.ndarray:
+def _matrix(rows: pa.ChunkedArray, width: int) -> np.ndarray:
+    rows = rows.combine_chunks()
     out = np.zeros((len(rows), width), np.int64)
-    for i, v in enumerate(rows):
-        out[i, : len(v)] = v
+    size = rows.value_lengths().to_numpy(zero_copy_only=False)
+    flat = rows.flatten().to_numpy(zero_copy_only=False)
+    out[np.repeat(np.arange(len(rows)), size), np.arange(len(flat)) - np.repeat(np.cumsum(size) - size, size)] = flat
     return out
 
 
-def _meet(k: int):
-    def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        width = int(pdf["v"].map(len).max())
-        asks, docs = pdf[pdf["is_query"]], pdf[~pdf["is_query"]]
-        found: list[pd.DataFrame] = []
-        if len(asks) and len(docs):
-            index = Index(docs["vec_id"].to_numpy(np.int64), _matrix(docs["v"], width))
-            own, queries = asks["vec_id"].to_numpy(np.int64), _matrix(asks["v"], width)
-            for lo in range(0, len(own), BATCH):
-                for q, (ids, score) in zip(own[lo:], index.best(queries[lo : lo + BATCH], own[lo : lo + BATCH], k)):
-                    found.append(pd.DataFrame({"query_id": q, "vec_id": ids, "score": score}))
-        return pd.concat(found) if found else pd.DataFrame({"query_id": pd.Series(dtype="int64"), "vec_id": pd.Series(dtype="int64"), "score": pd.Series(dtype="int64")})
+_BYTES = pa.binary()
+INDEX = "block int, level int, dimensions binary, bounds binary, members binary, components binary"
+
 
-    return run
+def build_index(vectors: DataFrame, blocks: int, width: int) -> DataFrame:
+    """The index of ``vectors`` (vec_id, v) as a written table: a row for each level of a block, and the block's ids (in members) and
+    whole vectors (in components) as level -1."""
 
+    def run(rows: pa.Table) -> pa.Table:
+        v = _matrix(rows.column("v"), width)
+        out = [(-1, b"", b"", rows.column("vec_id").to_numpy().astype(np.int64).tobytes(), v.tobytes())]
+        out += [(k, *(x.astype(np.int64).tobytes() for x in s)) for k, s in enumerate(segments_of(v))]
+        columns = list(zip(*out))
+        block = pa.array([rows.column("block")[0].as_py()] * len(out), pa.int32())
+        return pa.table([block, pa.array(columns[0], pa.int32()), *(pa.array(c, _BYTES) for c in columns[1:])], names=["block", "level", "dimensions", "bounds", "members", "components"])
 
-def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, id_col: str = "vec_id", vector_col: str = "embedding") -> DataFrame:
+    dealt = vectors.withColumn("block", F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"))
+    return table(dealt.groupBy("block").applyInArrow(run, INDEX), "topk-index")
+
+
+def _stored(rows: pa.Table, width: int) -> Index:
+    segments, ids, vectors = [], np.zeros(0, np.int64), np.zeros((0, width), np.int64)
+    for r in sorted(rows.to_pylist(), key=lambda r: r["level"]):
+        numbers = [np.frombuffer(r[c], np.int64) for c in ("dimensions", "bounds", "members", "components")]
+        if r["level"] < 0:
+            ids, vectors = numbers[2], numbers[3].reshape(-1, width)
+        else:
+            segments.append(tuple(numbers))
+    return Index(ids, vectors, segments)
+
+
+def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, id_col: str = "vec_id", vector_col: str = "embedding", block_size: int = VECTORS, ask_size: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other vectors."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), _usable(F.col(vector_col), scale).alias("v")).where("vec_id is not null and v is not null")
     v = table(v.groupBy("vec_id").agg(F.min("v").alias("v")), "vectors")
-    blocks = max(1, -(-v.count() // VECTORS))
     asks = v.withColumnRenamed("vec_id", id_col).where(is_query).withColumnRenamed(id_col, "vec_id")
-    asked = max(1, -(-asks.count() // QUERIES))
-    block, ask = F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).cast("int"), F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int")
-    lhs = v.select(F.lit(False).alias("is_query"), "vec_id", "v", block.alias("block"), F.explode(F.sequence(F.lit(0), F.lit(asked - 1))).alias("ask"))
-    rhs = asks.select(F.lit(True).alias("is_query"), "vec_id", "v", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), ask.alias("ask"))
-    met = lhs.unionByName(rhs).groupBy("block", "ask").applyInPandas(_meet(k), "query_id long, vec_id long, score long")
+    n, width = v.agg(F.count("*"), F.coalesce(F.max(F.size("v")), F.lit(0))).first()
+    blocks, asked, width = max(1, -(-n // block_size)), max(1, -(-asks.count() // ask_size)), max(1, width)
+
+    def pack(rows: pa.Table) -> pa.Table:
+        ids, m = rows.column("vec_id").to_numpy().astype(np.int64), _matrix(rows.column("v"), width)
+        return pa.table([pa.array([rows.column("ask")[0].as_py()], pa.int32()), pa.array([ids.tobytes()], _BYTES), pa.array([m.tobytes()], _BYTES)], names=["ask", "ids", "asked"])
+
+    def meet(index: pa.Table, asks: pa.Table) -> pa.Table:
+        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
+        if len(index) and len(asks):
+            own, queries = np.frombuffer(asks.column("ids")[0].as_py(), np.int64), np.frombuffer(asks.column("asked")[0].as_py(), np.int64).reshape(-1, width)
+            block = _stored(index, width)
+            for lo in range(0, len(own), BATCH):
+                for q, (ids, score) in zip(own[lo : lo + BATCH], block.best(queries[lo : lo + BATCH], own[lo : lo + BATCH], k)):
+                    found.append((np.full(len(ids), q), ids, score))
+        columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 3
+        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+
+    packed = asks.withColumn("ask", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int")).groupBy("ask").applyInArrow(pack, "ask int, ids binary, asked binary")
+    lhs = build_index(v, blocks, width).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
+    rhs = table(packed, "topk-asks").withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
+    met = lhs.groupBy("block", "ask").cogroup(rhs.groupBy("of", "ask")).applyInArrow(meet, "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
     return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

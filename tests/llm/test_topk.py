@@ -54,3 +54,24 @@ def test_stops_on_proof_only():
         s = v @ v[q]
         order = np.lexsort((np.arange(3000), -s))
         assert list(ids) == list(order[order != q][:20]) and list(score) == list(s[ids])
+
+
+def test_bounds_follow_queries_and_vectors():
+    """A block of small vectors asked by far larger queries, and components whose products pass 2^53."""
+    rng = np.random.default_rng(2)
+    for size, factor in ((60, 1), (60, 117_000), (9, 10**9), (2 * 10**9, 1)):
+        v = rng.integers(-size, size + 1, (1000, 64))
+        queries = rng.integers(-60, 61, (20, 64)) * factor
+        index = Index(np.arange(1000), v)
+        for q, (ids, score) in zip(queries, index.best(queries, np.full(20, -1), 20)):
+            s = [int(x) for x in v.astype(object) @ q.astype(object)]
+            want = sorted(range(1000), key=lambda i: (-s[i], i))[:20]
+            assert list(ids) == want and [int(x) for x in score] == [s[i] for i in want]
+
+
+def test_more_blocks_and_an_outlier(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, (rng.normal(size=16) * (10**5 if i in (40, 41) else 1)).tolist()) for i in range(900)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    found = {tuple(r) for r in top_k(df, F.col("vec_id") % 20 == 0, block_size=150, ask_size=10).collect()}
+    assert found == brute(rows) == run(df)
