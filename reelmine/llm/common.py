@@ -83,16 +83,22 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
-def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
-    """(first row, end row, bytes, offsets) of runs of rows of about ``size`` bytes; every row lies whole in one run."""
-    data, offsets = texts(column)
+def row_runs(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
+    """(first row, end row) of runs of rows of about ``size`` bytes; every row lies whole in one run."""
     row, n = 0, len(offsets) - 1
     while row < n:
         end = max(row + 1, int(np.searchsorted(offsets, offsets[row] + size, "right")) - 1)
-        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+        yield row, end
         row = end
 
 
+def blocks(column: pa.Array, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int, np.ndarray, np.ndarray]]:
+    """(first row, end row, bytes, offsets) of such runs of a string column."""
+    data, offsets = texts(column)
+    for row, end in row_runs(offsets, size):
+        yield row, end, data[offsets[row] : offsets[end]], offsets[row : end + 1] - offsets[row]
+
+
 def lists(flat: np.ndarray, counts: np.ndarray, kind: pa.DataType) -> pa.Array:
     """An Arrow list column from concatenated values and the length of each list."""
     at = np.concatenate([[0], np.cumsum(counts)]).astype(np.int32)

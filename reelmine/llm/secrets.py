@@ -1,12 +1,16 @@
-"""Secret scans: fixed patterns, and character Markov models of random strings and of ordinary text compared by log-likelihood.
+"""Secret scans: fixed patterns, and character Markov models of random strings and of ordinary identifiers compared by
+log-likelihood.
 
 Both models are first-order chains over the characters of identifiers. Labelled samples train them: what the fixed patterns
-match and some strings drawn at random from common alphabets are random, everything else in the corpus is ordinary; counts cover
-all whole texts and come to the driver as two squares of a fixed size. A run of identifier characters is reported if its log-likelihood ratio exceeds the log odds that a run is
-ordinary to begin with, and if no fixed pattern overlaps it.
-
-Defined results: null text counts as empty and has no spans; repeated rows and null ids are returned like others; without any
-matched sample the random model is uniform; an empty table gives no rows; other columns are not read.
+match and some strings drawn at random from common alphabets are random; all other identifiers of the corpus, runs of at least
+``IDENTIFIER`` such characters outside of matched spans, are ordinary. Counts cover all whole texts, never two texts at a time,
+and come to the driver as two squares of a fixed size. A run of identifier characters is reported if its log-likelihood ratio
+exceeds the log odds that a run is ordinary to begin with, and if no fixed pattern overlaps it.
+
+Defined results: null text counts as empty and has no spans; repeated rows and null ids are returned like others and count as
+samples each; very long texts are taken whole, in time and memory in proportion to their length; spans that begin at one place
+go by kind, so there are no ties; without any matched sample the random model knows the drawn strings only; without any
+identifier nothing but fixed patterns is reported; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -20,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, texts
+from .common import read, row_runs, texts
 
 #: The patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -30,6 +34,8 @@ KINDS = ("assign", "access", "hex", "random")
 NAMES = ("password", "passwd", "secret", "token", "apikey", "api_key")
 #: Runs that the models judge, and the log odds (natural) that such a run is ordinary.
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+#: Characters of an identifier from which the ordinary chain learns, at least.
+IDENTIFIER = 8
 ORDINARY_ODDS = float(np.log(1e6))
 ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789+/_-"
 SIZE = len(ALPHABET) + 1
@@ -49,6 +55,17 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
+def _merged(spans: list[tuple[int, int, int]]) -> list[tuple[int, int, int]]:
+    """Overlapping spans as one; by start."""
+    out: list[tuple[int, int, int]] = []
+    for s, k, e in spans:
+        if out and s < out[-1][2]:
+            out[-1] = (out[-1][0], out[-1][1], max(e, out[-1][2]))
+        else:
+            out.append((s, k, e))
+    return out
+
+
 def _samples(text: str, spans: list[tuple[int, int, int]]) -> list[str]:
     """The random parts of matched spans: an assignment's value, an access key after its mark, a hex string."""
     out = []
@@ -63,20 +80,44 @@ def _pairs(raw: np.ndarray) -> np.ndarray:
     return code[:-1] * SIZE + code[1:]
 
 
+def _identifier_pairs(raw: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+    """Counts of neighbouring characters inside identifiers of each text."""
+    code = CODE[raw]
+    inside = np.append(code < SIZE - 1, False)
+    first, last = inside.copy(), inside.copy()
+    cut = np.zeros(len(inside), bool)
+    cut[offsets] = True
+    first[1:] &= ~inside[:-1] | cut[1:]
+    last[:-1] &= ~inside[1:] | cut[1:]
+    start, end = np.flatnonzero(first), np.flatnonzero(last) + 1
+    start, end = start[long := end - start >= IDENTIFIER], end[long]
+    edge = np.zeros(len(inside) + 1, np.int32)
+    edge[start] += 1
+    edge[end - 1] -= 1  # the last character begins no pair
+    at = np.flatnonzero(np.cumsum(edge))
+    return np.bincount(code[at] * SIZE + code[at + 1], minlength=SIZE * SIZE)
+
+
 def pair_counts(documents: DataFrame, text_col: str = "text") -> np.ndarray:
     """Counts of neighbouring characters, [random, ordinary], over all whole texts."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros((2, SIZE * SIZE), np.int64)
         for batch in batches:
-            raw, _ = texts(batch.column(0))
-            for lo in range(0, len(raw), 1 << 20):
-                total[1] += np.bincount(_pairs(raw[lo : lo + (1 << 20) + 1]), minlength=SIZE * SIZE)
-            for t in batch.column(0).to_pylist():
+            raw, offsets = texts(batch.column(0))
+            raw = raw.copy()
+            for k, t in enumerate(batch.column(0)):
+                t = t.as_py()
                 if t and (spans := base_spans(t)):
                     for s in _samples(t, spans):
                         total[0] += np.bincount(_pairs(np.frombuffer(s.encode(), np.uint8)), minlength=SIZE * SIZE)
-        total[1] = np.maximum(total[1] - total[0], 0)
+                    at, byte = 0, offsets[k]
+                    for s, _, e in _merged(spans):
+                        lo = byte + len(t[at:s].encode())
+                        at, byte = e, lo + len(t[s:e].encode())
+                        raw[lo:byte] = 0x20
+            for lo, hi in row_runs(offsets):
+                total[1] += _identifier_pairs(raw[offsets[lo] : offsets[hi]], offsets[lo : hi + 1] - offsets[lo])
         kind, pair = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(total[kind, pair])], names=["kind", "pair", "n"])
 
@@ -97,18 +138,23 @@ def drawn_counts(strings: int = 2000, length: int = 40) -> np.ndarray:
 
 
 def ratio_table(counts: np.ndarray) -> np.ndarray:
-    """log p(next | character) under the random model minus that under the ordinary one, add-one smoothed."""
-    p = counts[:, :-1, :-1] + 1.0
-    p = np.log(p / p.sum(axis=2, keepdims=True))
+    """log p(next | character) under the random model minus that under the ordinary one. Pairs seldom seen fall back on how often
+    the next character is any character's next, with the weight of one alphabet."""
+    n = counts[:, :-1, :-1]
+    p = (n.sum(axis=1, keepdims=True) + 1.0) / (n.sum(axis=(1, 2), keepdims=True) + SIZE - 1)
+    p = np.log((n + (SIZE - 1) * p) / (n.sum(axis=2, keepdims=True) + SIZE - 1))
     return p[0] - p[1]
 
 
 def all_spans(text: str, ratio: np.ndarray) -> tuple[list[tuple[int, int, int]], list[tuple[int, int, int]]]:
     """(base spans, base and model spans), each by start and kind."""
     base = base_spans(text)
-    more = []
+    taken, more = iter([*_merged(base), (len(text), 0, len(text))]), []
+    s, _, e = next(taken)
     for m in RUN.finditer(text):
-        if any(s < m.end() and m.start() < e for s, _, e in base):
+        while e <= m.start() < len(text) and s < len(text):
+            s, _, e = next(taken)
+        if s < m.end() and m.start() < e:
             continue
         code = CODE[np.frombuffer(m[0].encode(), np.uint8)]
         if ratio[code[:-1], code[1:]].sum() > ORDINARY_ODDS:

@@ -116,6 +116,53 @@ def test_secret_spans(spark):
     assert found == want
 
 
+def brute_counts(rows):
+    """[random, ordinary] pairs of characters, text by text."""
+    letters, random, ordinary = secrets.ALPHABET, Counter(), Counter()
+    for t in rows:
+        covered = set()
+        for kind, p in BASE:
+            for m in p.finditer(t or ""):
+                if kind == "assign" and len(m[2]) >= 8 or kind != "assign" and len(m[0]) >= {"access": 16, "hex": 32}[kind]:
+                    covered |= set(range(m.start(), m.end()))
+                    sample = m[2] if kind == "assign" else m[0][4:] if kind == "access" else m[0]
+                    random.update(zip(sample, sample[1:]))
+        for word in re.split("[^A-Za-z0-9+/_-]+", "".join(" " if i in covered else c for i, c in enumerate(t or ""))):
+            if len(word) >= 8:
+                ordinary.update(zip(word, word[1:]))
+    size, out = secrets.SIZE, np.zeros((2, secrets.SIZE, secrets.SIZE))
+    out[0] += secrets.drawn_counts().reshape(size, size)
+    for k, counts in enumerate((random, ordinary)):
+        for (a, b), n in counts.items():
+            out[k, letters.find(a), letters.find(b)] += n
+    return out
+
+
+def test_markov_counts_and_spans_against_brute_force(spark):
+    odd = ["identifier", "_of_two_texts", "é" * 9 + "long_identifier token = abcdefgh1234" + "x" * 30, None, "", "f" * 40 + "g" * 40, "Q7zR" * 9 + " password=abcdefghij" + "K" * 25, "AKIA" + "Z9" * 10 + "a" * 30 + " qX9z" * 3, "token=" + "ab1" * 9 + " " + "q8Zx" * 8, "w" * 50_000 + " 9fK2xQ7bTz4LmN8vRc1DpW5sHj3XgYqE6uA", "é Zx8Qm2Lk9Vb7Tr4Wn6Yp3Hs1Jd5Gf"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(spark.createDataFrame(list(enumerate(odd)), "doc_id long, text string"))
+    rows = [(r.doc_id, r.text) for r in docs.collect()]
+    want = brute_counts(t for _, t in rows)
+    same = lambda got: (np.delete(np.delete(got - want, secrets.SIZE - 1, 1), secrets.SIZE - 1, 2) == 0).all()
+    assert same(secrets.pair_counts(docs.coalesce(1))) and same(secrets.pair_counts(docs.repartition(13)))
+    n = want[:, :-1, :-1]
+    p = np.zeros_like(n)
+    for k, a, b in np.ndindex(n.shape):
+        p[k, a, b] = math.log((n[k, a, b] + 66 * (n[k, :, b].sum() + 1) / (n[k].sum() + 66)) / (n[k, a].sum() + 66))
+    spans = []
+    for i, t in rows:
+        of = base(t)
+        taken = {k for x in of for k in range(*map(int, x.split(":")[1:]))}
+        for m in re.finditer("[A-Za-z0-9+/_-]{20,}", t or ""):
+            at = [secrets.ALPHABET.find(c) for c in m[0]]
+            if not taken & set(range(m.start(), m.end())) and sum(p[0, a, b] - p[1, a, b] for a, b in zip(at, at[1:])) > math.log(1e6):
+                of.append(f"random:{m.start()}:{m.end()}")
+        spans.append((i, ",".join(sorted(of, key=lambda x: (int(x.split(":")[1]), ["assign", "access", "hex", "random"].index(x.split(":")[0]))))))
+    found = secrets.scan(docs, secrets.ratio_table(secrets.pair_counts(docs)))
+    assert sorted((r.doc_id, r.spans) for r in found.collect()) == sorted(spans)
+    assert any("random" in x for _, x in spans)
+
+
 def test_markov_models_tell_random_strings(spark):
     ratio = secrets.ratio_table(secrets.pair_counts(spark.read.parquet(f"{TABLE}/documents.parquet")))
     spans = lambda t: [t[s:e] for s, k, e in secrets.all_spans(t, ratio)[1] if k == 3]
