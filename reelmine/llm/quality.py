@@ -3,11 +3,13 @@
 Overlapping heuristic labellers vote good, bad or nothing on every document. Expectation-maximisation estimates each
 labeller's accuracy from the counts of vote patterns over all documents (3 to the power of the labellers at most, so a bounded
 table). The posterior probability of a pattern then labels documents, and a hashed linear scorer is trained on a sample of them
-bounded by ``SAMPLE`` (a parameter). Its features are hashed shapes of words and of neighbouring words and a few hashed figures
-of the whole text, so it also judges documents on which no labeller votes.
+bounded by ``SAMPLE`` rows and ``CELLS`` features (parameters). Its features are hashed shapes of words and of neighbouring words
+and a few hashed figures of the whole text, so it also judges documents on which no labeller votes.
 
-Defined results: null or blank text gets no votes, score 0 and is rejected; repeated rows and null ids are scored like others;
-an empty table gives no rows; other columns are not read.
+Defined results: null or blank text gets no votes, score 0 and is rejected; repeated rows and null ids are scored like others,
+count in the vote patterns each, and enter the sample once by id and text; the sample goes by a hash of id and text, ties of
+which are the same row for all but a chance of 2**-64; very long texts are scored whole, and one with more features than
+``CELLS`` is no sample; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -16,12 +18,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, read
+from .common import Words, blocks, lists, read, table
 
 SAMPLE, BUCKETS, ROUNDS = 8000, 1 << 14, 300
+#: Features that the whole sample may have; rows beyond are left out of it.
+CELLS = 1 << 23
 ACCEPT = 0.5
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Frequent short words of four languages.
@@ -150,17 +154,16 @@ def accuracies(pattern: np.ndarray, count: np.ndarray) -> tuple[float, np.ndarra
     return rate, p, q
 
 
-def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[np.ndarray, float]:
-    """Logistic regression on (buckets, values) rows with soft labels, by Adagrad on the whole sample."""
-    w, b = np.zeros(BUCKETS), 0.0
-    if not rows:
+def fit(bucket: np.ndarray, value: np.ndarray, size: np.ndarray, target: np.ndarray) -> tuple[np.ndarray, float]:
+    """Logistic regression with soft labels, by Adagrad on the whole sample; row i has the next ``size[i]`` buckets and values."""
+    w, b, n = np.zeros(BUCKETS), 0.0, len(size)
+    if not n:
         return w, b
-    at = np.repeat(np.arange(len(rows)), [len(x[0]) for x in rows])
-    bucket, value = np.concatenate([x[0] for x in rows]), np.concatenate([x[1] for x in rows])
+    at = np.repeat(np.arange(n), size)
     g2, b2 = np.full(BUCKETS, 1e-8), 1e-8
     for _ in range(ROUNDS):
-        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, value * w[bucket], len(rows)) + b, -30, 30)))
-        d = (p - target) / len(rows)
+        p = 1 / (1 + np.exp(-np.clip(np.bincount(at, value * w[bucket], n) + b, -30, 30)))
+        d = (p - target) / n
         g = np.bincount(bucket, value * d[at], BUCKETS) + 1e-6 * w
         g2 += g * g
         b2 += d.sum() ** 2
@@ -169,30 +172,40 @@ def fit(rows: list[tuple[np.ndarray, np.ndarray]], target: np.ndarray) -> tuple[
     return w, b
 
 
-def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> tuple[np.ndarray, float, dict[str, np.ndarray]]:
-    """(weights, offset, what EM found): labellers are weighed on all documents, the scorer on at most ``sample`` of them."""
+def sampled(documents: DataFrame, id_col: str, text_col: str, sample: int, cells: int) -> DataFrame:
+    """(key, pattern, bucket, value): the features of at most ``sample`` documents and ``cells`` cells, one row for all copies of a
+    document, in the order of the key."""
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    patterns = votes(docs).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toArrow()
-    pattern, count = patterns.column("pattern").to_numpy().astype(np.int64), patterns.column("n").to_numpy().astype(float)
-    rate, p, q = accuracies(pattern, count)
-    keyed = docs.where(F.length(F.trim("text")) > 0).withColumn("key", F.xxhash64("doc_id", "text"))
+    keyed = docs.where(F.length(F.trim("text")) > 0).select("text", F.xxhash64("doc_id", "text").alias("key"))
     keys = keyed.select("key").distinct().orderBy("key").limit(sample)  # the sample's keys meet in one task, its texts do not
-    chosen = keyed.join(F.broadcast(keys), "key", "left_semi").drop("key")
+    chosen = keyed.join(F.broadcast(keys), "key", "left_semi").groupBy("key").agg(F.min("text").alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader, power = Reader(), 3 ** np.arange(len(LABELLERS))
         for batch in batches:
-            for _, _, data, at in blocks(batch.column("text")):
+            for lo, hi, data, at in blocks(batch.column("text")):
                 n, v, row, bucket, value = reader(data, at)
-                order = np.argsort(row, kind="stable")
-                cuts = np.cumsum(np.bincount(row, minlength=len(n)))[:-1]
-                split = lambda x: pa.array([y.tolist() for y in np.split(x[order], cuts)])  # noqa: E731,B023
-                yield pa.RecordBatch.from_arrays([pa.array(power @ v, pa.int32()), split(bucket).cast(pa.list_(pa.int32())), split(value).cast(pa.list_(pa.float64()))], names=["pattern", "bucket", "value"])
+                order, size = np.argsort(row, kind="stable"), np.bincount(row, minlength=len(n))
+                columns = [batch.column("key").slice(lo, hi - lo), pa.array(power @ v, pa.int32()), lists(bucket[order].astype(np.int32), size, pa.int32()), lists(value[order].astype(np.float32), size, pa.float32())]
+                yield pa.RecordBatch.from_arrays(columns, names=["key", "pattern", "bucket", "value"])
+
+    found = table(chosen.mapInArrow(run, "key long, pattern int, bucket array<int>, value array<float>"), "quality-sample")
+    before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's keys only
+    kept = found.select("key", F.sum(F.size("bucket")).over(before).alias("cells")).where(F.col("cells") <= cells).select("key")
+    return found.join(F.broadcast(kept), "key", "left_semi").orderBy("key")
 
-    got = chosen.mapInArrow(run, "pattern int, bucket array<int>, value array<double>").toArrow()
+
+def train(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE, cells: int = CELLS) -> tuple[np.ndarray, float, dict[str, np.ndarray]]:
+    """(weights, offset, what EM found): labellers are weighed on all documents, the scorer on a sample of them (see ``sampled``)."""
+    patterns = votes(documents, id_col, text_col).groupBy("pattern").agg(F.count("*").alias("n")).orderBy("pattern").toArrow()
+    pattern, count = patterns.column("pattern").to_numpy().astype(np.int64), patterns.column("n").to_numpy().astype(float)
+    rate, p, q = accuracies(pattern, count)
+    got = sampled(documents, id_col, text_col, sample, cells).toArrow().combine_chunks()
     known = dict(zip(pattern.tolist(), q.tolist()))
     target = np.array([known[x] for x in got.column("pattern").to_pylist()])
-    w, b = fit([(np.array(x, np.int64), np.array(y)) for x, y in zip(got.column("bucket").to_pylist(), got.column("value").to_pylist())], target)
+    size = got.column("bucket").combine_chunks().value_lengths().to_numpy(zero_copy_only=False) if len(got) else np.zeros(0, np.int64)
+    flat = [got.column(c).combine_chunks().flatten().to_numpy() if len(got) else np.zeros(0) for c in ("bucket", "value")]
+    w, b = fit(flat[0].astype(np.int64), flat[1].astype(float), size, target)
     return w, b, {"rate": np.array(rate), "votes": p, "pattern": pattern, "posterior": q}
 
 

@@ -243,3 +243,85 @@ def test_toxicity_edges(spark):
         assert len(out) == docs.count() and all(0 <= r.score <= 1 and r.predicted == (r.score >= 0.3) for r in out)
     assert toxicity.score(docs.limit(0), toxicity.train(docs.limit(0), labels)).count() == 0
     assert toxicity.score(docs.drop("lang"), toxicity.train(docs.drop("lang"), labels)).count() == docs.count()
+
+
+def test_samples_hold_one_row_of_many_copies(spark):
+    """A third of all rows, and far more than the sample, repeat one sampled row; long rows stay below the bounds in bytes."""
+    rows = [(1, "one text that repeats " * 4)] * 100_000 + [(i, f"{near_text(i)} word{i}") for i in range(2, 60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(8)
+    found = quality.sampled(docs, "doc_id", "text", 50, 10_000).collect()
+    assert len(found) == 50 == len({r.key for r in found}) and sorted(r.key for r in found) == [r.key for r in found]
+    assert 0 < sum(len(r.bucket) for r in quality.sampled(docs, "doc_id", "text", 50, 900).collect()) <= 900
+    labels = spark.createDataFrame([(i, i % 2) for i in range(60)] + [(1, 1)], "doc_id long, toxic int")
+    ids = [r.doc_id for r in toxicity.sampled(docs, labels, 40, 10_000).collect()]
+    assert len(ids) == len(set(ids)) <= 40
+    some = toxicity.sampled(docs, labels, 40, 300).collect()
+    assert 0 < sum(len(r.tokens) // 8 for r in some) <= 300
+
+
+def near_text(i):
+    from .cases import text
+
+    return text(i, 10 + i % 20)
+
+
+def test_quality_votes_and_scores_against_brute_force(spark):
+    """Each labeller in plain Python; the scorer from the features of each text by itself."""
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
+    model = quality.train(docs)
+    reader, (w, b, _) = quality.Reader(), model
+    good, bad = quality.GOOD, quality.BAD
+
+    def judged(t):
+        raw = (t or "").encode()
+        words = [x for x in re.split(rb"[\x20\x09-\x0D]+", raw) if x]
+        n, fold = len(words), [bytes(c + 32 if 65 <= c <= 90 else c for c in x) for x in words]
+        if not n:
+            return 0, 0
+        sentence, letter = set(b".,;:!?'\"()-"), lambda c: 97 <= c <= 122 or 65 <= c <= 90 or c >= 128
+        other = lambda c: not (letter(c) or 48 <= c <= 57 or c in sentence)
+        flat = b"".join(words)
+        marks = [sum(not letter(c) and not 48 <= c <= 57 for c in x) for x in words]
+        share = lambda flags: sum(flags) / n
+        symbols, capitals = sum(map(other, flat)) / len(flat), sum(65 <= c <= 90 for c in flat) / max(1, sum(map(letter, flat)))
+        lone, repeats, runs = share(m == len(x) for m, x in zip(marks, words)), share(x == y for x, y in zip(fold[1:], fold)), share(2 <= m < len(x) for m, x in zip(marks, words))
+        sentences = share(m == 1 and x[-1] in b".,;:!?" for m, x in zip(marks, words))
+        length, stop, kinds, commonest = len(flat) / n, share(x.decode(errors="replace") in quality.STOP_WORDS for x in fold), len(set(fold)), max(Counter(fold).values()) / n
+        votes = [(symbols > 0.05 and n >= 5, symbols < 0.01), (lone > 0.1 and n >= 5, lone < 0.01), (repeats > 0.2 and n >= 10, repeats < 0.05 and n >= 10), (capitals > 0.5 and n >= 3, capitals < 0.2), (runs > 0.1, runs < 0.02)]
+        votes += [(sentences > 0.7 and n >= 10, 0.02 < sentences < 0.4), ((length > 25 or length < 2) and n >= 20, 3 < length < 12), (False, stop > 0.05), (kinds < 2 * n**0.5 and n >= 20, kinds > 4 * n**0.5 and n >= 20), (commonest > 0.25 and n >= 20, commonest < 0.15 and n >= 20)]
+        said = [bad if x else good if y else 0 for x, y in votes]
+        return said.count(good), said.count(bad)
+
+    found = sorted((str(r.doc_id), r.votes_good, r.votes_bad, r.score) for r in quality.score(docs, model).collect())
+    want = []
+    for r in docs.collect():
+        raw = np.frombuffer((r.text or "").encode(), np.uint8)
+        n, _, _, bucket, value = reader(raw, np.array([0, len(raw)]))
+        score = 1 / (1 + math.exp(-min(30, max(-30, float(sum(v * w[k] for k, v in zip(bucket, value))) + b)))) if n[0] else 0
+        want.append((str(r.doc_id), *judged(r.text), score))
+    for f, x in zip(found, sorted(want)):
+        assert f[:3] == x[:3] and f[3] == pytest.approx(x[3], abs=2e-6)
+
+
+def test_toxicity_scores_against_brute_force(spark):
+    """The network in plain Python: word vectors, filters over windows of words, maxima, the logistic layer."""
+    docs, labels = documents(spark, "lang"), spark.createDataFrame([(i, i % 2) for i in range(40, 100)], "doc_id long, toxic int")
+    m = toxicity.train(docs, labels)
+    words = toxicity.Words(toxicity.GAPS)
+
+    def score(t):
+        raw = np.frombuffer((t or "").encode(), np.uint8)
+        tokens = toxicity.padded(raw, np.array([0, len(raw)]), words)[0]
+        x = [sum(m.embedding[k].astype(float) for k in row) for row in tokens]
+        last, z = len(tokens) - toxicity.PAD, m.offset
+        for k, (width, f) in enumerate(zip(toxicity.WIDTHS, m.filters)):
+            for j in range(toxicity.FILTERS):
+                at = [sum(float(x[i + d] @ f[d][:, j]) for d in range(width)) for i in range(last)]
+                unit = k * toxicity.FILTERS + j
+                z += max(0, max(at, default=-1e9) + m.bias[unit]) * m.weight[unit]
+        return 1 / (1 + math.exp(-max(-30, min(30, m.slope * z + m.shift))))
+
+    rows = {r.text: r.score for r in docs.join(toxicity.score(docs, m), "doc_id").where("length(text) < 5000 or text is null").collect()}
+    assert len(rows) > 40
+    for t, found in rows.items():
+        assert found == pytest.approx(score(t), abs=1e-4)
