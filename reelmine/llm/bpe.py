@@ -1,14 +1,15 @@
 """BPE encoding and decoding over a table of distinct words.
 
-Texts are split into words where they lie, and runs of texts become chunks: the list of a chunk's distinct words, and the texts
-as numbers of places in that list. The words of all lists make the table of distinct words, in which each word is encoded once;
-its ids are joined with the id-to-piece table, whose size is the vocabulary's, so each distinct word is also decoded once. Ids
-and decoded words go back to the chunks by a join on the word and are joined to the texts by position. No text is shuffled.
+Texts are split into words where they lie, and runs of texts become chunks: the list of a chunk's distinct words in the order of
+their hash, and the texts as numbers of places in that list. Lists are cut by ranges of the hash into parts, whose number follows
+the distinct words. A part's distinct words are encoded once each, their ids are joined with the id-to-piece table (whose size is
+the vocabulary's), and ids and decoded words go back to the chunks in the order of their lists, so that they are joined to the
+texts by position. No text is shuffled; lists travel compressed.
 
 Defined results: null text counts as empty and has no ids; an empty table gives no rows; repeated rows and null ids are
-returned like others, each in the chunk where it lies; a very long text makes a chunk of its own; there are no ties; other
-columns of the input are not read. Marks of special tokens inside a text are encoded as the library does by default, as special
-tokens.
+returned like others, each in the chunk where it lies; a very long text makes a chunk of its own; there are no ties (words of
+one hash go by themselves); other columns of the input are not read. Marks of special tokens inside a text are encoded as the
+library does by default, as special tokens.
 """
 
 from __future__ import annotations
@@ -17,6 +18,7 @@ import functools
 import hashlib
 import re
 import unicodedata
+import zlib
 from collections.abc import Callable, Iterable, Iterator
 
 import numpy as np
@@ -30,7 +32,13 @@ from pyspark.sql import functions as F
 from .common import read, table
 
 #: Characters of text in a chunk, about; a longer document makes a longer chunk.
-CHUNK_CHARS = 4_000_000
+CHUNK_CHARS = 8_000_000
+#: Distinct words of a part, about, and words of the lists that one task reads beside them.
+PART_WORDS, TASK_WORDS = 250_000, 4_000_000
+#: Parts that small tables have as well, if they have so many words each; of so many hashes one is looked at to count words.
+LEAST_PARTS, LEAST_WORDS, SAMPLED = 32, 20_000, 256
+#: Words encoded at a time.
+SLICE = 20_000
 #: Texts from this many characters on are split word by word, without a list of their words.
 LONG_TEXT = 1_000_000
 #: The splitting pattern of the public vocabulary file, with its white space written out.
@@ -100,8 +108,24 @@ def _unpack(packed: bytes) -> np.ndarray:
     return np.ascontiguousarray(np.frombuffer(zstandard.decompress(packed), np.uint8).reshape(4, -1).T).view("<u4").ravel().astype(np.int64)
 
 
+def _pack_words(words: list[str]) -> bytes:
+    """Neither words nor pieces hold line ends, so lines keep them apart."""
+    return zstandard.compress("\n".join(words).encode("utf-8", "surrogatepass"), 3)
+
+
+def _unpack_words(packed: bytes) -> list[str]:
+    return zstandard.decompress(packed).decode("utf-8", "surrogatepass").split("\n")
+
+
+def _hash(word: str) -> int:
+    return zlib.crc32(word.encode("utf-8", "surrogatepass"))
+
+
+CHUNKS = "chunk long, ids array<{kind}>, lengths binary, numbers binary, words binary, hashes binary, n_words long, sampled array<long>"
+
+
 def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
-    """(chunk, ids, lengths, numbers, words): runs of texts as places in the list of their distinct words."""
+    """Runs of texts as places in the list of their distinct words, which goes by hash and word."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -110,9 +134,14 @@ def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str,
 
         def chunk() -> pa.RecordBatch:
             doc_ids = pa.concat_arrays(ids)
-            columns = [pa.array([task << 32 | done], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids)]
-            columns += [pa.array([_pack(np.array([len(x) for x in numbers]))], pa.binary()), pa.array([_pack(np.concatenate(numbers))], pa.binary())]
-            return pa.RecordBatch.from_arrays([*columns, pa.array([list(number)], pa.list_(pa.string()))], names=["chunk", "ids", "lengths", "numbers", "words"])
+            words = sorted(zip(map(_hash, number), number))
+            place = np.zeros(len(words), np.uint32)
+            place[[number[w] for _, w in words]] = np.arange(len(words))
+            hashes = np.array([h for h, _ in words], np.int64)
+            packed = [_pack(np.array([len(x) for x in numbers])), _pack(place[np.concatenate(numbers)]), _pack_words([w for _, w in words]), _pack(hashes)]
+            columns = [pa.array([task << 32 | done], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), *(pa.array([x], pa.binary()) for x in packed)]
+            columns += [pa.array([len(words)], pa.int64()), pa.array([hashes[hashes % SAMPLED == 0]], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "lengths", "numbers", "words", "hashes", "n_words", "sampled"])
 
         for batch in batches:
             first = 0
@@ -131,25 +160,94 @@ def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str,
             yield chunk()
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return docs.mapInArrow(run, f"chunk long, ids array<{kind}>, lengths binary, numbers binary, words array<string>")
+    return docs.mapInArrow(run, CHUNKS.format(kind=kind))
 
 
-def word_table(words: DataFrame, where: str | None = None) -> DataFrame:
-    """(word, ids, text): the ids of each distinct ``word`` and the text that they decode to; words without ids have no row."""
+def _lists(chunks: DataFrame, parts: int) -> DataFrame:
+    """(chunk, part, words): the lists of distinct words cut by ranges of their hashes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for r in batch.to_pylist():
+                if not r["n_words"]:
+                    continue
+                words, part = _unpack_words(r["words"]), _unpack(r["hashes"]) * parts >> 32
+                at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
+                cut = [_pack_words(words[lo:hi]) for lo, hi in zip(at, [*at[1:], len(words)])]
+                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]] * len(at), pa.int64()), pa.array(part[at], pa.int32()), pa.array(cut, pa.binary())], names=["chunk", "part", "words"])
+
+    return chunks.select("chunk", "words", "hashes", "n_words").mapInArrow(run, "chunk long, part int, words binary")
+
+
+PIECES = "part int, number int, pos int, id int, words binary"
+
+
+def word_table(lists: DataFrame, where: str | None = None) -> DataFrame:
+    """(part, words, sizes, ids, texts): of each part its distinct words with their ids and the texts that these decode to, in runs
+    of ``SLICE`` words. ``lists`` has part and words."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = _load(where)
+        tokenizer, seen, part = _load(where), set(), 0
         special = Splitter(tokenizer).special
         for batch in batches:
-            ids = [[special[w]] if w in special else tokenizer.encode(w, add_special_tokens=False).ids for w in batch.column("word").to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column("word"), pa.array(ids, pa.list_(pa.int32()))], names=["word", "ids"])
+            part = batch.column("part")[0].as_py()
+            for packed in batch.column("words"):
+                seen.update(_unpack_words(packed.as_py()))
+        words = sorted(seen)
+        for lo in range(0, len(words), SLICE):
+            run = words[lo : lo + SLICE]
+            ids = [[special[w]] if w in special else tokenizer.encode(w, add_special_tokens=False).ids for w in run]
+            size = np.array([len(x) for x in ids])
+            # a row with the words, then a row for each id of each word
+            number = np.concatenate([[-1], np.repeat(np.arange(len(run)), size)])
+            pos = np.arange(len(number)) - 1
+            columns = [np.full(len(number), part, np.int32), number.astype(np.int32), pos.astype(np.int32), pa.array([None, *(i for x in ids for i in x)], pa.int32())]
+            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array([_pack_words(run), *[None] * (len(number) - 1)], pa.binary())], names=["part", "number", "pos", "id", "words"])
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """The join keeps a task's rows in order, which is checked; a run may go on in the next batch."""
+        names, held = ["part", "words", "sizes", "ids", "texts"], None
+
+        def done() -> pa.RecordBatch:
+            part, words, number, ids, pieces = held
+            size, texts = np.bincount(number, minlength=len(_unpack_words(words))), iter(pieces)
+            texts = [" ".join([next(texts) for _ in range(n)]) for n in size.tolist()]
+            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (words, _pack(size), _pack(np.array(ids)), _pack_words(texts)))], names=names)
 
-    encoded = words.select("word").distinct().mapInArrow(encode, "word string, ids array<int>")
-    encoded = table(encoded.withColumn("number", F.monotonically_increasing_id()), "bpe-words")
-    # a word may be as long as a text, so its pieces are gathered by its number
-    at = encoded.select("number", F.posexplode("ids").alias("pos", "id")).join(F.broadcast(pieces(words.sparkSession, where)), "id")
-    found = at.groupBy("number").agg(F.array_sort(F.collect_list(F.struct("pos", "piece"))).alias("x"))
-    return encoded.join(found, "number").select("word", "ids", F.array_join("x.piece", " ").alias("text"))
+        for batch in batches:
+            for part, number, pos, i, words, piece in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "pos", "id", "words", "piece"))):
+                if number < 0:
+                    if held:
+                        yield done()
+                    held = (part, words, [], [], [])
+                    continue
+                if held is None or held[0] != part or len(held[2]) != pos:
+                    raise ValueError("ids of a run of words came out of order")
+                held[2].append(number)
+                held[3].append(i)
+                held[4].append(piece)
+        if held:
+            yield done()
+
+    ids = lists.select("part", "words").groupBy("part").applyInArrow(encode, PIECES)
+    return ids.join(F.broadcast(pieces(lists.sparkSession, where)), "id", "left").mapInArrow(gather, "part int, words binary, sizes binary, ids binary, texts binary")
+
+
+def _look_up(lists: pa.Table, found: pa.Table) -> pa.Table:
+    """For each list of a part the ids and decoded texts of its words, in the order of the list."""
+    ids: dict[str, np.ndarray] = {}
+    text: dict[str, str] = {}
+    for r in found.to_pylist():
+        words, size = _unpack_words(r["words"]), _unpack(r["sizes"])
+        ids.update(zip(words, np.split(_unpack(r["ids"]), np.cumsum(size)[:-1])))
+        text.update(zip(words, _unpack_words(r["texts"])))
+    out = []
+    for packed in lists.column("words"):
+        words = _unpack_words(packed.as_py())
+        own = [ids[w] for w in words]
+        out.append((_pack(np.array([len(x) for x in own])), _pack(np.concatenate(own)), _pack_words([text[w] for w in words])))
+    columns = list(zip(*out)) or [[], [], []]
+    return pa.table([lists.column("chunk"), lists.column("part"), *(pa.array(c, pa.binary()) for c in columns)], names=["of_chunk", "part", "sizes", "ids", "texts"])
 
 
 class Chunk:
@@ -158,15 +256,16 @@ class Chunk:
     def __init__(self, rows: pa.Table, found: pa.Table) -> None:
         self.doc_ids = rows.column("ids").combine_chunks().flatten()
         lengths, numbers = _unpack(rows.column("lengths")[0].as_py()), _unpack(rows.column("numbers")[0].as_py())
-        words = int(numbers.max(initial=-1)) + 1
-        pos = found.column("pos").to_pylist()
-        self.ids: list[list[int]] = [[]] * words
-        self.text = [""] * words
-        for p, ids, text in zip(pos, found.column("ids").to_pylist(), found.column("text").to_pylist()):
-            self.ids[p], self.text[p] = ids, text
+        self.ids: list[list[int]] = []
+        self.text: list[str] = []
+        for r in sorted(found.to_pylist(), key=lambda r: r["part"]):
+            size, flat = _unpack(r["sizes"]), _unpack(r["ids"]).tolist()
+            end = np.cumsum(size).tolist()
+            self.ids += [flat[e - n : e] for e, n in zip(end, size.tolist())]
+            self.text += _unpack_words(r["texts"])
         self.size = np.array([len(x) for x in self.ids], np.int64)
-        full = self.size[numbers] > 0 if words else np.zeros(0, bool)
-        tokens = np.concatenate([[0], np.cumsum(self.size[numbers])]) if words else np.zeros(1, np.int64)
+        tokens = self.size[numbers] if len(numbers) else numbers
+        full, tokens = tokens > 0, np.concatenate([[0], np.cumsum(tokens)])
         before, end = np.concatenate([[0], np.cumsum(full)]), np.cumsum(lengths)
         self.n_tokens = tokens[end] - tokens[end - lengths]
         self.numbers, self.bounds = numbers[full], list(zip(before[end - lengths].tolist(), before[end].tolist()))
@@ -180,8 +279,14 @@ class Chunk:
 def encoded(documents: DataFrame, per_chunk: Callable[[Chunk], pa.Table], schema: str, where: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Apply ``per_chunk`` to the chunks of ``documents``, with the ids and decoded words joined back by position."""
     chunks = table(chunked(documents, where, id_col, text_col, chunk_chars), "bpe-chunks")
-    known = word_table(chunks.select(F.explode("words").alias("word")), where)
-    back = chunks.select(F.col("chunk").alias("of_chunk"), F.posexplode("words").alias("pos", "word")).join(known, "word").select("of_chunk", "pos", "ids", "text")
+    listed = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
+    distinct = SAMPLED * chunks.select(F.explode("sampled").alias("hash")).distinct().count()
+    parts = max(distinct // PART_WORDS + 1, min(LEAST_PARTS, listed // LEAST_WORDS + 1))
+    turns = listed // parts // TASK_WORDS + 1
+    lists = _lists(chunks, parts)
+    known = word_table(lists, where).withColumn("of_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
+    dealt = lists.withColumn("turn", F.pmod(F.xxhash64("chunk"), F.lit(turns)).cast("int"))
+    back = dealt.groupBy("part", "turn").cogroup(known.withColumnRenamed("part", "of_part").groupBy("of_part", "of_turn")).applyInArrow(_look_up, "of_chunk long, part int, sizes binary, ids binary, texts binary")
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         return per_chunk(Chunk(rows, found))
