@@ -338,20 +338,71 @@ def _(v: Views) -> DataFrame:
     return claim(v.videos, v.channels, AS_OF, 100, 3)
 
 
+def expired(as_of: str) -> Column:
+    return F.col("lease_expires_at") < F.lit(as_of).cast("timestamp")
+
+
 def reap_leases(videos: DataFrame, as_of: str) -> DataFrame:
-    """Videos whose lease has expired, back in the backlog with a reason; discovered ones included."""
-    expired = F.col("lease_expires_at") < F.lit(as_of).cast("timestamp")
-    return videos.where(expired & F.col("status").isin("discovered", "metadata_ok", "retry")).select("video_id", "status", F.concat(F.lit("lease of "), "claimed_by", F.lit(" expired")).alias("status_reason"))
+    """``videos`` with expired leases ended: those that wait for captions are due for a retry at once, with a reason; discovered ones
+    only lose the lease."""
+    gone = F.coalesce(expired(as_of) & F.col("status").isin("discovered", "metadata_ok", "retry"), F.lit(False))
+    again = gone & (F.col("status") != "discovered")
+    new = {
+        "status_reason": F.when(again, F.concat(F.lit("lease of "), "claimed_by", F.lit(" expired"))),
+        "status": F.when(again, "retry").otherwise(F.col("status")),
+        "next_attempt_at": F.when(again, F.lit(as_of).cast("timestamp")).otherwise(F.col("next_attempt_at")),
+        "claimed_by": F.when(~gone, F.col("claimed_by")),
+        "lease_expires_at": F.when(~gone, F.col("lease_expires_at")),
+    }
+    return videos.withColumns(new)
+
+
+def release_leases(videos: DataFrame, worker: str, ids: DataFrame | None = None) -> DataFrame:
+    """``videos`` without the leases of a worker (of the ids named), statuses untouched."""
+    mine = F.coalesce(F.col("claimed_by") == worker, F.lit(False))
+    rows = videos
+    if ids is not None:
+        rows, mine = videos.join(ids.select("video_id", F.lit(True).alias("__asked")).distinct(), "video_id", "left"), mine & F.col("__asked").isNotNull()
+    out = rows.withColumn("__mine", mine).withColumns({c: F.when(~F.col("__mine"), F.col(c)) for c in ("claimed_by", "lease_expires_at")})
+    return out.select(*videos.columns)
+
+
+def extend_leases(videos: DataFrame, worker: str, ids: DataFrame, as_of: str, seconds: int) -> DataFrame:
+    """``videos`` with the leases on ``ids`` that the worker holds moved to ``seconds`` from now."""
+    rows = videos.join(ids.select("video_id", F.lit(True).alias("__asked")).distinct(), "video_id", "left")
+    until = F.lit(as_of).cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))
+    return rows.withColumn("lease_expires_at", F.when(F.col("__asked") & (F.col("claimed_by") == worker), until).otherwise(F.col("lease_expires_at"))).drop("__asked").select(*videos.columns)
+
+
+_LEASES = ("video_id", "status", "status_reason", "next_attempt_at", "claimed_by", "lease_expires_at")
+
+
+@query(
+    "f04_leases",
+    f"""SELECT video_id, CASE WHEN a THEN 'retry' ELSE status END AS status, CASE WHEN a THEN 'lease of ' || claimed_by || ' expired' END AS status_reason, CASE WHEN a THEN TIMESTAMP '{AS_OF}' ELSE next_attempt_at END AS next_attempt_at,
+      CASE WHEN NOT g THEN claimed_by END AS claimed_by, CASE WHEN NOT g THEN lease_expires_at END AS lease_expires_at
+    FROM (SELECT *, g AND status <> 'discovered' AS a FROM (SELECT *, coalesce(lease_expires_at < TIMESTAMP '{AS_OF}' AND status IN ('discovered', 'metadata_ok', 'retry'), false) AS g FROM v_videos))""",
+)
+def _(v: Views) -> DataFrame:
+    return reap_leases(v.videos, AS_OF).select(*_LEASES)
+
+
+@query(
+    "f04_release",
+    "SELECT video_id, CASE WHEN claimed_by = 'w1' AND video_id IN (SELECT page_id * 2 FROM pages) THEN NULL ELSE claimed_by END AS claimed_by, CASE WHEN claimed_by = 'w1' AND video_id IN (SELECT page_id * 2 FROM pages) THEN NULL ELSE lease_expires_at END AS lease_expires_at FROM v_videos",
+)
+def _(v: Views) -> DataFrame:
+    return release_leases(v.videos, "w1", v.raw("pages").select((F.col("page_id") * 2).alias("video_id"))).select("video_id", "claimed_by", "lease_expires_at")
 
 
-@query("f04_leases", f"SELECT video_id, status, 'lease of ' || claimed_by || ' expired' AS status_reason FROM v_videos WHERE lease_expires_at < TIMESTAMP '{AS_OF}' AND status IN ('discovered', 'metadata_ok', 'retry')")
+@query("f04_extend", f"SELECT video_id, CASE WHEN claimed_by = 'w2' AND video_id IN (SELECT page_id * 2 FROM pages) THEN TIMESTAMP '{AS_OF}' + INTERVAL 600 SECOND ELSE lease_expires_at END AS lease_expires_at FROM v_videos")
 def _(v: Views) -> DataFrame:
-    return reap_leases(v.videos, AS_OF)
+    return extend_leases(v.videos, "w2", v.raw("pages").select((F.col("page_id") * 2).alias("video_id")), AS_OF, 600).select("video_id", "lease_expires_at")
 
 
 @query("f04_lease_report", f"SELECT claimed_by, count(*) AS held, count(*) FILTER (lease_expires_at < TIMESTAMP '{AS_OF}') AS stale FROM v_videos WHERE claimed_by IS NOT NULL GROUP BY claimed_by")
 def _(v: Views) -> DataFrame:
-    return v.videos.where("claimed_by is not null").groupBy("claimed_by").agg(F.count("*").alias("held"), F.count_if(F.col("lease_expires_at") < F.lit(AS_OF).cast("timestamp")).alias("stale"))
+    return v.videos.where("claimed_by is not null").groupBy("claimed_by").agg(F.count("*").alias("held"), F.count_if(expired(AS_OF)).alias("stale"))
 
 
 @query("f05_due", f"SELECT video_id, status, status <> 'retry' AS recheck FROM v_videos WHERE status = 'retry' AND next_attempt_at <= TIMESTAMP '{AS_OF}' OR status IN ('no_transcript', 'lang_missing') AND recheck_after <= TIMESTAMP '{AS_OF}' AND recheck_count < 4")

@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..plans.views import AS_OF, Views
 from ..plans.vocabulary import TRANSITIONS
+from .reports import pacific_day
 
 Rule = Callable[[Column, Column], Column]
 new_if_known: Rule = lambda old, new: F.coalesce(new, old)
@@ -47,14 +48,25 @@ def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
 
 
 def write_snapshot(df: DataFrame, base: str, name: str) -> None:
-    """Write a new directory, then switch the pointer: the pointer is a table of one row that names the directory."""
-    target = f"{base}/{name}-{uuid.uuid4().hex}"
+    """Write a new folder, then a pointer that names it. Pointers are numbered and never replaced, so a crash between the two leaves
+    the last snapshot in place; a new pointer is seen only when it is complete."""
+    target, spark = f"{base}/{name}-{uuid.uuid4().hex}", df.sparkSession
     df.write.parquet(target)
-    df.sparkSession.createDataFrame([(target,)], "path string").coalesce(1).write.mode("overwrite").json(f"{base}/{name}-current")
+    number = (_pointers(spark, base, name) or [(-1, "")])[-1][0] + 1
+    spark.createDataFrame([(number, target)], "number long, path string").coalesce(1).write.mode("append").json(f"{base}/{name}-pointers")
+
+
+def _pointers(spark: SparkSession, base: str, name: str) -> list[tuple[int, str]]:
+    """The last pointer, if there is one."""
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-pointers")
+    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+        return []
+    rows = spark.read.schema("number long, path string").json(f"{base}/{name}-pointers").orderBy(F.desc("number"), "path").limit(1)
+    return [(r["number"], r["path"]) for r in rows.collect()]
 
 
 def read_snapshot(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(spark.read.json(f"{base}/{name}-current").first()["path"])
+    return spark.read.parquet(_pointers(spark, base, name)[-1][1])
 
 
 def upsert_videos(videos: DataFrame, listed: DataFrame) -> DataFrame:
@@ -65,12 +77,12 @@ def upsert_videos(videos: DataFrame, listed: DataFrame) -> DataFrame:
 
 @query(
     "j01_upsert_videos",
-    """WITH u AS (SELECT doc_id + 500 AS video_id, CASE WHEN doc_id % 2 = 0 THEN 'new title' END AS title FROM documents WHERE doc_id < 1000)
+    """WITH u AS (SELECT doc_id + 500 AS video_id, CASE WHEN doc_id % 2 = 0 THEN 'new title' END AS title FROM documents)
     SELECT coalesce(v.video_id, u.video_id) AS video_id, coalesce(u.title, v.title) AS title, CASE WHEN v.video_id IS NULL THEN 'discovered' ELSE status END AS status, CASE WHEN v.video_id IS NULL THEN 0 ELSE attempts END AS attempts
     FROM v_videos v FULL JOIN u USING (video_id)""",
 )
 def _(v: Views) -> DataFrame:
-    listed = v.raw("documents").where("doc_id < 1000").select((F.col("doc_id") + 500).alias("video_id"), F.when(F.col("doc_id") % 2 == 0, "new title").alias("title"))
+    listed = v.raw("documents").select((F.col("doc_id") + 500).alias("video_id"), F.when(F.col("doc_id") % 2 == 0, "new title").alias("title"))
     return upsert_videos(v.videos, listed).select("video_id", "title", "status", "attempts")
 
 
@@ -111,20 +123,32 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "j05_add_quota",
-    "SELECT CAST(started_at AS DATE) AS day, CAST(sum(CASE WHEN id % 2 = 0 THEN units ELSE units END) AS BIGINT) AS units_used FROM v_attempts GROUP BY 1",
+    "SELECT CAST(timezone('America/Los_Angeles', timezone('UTC', started_at)) AS DATE) AS day, CAST(sum(units) AS BIGINT) AS units_used FROM v_attempts GROUP BY 1",
 )
 def _(v: Views) -> DataFrame:
-    per_day = lambda rows: rows.groupBy(F.to_date("started_at").alias("day")).agg(F.sum("units").alias("units_used"))
+    per_day = lambda rows: rows.groupBy(pacific_day().alias("day")).agg(F.sum("units").alias("units_used"))
     return merge(per_day(v.attempts.where("id % 2 = 0")), per_day(v.attempts.where("id % 2 = 1")), ["day"], {"units_used": add})
 
 
+def save_progress(channels: DataFrame, pages: DataFrame) -> DataFrame:
+    """``channels`` (channel_id, cursor, complete, newest_published_at) after enumeration pages (channel_id, page, cursor, complete,
+    newest_published_at): cursor and complete of the last page, the newest date only moves forward. Other channels stay."""
+    last = pages.groupBy("channel_id").agg(F.max_by(F.struct("cursor", "complete"), "page").alias("s"), F.max("newest_published_at").alias("newest_published_at"))
+    rules = {"cursor": overwrite, "complete": overwrite, "newest_published_at": forward}
+    return merge(channels, last.select("channel_id", "s.*", "newest_published_at"), ["channel_id"], rules, insert=False)
+
+
 @query(
     "j06_enumeration_progress",
-    """SELECT channel_id, max(published_at) AS newest_published_at FROM v_videos GROUP BY channel_id""",
+    """WITH p AS (SELECT channel_id, video_id % 40 AS page, max(published_at) AS newest FROM v_videos WHERE channel_id <> 'src1' GROUP BY ALL), n AS (SELECT channel_id, max(page) AS page, max(newest) AS newest FROM p GROUP BY 1)
+    SELECT channel_id, CASE WHEN n.page IS NULL THEN 'start' WHEN n.page < 39 THEN 'page ' || n.page END AS cursor, coalesce(n.page >= 39, false) AS complete, greatest(n.newest, TIMESTAMP '2024-06-01') AS newest_published_at FROM v_channels LEFT JOIN n USING (channel_id)""",
 )
 def _(v: Views) -> DataFrame:
-    newest = lambda rows: rows.groupBy("channel_id").agg(F.max("published_at").alias("newest_published_at"))
-    return merge(newest(v.videos.where("video_id % 2 = 0")), newest(v.videos.where("video_id % 2 = 1")), ["channel_id"], {"newest_published_at": forward})
+    page = F.col("video_id") % 40
+    pages = v.videos.where("channel_id <> 'src1'").groupBy("channel_id", page.alias("page")).agg(F.max("published_at").alias("newest_published_at"))
+    pages = pages.withColumn("complete", F.col("page") >= 39).withColumn("cursor", F.when(~F.col("complete"), F.concat(F.lit("page "), F.col("page").cast("string"))))
+    known = v.channels.select("channel_id", F.lit("start").alias("cursor"), F.lit(False).alias("complete"), F.lit("2024-06-01").cast("timestamp").alias("newest_published_at"))
+    return save_progress(known, pages)
 
 
 def recheck_after(age_days: Column, rechecks: Column, now: Column) -> Column:
@@ -135,31 +159,63 @@ def recheck_after(age_days: Column, rechecks: Column, now: Column) -> Column:
 
 
 def backoff_seconds(attempts: Column, key: Column, base: int = 30, cap: int = 21_600, retry_after: Column | None = None) -> Column:
-    """Full-jitter delay, reproducible: a hash of key and attempt takes the place of the random number."""
-    share = F.pmod(F.xxhash64(key, attempts), F.lit(10_000)) / 10_000
+    """Full-jitter delay, reproducible: a digest of key and attempt takes the place of the random number."""
+    digest = F.md5(F.concat_ws(":", key.cast("string"), attempts.cast("string")).cast("binary"))
+    share = F.conv(F.substring(digest, 1, 8), 16, 10).cast("double") / 4294967296.0
     delay = share * F.least(F.lit(cap).cast("double"), base * F.pow(F.lit(2.0), attempts))
     return delay if retry_after is None else F.greatest(delay, F.coalesce(retry_after, F.lit(0)).cast("double"))
 
 
-def fold_attempts(attempts: DataFrame, ceiling: int = 5) -> DataFrame:
-    """(video_id, status, attempts, needs_audio, recheck_count): each video's attempts folded in time order.
-
-    ok ends in transcript_ok and clears flags; terminal ends in no_transcript with audio wanted; retryable waits, or fails at the
-    ceiling; blocked says nothing about the video and changes nothing. All attempts of one video form one array."""
-    rows = attempts.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("started_at", "id", "outcome"))).alias("log"))
-    start = F.struct(F.lit("metadata_ok").alias("status"), F.lit(0).alias("attempts"), F.lit(False).alias("needs_audio"), F.lit(0).alias("recheck_count"))
+def age_days(published_at: Column, now: Column) -> Column:
+    return (F.unix_timestamp(now) - F.unix_timestamp(published_at)) / 86400
+
+
+def apply_outcomes(videos: DataFrame, attempts: DataFrame, ceiling: int = 5) -> DataFrame:
+    """``videos`` after their attempts (video_id, id, started_at, outcome; target, reason, needs_audio, recheck, retry_after,
+    max_attempts), in time order.
+
+    ok ends in transcript_ok and clears reason, audio flag and times; terminal ends in its target status with its reason and audio
+    flag, and if it asks for a recheck, at a time that follows the video's age; retryable waits for a jittered delay, never below
+    retry_after, or fails at the ceiling, and leaves audio flag and recheck time alone; blocked says nothing about the video and
+    only clears the time of the next attempt. Every attempt counts but blocked ones, and each ends the lease. The fold needs no
+    row order within a video: counts and the last attempt of each kind say it all, and those are combined before the shuffle."""
+    at = F.struct("started_at", "id")
+    said, judged = F.col("outcome") != "blocked", F.col("outcome").isin("ok", "terminal")
+    row = F.struct("started_at", "outcome", "target", "reason", "needs_audio", "recheck", "retry_after", "max_attempts")
+    done = attempts.groupBy("video_id").agg(F.count_if(said).alias("tries"), F.max_by("outcome", at).alias("newest"), F.max_by(row, F.when(said, at)).alias("last"), F.max_by(row, F.when(judged, at)).alias("verdict"))
+    both = videos.join(done, "video_id", "left")
+    had, last, verdict, n = F.col("newest").isNotNull(), F.col("last"), F.col("verdict"), F.col("attempts") + F.coalesce("tries", F.lit(0))
+    failed = n >= F.least(F.coalesce(last["max_attempts"], F.lit(ceiling)), F.lit(ceiling))
+    status = F.when(last["outcome"] == "ok", "transcript_ok").when(last["outcome"] == "terminal", last["target"]).when(last["outcome"] == "retryable", F.when(failed, "failed").otherwise("retry")).otherwise(F.col("status"))
+    delay = F.floor(backoff_seconds(n, F.col("video_id"), retry_after=last["retry_after"]) * 1_000_000).cast("long")
+    waits = (F.col("newest") == "retryable") & ~failed
+    again = F.when(verdict["outcome"].isNull(), F.col("recheck_after")).when((verdict["outcome"] == "terminal") & verdict["recheck"], recheck_after(age_days(F.col("published_at"), verdict["started_at"]), F.col("recheck_count"), verdict["started_at"]))
+    changed = {
+        "status": status,
+        "status_reason": F.when(last["outcome"].isNull(), F.col("status_reason")).when(last["outcome"] != "ok", F.left(last["reason"], F.lit(255))),
+        "attempts": n,
+        "needs_audio": F.when(verdict["outcome"] == "ok", False).when(verdict["outcome"] == "terminal", verdict["needs_audio"]).otherwise(F.col("needs_audio")),
+        "next_attempt_at": F.when(waits, F.timestamp_micros(F.unix_micros(last["started_at"]) + delay)).when(~had, F.col("next_attempt_at")),
+        "recheck_after": again,
+        "claimed_by": F.when(~had, F.col("claimed_by")),
+        "lease_expires_at": F.when(~had, F.col("lease_expires_at")),
+    }
+    return both.select(*((changed[c].cast(videos.schema[c].dataType).alias(c) if c in changed else F.col(c)) for c in videos.columns))
 
-    def step(s, x):
-        o, n = x["outcome"], s["attempts"] + 1
-        state = lambda status, audio, rechecks: F.struct(status.alias("status"), n.alias("attempts"), audio.alias("needs_audio"), rechecks.alias("recheck_count"))
-        return (
-            F.when(o == "ok", state(F.lit("transcript_ok"), F.lit(False), F.lit(0)))
-            .when(o == "terminal", state(F.lit("no_transcript"), F.lit(True), s["recheck_count"] + 1))
-            .when(o == "retryable", state(F.when(n >= ceiling, "failed").otherwise("retry"), s["needs_audio"], s["recheck_count"]))
-            .otherwise(s)
-        )
 
-    return rows.select("video_id", F.aggregate("log", start, step).alias("s")).select("video_id", "s.*")
+def fold_attempts(attempts: DataFrame, ceiling: int = 5) -> DataFrame:
+    """(video_id, status, attempts, needs_audio, recheck_count) of videos that begin as metadata_ok, by outcomes alone; recheck_count
+    counts the terminal attempts since the last ok."""
+    at = F.struct("started_at", "id")
+    of = lambda *o: F.col("outcome").isin(*o)
+    done = attempts.groupBy("video_id").agg(
+        F.count_if(~of("blocked")).cast("int").alias("attempts"), F.max_by("outcome", F.when(~of("blocked"), at)).alias("last"), F.max_by("outcome", F.when(of("ok", "terminal"), at)).alias("verdict"), F.max(F.when(of("ok"), at)).alias("last_ok")
+    )
+    later = attempts.where(of("terminal")).join(done.select("video_id", "last_ok"), "video_id").where(F.col("last_ok").isNull() | (at > F.col("last_ok")))
+    rechecks = later.groupBy("video_id").agg(F.count("*").cast("int").alias("recheck_count"))
+    status = F.when(F.col("last") == "ok", "transcript_ok").when(F.col("last") == "terminal", "no_transcript").when(F.col("last") == "retryable", F.when(F.col("attempts") >= ceiling, "failed").otherwise("retry")).otherwise("metadata_ok")
+    out = done.join(rechecks, "video_id", "left")
+    return out.select("video_id", status.alias("status"), "attempts", F.coalesce(F.col("verdict") == "terminal", F.lit(False)).alias("needs_audio"), F.coalesce("recheck_count", F.lit(0)).alias("recheck_count"))
 
 
 @query(
@@ -175,6 +231,73 @@ def _(v: Views) -> DataFrame:
     return fold_attempts(v.attempts)
 
 
+def logged_outcomes(attempts: DataFrame) -> DataFrame:
+    """The views' attempts with what a worker would have logged beside the outcome."""
+    i = F.col("id")
+    target = F.element_at(F.array(*map(F.lit, ("no_transcript", "lang_missing", "age_restricted", "unavailable", "skipped"))), (i % 5 + 1).cast("int"))
+    return attempts.select(
+        "video_id",
+        "id",
+        "started_at",
+        "outcome",
+        target.alias("target"),
+        F.concat(F.lit("said "), i.cast("string")).alias("reason"),
+        (target == "no_transcript").alias("needs_audio"),
+        target.isin("no_transcript", "lang_missing").alias("recheck"),
+        F.when(i % 3 == 0, i % 100).alias("retry_after"),
+        F.when(i % 7 == 0, 2).otherwise(5).alias("max_attempts"),
+    )
+
+
+_LOGGED = """SELECT video_id, id, started_at, outcome, (['no_transcript', 'lang_missing', 'age_restricted', 'unavailable', 'skipped'])[id % 5 + 1] AS target, 'said ' || id AS reason,
+      id % 5 = 0 AS audio, id % 5 <= 1 AS recheck, CASE WHEN id % 3 = 0 THEN id % 100 END AS retry_after, CASE WHEN id % 7 = 0 THEN 2 ELSE 5 END AS most,
+      row_number() OVER (PARTITION BY video_id ORDER BY started_at, id) AS n FROM v_attempts"""
+#: What one attempt makes of a video's state, for SQL that folds them one by one: ``f`` is the state, ``t`` the attempt.
+FOLD_STEP = """SELECT f.video_id, t.n, f.published_at, f.recheck_count,
+      CASE outcome WHEN 'ok' THEN 'transcript_ok' WHEN 'terminal' THEN target WHEN 'retryable' THEN CASE WHEN attempts + 1 >= most THEN 'failed' ELSE 'retry' END ELSE status END AS status,
+      CASE outcome WHEN 'ok' THEN NULL WHEN 'blocked' THEN status_reason ELSE reason END AS status_reason, CASE WHEN outcome = 'blocked' THEN attempts ELSE attempts + 1 END AS attempts,
+      CASE outcome WHEN 'ok' THEN false WHEN 'terminal' THEN audio ELSE needs_audio END AS needs_audio,
+      CASE WHEN outcome = 'retryable' AND attempts + 1 < most THEN started_at + to_microseconds(CAST(floor(greatest(CAST('0x' || substr(md5(f.video_id || ':' || (attempts + 1)), 1, 8) AS BIGINT) / 4294967296.0 * least(21600.0, 30 * pow(2.0, attempts + 1)), coalesce(retry_after, 0)) * 1000000) AS BIGINT)) END AS next_attempt_at,
+      CASE WHEN outcome IN ('retryable', 'blocked') THEN recheck_after WHEN outcome = 'terminal' AND recheck AND recheck_count < 4 THEN started_at + to_hours(CAST(CASE WHEN epoch(started_at - published_at) < 7 * 86400 THEN 6 WHEN epoch(started_at - published_at) < 30 * 86400 THEN 72 WHEN epoch(started_at - published_at) < 180 * 86400 THEN 720 END AS BIGINT)) END AS recheck_after,
+      NULL AS claimed_by FROM f JOIN t ON t.video_id = f.video_id AND t.n = f.n + 1"""
+
+
+@query(
+    "j07_apply_outcomes",
+    f"""WITH RECURSIVE t AS ({_LOGGED}),
+    f AS (SELECT video_id, 0 AS n, published_at, recheck_count, status, CAST(NULL AS VARCHAR) AS status_reason, attempts, needs_audio, next_attempt_at, recheck_after, claimed_by FROM v_videos UNION ALL {FOLD_STEP})
+    SELECT video_id, status, status_reason, attempts, needs_audio, next_attempt_at, recheck_after, claimed_by FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC) = 1""",
+)
+def _(v: Views) -> DataFrame:
+    videos = v.videos.withColumn("status_reason", F.lit(None).cast("string"))
+    return apply_outcomes(videos, logged_outcomes(v.attempts)).select("video_id", "status", "status_reason", "attempts", "needs_audio", "next_attempt_at", "recheck_after", "claimed_by")
+
+
+@query(
+    "h10_backoff",
+    "SELECT id, greatest(CAST('0x' || substr(md5(video_id || ':' || (id % 12)), 1, 8) AS BIGINT) / 4294967296.0 * least(21600.0, 30 * pow(2.0, id % 12)), coalesce(CASE WHEN id % 4 = 0 THEN units END, 0)) AS delay FROM v_attempts",
+)
+def _(v: Views) -> DataFrame:
+    return v.attempts.select("id", backoff_seconds(F.col("id") % 12, F.col("video_id"), retry_after=F.when(F.col("id") % 4 == 0, F.col("units"))).alias("delay"))
+
+
+def promote_due(videos: DataFrame, as_of: str, max_rechecks: int = 4) -> DataFrame:
+    """Videos without captions whose recheck is due, back in the backlog with the recheck counted."""
+    due = F.col("status").isin("no_transcript", "lang_missing") & (F.col("recheck_after") <= F.lit(as_of).cast("timestamp")) & (F.col("recheck_count") < max_rechecks)
+    due = F.coalesce(due, F.lit(False))
+    new = {"status": F.lit("metadata_ok"), "status_reason": F.lit("captions may be there now"), "recheck_count": F.col("recheck_count") + 1, "recheck_after": F.lit(None).cast("timestamp"), "next_attempt_at": F.lit(None).cast("timestamp")}
+    return videos.withColumns({c: F.when(due, x).otherwise(F.col(c)) for c, x in new.items() if c in videos.columns})
+
+
+@query(
+    "j07_promote_due",
+    f"""SELECT video_id, CASE WHEN d THEN 'metadata_ok' ELSE status END AS status, CASE WHEN d THEN recheck_count + 1 ELSE recheck_count END AS recheck_count, CASE WHEN NOT d THEN recheck_after END AS recheck_after
+    FROM (SELECT *, coalesce(status IN ('no_transcript', 'lang_missing') AND recheck_after <= TIMESTAMP '{AS_OF}' AND recheck_count < 4, false) AS d FROM v_videos)""",
+)
+def _(v: Views) -> DataFrame:
+    return promote_due(v.videos, AS_OF).select("video_id", "status", "recheck_count", "recheck_after")
+
+
 def legal_transitions(spark: SparkSession) -> DataFrame:
     return spark.createDataFrame([(a, b) for a, to in TRANSITIONS.items() for b in to], "before string, after string")
 
@@ -231,9 +354,15 @@ def delete_channel(channel, channels: DataFrame, videos: DataFrame, transcripts:
     return channels.where(F.col("channel_id") != channel), videos.where(F.col("channel_id") != channel), transcripts.join(gone, "video_id", "left_anti")
 
 
-@query("j12_delete_channel", "SELECT t.video_id FROM v_transcripts t JOIN v_videos v USING (video_id) WHERE channel_id <> 'src0'")
+@query(
+    "j12_delete_channel",
+    """SELECT 'transcript' AS kind, CAST(t.video_id AS VARCHAR) AS id FROM v_transcripts t JOIN v_videos v USING (video_id) WHERE channel_id <> 'src0'
+    UNION ALL SELECT 'video', CAST(video_id AS VARCHAR) FROM v_videos WHERE channel_id <> 'src0' UNION ALL SELECT 'channel', channel_id FROM v_channels WHERE channel_id <> 'src0'""",
+)
 def _(v: Views) -> DataFrame:
-    return delete_channel("src0", v.channels, v.videos, v.transcripts)[2].select("video_id")
+    kept = zip(("channel", "video", "transcript"), ("channel_id", "video_id", "video_id"), delete_channel("src0", v.channels, v.videos, v.transcripts))
+    rows = [t.select(F.lit(kind).alias("kind"), F.col(key).cast("string").alias("id")) for kind, key, t in kept]
+    return rows[0].union(rows[1]).union(rows[2])
 
 
 def prune_attempts(attempts: DataFrame, as_of: str, days: int) -> DataFrame:
@@ -254,8 +383,7 @@ def _(v: Views) -> DataFrame:
 )
 def _(v: Views) -> DataFrame:
     now = F.lit(AS_OF).cast("timestamp")
-    age = (F.unix_timestamp(now) - F.unix_timestamp("published_at")) / 86400
-    return v.videos.select("video_id", recheck_after(age, F.col("recheck_count"), now).alias("recheck_at"))
+    return v.videos.select("video_id", recheck_after(age_days(F.col("published_at"), now), F.col("recheck_count"), now).alias("recheck_at"))
 
 
 def union_listings(listings: list[DataFrame]) -> DataFrame:

@@ -7,12 +7,13 @@ import os
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merges import forward, merge, new_if_known, read_snapshot, write_snapshot
+from ..operators.merges import forward, logged_outcomes, merge, new_if_known, read_snapshot, write_snapshot
 from ..operators.reports import pacific_day
 from ..plans.registry import query
 from ..plans.staging import shared_dir
@@ -57,18 +58,26 @@ def quota_by_day(attempts: DataFrame) -> DataFrame:
     return attempts.groupBy(pacific_day().alias("day")).agg(F.sum("units").alias("units_used"))
 
 
+def soft_limit_alerts(attempts: DataFrame, budget: int, soft: float = 0.9) -> DataFrame:
+    """(day, units_used, over) of Pacific days so far, for update mode; ``over`` from the soft share of the budget on."""
+    return quota_by_day(attempts).withColumn("over", F.col("units_used") >= soft * budget)
+
+
+def _in_order(frames: Iterator[pd.DataFrame]) -> pd.DataFrame:
+    return pd.concat(list(frames)).sort_values(["started_at", "id"], ignore_index=True)
+
+
 def streak_alerts(attempts: DataFrame, k: int = 3, reopen_limit: int = 4) -> DataFrame:
     """(video_id, id, streak, level) of blocked attempts in a streak of k or more; the state of a video is its streak so far."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["started_at", "id"])
-        streak, out = (state.get[0] if state.exists else 0), []
-        for i, outcome in zip(rows["id"], rows["outcome"]):
-            streak = streak + 1 if outcome == "blocked" else 0
-            if streak >= k:
-                out.append((key[0], i, streak, min(streak - k, reopen_limit)))
-        state.update((streak,))
-        yield pd.DataFrame(out, columns=["video_id", "id", "streak", "level"])
+        rows = _in_order(frames)
+        blocked, place = (rows["outcome"] == "blocked").to_numpy(), np.arange(1, len(rows) + 1)
+        broken = np.maximum.accumulate(np.where(blocked, 0, place))  # the last place that ended a streak
+        streak = np.where(broken > 0, place - broken, place + (state.get[0] if state.exists else 0))
+        state.update((int(streak[-1]),))
+        hit = blocked & (streak >= k)
+        yield pd.DataFrame({"video_id": key[0], "id": rows["id"][hit], "streak": streak[hit].astype(np.int32), "level": np.minimum(streak[hit] - k, reopen_limit).astype(np.int32)})
 
     return attempts.groupBy("video_id").applyInPandasWithState(run, "video_id long, id long, streak int, level int", "streak int", "append", GroupStateTimeout.NoTimeout)
 
@@ -77,25 +86,68 @@ def live_states(attempts: DataFrame, ceiling: int = 5) -> DataFrame:
     """(video_id, status, attempts, needs_audio, recheck_count) after each batch: the batch fold, kept as a video's state."""
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        rows = pd.concat(list(frames)).sort_values(["started_at", "id"])
+        outcome = _in_order(frames)["outcome"]
+        outcome = outcome[outcome != "blocked"].to_numpy()
         status, n, audio, rechecks = state.get if state.exists else ("metadata_ok", 0, False, 0)
-        for outcome in rows["outcome"]:
-            if outcome == "blocked":
-                continue
-            n += 1
-            if outcome == "ok":
-                status, audio, rechecks = "transcript_ok", False, 0
-            elif outcome == "terminal":
-                status, audio, rechecks = "no_transcript", True, rechecks + 1
-            else:
-                status = "failed" if n >= ceiling else "retry"
-        state.update((status, n, audio, rechecks))
-        yield pd.DataFrame([(key[0], status, n, audio, rechecks)], columns=["video_id", "status", "attempts", "needs_audio", "recheck_count"])
+        if len(outcome):
+            n += len(outcome)
+            status = {"ok": "transcript_ok", "terminal": "no_transcript"}.get(outcome[-1], "failed" if n >= ceiling else "retry")
+            ok, terminal = np.flatnonzero(outcome == "ok"), np.flatnonzero(outcome == "terminal")
+            audio = (len(terminal) > 0 and (not len(ok) or terminal[-1] > ok[-1])) if len(ok) or len(terminal) else audio
+            rechecks = int((terminal > ok[-1]).sum()) if len(ok) else rechecks + len(terminal)
+        state.update((status, n, bool(audio), rechecks))
+        yield pd.DataFrame([(key[0], status, n, bool(audio), rechecks)], columns=["video_id", "status", "attempts", "needs_audio", "recheck_count"])
 
     kinds = "status string, attempts int, needs_audio boolean, recheck_count int"
     return attempts.groupBy("video_id").applyInPandasWithState(run, f"video_id long, {kinds}", kinds, "update", GroupStateTimeout.NoTimeout)
 
 
+def live_videos(attempts: DataFrame, ceiling: int = 5, max_rechecks: int = 4, late: str = LATE) -> DataFrame:
+    """(video_id, status, attempts, needs_audio, recheck_count, next_attempt_at, recheck_after, fired) after each batch: outcomes as in
+    ``apply_outcomes``, kept as a video's state with timers in event time.
+
+    ``attempts`` has the columns of ``apply_outcomes`` and next_at (when a retry would be due if the attempt leads to one) and
+    recheck_at (when a recheck would be due), which are expressions of the row and its video. A timer fires when the watermark
+    passes it: a due retry is eligible (its time is cleared), a due recheck puts the video back as metadata_ok and counts."""
+    moment = lambda t: None if t is None or pd.isna(t) else int(pd.Timestamp(t).value // 1000)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        status, n, audio, rechecks, retry_at, recheck_at = state.get if state.exists else ("metadata_ok", 0, False, 0, None, None)
+        fired = None
+        if state.hasTimedOut:
+            now = state.getCurrentWatermarkMs() * 1000
+            if recheck_at is not None and recheck_at <= now and rechecks < max_rechecks:
+                status, rechecks, recheck_at, retry_at, fired = "metadata_ok", rechecks + 1, None, None, "recheck"
+            elif retry_at is not None and retry_at <= now:
+                retry_at, fired = None, "retry"
+        else:
+            rows = _in_order(frames)
+            said, judged = rows[rows["outcome"] != "blocked"], rows[rows["outcome"].isin(["ok", "terminal"])]
+            n += len(said)
+            retry_at = None
+            if len(said):
+                last = said.iloc[-1]
+                failed = n >= min(ceiling, int(last["max_attempts"]))
+                status = {"ok": "transcript_ok", "terminal": last["target"]}.get(last["outcome"], "failed" if failed else "retry")
+                if rows.iloc[-1]["outcome"] == "retryable" and not failed:
+                    retry_at = moment(last["next_at"])
+            if len(judged):
+                last = judged.iloc[-1]
+                audio = bool(last["outcome"] == "terminal" and last["needs_audio"])
+                recheck_at = moment(last["recheck_at"]) if last["outcome"] == "terminal" and last["recheck"] and rechecks < max_rechecks else None
+        state.update((status, n, audio, rechecks, retry_at, recheck_at))
+        due = [t for t in (retry_at, recheck_at) if t is not None]
+        if due:
+            state.setTimeoutTimestamp(max(min(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
+        stamp = lambda t: pd.NaT if t is None else pd.Timestamp(t * 1000)
+        yield pd.DataFrame([(key[0], status, n, audio, rechecks, stamp(retry_at), stamp(recheck_at), fired)], columns=["video_id", "status", "attempts", "needs_audio", "recheck_count", "next_attempt_at", "recheck_after", "fired"])
+
+    kept = "status string, attempts int, needs_audio boolean, recheck_count int"
+    out = f"video_id long, {kept}, next_attempt_at timestamp, recheck_after timestamp, fired string"
+    marked = attempts.withWatermark("started_at", late)
+    return marked.groupBy("video_id").applyInPandasWithState(run, out, f"{kept}, retry_at long, recheck_at long", "update", GroupStateTimeout.EventTimeTimeout)
+
+
 def log_tail(lines: DataFrame) -> DataFrame:
     """A text stream of log lines: level and event of JSON objects, everything else as a raw event. Writers rename complete files in."""
     parsed = F.from_json("value", "struct<level:string,event:string,run_id:bigint,video_id:string>")
@@ -172,6 +224,37 @@ def _(v: Views) -> DataFrame:
     return drained(streak_alerts(events_stream(v.spark, v.sf_dir), 2))
 
 
+def timed_outcomes(attempts: DataFrame) -> DataFrame:
+    """The views' attempts with fixed delays: a retry is due after 40 hours, a recheck after 6."""
+    rows = logged_outcomes(attempts)
+    return rows.withColumn("next_at", F.col("started_at") + F.expr("interval 40 hours")).withColumn("recheck_at", F.col("started_at") + F.expr("interval 6 hours"))
+
+
+@query(
+    "l05_live_videos",
+    """WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY started_at, id) AS n, (['no_transcript', 'lang_missing', 'age_restricted', 'unavailable', 'skipped'])[id % 5 + 1] AS target, CASE WHEN id % 7 = 0 THEN 2 ELSE 5 END AS most FROM v_attempts),
+    f AS (SELECT DISTINCT video_id, 0 AS n, 'metadata_ok' AS status, 0 AS attempts, false AS needs_audio, CAST(NULL AS TIMESTAMP) AS retry_at, CAST(NULL AS TIMESTAMP) AS recheck_at FROM t UNION ALL
+      SELECT f.video_id, t.n, CASE outcome WHEN 'ok' THEN 'transcript_ok' WHEN 'terminal' THEN target WHEN 'retryable' THEN CASE WHEN attempts + 1 >= most THEN 'failed' ELSE 'retry' END ELSE status END,
+        CASE WHEN outcome = 'blocked' THEN attempts ELSE attempts + 1 END, CASE outcome WHEN 'ok' THEN false WHEN 'terminal' THEN target = 'no_transcript' ELSE needs_audio END,
+        CASE WHEN outcome = 'retryable' AND attempts + 1 < most THEN started_at + INTERVAL 40 HOUR END, CASE WHEN outcome IN ('retryable', 'blocked') THEN recheck_at WHEN outcome = 'terminal' AND target IN ('no_transcript', 'lang_missing') THEN started_at + INTERVAL 6 HOUR END
+      FROM f JOIN t ON t.video_id = f.video_id AND t.n = f.n + 1),
+    s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC) = 1), d AS (SELECT *, recheck_at < (SELECT max(started_at) - INTERVAL 10 MINUTE FROM v_attempts) AS due FROM s)
+    SELECT video_id, CASE WHEN due THEN 'metadata_ok' ELSE status END AS status, attempts, needs_audio, CASE WHEN due THEN 1 ELSE 0 END AS recheck_count, CASE WHEN NOT coalesce(due, false) AND retry_at >= (SELECT max(started_at) - INTERVAL 10 MINUTE FROM v_attempts) THEN retry_at END AS next_attempt_at,
+      CASE WHEN NOT due THEN recheck_at END AS recheck_after FROM d""",
+)
+def _(v: Views) -> DataFrame:
+    rows = drained(live_videos(timed_outcomes(events_stream(v.spark, v.sf_dir))), "update")
+    columns = ["status", "attempts", "needs_audio", "recheck_count", "next_attempt_at", "recheck_after"]
+    last = rows.groupBy("video_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
+    return last.select("video_id", "s.*")
+
+
+@query("l08_soft_limit", "SELECT CAST(timezone('America/Los_Angeles', timezone('UTC', started_at)) AS DATE) AS day, CAST(sum(units) AS BIGINT) AS units_used, sum(units) >= 0.9 * 20000 AS over FROM v_attempts GROUP BY day")
+def _(v: Views) -> DataFrame:
+    rows = drained(soft_limit_alerts(events_stream(v.spark, v.sf_dir), 20_000), "update")
+    return rows.groupBy("day").agg(F.max_by(F.struct("units_used", "over"), "batch").alias("s")).select("day", "s.*")
+
+
 @query("l07_deduplicated", "SELECT DISTINCT video_id, run_id, started_at FROM v_attempts")
 def _(v: Views) -> DataFrame:
     rows = events_stream(v.spark, v.sf_dir)
