@@ -4,7 +4,7 @@ Texts are split into words where they lie, and runs of texts become chunks: the
 their hash, and the texts as numbers of places in that list. Lists are cut by ranges of the hash into parts, whose number follows
 the distinct words. A part's distinct words are encoded once each, their ids are joined with the id-to-piece table (whose size is
 the vocabulary's), and ids and decoded words go back to the chunks in the order of their lists, so that they are joined to the
-texts by position. No text is shuffled; lists travel compressed.
+texts by position. No text is shuffled; lists travel compressed, and chunks lie in buckets, so that only what comes back moves.
 
 Defined results: null text counts as empty and has no ids; an empty table gives no rows; repeated rows and null ids are
 returned like others, each in the chunk where it lies; a very long text makes a chunk of its own; there are no ties (words of
@@ -18,6 +18,7 @@ import functools
 import hashlib
 import re
 import unicodedata
+import uuid
 import zlib
 from collections.abc import Callable, Iterable, Iterator
 
@@ -29,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import read, shared_dir
 
 #: Characters of text in a chunk, about; a longer document makes a longer chunk.
 CHUNK_CHARS = 8_000_000
@@ -121,11 +122,22 @@ def _hash(word: str) -> int:
     return zlib.crc32(word.encode("utf-8", "surrogatepass"))
 
 
-CHUNKS = "chunk long, ids array<{kind}>, lengths binary, numbers binary, words binary, hashes binary, n_words long, sampled array<long>"
+def _pack_ranks(x: np.ndarray) -> bytes:
+    """Mostly small numbers, as low and high halves."""
+    return zstandard.compress((x & 0xFFFF).astype("<u2").tobytes() + (x >> 16).astype("<u2").tobytes(), 3)
+
+
+def _unpack_ranks(packed: bytes) -> np.ndarray:
+    low, high = np.frombuffer(zstandard.decompress(packed), "<u2").astype(np.int64).reshape(2, -1)
+    return high << 16 | low
+
+
+CHUNKS = "chunk long, ids array<{kind}>, lengths binary, ranks binary, places binary, words binary, n_words long, sampled array<long>"
 
 
 def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str, chunk_chars: int) -> DataFrame:
-    """Runs of texts as places in the list of their distinct words, which goes by hash and word."""
+    """Runs of texts as ranks of their words by frequency, the place of each rank in the list of distinct words, and that list, which
+    goes by hash and word."""
     kind = documents.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -135,13 +147,16 @@ def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str,
         def chunk() -> pa.RecordBatch:
             doc_ids = pa.concat_arrays(ids)
             words = sorted(zip(map(_hash, number), number))
-            place = np.zeros(len(words), np.uint32)
+            place = np.zeros(len(words), np.int64)
             place[[number[w] for _, w in words]] = np.arange(len(words))
-            hashes = np.array([h for h, _ in words], np.int64)
-            packed = [_pack(np.array([len(x) for x in numbers])), _pack(place[np.concatenate(numbers)]), _pack_words([w for _, w in words]), _pack(hashes)]
+            flat = np.concatenate(numbers)
+            often = np.argsort(-np.bincount(flat, minlength=len(words)), kind="stable")
+            rank = np.zeros(len(words), np.int64)
+            rank[often] = np.arange(len(words))
+            packed = [_pack(np.array([len(x) for x in numbers])), _pack_ranks(rank[flat]), _pack(place[often]), _pack_words([w for _, w in words])]
             columns = [pa.array([task << 32 | done], pa.int64()), pa.ListArray.from_arrays(pa.array([0, len(doc_ids)], pa.int32()), doc_ids), *(pa.array([x], pa.binary()) for x in packed)]
-            columns += [pa.array([len(words)], pa.int64()), pa.array([hashes[hashes % SAMPLED == 0]], pa.list_(pa.int64()))]
-            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "lengths", "numbers", "words", "hashes", "n_words", "sampled"])
+            columns += [pa.array([len(words)], pa.int64()), pa.array([[h for h, _ in words if h % SAMPLED == 0]], pa.list_(pa.int64()))]
+            return pa.RecordBatch.from_arrays(columns, names=["chunk", "ids", "lengths", "ranks", "places", "words", "n_words", "sampled"])
 
         for batch in batches:
             first = 0
@@ -163,20 +178,30 @@ def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str,
     return docs.mapInArrow(run, CHUNKS.format(kind=kind))
 
 
+def bucketed(chunks: DataFrame) -> DataFrame:
+    """``chunks`` written to the shared folder in buckets of their number, so that what comes back to them meets them without moving
+    them again."""
+    spark, name = chunks.sparkSession, f"bpe_chunks_{uuid.uuid4().hex}"
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    chunks.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
+    return spark.table(name)
+
+
 def _lists(chunks: DataFrame, parts: int) -> DataFrame:
     """(chunk, part, words): the lists of distinct words cut by ranges of their hashes."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.to_pylist():
-                if not r["n_words"]:
+            for chunk, packed, n in zip(*(batch.column(c) for c in ("chunk", "words", "n_words"))):
+                if not n.as_py():
                     continue
-                words, part = _unpack_words(r["words"]), _unpack(r["hashes"]) * parts >> 32
+                words = _unpack_words(packed.as_py())
+                part = np.fromiter(map(_hash, words), np.int64, len(words)) * parts >> 32
                 at = np.flatnonzero(np.diff(part, prepend=-1)).tolist()
                 cut = [_pack_words(words[lo:hi]) for lo, hi in zip(at, [*at[1:], len(words)])]
-                yield pa.RecordBatch.from_arrays([pa.array([r["chunk"]] * len(at), pa.int64()), pa.array(part[at], pa.int32()), pa.array(cut, pa.binary())], names=["chunk", "part", "words"])
+                yield pa.RecordBatch.from_arrays([pa.array([chunk.as_py()] * len(at), pa.int64()), pa.array(part[at], pa.int32()), pa.array(cut, pa.binary())], names=["chunk", "part", "words"])
 
-    return chunks.select("chunk", "words", "hashes", "n_words").mapInArrow(run, "chunk long, part int, words binary")
+    return chunks.select("chunk", "words", "n_words").mapInArrow(run, "chunk long, part int, words binary")
 
 
 PIECES = "part int, number int, pos int, id int, words binary"
@@ -229,7 +254,7 @@ def word_table(lists: DataFrame, where: str | None = None) -> DataFrame:
         if held:
             yield done()
 
-    ids = lists.select("part", "words").groupBy("part").applyInArrow(encode, PIECES)
+    ids = lists.groupBy("part").applyInArrow(encode, PIECES)
     return ids.join(F.broadcast(pieces(lists.sparkSession, where)), "id", "left").mapInArrow(gather, "part int, words binary, sizes binary, ids binary, texts binary")
 
 
@@ -255,43 +280,56 @@ class Chunk:
 
     def __init__(self, rows: pa.Table, found: pa.Table) -> None:
         self.doc_ids = rows.column("ids").combine_chunks().flatten()
-        lengths, numbers = _unpack(rows.column("lengths")[0].as_py()), _unpack(rows.column("numbers")[0].as_py())
-        self.ids: list[list[int]] = []
-        self.text: list[str] = []
-        for r in sorted(found.to_pylist(), key=lambda r: r["part"]):
-            size, flat = _unpack(r["sizes"]), _unpack(r["ids"]).tolist()
-            end = np.cumsum(size).tolist()
-            self.ids += [flat[e - n : e] for e, n in zip(end, size.tolist())]
-            self.text += _unpack_words(r["texts"])
-        self.size = np.array([len(x) for x in self.ids], np.int64)
-        tokens = self.size[numbers] if len(numbers) else numbers
+        lengths, ranks = _unpack(rows.column("lengths")[0].as_py()), _unpack_ranks(rows.column("ranks")[0].as_py())
+        numbers = _unpack(rows.column("places")[0].as_py())[ranks]
+        order = np.argsort(found.column("part").to_numpy()) if len(found) else []
+        parts = lambda c: [found.column(c)[int(i)].as_py() for i in order]
+        self.size = np.concatenate([np.zeros(0, np.int64), *map(_unpack, parts("sizes"))])
+        self.flat = np.concatenate([np.zeros(0, np.int64), *map(_unpack, parts("ids"))])
+        self.text = [t for x in parts("texts") for t in _unpack_words(x)]
+        tokens = self.size[numbers]
         full, tokens = tokens > 0, np.concatenate([[0], np.cumsum(tokens)])
         before, end = np.concatenate([[0], np.cumsum(full)]), np.cumsum(lengths)
         self.n_tokens = tokens[end] - tokens[end - lengths]
         self.numbers, self.bounds = numbers[full], list(zip(before[end - lengths].tolist(), before[end].tolist()))
 
-    def documents(self) -> Iterator[list[int]]:
+    def decimal(self) -> list[str]:
+        """The ids of each word in decimal, joined by spaces."""
+        ids = map(str, self.flat.tolist())
+        return [next(ids) if n == 1 else " ".join([next(ids) for _ in range(n)]) for n in self.size.tolist()]
+
+    def documents(self) -> Iterator[np.ndarray]:
         """For each document the numbers of its words, without those that have no ids."""
         for lo, hi in self.bounds:
-            yield self.numbers[lo:hi].tolist()
+            yield self.numbers[lo:hi]
+
+    def document_ids(self) -> Iterator[np.ndarray]:
+        start = np.cumsum(self.size) - self.size
+        for words in self.documents():
+            n = self.size[words]
+            yield self.flat[np.repeat(start[words] - np.cumsum(n) + n, n) + np.arange(n.sum())]
 
 
 def encoded(documents: DataFrame, per_chunk: Callable[[Chunk], pa.Table], schema: str, where: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """Apply ``per_chunk`` to the chunks of ``documents``, with the ids and decoded words joined back by position."""
-    chunks = table(chunked(documents, where, id_col, text_col, chunk_chars), "bpe-chunks")
+    chunks = bucketed(chunked(documents, where, id_col, text_col, chunk_chars))
     listed = chunks.agg(F.coalesce(F.sum("n_words"), F.lit(0))).first()[0]
     distinct = SAMPLED * chunks.select(F.explode("sampled").alias("hash")).distinct().count()
     parts = max(distinct // PART_WORDS + 1, min(LEAST_PARTS, listed // LEAST_WORDS + 1))
     turns = listed // parts // TASK_WORDS + 1
     lists = _lists(chunks, parts)
     known = word_table(lists, where).withColumn("of_turn", F.explode(F.sequence(F.lit(0), F.lit(turns - 1))))
-    dealt = lists.withColumn("turn", F.pmod(F.xxhash64("chunk"), F.lit(turns)).cast("int"))
-    back = dealt.groupBy("part", "turn").cogroup(known.withColumnRenamed("part", "of_part").groupBy("of_part", "of_turn")).applyInArrow(_look_up, "of_chunk long, part int, sizes binary, ids binary, texts binary")
+    known = known.withColumnRenamed("part", "of_part")
+    if turns == 1:  # both use one shuffle of the lists
+        asked = lists.groupBy("part").cogroup(known.groupBy("of_part"))
+    else:
+        asked = lists.withColumn("turn", F.pmod(F.xxhash64("chunk"), F.lit(turns)).cast("int")).groupBy("part", "turn").cogroup(known.groupBy("of_part", "of_turn"))
+    back = asked.applyInArrow(_look_up, "of_chunk long, part int, sizes binary, ids binary, texts binary")
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
         return per_chunk(Chunk(rows, found))
 
-    return chunks.select("chunk", "ids", "lengths", "numbers").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(run, schema)
+    return chunks.select("chunk", "ids", "lengths", "ranks", "places").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(run, schema)
 
 
 def pieces(spark, where: str | None = None) -> DataFrame:
@@ -304,7 +342,7 @@ def token_ids(documents: DataFrame, where: str | None = None, id_col: str = "doc
     """doc_id and its ids as an array, a row for each row of ``documents``."""
 
     def out(c: Chunk) -> pa.Table:
-        return pa.table({"doc_id": c.doc_ids, "ids": pa.array([[i for w in words for i in c.ids[w]] for words in c.documents()], pa.list_(pa.int32()))})
+        return pa.table({"doc_id": c.doc_ids, "ids": pa.array([x.astype(np.int32) for x in c.document_ids()], pa.list_(pa.int32()))})
 
     kind = documents.schema[id_col].dataType.simpleString()
     return encoded(documents, out, f"doc_id {kind}, ids array<int>", where, id_col, text_col)
@@ -324,10 +362,10 @@ def digests(documents: DataFrame, where: str | None = None, id_col: str = "doc_i
     """doc_id, n_tokens, ids_sha256, decoded_sha256. The ids and the decoded text of a document exist only inside its chunk's task."""
 
     def out(c: Chunk) -> pa.Table:
-        decimal, text = [" ".join(map(str, x)) for x in c.ids], c.text
+        decimal, text = c.decimal(), c.text
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         ids, decoded = [], []
-        for words in c.documents():
+        for words in map(np.ndarray.tolist, c.documents()):
             ids.append(sha(" ".join([decimal[w] for w in words])))
             decoded.append(sha(" ".join([text[w] for w in words])))
         return pa.table({"doc_id": c.doc_ids, "n_tokens": pa.array(c.n_tokens), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
