@@ -69,6 +69,10 @@ class Views:
             F.col("text").alias("plaintext"),
             F.size(F.filter(F.split("text", SPACES), lambda w: w != "")).cast("long").alias("words"),
             F.length("text").cast("long").alias("chars"),
+            (F.col("doc_id") % 40).alias("segment_count"),
+            F.when(F.col("doc_id") % 6 != 0, F.col("doc_id") % 900 / 4).alias("covered_seconds"),
+            F.when(F.col("doc_id") % 4 == 0, "whisper").otherwise("captions").alias("origin"),
+            F.when(F.col("doc_id") % 4 != 0, F.concat(F.col("source"), F.lit("/"), F.col("doc_id").cast("string"))).alias("raw_path"),
         )
 
     @cached_property
@@ -136,7 +140,9 @@ SQL = {
     "v_transcripts": """v_transcripts AS (
   SELECT doc_id AS id, doc_id AS video_id, lang AS language_code, CASE WHEN doc_id % 2 = 0 THEN 'manual' ELSE 'asr' END AS kind,
     true AS is_preferred, text AS plaintext,
-    CAST(len(list_filter(string_split_regex(text, '[\\s\\p{Z}]+'), lambda w: w <> '')) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars
+    CAST(len(list_filter(string_split_regex(text, '[\\s\\p{Z}]+'), lambda w: w <> '')) AS BIGINT) AS words, CAST(length(text) AS BIGINT) AS chars,
+    doc_id % 40 AS segment_count, CASE WHEN doc_id % 6 <> 0 THEN doc_id % 900 / 4 END AS covered_seconds, CASE WHEN doc_id % 4 = 0 THEN 'whisper' ELSE 'captions' END AS origin,
+    CASE WHEN doc_id % 4 <> 0 THEN source || '/' || doc_id END AS raw_path
   FROM documents)""",
     "v_channels": """v_channels AS (
   SELECT source AS channel_id, '@' || source AS handle, NOT ends_with(source, '3') AS is_enabled, count(*) AS reported_video_count

@@ -2,21 +2,38 @@
 
 from __future__ import annotations
 
+import gzip
+import re
+from collections.abc import Iterator
+
+import pandas as pd
+import pyarrow as pa
+from pyarrow import fs
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.functions import pandas_udf
 
 from .functions.text import clock
 from .operators.catalog import audio_queue
 from .operators.reports import export_rows, watch_url
 from .plans.registry import query
 from .plans.views import Views
+from .sources.captions import archive_path, safe_language
 
-JSON_FIELDS = ("video_id", "channel_id", "channel_handle", "title", "published_at", "duration_seconds", "view_count", "url", "language_code", "kind", "words", "chars", "text")
-CSV_FIELDS = tuple(f for f in JSON_FIELDS if f != "text")
+#: The fields of exported records and the form of a text record.
+JSON_FIELDS = ("video_id", "channel_id", "channel_handle", "title", "published_at", "duration_seconds", "view_count", "url", "language_code", "kind", "segment_count", "word_count", "covered_seconds", "source", "text")
+CSV_FIELDS = ("video_id", "channel_id", "channel_handle", "title", "published_at", "duration_seconds", "view_count", "status", "language_code", "kind", "segment_count", "word_count", "char_count", "covered_seconds", "source", "url", "raw_path")
+TEXT_HEADER = ("# {title}", "# {url}", "# channel: {channel}", "# published: {date}", "# language: {language} ({kind})")
+RULE = "-" * 72
 
 
 def with_link(rows: DataFrame) -> DataFrame:
-    return rows.withColumn("url", watch_url(F.col("video_id"))).withColumn("text", F.coalesce("plaintext", F.lit("")))
+    """``export_rows`` with the names and forms of exported fields; a missing text is an empty one, a missing date stays null."""
+    names = {"words": "word_count", "chars": "char_count", "origin": "source"}
+    out = rows.select(*(F.col(c).alias(names.get(c, c)) for c in rows.columns if c != "plaintext"), F.coalesce("plaintext", F.lit("")).alias("text"))
+    return out.withColumns({"url": watch_url(F.col("video_id")), "published_at": F.date_format("published_at", "yyyy-MM-dd'T'HH:mm:ss")})
 
 
 def json_record(rows: DataFrame) -> Column:
@@ -25,9 +42,12 @@ def json_record(rows: DataFrame) -> Column:
 
 def text_record() -> Column:
     """Five lines of header, the body, a rule."""
-    date = F.coalesce(F.date_format("published_at", "yyyy-MM-dd"), F.lit("undated"))
-    head = F.concat_ws("\n", F.concat(F.lit("# "), F.coalesce("title", F.lit("(untitled)"))), F.concat(F.lit("video: "), F.col("video_id").cast("string")), F.concat(F.lit("channel: "), F.coalesce("channel_handle", "channel_id")), F.concat(F.lit("date: "), date), F.concat(F.lit("url: "), F.col("url")))
-    return F.concat(head, F.lit("\n\n"), F.col("text"), F.lit("\n\n" + "-" * 72 + "\n"))
+    known = {"title": F.coalesce("title", F.col("video_id").cast("string")), "url": F.col("url"), "channel": F.coalesce("channel_handle", "channel_id"), "date": F.coalesce("published_at", F.lit("unknown")), "language": F.coalesce("language_code", F.lit("")), "kind": F.coalesce("kind", F.lit(""))}
+    head = []
+    for line in TEXT_HEADER:
+        parts = re.split(r"\{(\w+)\}", line)
+        head.append(F.concat(*(known[x] if k % 2 else F.lit(x) for k, x in enumerate(parts) if x)))
+    return F.concat(F.concat_ws("\n", *head), F.lit("\n\n"), F.col("text"), F.lit(f"\n\n{RULE}\n"))
 
 
 def export_json(rows: DataFrame, path: str) -> None:
@@ -43,10 +63,32 @@ def export_text(rows: DataFrame, path: str) -> None:
     with_link(rows).select(text_record().alias("value")).write.text(path)
 
 
-def export_per_video(rows: DataFrame, path: str) -> None:
-    """A folder per channel and video. Rows of a video lie together, so each file is written once."""
-    out = with_link(rows).select("channel_id", "video_id", text_record().alias("value"))
-    out.repartition("channel_id", "video_id").sortWithinPartitions("channel_id", "video_id").write.partitionBy("channel_id", "video_id").text(path)
+def write_files(rows: DataFrame, base: str) -> int:
+    """Write each row (path, content binary) as a file of its own below ``base``, where the rows lie, and return how many. A file gets
+    its name when it is complete, so a task that is run again or lost leaves no half of one."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, root = fs.FileSystem.from_uri(base)
+        made: set[str] = set()
+        for batch in batches:
+            for path, content in zip(batch.column("path"), batch.column("content")):
+                name = f"{root}/{path.as_py()}"
+                folder = name.rpartition("/")[0]
+                if folder not in made:
+                    store.create_dir(folder, recursive=True)
+                    made.add(folder)
+                with store.open_output_stream(f"{name}.{TaskContext.get().taskAttemptId()}.part", compression=None) as out:
+                    out.write(content.as_buffer())
+                store.move(f"{name}.{TaskContext.get().taskAttemptId()}.part", name)
+            yield pa.RecordBatch.from_pydict({"n": pa.array([len(batch)], pa.int64())})
+
+    return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+
+
+def export_per_video(rows: DataFrame, path: str) -> int:
+    """<channel>/<video>.<language>.txt for each row; returns how many were written."""
+    name = F.concat_ws("/", F.coalesce("channel_id", F.lit("unknown")), F.concat(F.col("video_id").cast("string"), F.lit("."), safe_language(F.coalesce("language_code", F.lit(""))), F.lit(".txt")))
+    return write_files(with_link(rows).select(name.alias("path"), text_record().cast("binary").alias("content")), path)
 
 
 def export_audio_queue(videos: DataFrame, path: str) -> DataFrame:
@@ -70,43 +112,79 @@ def corpus_text(paragraphs: DataFrame) -> DataFrame:
 
 
 def write_corpus(paragraphs: DataFrame, manifest: DataFrame, path: str, min_words: int = 250) -> None:
-    """Bodies with their header, and the manifest with flags for short and long videos; videos without a body are failures."""
+    """Bodies with their header, a file for each video, and the manifest with flags for short and long videos; videos without a body
+    are failures."""
     bodies = corpus_text(paragraphs)
     flags = F.filter(F.array(F.when(F.col("word_count") < min_words, "short"), F.when(F.col("duration_seconds") > 5400, "long_form")), lambda x: x.isNotNull())
     rows = manifest.withColumn("flags", flags).join(bodies, "video_id", "left")
     found = rows.where("body is not null")
-    found.select("video_id", F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n---\n"), F.col("body")).alias("value")).write.partitionBy("video_id").text(f"{path}/bodies")
+    content = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n---\n"), F.col("body"), F.lit("\n"))
+    write_files(found.select(F.concat(F.col("video_id").cast("string"), F.lit(".txt")).alias("path"), content.cast("binary").alias("content")), f"{path}/bodies")
     found.drop("body").write.parquet(f"{path}/manifest")
     rows.where("body is null").select("video_id").write.json(f"{path}/failures")
 
 
 def archive_records(cues: DataFrame) -> DataFrame:
-    """One archive row per video, segments in time order, with a hash of its content."""
-    out = cues.groupBy("video_id").agg(F.array_sort(F.collect_list(F.struct("start", "duration", "text"))).alias("segments"))
+    """One archive row per video (and per language_code and kind, if ``cues`` has them), segments in time order, with a hash of its
+    content."""
+    keys = [c for c in ("channel_id", "video_id", "language_code", "kind", "source") if c in cues.columns]
+    out = cues.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("start", "duration", "text"))).alias("segments"))
     return out.withColumn("segment_count", F.size("segments")).withColumn("content_sha256", F.sha2(F.to_json("segments"), 256))
 
 
-def write_archive(cues: DataFrame, path: str) -> None:
-    archive_records(cues).write.option("compression", "gzip").partitionBy("video_id").json(path)
+@pandas_udf(T.BinaryType())
+def gzipped(s: pd.Series) -> pd.Series:
+    """Without a time, so equal contents make equal files."""
+    return s.map(lambda x: None if x is None else gzip.compress(x.encode(), mtime=0))
+
+
+def write_archive(cues: DataFrame, path: str) -> int:
+    """<channel>/<video>.<language>.<kind>.json.gz for each variant; returns how many were written. ``cues`` has channel_id,
+    video_id, language_code, kind and the segments' columns."""
+    rows = archive_records(cues)
+    content = F.to_json(F.struct(*(c for c in ("video_id", "language_code", "kind", "source", "segment_count", "segments") if c in rows.columns)))
+    name = archive_path(F.coalesce("channel_id", F.lit("unknown")), F.col("video_id"), F.coalesce("language_code", F.lit("")), F.coalesce("kind", F.lit("")))
+    return write_files(rows.select(name.alias("path"), gzipped(content).alias("content")), path)
+
+
+_EXPORTED = "v_transcripts t JOIN v_videos v USING (video_id) LEFT JOIN v_channels c USING (channel_id)"
+_DATE = "strftime(published_at, '%Y-%m-%dT%H:%M:%S')"
 
 
 @query(
     "b01_json_records",
-    """SELECT video_id, 'https://www.youtube.com/watch?v=' || video_id AS url, length(plaintext) AS text_chars, c.handle AS channel_handle, published_at IS NULL AS undated FROM v_transcripts t JOIN v_videos v USING (video_id) LEFT JOIN v_channels c USING (channel_id)""",
+    f"""SELECT video_id, channel_id, c.handle AS channel_handle, title, {_DATE} AS published_at, duration_seconds, view_count, 'https://www.youtube.com/watch?v=' || video_id AS url, language_code, kind, segment_count,
+      words AS word_count, covered_seconds, origin AS source, coalesce(plaintext, '') AS text FROM {_EXPORTED}""",
 )
 def _(v: Views) -> DataFrame:
     rows = with_link(export_rows(v.transcripts, v.videos, v.channels))
-    back = rows.select(F.from_json(json_record(rows), "struct<video_id:bigint,url:string,text:string,channel_handle:string,published_at:string>").alias("j")).select("j.*")
-    return back.select("video_id", "url", F.length("text").cast("long").alias("text_chars"), "channel_handle", F.col("published_at").isNull().alias("undated"))
+    kinds = dict(rows.dtypes)
+    schema = ", ".join(f"{c} {kinds[c]}" for c in JSON_FIELDS)
+    return rows.select(F.from_json(json_record(rows), schema).alias("j")).select("j.*")
 
 
-@query("b03_text_records", "SELECT video_id, 5 + 1 + 2 + len(string_split(plaintext, chr(10))) AS lines FROM v_transcripts")
+@query(
+    "b02_csv_records",
+    f"""SELECT CAST(video_id AS VARCHAR) AS video_id, channel_id, coalesce(c.handle, '') AS channel_handle, coalesce(title, '') AS title, coalesce({_DATE}, '') AS published_at, CAST(duration_seconds AS VARCHAR) AS duration_seconds, CAST(view_count AS VARCHAR) AS view_count, status, language_code, kind,
+      CAST(segment_count AS VARCHAR) AS segment_count, CAST(words AS VARCHAR) AS word_count, CAST(chars AS VARCHAR) AS char_count, CAST(covered_seconds AS DOUBLE) AS covered_seconds, origin AS source, 'https://www.youtube.com/watch?v=' || video_id AS url, coalesce(raw_path, '') AS raw_path FROM {_EXPORTED}""",
+)
 def _(v: Views) -> DataFrame:
     rows = with_link(export_rows(v.transcripts, v.videos, v.channels))
-    return rows.select("video_id", (F.size(F.split(text_record(), "\n")) - 1).cast("long").alias("lines"))
+    line = F.to_csv(F.struct(*CSV_FIELDS), {"quoteAll": "true", "escape": '"'})
+    back = rows.select(F.from_csv(line, F.lit(", ".join(f"{c} string" for c in CSV_FIELDS)), {"escape": '"', "multiLine": "true"}).alias("c")).select("c.*")
+    return back.fillna("").withColumn("covered_seconds", F.col("covered_seconds").try_cast("double"))
+
+
+@query(
+    "b03_text_records",
+    f"""SELECT video_id, '# ' || coalesce(title, CAST(video_id AS VARCHAR)) || chr(10) || '# https://www.youtube.com/watch?v=' || video_id || chr(10) || '# channel: ' || coalesce(c.handle, channel_id) || chr(10) || '# published: ' || coalesce({_DATE}, 'unknown') || chr(10)
+      || '# language: ' || language_code || ' (' || kind || ')' || chr(10) || chr(10) || coalesce(plaintext, '') || chr(10) || chr(10) || repeat('-', 72) || chr(10) AS record FROM {_EXPORTED}""",
+)
+def _(v: Views) -> DataFrame:
+    return with_link(export_rows(v.transcripts, v.videos, v.channels)).select("video_id", text_record().alias("record"))
 
 
-@query("b07_archive_records", "SELECT video_id, count(*) AS segment_count, CAST(sum(length(text)) AS BIGINT) AS chars FROM v_cues GROUP BY video_id")
+@query("b07_archive_records", """SELECT video_id, count(*) AS segment_count, string_agg("start" || ' ' || text, chr(10) ORDER BY "start", duration, text) AS segments FROM v_cues GROUP BY video_id""")
 def _(v: Views) -> DataFrame:
-    total = F.aggregate("segments", F.lit(0).cast("long"), lambda a, x: a + F.length(x["text"]))
-    return archive_records(v.cues).select("video_id", F.col("segment_count").cast("long").alias("segment_count"), total.alias("chars"))
+    line = F.transform("segments", lambda x: F.concat_ws(" ", x["start"].cast("string"), x["text"]))
+    return archive_records(v.cues).select("video_id", F.col("segment_count").cast("long").alias("segment_count"), F.array_join(line, "\n").alias("segments"))

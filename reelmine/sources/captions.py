@@ -16,9 +16,12 @@ CUES = "array<struct<start:double,duration:double,text:string>>"
 
 
 def caption_files(spark: SparkSession, root: str) -> DataFrame:
-    """(file, suffix, content) of all caption files below ``root``; .gz is unpacked and does not count as a suffix."""
+    """(file, suffix, content) of all caption files below ``root``; .gz is unpacked and does not count as a suffix. A folder without
+    any is an error."""
     files = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", "*.{vtt,srt,json,txt,md,vtt.gz,srt.gz,json.gz,txt.gz,md.gz}").text(root, wholetext=True)
     name = F.col("_metadata.file_path")
+    if files.isEmpty():
+        raise FileNotFoundError(f"no caption files ({', '.join(SUFFIXES)}) below {root}")
     return files.select(name.alias("file"), F.lower(F.regexp_extract(name, r"\.([A-Za-z0-9]+)(?:\.gz)?$", 1)).alias("suffix"), F.col("value").alias("content"))
 
 
@@ -86,9 +89,12 @@ def cue_archive(spark: SparkSession, root: str) -> DataFrame:
     return rows.withColumn("channel_id", F.regexp_extract(F.col("_metadata.file_path"), r"/([^/]+)/[^/]+$", 1))
 
 
+def safe_language(language: Column) -> Column:
+    return F.left(F.regexp_replace(language, "[^A-Za-z0-9_-]", "_"), F.lit(16))
+
+
 def archive_path(channel: Column, video: Column, language: Column, kind: Column) -> Column:
-    safe = F.left(F.regexp_replace(language, "[^A-Za-z0-9_-]", "_"), F.lit(16))
-    return F.concat(channel, F.lit("/"), video.cast("string"), F.lit("."), safe, F.lit("."), kind, F.lit(".json.gz"))
+    return F.concat(channel, F.lit("/"), video.cast("string"), F.lit("."), safe_language(language), F.lit("."), kind, F.lit(".json.gz"))
 
 
 def file_metadata(path: Column) -> Column:

@@ -30,9 +30,13 @@ def test_exports(spark, rows, tmp_path):
     assert table.count() == 40 and "text" not in table.columns
     sinks.export_text(rows, f"{base}/text")
     text = "\n".join(r.value for r in spark.read.text(f"{base}/text").collect())
-    assert text.count("video: ") == 40 and text.count("-" * 72) == 40
-    sinks.export_per_video(rows, f"{base}/each")
-    assert sum(len([f for f in files if f.startswith("part-")]) for _, _, files in os.walk(tmp_path / "each")) == 40
+    assert text.count("# language: ") == 40 and text.count("-" * 72) == 40
+    assert sinks.export_per_video(rows, f"{base}/each") == 40
+    found = {f"{os.path.basename(d)}/{f}" for d, _, files in os.walk(tmp_path / "each") for f in files}
+    assert found == {f"{r.channel_id}/{r.video_id}.{r.language_code}.txt" for r in rows.collect()}
+    one = rows.first()
+    text = (tmp_path / "each" / one.channel_id / f"{one.video_id}.{one.language_code}.txt").read_text()
+    assert text.startswith(f"# {one.title}\n# https://www.youtube.com/watch?v={one.video_id}\n# channel: @{one.channel_id}\n") and one.plaintext in text
 
 
 def test_audio_queue_and_plan(spark, tmp_path):
@@ -52,9 +56,16 @@ def test_corpus_and_archive(spark, tmp_path):
     assert found.count() > 0 and all("short" in r.flags for r in found.collect())
     body = spark.read.text(f"file://{tmp_path}/corpus/bodies", wholetext=True).first().value
     assert body.startswith("# ") and "[00:00:00] " in body
-    sinks.write_archive(v.cues, f"file://{tmp_path}/archive")
-    again = spark.read.json(f"file://{tmp_path}/archive")
-    assert again.count() == v.cues.select("video_id").distinct().count()
+    variants = v.cues.withColumns({"channel_id": F.lit("ch"), "language_code": F.lit("pt-BR/x"), "kind": F.lit("asr"), "source": F.lit("captions")})
+    videos = v.cues.select("video_id").distinct().count()
+    for folder in ("archive", "archive2"):
+        assert sinks.write_archive(variants, f"file://{tmp_path}/{folder}") == videos
+    files = sorted((tmp_path / "archive" / "ch").iterdir())
+    assert len(files) == videos and files[0].name.endswith(".pt-BR_x.asr.json.gz") and all(f.read_bytes() == (tmp_path / "archive2" / "ch" / f.name).read_bytes() for f in files[:20])
+    again = captions.cue_archive(spark, f"file://{tmp_path}/archive")
+    assert again.count() == videos and again.where("size(segments) <> segment_count or channel_id <> 'ch'").isEmpty()
+    with pytest.raises(FileNotFoundError):
+        captions.caption_files(spark, f"file://{tmp_path}/archive/ch/none") if (tmp_path / "archive/ch/none").mkdir() is None else None
     (tmp_path / "store" / "ch").mkdir(parents=True)
     import gzip
 
