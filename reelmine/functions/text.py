@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
+#: The patterns of white space, sound marks, negations, card ids and their marks.
 SPACES = r"[\s\p{Z}]+"
 SOUND_MARK = r"(?i)\[(Music|Applause|Laughter|Sound|Silence)[^\]]*\]"
 NEGATION = r"(?i)\b(never|don'?t|not|no longer|avoid|stopped|without)\b"
@@ -59,11 +60,15 @@ def unescape(s: pd.Series) -> pd.Series:
 
 
 @pandas_udf(T.StringType())
-def composed(s: pd.Series) -> pd.Series:
-    """Unicode normal form C; there is no built-in for it."""
+def _composed(s: pd.Series) -> pd.Series:
     return s.map(lambda x: None if x is None else unicodedata.normalize("NFC", x))
 
 
+def composed(c: Column) -> Column:
+    """Unicode normal form C. There is no built-in for it; texts without letters beyond Latin-1 are in it already."""
+    return F.when(c.rlike(r"[^\x00-\xFF]"), _composed(c)).otherwise(c)
+
+
 def clean_caption(c: Column, entities: bool = True) -> Column:
     """Without tags, entities (the five named ones, without the Python step) and sound marks, white space collapsed."""
     bare = F.regexp_replace(c, r"<[^>]+>", "")
@@ -87,9 +92,9 @@ def norm_title(c: Column, boilerplate: str = r"(?i)\|\||#\w+|\b(official|part\s*
 
 
 def corpus_body(c: Column) -> Column:
-    """What follows the first line of three dashes, without [hh:mm:ss] marks."""
+    """What follows the first line of three dashes, without [hh:mm:ss] marks, in normal form C, white space collapsed."""
     at = F.instr(c, "\n---\n")
-    return collapse(F.regexp_replace(F.when(at > 0, F.substring(c, at + 5, F.length(c))).otherwise(c), r"\[\d{2}:\d{2}:\d{2}\]", " "))
+    return collapse(composed(F.regexp_replace(F.when(at > 0, F.substring(c, at + 5, F.length(c))).otherwise(c), r"\[\d{2}:\d{2}:\d{2}\]", " ")))
 
 
 def short_text(c: Column, size: int) -> Column:

@@ -10,9 +10,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import CARD_ID, NEGATION, collapse, words
+from ..functions.text import CARD_ID, NEGATION, collapse, composed, corpus_body, words
 from ..plans.registry import query
-from ..plans.staging import small
+from ..plans.staging import small, table
 from ..plans.views import Views
 from ..plans.vocabulary import CARD_TYPES
 
@@ -54,26 +54,35 @@ def validate(cards: DataFrame, manifest: DataFrame | None = None) -> DataFrame:
     return rows.select("id", F.explode(F.filter(F.array(*rules), lambda p: p.isNotNull())).alias("problem"))
 
 
-def ledger(cards: DataFrame, manifest: DataFrame) -> DataFrame:
-    """Per topic: cards, distinct videos, weight class, date span, histograms of type and strength, card ids."""
+def ledger(cards: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(per topic: cards, distinct videos, weight class, date span, histograms of type and strength; the topics' card ids as rows of
+    topic and card_id). A topic's cards are only ever counted, never listed in one value."""
     each = cards.join(manifest.select("video_id", "published_at"), "video_id", "left").select("id", "video_id", "type", F.coalesce("strength", F.lit("moderate")).alias("strength"), "published_at", F.explode("topics").alias("topic"))
     weight = F.when(F.col("cards") >= 30, "chapter").when(F.col("cards") >= 8, "section").when(F.col("cards") >= 3, "subsection").otherwise("footnote")
-    main = each.groupBy("topic").agg(F.count("*").alias("cards"), F.countDistinct("video_id").alias("videos"), F.min("published_at").alias("date_first"), F.max("published_at").alias("date_last"), F.array_sort(F.collect_list("id")).alias("card_ids"))
-    histogram = lambda c: each.groupBy("topic", c).agg(F.count("*").alias("n")).groupBy("topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"{c}s"))
-    return main.withColumn("weight", weight).join(histogram("type"), "topic").join(histogram("strength"), "topic")
+    # by topic and video first, so that a common topic is one row for each video and histogram cell
+    cell = each.groupBy("topic", "video_id", "type", "strength").agg(F.count("*").alias("n"), F.min("published_at").alias("since"), F.max("published_at").alias("until"))
+    main = cell.groupBy("topic").agg(F.sum("n").alias("cards"), F.countDistinct("video_id").alias("videos"), F.min("since").alias("date_first"), F.max("until").alias("date_last"))
+    histogram = lambda c: cell.groupBy("topic", c).agg(F.sum("n").alias("n")).groupBy("topic").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct(c, "n")))).alias(f"{c}s"))
+    return main.withColumn("weight", weight).join(histogram("type"), "topic").join(histogram("strength"), "topic"), each.select("topic", F.col("id").alias("card_id"))
 
 
-def contradictions(cards: DataFrame) -> DataFrame:
-    """(topic, a, b, shared): claims of different videos on one topic with opposite negation and three shared longer words.
+def contradictions(cards: DataFrame, least: int = 3) -> DataFrame:
+    """(topic, a, b, shared): claims of different videos on one topic with opposite negation and ``least`` shared longer words.
 
-    Pairs come from equal (topic, word) keys, never from all pairs of a topic. Self-declared revisions follow without a partner."""
+    Two claims that share so many words also share one that is not among the ``least`` - 1 commonest of either, so those are no
+    keys: pairs come from equal (topic, rarer word) keys, and a pair is counted on the claims' own lists of words. Self-declared
+    revisions follow without a partner."""
     rules = cards.where(F.col("type").isin("rule", "number", "procedure"))
     each = rules.select("id", "video_id", F.col("claim").rlike(NEGATION).alias("negative"), F.explode(F.array_distinct("topics")).alias("topic"), F.array_distinct(F.regexp_extract_all(F.lower("claim"), F.lit("([a-z]{5,})"), 1)).alias("w"))
-    word = each.select("topic", "id", "video_id", "negative", F.explode("w").alias("word"))
-    x, y = word.where("negative").toDF("topic", "x", "vx", "n", "word").drop("n"), word.where("not negative").toDF("topic", "y", "vy", "n", "word").drop("n")
-    both = x.join(y, ["topic", "word"]).where("vx <> vy").select("topic", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), "word")
-    found = both.groupBy("topic", "a", "b").agg(F.count("*").alias("n"), F.slice(F.array_sort(F.collect_set("word")), 1, 6).alias("shared")).where("n >= 3").drop("n")
-    one = found.groupBy("a", "b").agg(F.min_by(F.struct("topic", "shared"), "topic").alias("s")).select("s.topic", "a", "b", "s.shared")
+    each = table(each.where(F.size("w") >= least).groupBy("topic", "id", "video_id", "negative").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("w")), "claims")
+    word = each.select("topic", "id", "video_id", "negative", "w", F.explode("w").alias("word"))
+    often = word.groupBy("topic", "word").agg(F.count("*").alias("often"), F.bool_and("negative").alias("p"), F.bool_or("negative").alias("q")).where("p != q").drop("p", "q")
+    rank = F.row_number().over(Window.partitionBy("topic", "id", "video_id", "negative").orderBy(F.desc("often"), "word"))
+    rarer = word.join(often, ["topic", "word"]).withColumn("rank", rank).where(F.col("rank") >= least)
+    x, y = rarer.where("negative").select("topic", "word", F.col("id").alias("x"), F.col("video_id").alias("vx"), F.col("w").alias("wx")), rarer.where("not negative").select("topic", "word", F.col("id").alias("y"), F.col("video_id").alias("vy"), F.col("w").alias("wy"))
+    shared = F.array_intersect("wx", "wy")
+    both = x.join(y, ["topic", "word"]).where((F.col("vx") != F.col("vy")) & (F.size(shared) >= least)).select("topic", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.slice(F.array_sort(shared), 1, 6).alias("shared")).distinct()
+    one = both.groupBy("a", "b").agg(F.min(F.struct("topic", "shared")).alias("s")).select("s.topic", "a", "b", "s.shared")
     own = cards.where("type = 'contradiction'").select(F.array_join("topics", ",").alias("topic"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.array(F.lit("self-declared revision")).alias("shared"))
     return one.unionByName(own)
 
@@ -90,23 +99,23 @@ def fetch_cards(cards: DataFrame, manifest: DataFrame, topics: list[str] | None
     return rows.join(manifest.select("video_id", "title", "published_at"), "video_id", "left").orderBy(F.asc_nulls_last("published_at"), "video_id", "seconds", "id")
 
 
-@pandas_udf(T.StructType([T.StructField("score", T.DoubleType()), T.StructField("span", T.StringType())]))
-def best_window(anchor: pd.Series, text: pd.Series, wide: pd.Series) -> pd.DataFrame:
-    """The window of a text most similar to an anchor: windows of ``wide`` anchor lengths, a quarter length apart."""
+@pandas_udf(T.StructType([T.StructField("near", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("span", T.StringType())]))
+def best_windows(anchor: pd.Series, text: pd.Series) -> pd.DataFrame:
+    """The similarity of the best window of 1.4 anchor lengths, and that of 1.6 with its text, a quarter length apart. The wider one
+    is looked for only where it can matter."""
 
-    def best(a: str, t: str, w: float) -> tuple[float, str | None]:
+    def best(a: str, t: str, wide: float) -> tuple[float, str | None]:
         score, span, size = 0.0, None, len(a)
-        if not a or t is None:
-            return 0.0, None
         matcher = SequenceMatcher(None)
         matcher.set_seq1(a)
         for i in range(0, max(len(t) - size, 1), max(size // 4, 1)):
-            matcher.set_seq2(t[i : i + int(size * w)])
+            matcher.set_seq2(t[i : i + int(size * wide)])
             if matcher.real_quick_ratio() > score and matcher.quick_ratio() > score and (r := matcher.ratio()) > score:
-                score, span = r, t[i : i + int(size * w)]
+                score, span = r, t[i : i + int(size * wide)]
         return score, span
 
-    return pd.DataFrame([best(*x) for x in zip(anchor, text, wide)], columns=["score", "span"])
+    found = [(best(a, t, 1.4)[0], *best(a, t, 1.6)) if a and t is not None else (0.0, 0.0, None) for a, t in zip(anchor, text)]
+    return pd.DataFrame(found, columns=["near", "score", "span"])
 
 
 @pandas_udf(T.StringType())
@@ -124,16 +133,17 @@ def common_run(anchor: pd.Series, span: pd.Series) -> pd.Series:
 
 def check_anchors(cards: DataFrame, bodies: DataFrame) -> DataFrame:
     """(id, verdict, repaired): exact, fragments, near, missing or no transcript; near misses (0.7 or more) get the longest common
-    run of 20 characters or more. Only anchors that the exact steps leave over reach Python."""
-    text, anchor = F.col("body"), collapse(F.coalesce("anchor", F.lit("")))
-    rows = cards.select("id", "video_id", anchor.alias("a")).join(bodies.select("video_id", "body"), "video_id", "left")
+    run of 20 characters or more. Anchors and bodies are compared in Unicode normal form C. Only anchors that the exact steps leave
+    over reach Python, and only they carry a body on."""
+    text, anchor = F.col("body"), collapse(composed(F.coalesce("anchor", F.lit(""))))
+    rows = cards.select("id", "video_id", anchor.alias("a")).join(bodies.select("video_id", corpus_body(F.col("body")).alias("body")), "video_id", "left")
     parts = F.filter(F.transform(F.split("a", r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: F.length(p) > 8)
     quick = F.when(text.isNull(), "no transcript").when(F.col("a") == "", "missing").when(F.contains(text, F.col("a")), "exact").when((F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(text, p)), "fragments")
-    rows = rows.withColumn("verdict", quick)
-    left = rows.where("verdict is null").withColumn("w", best_window("a", "body", F.lit(1.4))).withColumn("r", best_window("a", "body", F.lit(1.6)))
-    run = F.when(F.col("r.score") >= 0.7, common_run("a", F.col("r.span")))
-    slow = left.select("id", F.when(F.col("w.score") >= 0.75, "near").otherwise("missing").alias("verdict"), F.when((F.length(run) >= 20) & F.contains(text, run), run).alias("repaired"))
-    return rows.where("verdict is not null").select("id", "verdict", F.lit(None).cast("string").alias("repaired")).unionByName(slow)
+    rows = rows.withColumn("verdict", quick).select("id", "verdict", F.when(F.col("verdict").isNull(), F.col("a")).alias("a"), F.when(F.col("verdict").isNull(), text).alias("body"))
+    rows = table(rows, "anchors").withColumn("w", best_windows("a", "body"))
+    run = F.when(F.col("w.score") >= 0.7, common_run("a", F.col("w.span")))
+    verdict = F.coalesce("verdict", F.when(F.col("w.near") >= 0.75, "near").otherwise("missing"))
+    return rows.withColumn("run", run).select("id", verdict.alias("verdict"), F.when((F.length("run") >= 20) & F.contains("body", "run"), F.col("run")).alias("repaired"))
 
 
 def verbatim_rate(checked: DataFrame) -> DataFrame:
@@ -166,6 +176,22 @@ def _(v: Views) -> DataFrame:
     return v.cards.groupBy("type").agg(F.count("*").alias("cards"), F.countDistinct("video_id").alias("videos"))
 
 
+def card_totals(cards: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: videos of the manifest, those with cards, cards, cards for each video that has some."""
+    per = cards.groupBy("video_id").agg(F.count("*").alias("n"))
+    both = manifest.select("video_id", F.lit(True).alias("listed")).distinct().join(per, "video_id", "full")
+    out = both.agg(F.count("listed").alias("manifest"), F.count_if(F.col("listed") & F.col("n").isNotNull()).alias("with_cards"), F.coalesce(F.sum("n"), F.lit(0)).alias("cards"), F.count("n").alias("carded"))
+    return out.select("manifest", "with_cards", "cards", F.round(F.col("cards") / F.greatest("carded", F.lit(1)), 1).alias("cards_per_video"))
+
+
+@query(
+    "e11_card_totals",
+    "SELECT (SELECT count(*) FROM v_videos) AS manifest, count(DISTINCT video_id) FILTER (video_id IN (SELECT video_id FROM v_videos)) AS with_cards, count(*) AS cards, round(count(*) / count(DISTINCT video_id), 1) AS cards_per_video FROM v_cards",
+)
+def _(v: Views) -> DataFrame:
+    return card_totals(v.cards, v.videos)
+
+
 @query("e11_top_topics", "SELECT topic, count(*) AS cards, count(DISTINCT video_id) AS videos FROM (SELECT video_id, unnest(topics) AS topic FROM v_cards) GROUP BY topic ORDER BY cards DESC, topic LIMIT 40")
 def _(v: Views) -> DataFrame:
     each = v.cards.select("video_id", F.explode("topics").alias("topic"))
@@ -176,12 +202,16 @@ def _(v: Views) -> DataFrame:
     "e12_ledger",
     """WITH e AS (SELECT c.*, published_at, unnest(topics) AS topic FROM v_cards c LEFT JOIN v_videos v USING (video_id))
     SELECT topic, count(*) AS cards, count(DISTINCT video_id) AS videos, CASE WHEN count(*) >= 30 THEN 'chapter' WHEN count(*) >= 8 THEN 'section' WHEN count(*) >= 3 THEN 'subsection' ELSE 'footnote' END AS weight, min(published_at) AS date_first, max(published_at) AS date_last,
-      array_to_string(list_sort(list(id)), ',') AS card_ids, count(*) FILTER (type = 'rule') AS rules, count(*) FILTER (coalesce(strength, 'moderate') = 'moderate') AS moderate FROM e GROUP BY topic""",
+      count(*) FILTER (type = 'rule') AS rules, count(*) FILTER (coalesce(strength, 'moderate') = 'moderate') AS moderate FROM e GROUP BY topic""",
 )
 def _(v: Views) -> DataFrame:
-    out = ledger(v.cards, v.videos)
-    zero = F.lit(0).cast("long")
-    return out.select("topic", "cards", "videos", "weight", "date_first", "date_last", F.array_join("card_ids", ",").alias("card_ids"), F.coalesce(F.col("types")["rule"], zero).alias("rules"), F.coalesce(F.col("strengths")["moderate"], zero).alias("moderate"))
+    out, zero = ledger(v.cards, v.videos)[0], F.lit(0).cast("long")
+    return out.select("topic", "cards", "videos", "weight", "date_first", "date_last", F.coalesce(F.col("types")["rule"], zero).alias("rules"), F.coalesce(F.col("strengths")["moderate"], zero).alias("moderate"))
+
+
+@query("e12_ledger_cards", "SELECT id AS card_id, unnest(topics) AS topic FROM v_cards")
+def _(v: Views) -> DataFrame:
+    return ledger(v.cards, v.videos)[1]
 
 
 @query(

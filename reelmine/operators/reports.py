@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,12 @@ def _(v: Views) -> DataFrame:
     return export_order(rows).select("video_id", "channel_id", "channel_handle", "title", "published_at", "words", watch_url(F.col("video_id")).alias("url"))
 
 
+@query("h04_deep_links", "SELECT id, 'https://www.youtube.com/watch?v=' || video_id || CASE WHEN seconds > 0 AND seconds % 3 <> 0 THEN '&t=' || seconds || 's' ELSE '' END AS url FROM v_cards")
+def _(v: Views) -> DataFrame:
+    seconds = F.when(F.col("seconds") % 3 != 0, F.col("seconds"))
+    return v.cards.select("id", watch_url(F.col("video_id"), seconds).alias("url"))
+
+
 @query("d03_enabled_channels", "SELECT video_id FROM v_videos WHERE channel_id IN (SELECT channel_id FROM v_channels WHERE is_enabled)")
 def _(v: Views) -> DataFrame:
     return v.videos.join(v.channels.where("is_enabled"), "channel_id", "left_semi").select("video_id")
@@ -104,6 +113,11 @@ def coverage_query(v: Views) -> DataFrame:
     return channel_coverage(v.channels, v.videos).select("channel_id", "handle", "total", "done", "no_transcript", "failed", "coverage")
 
 
+@query("e02_status_map", "SELECT c.channel_id, status, count(*) AS videos FROM v_channels c JOIN v_videos USING (channel_id) GROUP BY ALL")
+def _(v: Views) -> DataFrame:
+    return channel_coverage(v.channels, v.videos).select("channel_id", F.explode("by_status").alias("status", "videos"))
+
+
 def snapshot(videos: DataFrame, transcripts: DataFrame, attempts: DataFrame, as_of: Column) -> DataFrame:
     """One row of totals, with the transcripts done in the five minutes before ``as_of``, the rate and the range of the time left."""
     is_ = lambda *s: F.count_if(F.col("status").isin(*s))
@@ -133,10 +147,19 @@ def pacific_day(ts: str = "started_at") -> Column:
 
 
 def quota_ledger(spending: DataFrame, budget: int, soft: float = 0.9) -> DataFrame:
-    """Units by Pacific day, share of the budget, and when the running sum first reached the soft limit."""
-    day = Window.partitionBy("day").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0)
-    running = spending.withColumn("day", pacific_day()).withColumn("sum", F.sum("units").over(day))
-    out = running.groupBy("day").agg(F.sum("units").alias("units_used"), F.min(F.when(F.col("sum") >= soft * budget, F.col("started_at"))).alias("soft_limit_at"))
+    """Units by Pacific day, share of the budget, and when the running sum first reached the soft limit.
+
+    Running sums go over the minutes of a day (1,440 rows at most); only the rows of the minute in which a day passes its limit are
+    summed one by one, so a day's spending never meets in one task. Units are not negative."""
+    at = spending.select("started_at", "id", "units", pacific_day().alias("day"), F.date_trunc("minute", "started_at").alias("minute"))
+    minutes = at.groupBy("day", "minute").agg(F.sum("units").alias("units"))
+    so_far = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
+    minutes = minutes.withColumn("sum", F.sum("units").over(so_far))
+    days = minutes.groupBy("day").agg(F.sum("units").alias("units_used"), F.min(F.when(F.col("sum") >= soft * budget, F.struct("minute", (F.col("sum") - F.col("units")).alias("before")))).alias("passed"))
+    inside = at.join(days.select("day", "passed.*").where("minute is not null"), ["day", "minute"])
+    running = F.col("before") + F.sum("units").over(Window.partitionBy("day").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0))
+    limit = inside.withColumn("sum", running).where(F.col("sum") >= soft * budget).groupBy("day").agg(F.min("started_at").alias("soft_limit_at"))
+    out = days.drop("passed").join(limit, "day", "left").select("day", "units_used", "soft_limit_at")
     return out.withColumn("percent", F.round(100 * F.col("units_used") / budget, 1))
 
 
@@ -149,6 +172,9 @@ def _(v: Views) -> DataFrame:
     return quota_ledger(v.attempts, 10_000)
 
 
+STATUS_COUNTS = ("transcript_ok", "no_transcript", "lang_missing", "unavailable", "age_restricted", "skipped", "retry", "failed")
+
+
 def run_counters(attempts: DataFrame) -> DataFrame:
     of = lambda o: F.count_if(F.col("outcome") == o).alias(o)
     return attempts.groupBy("run_id").agg(F.count("*").alias("attempts"), *(of(o) for o in ("ok", "retryable", "terminal", "blocked")), F.countDistinct("video_id").alias("videos"))
@@ -163,11 +189,76 @@ def _(v: Views) -> DataFrame:
     return run_counters(v.attempts)
 
 
+def run_statuses(attempts: DataFrame, listed: DataFrame, ceiling: int = 5) -> DataFrame:
+    """Per run: the status that each of its attempts led to, blocked ones, and what it discovered and hydrated. ``attempts`` has
+    outcome, target and the video's tries so far (nth); ``listed`` has run_id, video_id and hydrated."""
+    led = F.when(F.col("outcome") == "ok", "transcript_ok").when(F.col("outcome") == "terminal", F.col("target")).when(F.col("outcome") == "retryable", F.when(F.col("nth") >= ceiling, "failed").otherwise("retry"))
+    of = attempts.withColumn("led", led).groupBy("run_id").agg(*(F.count_if(F.col("led") == x).alias(x) for x in STATUS_COUNTS), F.count_if(F.col("outcome") == "blocked").alias("blocked"))
+    found = listed.groupBy("run_id").agg(F.countDistinct("video_id").alias("discovered"), F.countDistinct(F.when(F.col("hydrated"), F.col("video_id"))).alias("hydrated"))
+    return of.join(found, "run_id", "full").fillna(0)
+
+
+@query(
+    "e06_run_statuses",
+    """WITH a AS (SELECT run_id, CASE outcome WHEN 'ok' THEN 'transcript_ok' WHEN 'terminal' THEN (['no_transcript', 'lang_missing', 'age_restricted'])[id % 3 + 1] WHEN 'retryable' THEN CASE WHEN id % 7 >= 5 THEN 'failed' ELSE 'retry' END ELSE 'blocked' END AS led FROM v_attempts),
+    l AS (SELECT video_id % 6 AS run_id, count(*) AS discovered, count(*) FILTER (status <> 'discovered') AS hydrated FROM v_videos GROUP BY 1), r AS (SELECT run_id, """
+    + ", ".join(f"count(*) FILTER (led = '{x}') AS {x}" for x in (*STATUS_COUNTS, "blocked"))
+    + """ FROM a GROUP BY run_id)
+    SELECT run_id, """
+    + ", ".join(f"coalesce({x}, 0) AS {x}" for x in (*STATUS_COUNTS, "blocked", "discovered", "hydrated"))
+    + " FROM r FULL JOIN l USING (run_id)",
+)
+def _(v: Views) -> DataFrame:
+    target = F.element_at(F.array(*map(F.lit, ("no_transcript", "lang_missing", "age_restricted"))), (F.col("id") % 3 + 1).cast("int"))
+    listed = v.videos.select((F.col("video_id") % 6).alias("run_id"), "video_id", (F.col("status") != "discovered").alias("hydrated"))
+    return run_statuses(v.attempts.select("run_id", "outcome", target.alias("target"), (F.col("id") % 7).alias("nth")), listed)
+
+
 @query("e07_hydration_summary", "SELECT status, published_at IS NULL AS undated, count(*) AS videos FROM v_videos GROUP BY ALL")
 def _(v: Views) -> DataFrame:
     return v.videos.groupBy("status", F.col("published_at").isNull().alias("undated")).agg(F.count("*").alias("videos"))
 
 
+def hydration_report(asked: DataFrame, judged: DataFrame, missing: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(one row of requested, hydrated, skipped, unavailable and deferred; reason and how many). ``judged`` has the verdict of each
+    video whose details came (``skip_rules``), ``missing`` of each that did not (``missing_details``): a systemic error defers."""
+    of = judged.select("video_id", F.when(F.col("status").isin("skipped", "unavailable"), F.col("status")).otherwise("hydrated").alias("kind"), F.when(F.col("status").isin("skipped", "unavailable"), F.coalesce("reason", "status")).alias("reason"))
+    lost = F.col("verdict") == "systemic_error"
+    gone = missing.select("video_id", F.when(lost, "deferred").otherwise("unavailable").alias("kind"), F.when(lost, "deferred: no answer for the batch").otherwise("details were not returned").alias("reason"))
+    each = of.unionByName(gone)
+    counts = each.agg(*(F.count_if(F.col("kind") == k).alias(k) for k in ("hydrated", "skipped", "unavailable", "deferred")))
+    total = asked.agg(F.countDistinct("video_id").alias("requested")).crossJoin(counts)  # one row each
+    return total, each.where("reason is not null").groupBy("reason").agg(F.count("*").alias("videos"))
+
+
+def _hydration(v: Views) -> tuple[DataFrame, DataFrame]:
+    from .catalog import skip_rules
+
+    i = F.col("video_id")
+    asked = v.raw("documents").select(F.floor(F.col("doc_id") / 50).alias("batch"), F.col("doc_id").alias("video_id"), "n_chars")
+    returned = asked.where("video_id % 9 <> 0 and batch % 4 <> 0")
+    details = returned.select(
+        "video_id", F.when(i % 10 == 0, "private").otherwise("public").alias("privacy"), F.lit("processed").alias("upload"), F.when(i % 11 == 0, "upcoming").alias("live_broadcast"), F.col("n_chars").cast("int").alias("duration_seconds"), (i % 3 == 0).alias("was_livestream")
+    )
+    return hydration_report(asked, details.select("video_id", skip_rules(max_seconds=20_000, include_streams=False).alias("r")).select("video_id", "r.*"), missing_details(asked, returned))
+
+
+_HYDRATION = """a AS (SELECT doc_id AS i, doc_id // 50 AS batch, n_chars AS d, doc_id % 9 <> 0 AND (doc_id // 50) % 4 <> 0 AS got FROM documents), b AS (SELECT batch, count(*) AS n, count(*) FILTER (got) AS answered FROM a GROUP BY 1),
+    k AS (SELECT i, CASE WHEN NOT got AND answered = 0 AND n > 1 THEN 'deferred' WHEN NOT got OR i % 10 = 0 THEN 'unavailable' WHEN i % 11 = 0 OR d > 20000 OR i % 3 = 0 THEN 'skipped' ELSE 'hydrated' END AS kind,
+      CASE WHEN NOT got AND answered = 0 AND n > 1 THEN 'deferred: no answer for the batch' WHEN NOT got THEN 'details were not returned' WHEN i % 10 = 0 THEN 'privacy status private' WHEN i % 11 = 0 THEN 'premiere or stream has not happened yet' WHEN d > 20000 THEN 'duration ' || d || 's exceeds limit 20000s'
+        WHEN d = 0 AND i % 3 = 0 THEN 'livestream with no recorded duration' WHEN i % 3 = 0 THEN 'livestreams are excluded by configuration' END AS reason FROM a JOIN b USING (batch))"""
+
+
+@query("e07_hydration_totals", f"WITH {_HYDRATION} SELECT count(*) AS requested, count(*) FILTER (kind = 'hydrated') AS hydrated, count(*) FILTER (kind = 'skipped') AS skipped, count(*) FILTER (kind = 'unavailable') AS unavailable, count(*) FILTER (kind = 'deferred') AS deferred FROM k")
+def _(v: Views) -> DataFrame:
+    return _hydration(v)[0]
+
+
+@query("e07_hydration_reasons", f"WITH {_HYDRATION} SELECT reason, count(*) AS videos FROM k WHERE reason IS NOT NULL GROUP BY reason")
+def _(v: Views) -> DataFrame:
+    return _hydration(v)[1]
+
+
 def discovery_report(videos: DataFrame, channels: DataFrame, ceiling: int = 20_000) -> DataFrame:
     """Per channel: seen, newest, and a warning when the list was cut at its ceiling or fell clearly short of the reported count."""
     seen = videos.groupBy("channel_id").agg(F.count("*").alias("seen"), F.max("published_at").alias("newest"))
@@ -185,6 +276,32 @@ def _(v: Views) -> DataFrame:
     return discovery_report(v.videos.where("video_id % 3 <> 0 or channel_id <> 'src0'"), v.channels)
 
 
+def discovery_pages(pages: DataFrame, known: DataFrame, channels: DataFrame, ceiling: int = 20_000) -> DataFrame:
+    """Per channel: pages, seen, new, newest, a map of ids by tab and the warning of ``discovery_report``. ``pages`` has channel_id,
+    tab, page, video_id, published_at; ``known`` the ids known before."""
+    rows = pages.join(known.select("video_id", F.lit(True).alias("old")).distinct(), "video_id", "left")
+    seen = rows.groupBy("channel_id").agg(F.countDistinct("tab", "page").alias("pages"), F.countDistinct(F.when(F.col("old").isNull(), F.col("video_id"))).alias("new"))
+    tabs = rows.groupBy("channel_id", "tab").agg(F.countDistinct("video_id").alias("n")).groupBy("channel_id").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("tab", "n")))).alias("tabs"))
+    warned = discovery_report(rows.dropDuplicates(["channel_id", "video_id"]), channels, ceiling)
+    return warned.join(seen, "channel_id", "left").join(tabs, "channel_id", "left").fillna(0, ["pages", "new"])
+
+
+@query(
+    "e08_discovery_pages",
+    """WITH p AS (SELECT source AS channel_id, doc_id AS video_id, (['videos', 'shorts', 'streams'])[doc_id % 3 + 1] AS tab, doc_id // 30 AS page FROM documents WHERE doc_id % 4 <> 1 OR source <> 'src0'),
+    s AS (SELECT channel_id, count(*) AS seen, count(*) FILTER (video_id % 5 <> 0) AS new, count(DISTINCT tab || page) AS pages, count(*) FILTER (tab = 'videos') AS videos, count(*) FILTER (tab = 'shorts') AS shorts, count(*) FILTER (tab = 'streams') AS streams FROM p GROUP BY 1)
+    SELECT channel_id, coalesce(seen, 0) AS seen, coalesce(new, 0) AS new, coalesce(pages, 0) AS pages, coalesce(videos, 0) AS videos, coalesce(shorts, 0) AS shorts, coalesce(streams, 0) AS streams,
+      CASE WHEN coalesce(seen, 0) >= 0.95 * 1000 AND reported_video_count - coalesce(seen, 0) > 100 THEN 'truncated' WHEN reported_video_count - coalesce(seen, 0) > greatest(50, 0.2 * reported_video_count) THEN 'short' END AS warning FROM v_channels LEFT JOIN s USING (channel_id)""",
+)
+def _(v: Views) -> DataFrame:
+    i, n = F.col("video_id"), F.lit(0).cast("long")
+    tab = F.element_at(F.array(*map(F.lit, ("videos", "shorts", "streams"))), (i % 3 + 1).cast("int"))
+    listed = v.videos.where("video_id % 4 <> 1 or channel_id <> 'src0'").select("channel_id", "video_id", "published_at", tab.alias("tab"), F.floor(i / 30).alias("page"))
+    pages = listed.union(listed.where("video_id % 2 = 0"))  # some items are listed twice
+    out = discovery_pages(pages, v.videos.where("video_id % 5 = 0").select("video_id"), v.channels, 1000)
+    return out.select("channel_id", "seen", "new", "pages", *(F.coalesce(F.col("tabs")[t], n).alias(t) for t in ("videos", "shorts", "streams")), "warning")
+
+
 @query("e10_audio_totals", "SELECT count(*) AS videos, sum(duration_seconds) AS seconds, round(sum(duration_seconds) / 3600, 2) AS hours, round(sum(duration_seconds) / 3600 * 30 / 1024, 3) AS gigabytes FROM v_videos WHERE needs_audio")
 def _(v: Views) -> DataFrame:
     s = F.sum("duration_seconds")
@@ -209,6 +326,33 @@ def _(v: Views) -> DataFrame:
     )
 
 
+def ingest_summary(files: DataFrame) -> DataFrame:
+    """One row over ingested files (video_id, words null where a file gave no text, published_at, duration_seconds): videos, words,
+    tokens (1.35 a word), date span, short and long ones, failures."""
+    read = F.coalesce(F.col("words"), F.lit(0)) > 0
+    total = F.coalesce(F.sum("words"), F.lit(0))
+    return files.agg(
+        F.count_if(read).alias("videos"),
+        total.alias("words"),
+        F.floor(total * F.lit(1.35).cast("decimal(4,2)")).cast("long").alias("tokens"),
+        F.min(F.when(read, F.col("published_at"))).alias("first"),
+        F.max(F.when(read, F.col("published_at"))).alias("last"),
+        F.count_if(read & (F.col("words") < 250)).alias("short"),
+        F.count_if(read & (F.col("duration_seconds") > 5400)).alias("long_form"),
+        F.count_if(~read).alias("failures"),
+    )
+
+
+@query(
+    "e13_ingest_report",
+    """SELECT count(*) FILTER (w > 0) AS videos, CAST(coalesce(sum(w), 0) AS BIGINT) AS words, CAST(floor(coalesce(sum(w), 0) * 1.35) AS BIGINT) AS tokens, min(published_at) FILTER (w > 0) AS first, max(published_at) FILTER (w > 0) AS last, count(*) FILTER (w > 0 AND w < 250) AS short,
+      count(*) FILTER (w > 0 AND duration_seconds > 5400) AS long_form, count(*) FILTER (w IS NULL OR w = 0) AS failures FROM (SELECT v.*, CASE WHEN video_id % 8 <> 3 THEN words END AS w FROM v_transcripts t JOIN v_videos v USING (video_id))""",
+)
+def _(v: Views) -> DataFrame:
+    words = v.transcripts.select("video_id", F.when(F.col("video_id") % 8 != 3, F.col("words")).alias("words"))
+    return ingest_summary(v.videos.select("video_id", "published_at", "duration_seconds").join(words, "video_id"))
+
+
 def progress(selected: DataFrame, done: DataFrame) -> DataFrame:
     """Per phase: done, total, percent."""
     both = selected.join(done.select("phase", "video_id", F.lit(True).alias("ok")).distinct(), ["phase", "video_id"], "left")
@@ -232,6 +376,22 @@ def _(v: Views) -> DataFrame:
     return remaining_work(ids, ids.where("status = 'transcript_ok'"), ids.where(F.col("lease_expires_at") >= F.lit(AS_OF).cast("timestamp"))).select("video_id")
 
 
+def audit(scheduled: DataFrame, outputs: DataFrame) -> DataFrame:
+    """(video_id, state): scheduled work without an output, or with an empty one. ``outputs`` has video_id and length in bytes."""
+    largest = outputs.groupBy("video_id").agg(F.max("length").alias("length"))
+    rows = scheduled.select("video_id").distinct().join(largest, "video_id", "left")
+    return rows.where("length is null or length = 0").select("video_id", F.when(F.col("length").isNull(), "no output").otherwise("empty output").alias("state"))
+
+
+@query(
+    "d13_audit",
+    "SELECT video_id, CASE WHEN video_id % 5 = 0 THEN 'no output' ELSE 'empty output' END AS state FROM v_videos JOIN v_transcripts USING (video_id) WHERE status <> 'discovered' AND (video_id % 5 = 0 OR video_id % 7 = 0 OR chars = 0)",
+)
+def _(v: Views) -> DataFrame:
+    outputs = v.transcripts.where("video_id % 5 <> 0").select("video_id", F.when(F.col("video_id") % 7 == 0, 0).otherwise(F.col("chars")).alias("length"))
+    return audit(v.videos.where("status <> 'discovered'"), outputs)
+
+
 @query("d14_sidecar", "SELECT page_id, coalesce(CASE WHEN page_id % 3 = 0 THEN 'sidecar ' || page_id END, regexp_extract(url, '([^/]*)$', 1)) AS title FROM pages")
 def _(v: Views) -> DataFrame:
     pages = v.raw("pages").select("page_id", F.regexp_extract("url", "([^/]*)$", 1).alias("title"))
@@ -282,18 +442,29 @@ def _(v: Views) -> DataFrame:
 
 
 def work_batches(items: DataFrame, budget: int) -> DataFrame:
-    """(phase, video_id, batch): items in order, a new batch when the word sum would exceed the budget. One phase is one fold."""
-    item = F.struct("pos", "video_id", "words")
-    start = F.struct(F.lit(0).alias("batch"), F.lit(0).cast("long").alias("sum"), F.array().cast("array<struct<video_id:bigint,batch:int>>").alias("out"))
-
-    def step(acc, x):
-        full = (acc["sum"] > 0) & (acc["sum"] + x["words"] > budget)
-        batch = acc["batch"] + full.cast("int")
-        total = F.when(full, x["words"]).otherwise(acc["sum"] + x["words"])
-        return F.struct(batch.alias("batch"), total.alias("sum"), F.concat(acc["out"], F.array(F.struct(x["video_id"].alias("video_id"), batch.alias("batch")))).alias("out"))
-
-    folded = items.groupBy("phase").agg(F.array_sort(F.collect_list(item)).alias("items")).select("phase", F.aggregate("items", start, step, lambda a: a["out"]).alias("out"))
-    return folded.select("phase", F.inline("out"))
+    """(phase, video_id, batch): items in order, a new batch when the word sum would exceed the budget.
+
+    Where a batch begins depends on where the one before it began, so a phase's items stream through one task in the order of a
+    sort that spills; its state is two numbers, and no list of the phase is built. More machines do not shorten a phase."""
+    rows = items.select("phase", "pos", "video_id", F.col("words").cast("long").alias("words"))
+    kind = dict(rows.dtypes)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phase, batch, total = object(), 0, 0
+        for rows in batches:
+            numbers = []
+            for of, words in zip(rows.column("phase").to_pylist(), rows.column("words").to_pylist()):
+                words = words or 0
+                if of != phase:
+                    phase, batch, total = of, 0, 0
+                elif total > 0 and total + words > budget:
+                    batch, total = batch + 1, 0
+                total += words
+                numbers.append(batch)
+            yield pa.RecordBatch.from_arrays([rows.column("phase"), rows.column("video_id"), pa.array(numbers, pa.int32())], names=["phase", "video_id", "batch"])
+
+    ordered = rows.repartition("phase").sortWithinPartitions("phase", "pos", "video_id", "words")
+    return ordered.mapInArrow(run, f"phase {kind['phase']}, video_id {kind['video_id']}, batch int")
 
 
 @query("f10_fixed_batches", "SELECT channel_id, video_id, CAST((row_number() OVER (PARTITION BY channel_id ORDER BY video_id) - 1) // 50 AS BIGINT) AS batch FROM v_videos")
