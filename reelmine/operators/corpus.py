@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -210,26 +211,51 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
+def _unmatched(a: Column, b: Column, q: int, threshold: float) -> Column:
+    """Grams of q characters of a text of length ``a`` that one of length ``b`` may lack, at most, if the two are as similar as
+    ``threshold``: each character without a partner takes q of them, each gap in the partner q - 1."""
+    half = threshold * (a + b) / 2  # matched characters, at least
+    return F.floor(q * (a - half) + (q - 1) * (b - half) + 1e-9)
+
+
 def similar_titles(titles: DataFrame, threshold: float = 0.86) -> DataFrame:
     """(a, b) with a before b, from (title, rank): pairs whose similarity reaches the threshold.
 
-    Titles of seven characters or more that are so similar share one of their rarer trigrams (at most 0.7 of a title's trigrams
-    are touched by its differences), so each title names its rarest 0.7 and three more; shorter titles meet by their single
-    characters, which titles of seven or more name too if they can reach the threshold with one of six. Lengths are compared before the costly ratio."""
-    text = F.col("title")
-    three = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.length(text) - 2)), lambda i: F.substring(text, i, F.lit(3))))
-    single = F.array_distinct(F.split(text, ""))
-    meets_short = threshold * (F.length(text) + 6) <= 12
-    grams = F.when(F.length(text) < 7, single).when(meets_short, F.concat(three, single)).otherwise(three)
-    rows = table(titles.where("title <> ''").select("title", "rank", F.explode(grams).alias("gram")), "grams")
-    often = rows.groupBy("gram").agg(F.count("*").alias("often"))
-    each = Window.partitionBy("title", F.length("gram")).orderBy("often", "gram")
-    rare = rows.join(often, "gram").withColumn("rn", F.row_number().over(each)).where(F.col("rn") <= F.ceil(0.7 * F.length("title")) + 3).select("title", "rank", "gram")
-    x, y = rare.toDF("a", "ra", "gram"), rare.toDF("b", "rb", "gram")
-    near = F.abs(F.length("a") - F.length("b")) <= 0.4 * F.greatest(F.length("a"), F.length("b"))
-    possible = F.least(F.length("a"), F.length("b")) * 2 >= threshold * (F.length("a") + F.length("b"))
-    meant = (F.length("gram") > 1) | (F.least(F.length("a"), F.length("b")) < 7)
-    pairs = x.join(y, "gram").where((F.col("ra") < F.col("rb")) & near & possible & meant).select("a", "ra", "b", "rb").distinct()
+    All follows from the threshold: lengths differ by a factor of at most (2 - t) / t, and of a title's grams a similar one lacks
+    no more than ``_unmatched``, so two similar titles share one of the rarest of that many and one more. Repeated grams count as
+    different ones. Grams have three characters where that leaves at least one to share, and one character where a title is too
+    short for that. Members that meet are compared by bit maps of their bigrams before the costly ratio; nothing is lost by it."""
+    t, length = threshold, F.length("title")
+    reach = (2 - t) / t
+    most = lambda q: F.greatest(*(_unmatched(length, length * x, q, t) for x in (1 / reach, reach)))
+    worst = max((3 - 2.5 * t) + (2 - 2.5 * t) * x for x in (1 / reach, reach))
+    shortest = math.ceil(3 / (1 - worst) + 1e-9) if worst < 1 else None  # below it a title may share no trigram
+
+    def keyed(q: int, rows: DataFrame) -> DataFrame:
+        places = F.sequence(F.lit(1), F.greatest(F.lit(1), length - (q - 1)))
+        grams = rows.select("title", F.explode(F.transform(places, lambda i: F.substring(F.col("title"), i, F.lit(q)))).alias("gram"))
+        grams = grams.groupBy("title", "gram").agg(F.count("*").alias("n")).select("title", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.struct("gram", k.alias("nth")))).alias("key"))
+        grams = table(grams.select("title", F.lit(q).alias("q"), "key"), "grams")
+        often = grams.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
+        own = F.count("*").over(Window.partitionBy("title"))
+        rank = F.row_number().over(Window.partitionBy("title").orderBy("often", "key"))
+        known = grams.join(often, "key").withColumn("place", rank + F.greatest(F.lit(1), length - (q - 1)) - own)  # grams without a second title come first
+        return known.where(F.col("place") <= most(q) + 1).select("title", "q", "key")
+
+    bits = "transform(array_distinct(transform(sequence(1, greatest(1, length(title) - 1)), i -> substring(title, i, 2))), g -> pmod(xxhash64(g), 256))"
+    maps = [F.expr(f"aggregate(filter(bits, x -> x div 64 = {k}), 0L, (m, x) -> m | shiftleft(1L, int(x % 64)))").alias(f"m{k}") for k in range(4)]
+    facts = table(titles.where("title <> ''").withColumn("bits", F.expr(bits)).select("title", "rank", *maps), "title-maps")
+    longer = facts.where(length >= shortest) if shortest else facts.limit(0)
+    shorter = facts.where(length < shortest * reach) if shortest else facts
+    rows = keyed(3, longer).unionByName(keyed(1, shorter)).join(facts, "title")
+    x, y = (rows.select("q", "key", *(F.col(c).alias(f"{p}_{c}") for c in facts.columns)) for p in ("a", "b"))
+    la, lb = F.length("a_title"), F.length("b_title")
+    near = (F.greatest(la, lb) <= F.least(la, lb) * reach + 1e-9) & (F.col("a_rank") < F.col("b_rank"))
+    near &= (F.abs(la - lb) <= 0.4 * F.greatest(la, lb)) & (F.when(F.least(la, lb) < (shortest or 1 << 30), 1).otherwise(3) == F.col("q"))
+    for p, o, n, m in (("a", "b", la, lb), ("b", "a", lb, la)):
+        lacks = sum((F.bit_count(F.col(f"{p}_m{k}").bitwiseAND(F.bitwise_not(F.col(f"{o}_m{k}")))) for k in range(4)), F.lit(0))
+        near &= lacks <= _unmatched(n, m, 2, t)
+    pairs = x.join(y, ["q", "key"]).where(near).select(F.col("a_title").alias("a"), F.col("a_rank").alias("ra"), F.col("b_title").alias("b"), F.col("b_rank").alias("rb")).distinct()
     return table(pairs, "title-pairs").where(ratio("a", "b") >= threshold)
 
 
@@ -282,9 +308,47 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     rows = v.videos.join(v.transcripts.select("video_id", "words"), "video_id")
     kind = F.when(F.col("title").rlike("(?i)the"), "ephemera").when(F.col("words") < 250, "thin").otherwise("deep")
-    return prune_report(rows.select(kind.alias("class"), "words"))
+    return prune_report(rows.select(kind.alias("class"), "words")).drop("share")
 
 
 def prune_report(planned: DataFrame) -> DataFrame:
-    """Videos and words of each class; the row without a class is the total."""
-    return planned.rollup("class").agg(F.count("*").alias("videos"), F.sum("words").alias("words"))
+    """Videos, words and the share of words in percent of each class; the row without a class is the total."""
+    counts = planned.rollup("class").agg(F.count("*").alias("videos"), F.sum("words").alias("words"))
+    total = planned.agg(F.sum("words").alias("all_words"))
+    return counts.crossJoin(F.broadcast(total)).select("class", "videos", "words", F.round(100 * F.col("words") / F.greatest("all_words", F.lit(1)), 1).alias("share"))  # one row
+
+
+def largest_clusters(plan: DataFrame, n: int = 10) -> DataFrame:
+    """The n representatives that stand for the most videos."""
+    return plan.where("weight > 1").orderBy(F.desc("weight"), "video_id").select("video_id", "weight").limit(n)
+
+
+_TITLE = r"trim(regexp_replace(regexp_replace(lower(regexp_replace(coalesce(title, ''), '(?i)\|\||#\w+|\b(official|part\s*\d+|episode\s*\d+|ep\.?\s*\d+|full video|shorts?)\b', ' ', 'g')), '[^\p{L}\p{N}_\s]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))"
+_PLAN = f"""r AS (SELECT video_id, words, regexp_matches(title, '(?i)the a|und der') AS e, {_TITLE} AS norm FROM v_videos JOIN v_transcripts USING (video_id)),
+    g AS (SELECT *, CASE WHEN norm = '' THEN chr(1) || video_id ELSE norm END AS cluster FROM r WHERE NOT e), b AS (SELECT *, row_number() OVER (PARTITION BY cluster ORDER BY words DESC, video_id) AS n, count(*) OVER (PARTITION BY cluster) AS weight FROM g),
+    p AS (SELECT video_id, words, CASE WHEN n > 1 THEN 'duplicate' WHEN words >= 250 THEN 'deep' ELSE 'thin' END AS class, CASE WHEN n = 1 THEN weight END AS weight FROM b UNION ALL SELECT video_id, words, 'ephemera', NULL FROM r WHERE e)"""
+
+
+def _exact_plan(v: Views) -> DataFrame:
+    """Threshold 1: titles that are equal once normalised, which SQL can say."""
+    return prune_plan(v.videos.join(v.transcripts.select("video_id", "words"), "video_id"), "the a|und der", threshold=1.0)
+
+
+@query("k09_exact_titles", f"WITH {_PLAN} SELECT video_id, class, weight FROM p")
+def _(v: Views) -> DataFrame:
+    return _exact_plan(v)
+
+
+@query("e14_plan_report", f"WITH {_PLAN} SELECT class, count(*) AS videos, CAST(sum(words) AS BIGINT) AS words, round(100 * sum(words) / (SELECT sum(words) FROM p), 1) AS share FROM p GROUP BY ROLLUP (class)")
+def _(v: Views) -> DataFrame:
+    return prune_report(_exact_plan(v).join(v.transcripts.select("video_id", "words"), "video_id"))
+
+
+@query("e14_largest_clusters", f"WITH {_PLAN} SELECT video_id, weight FROM p WHERE weight > 1 ORDER BY weight DESC, video_id LIMIT 10")
+def _(v: Views) -> DataFrame:
+    return largest_clusters(_exact_plan(v))
+
+
+@query("h11_titles", f"SELECT video_id, {_TITLE} AS title FROM v_videos")
+def _(v: Views) -> DataFrame:
+    return v.videos.select("video_id", norm_title(F.col("title")).alias("title"))

@@ -170,6 +170,25 @@ def test_title_clusters_of_six_and_seven_characters(spark):
     assert {r.video_id: r.cluster for r in got} == {i: want[t] for i, t in enumerate(titles)} and want["abcdefg"] == "abcdef"
 
 
+@pytest.mark.parametrize("threshold", [0.6, 0.75, 0.86, 0.95])
+def test_similar_titles_follow_the_threshold(spark, threshold):
+    """All pairs, of lengths 1 to 60, with repeats inside and with insertions, deletions and changes."""
+    rng, titles = random.Random(int(threshold * 100)), set()
+    for _ in range(60):
+        t = "".join(rng.choice(rng.choice(["ab", "abcdefghij ", "xyz opq"])) for _ in range(rng.randint(1, 60)))
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rng.randint(0, max(1, len(t) // 4))):
+                at = rng.randrange(len(u) + 1)
+                u[at : at + rng.randint(0, 1)] = rng.choice(["", "q", "a", "zz"])
+            titles.add(" ".join("".join(u).split()))
+    titles = sorted(titles - {""})
+    rows = spark.createDataFrame([(t, i) for i, t in enumerate(titles)], "title string, rank long")
+    got = {(r.a, r.b) for r in corpus.similar_titles(rows, threshold).collect()}
+    alike = lambda a, b: abs(len(a) - len(b)) <= 0.4 * max(len(a), len(b)) and SequenceMatcher(None, a, b).ratio() >= threshold
+    assert got == {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if alike(a, b)} and len(got) > 10
+
+
 def test_prune_plan(spark):
     rows = [(1, "market news today", 900), (2, "How to Trade", 300), (3, "how to trade!", 400), (4, "alone", 10), (5, "", 500)]
     got = {r.video_id: (r["class"], r.weight) for r in corpus.prune_plan(spark.createDataFrame(rows, "video_id long, title string, words long"), "news").collect()}
