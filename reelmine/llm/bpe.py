@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir
+from .common import over_texts, read, shared_dir
 
 #: Characters of text in a chunk, about; a longer document makes a longer chunk.
 CHUNK_CHARS = 8_000_000
@@ -175,7 +175,7 @@ def chunked(documents: DataFrame, where: str | None, id_col: str, text_col: str,
             yield chunk()
 
     docs = documents.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
-    return docs.mapInArrow(run, CHUNKS.format(kind=kind))
+    return over_texts(docs, run, CHUNKS.format(kind=kind))
 
 
 def bucketed(chunks: DataFrame) -> DataFrame:

@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import re
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -13,6 +14,9 @@ from ..plans.staging import shared_dir, small, table  # noqa: F401
 #: Bytes of text that a task holds as numpy arrays at a time (longer documents are taken whole).
 BLOCK_BYTES = 1 << 18
 
+#: Bytes of an Arrow batch that a task hands to Python at a time (a longer row is a batch of its own).
+BATCH_BYTES = 4 << 20
+
 _M1, _M2 = np.uint64(0xBF58476D1CE4E5B9), np.uint64(0x94D049BB133111EB)
 _S30, _S27, _S31 = np.uint64(30), np.uint64(27), np.uint64(31)
 
@@ -83,6 +87,16 @@ def texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, at - at[0]
 
 
+def over_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema) -> DataFrame:
+    """``mapInArrow`` for rows with long texts. Batches are bounded in rows only by default, so that ten thousand long texts would be
+    one; the session's bound in bytes is lowered to ``BATCH_BYTES`` unless it was set by name (such as 8MB)."""
+    conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
+    found = re.fullmatch(r"(\d+)b?", conf.get(key))
+    if found and int(found[1]) > BATCH_BYTES:
+        conf.set(key, str(BATCH_BYTES))
+    return rows.mapInArrow(run, schema)
+
+
 def row_runs(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:
     """(first row, end row) of runs of rows of about ``size`` bytes; every row lies whole in one run."""
     row, n = 0, len(offsets) - 1

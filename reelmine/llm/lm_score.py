@@ -25,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, mix, read, signed, table
+from .common import Words, blocks, mix, over_texts, read, signed, table
 
 DISCOUNT = 0.5
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
@@ -50,7 +50,7 @@ def word_counts(corpus: DataFrame, text_col: str = "text") -> DataFrame:
                 w, n = np.unique(np.concatenate(found), return_counts=True)
                 yield pa.RecordBatch.from_arrays([pa.array(signed(w)), pa.array(n.astype(np.int64))], names=["word", "n"])
 
-    return corpus.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return over_texts(corpus.select(F.col(text_col).cast("string").alias("text")), run, "word long, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 def _pack(x: np.ndarray) -> bytes:
@@ -96,7 +96,7 @@ def chunked(corpus: DataFrame, role: int, kind: str, id_col: str | None, text_co
             yield chunk()
 
     ids = F.col(id_col) if id_col else F.lit(None).cast(kind)
-    return corpus.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"chunk long, tokens long, ids array<{kind}>, lengths binary, words binary, numbers binary")
+    return over_texts(corpus.select(ids.alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"chunk long, tokens long, ids array<{kind}>, lengths binary, words binary, numbers binary")
 
 
 def _lists(chunk: int, turn: int, parts: int, keys: np.ndarray, n: list[np.ndarray]) -> pa.Table:

@@ -33,7 +33,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, lists, mix, read, signed, small, table
+from .common import Words, blocks, lists, mix, over_texts, read, signed, small, table
 
 UNIVERSE, COORDINATES, ROWS, BANDS = 1 << 22, 256, 5, 51
 #: Members whose 256 one-bit coordinates differ in more than this are not compared with a band's leader (sets with a similarity of
@@ -75,8 +75,9 @@ class Signer(Shingler):
     def __init__(self, shingle: int) -> None:
         super().__init__(shingle)
         rng = np.random.default_rng(4_100)
-        self.place = rng.permutation(UNIVERSE).astype(np.int32)
-        value = rng.permutation(UNIVERSE).astype(np.int32)
+        self.place, value = (np.arange(UNIVERSE, dtype=np.int32) for _ in range(2))
+        rng.shuffle(self.place)
+        rng.shuffle(value)
         self.window = np.lib.stride_tricks.sliding_window_view(np.concatenate([value, value[:COORDINATES]]), COORDINATES)
         self.band = rng.integers(1, 2**63, (BANDS, ROWS), dtype=np.uint64) | np.uint64(1)
 
@@ -157,7 +158,7 @@ def text_key(text: Column) -> list[Column]:
 def _sets(docs: DataFrame, ids: DataFrame, shingle: int) -> DataFrame:
     """(cid, shingles) of the classes named in ``ids`` (cid and the text key of a member)."""
     rows = docs.join(small(ids), [*TEXT_KEY]).groupBy("cid").agg(F.min("text").alias("text"))
-    return table(rows.mapInArrow(_shingles(shingle), "cid long, shingles array<long>"), "sets")
+    return table(over_texts(rows, _shingles(shingle), "cid long, shingles array<long>"), "sets")
 
 
 def _prefixes(sets: DataFrame, percent: int) -> DataFrame:
@@ -195,7 +196,7 @@ def _led(buckets: DataFrame, info: DataFrame, percent: int) -> DataFrame:
 
 def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, DataFrame]:
     """(rows of ``docs`` with their set_id; set_id and comp of each class). ``docs`` has doc_id, text and the text key."""
-    made = docs.mapInArrow(_features(shingle), f"doc_id long, {TEXT_KEY[0]} long, {TEXT_KEY[1]} long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
+    made = over_texts(docs, _features(shingle), f"doc_id long, {TEXT_KEY[0]} long, {TEXT_KEY[1]} long, n_shingles long, set_id binary, bands array<long>, sketch array<long>")
     made = table(made.withColumn("row", F.monotonically_increasing_id()), "minhash")
     classes = table(made.where("set_id is not null").groupBy("set_id").agg(F.min("row").alias("cid")), "classes")
     leads = made.join(classes.select(F.col("cid").alias("row")), "row", "left_semi").withColumnRenamed("row", "cid")

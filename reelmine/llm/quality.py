@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import Words, blocks, lists, read, table
+from .common import Words, blocks, lists, over_texts, read, table
 
 SAMPLE, BUCKETS, ROUNDS = 8000, 1 << 14, 300
 #: Features that the whole sample may have; rows beyond are left out of it.
@@ -125,7 +125,7 @@ def votes(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text")
                 yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(np.concatenate(found), pa.int32())], names=["doc_id", "pattern"])
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")).mapInArrow(run, f"doc_id {kind}, pattern int")
+    return over_texts(documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text")), run, f"doc_id {kind}, pattern int")
 
 
 def digits(pattern: np.ndarray) -> np.ndarray:
@@ -189,7 +189,7 @@ def sampled(documents: DataFrame, id_col: str, text_col: str, sample: int, cells
                 columns = [batch.column("key").slice(lo, hi - lo), pa.array(power @ v, pa.int32()), lists(bucket[order].astype(np.int32), size, pa.int32()), lists(value[order].astype(np.float32), size, pa.float32())]
                 yield pa.RecordBatch.from_arrays(columns, names=["key", "pattern", "bucket", "value"])
 
-    found = table(chosen.mapInArrow(run, "key long, pattern int, bucket array<int>, value array<float>"), "quality-sample")
+    found = table(over_texts(chosen, run, "key long, pattern int, bucket array<int>, value array<float>"), "quality-sample")
     before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's keys only
     kept = found.select("key", F.sum(F.size("bucket")).over(before).alias("cells")).where(F.col("cells") <= cells).select("key")
     return found.join(F.broadcast(kept), "key", "left_semi").orderBy("key")
@@ -229,7 +229,7 @@ def score(documents: DataFrame, model: tuple, id_col: str = "doc_id", text_col:
 
     kind = documents.schema[id_col].dataType.simpleString()
     rows = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return rows.mapInArrow(run, f"doc_id {kind}, n_words long, votes_good int, votes_bad int, posterior double, score double, accepted boolean")
+    return over_texts(rows, run, f"doc_id {kind}, n_words long, votes_good int, votes_bad int, posterior double, score double, accepted boolean")
 
 
 def accepted_rows(documents: DataFrame, model: tuple, text_col: str = "text") -> DataFrame:
@@ -247,7 +247,7 @@ def accepted_rows(documents: DataFrame, model: tuple, text_col: str = "text") ->
             if keep:
                 yield batch.filter(pa.array(np.concatenate(keep)))
 
-    return documents.mapInArrow(run, documents.schema)
+    return over_texts(documents, run, documents.schema)
 
 
 def op2_quality_weak_labels(spark, sf_dir: str) -> DataFrame:

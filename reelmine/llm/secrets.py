@@ -24,7 +24,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import read, row_runs, texts
+from .common import over_texts, read, row_runs, texts
 
 #: The patterns of the contract.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.IGNORECASE | re.ASCII)
@@ -121,7 +121,7 @@ def pair_counts(documents: DataFrame, text_col: str = "text") -> np.ndarray:
         kind, pair = np.nonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(kind.astype(np.int32)), pa.array(pair.astype(np.int32)), pa.array(total[kind, pair])], names=["kind", "pair", "n"])
 
-    counted = documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).toArrow()
+    counted = over_texts(documents.select(F.col(text_col).cast("string").alias("text")), run, "kind int, pair int, n long").groupBy("kind", "pair").agg(F.sum("n").alias("n")).toArrow()
     out = np.zeros((2, SIZE * SIZE))
     out[0] += drawn_counts()
     out[counted.column("kind").to_numpy(), counted.column("pair").to_numpy()] += counted.column("n").to_numpy()
@@ -182,7 +182,7 @@ def scan(documents: DataFrame, ratio: np.ndarray, id_col: str = "doc_id", text_c
 
     kind = documents.schema[id_col].dataType.simpleString()
     docs = documents.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string").alias("text"))
-    return docs.mapInArrow(run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
+    return over_texts(docs, run, f"doc_id {kind}, n_assign long, n_access long, n_hex long, n_random long, base_sha256 string, spans string")
 
 
 def redacted(documents: DataFrame, ratio: np.ndarray, text_col: str = "text", mark: str = "[SECRET]") -> DataFrame:
@@ -204,7 +204,7 @@ def redacted(documents: DataFrame, ratio: np.ndarray, text_col: str = "text", ma
             column = pa.array([clean(t.as_py()) for t in batch.column(k)], batch.schema.field(k).type)
             yield batch.set_column(k, batch.schema.field(k), column)
 
-    return documents.mapInArrow(run, documents.schema)
+    return over_texts(documents, run, documents.schema)
 
 
 def op6_secret_scan(spark, sf_dir: str) -> DataFrame:

@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import over_texts, read, table
 
 BLOCK = 1024
 
@@ -43,7 +43,7 @@ def lengths(documents: DataFrame, text_col: str = "text", where: str | None = No
             seen.update(len(encode(t.as_py() or "")) for t in batch.column(0))
         yield pa.RecordBatch.from_pydict({"n_tokens": pa.array(list(seen), pa.int64()), "docs": pa.array(list(seen.values()), pa.int64())})
 
-    return documents.select(F.col(text_col).cast("string").alias("text")).mapInArrow(run, "n_tokens long, docs long")
+    return over_texts(documents.select(F.col(text_col).cast("string").alias("text")), run, "n_tokens long, docs long")
 
 
 def histogram(documents: DataFrame, text_col: str = "text", where: str | None = None) -> DataFrame:

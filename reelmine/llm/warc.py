@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import read, shared_dir, table
+from .common import over_texts, read, shared_dir, table
 
 CHUNK_BYTES, ARCHIVE_BYTES = 1 << 20, 64 << 20
 DATE = "2024-01-01T00:00:00Z"
@@ -65,7 +65,7 @@ def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
     """(rid, page_id, url, html, bytes, digest, refers_to, refers_rid): what is written for each row of ``pages``."""
     rows = pages.select(F.xxhash64("page_id", F.coalesce("html", F.lit(""))).alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    facts = table(rows.select("rid", "page_id", "html").mapInArrow(_facts, "rid long, page_id long, bytes long, digest string"), "payloads").distinct()
+    facts = table(over_texts(rows.select("rid", "page_id", "html"), _facts, "rid long, page_id long, bytes long, digest string"), "payloads").distinct()
     largest = facts.where(F.col("bytes") >= at_least).groupBy("digest", "bytes").agg(F.max("page_id").alias("largest"))
     other = F.col("largest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")))
     known = facts.join(largest, ["digest", "bytes"], "left").select("rid", "bytes", "digest", F.when(other, F.col("largest")).alias("refers_to"))
@@ -126,7 +126,7 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
         if out is not None:
             yield close()
 
-    return table(rows.mapInArrow(run, "file string, records long"), "archives")
+    return table(over_texts(rows, run, "file string, records long"), "archives")
 
 
 class _Stream:
