@@ -244,14 +244,34 @@ def coverage(manifest: DataFrame, cards: DataFrame, cited: DataFrame) -> DataFra
     return rows.select("video_id", F.coalesce("cards", F.lit(0).cast("long")).alias("cards"), F.when(F.col("cards").isNull(), "no cards").when(F.col("cited"), "cited").otherwise("not cited").alias("state"))
 
 
-@query("k11_anchors", "SELECT id, CASE WHEN anchor = '' THEN 'missing' ELSE 'exact' END AS verdict FROM v_cards")
+def conversation_bodies(v: Views) -> DataFrame:
+    turns = v.raw("conversations").groupBy(F.col("conv_id").alias("video_id")).agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    return turns.select("video_id", collapse(F.array_join(F.transform("t", lambda x: x["text"]), " ")).alias("body"))
+
+
+def _anchored(v: Views) -> DataFrame:
+    """Anchors that stand in the text, that are two pieces of it, that do not stand in it, and that are empty."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    text = collapse(F.col("claim"))
+    return v.cards.withColumn("anchor", F.when(n % 5 == 0, F.concat(F.substring(text, 1, 20), F.lit("..."), F.substring(text, 25, 20))).when(n % 5 == 1, F.concat(F.substring(text, 1, 12), F.lit(" 0qx9 "), F.substring(text, 13, 6))).when(n % 5 == 2, "").otherwise(F.substring(text, 4, 50)))
+
+
+@query(
+    "k11_anchors",
+    r"""WITH b AS (SELECT conv_id AS video_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn, text), '[\s\p{Z}]+', ' ', 'g')) AS body FROM conversations GROUP BY 1),
+    t AS (SELECT id, video_id, CAST(regexp_extract(id, '(\d+)$', 1) AS BIGINT) AS n, trim(regexp_replace(claim, '[\s\p{Z}]+', ' ', 'g')) AS t FROM v_cards),
+    a AS (SELECT id, video_id, trim(regexp_replace(CASE n % 5 WHEN 0 THEN substr(t, 1, 20) || '...' || substr(t, 25, 20) WHEN 1 THEN substr(t, 1, 12) || ' 0qx9 ' || substr(t, 13, 6) WHEN 2 THEN '' ELSE substr(t, 4, 50) END, '[\s\p{Z}]+', ' ', 'g')) AS a FROM t),
+    p AS (SELECT *, list_filter(list_transform(string_split_regex(a, '\.\.\.|…'), lambda x: trim(x)), lambda x: length(x) > 8) AS parts FROM a JOIN b USING (video_id))
+    SELECT id, CASE WHEN a = '' THEN 'other' WHEN contains(body, a) THEN 'exact' WHEN len(parts) > 0 AND len(list_filter(parts, lambda x: NOT contains(body, x))) = 0 THEN 'fragments' ELSE 'other' END AS verdict FROM p""",
+)
 def _(v: Views) -> DataFrame:
-    bodies = v.raw("conversations").groupBy(F.col("conv_id").alias("video_id")).agg(collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")).alias("body"))
-    return check_anchors(v.cards, bodies).select("id", "verdict")
+    """SQL knows no best window: near and missing are one here, and tested by themselves."""
+    checked = check_anchors(_anchored(v), conversation_bodies(v))
+    return checked.select("id", F.when(F.col("verdict").isin("exact", "fragments"), F.col("verdict")).otherwise("other").alias("verdict"))
 
 
 @query("k12_anchor_repair", None)
 def _(v: Views) -> DataFrame:
-    bodies = v.raw("conversations").groupBy(F.col("conv_id").alias("video_id")).agg(collapse(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("turn", "text"))), lambda x: x["text"]), " ")).alias("body"))
+    bodies = conversation_bodies(v)
     bent = v.cards.withColumn("anchor", F.concat(F.substring("claim", 1, 30), F.lit(" x "), F.substring("claim", 31, 30)))
     return check_anchors(bent, bodies)

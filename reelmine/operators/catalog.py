@@ -259,9 +259,43 @@ def _(v: Views) -> DataFrame:
     return find_channels(v.channels, refs)
 
 
-@query("c06_channel_refs", "SELECT page_id, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS value, 'foreign host' AS problem FROM pages WHERE url LIKE '%://%' UNION ALL SELECT page_id, 'custom', trim(url), NULL FROM pages WHERE url NOT LIKE '%://%'")
+_ID = "UCabcdefghij_klmnop-qrst"
+#: Forms of references, with {n} for a number, and what each means.
+REFERENCES = (
+    (_ID, "channel_id", _ID, None),
+    ("  @name{n} ", "handle", "@name{n}", None),
+    ("bare name {n}", "custom", "bare name {n}", None),
+    ("https://example.org/@name{n}", None, None, "foreign host"),
+    ("https://www.youtube.com/", None, None, "no channel"),
+    (f"https://m.youtube.com/channel/{_ID}/videos?x={{n}}", "channel_id", _ID, None),
+    ("youtube.com/channel/UC{n}", None, None, "malformed channel id"),
+    ("https://youtube.com/user/some%20one{n}", "user", "some one{n}", None),
+    ("/c/Custom{n}", "custom", "Custom{n}", None),
+    ("www.youtube.com/@handle{n}/about", "handle", "@handle{n}", None),
+    ("https://youtube.com/playlist?list=PL{n}&y=1", "playlist", "PL{n}", None),
+    ("https://youtube.com/playlist", None, None, "no list id"),
+    ("https://youtu.be/watch?v={n}", None, None, "points at a video"),
+    ("https://music.youtube.com/legacy{n}", "custom", "legacy{n}", None),
+    ("   ", None, None, "empty"),
+)
+
+
+def _forms(k: int) -> str:
+    """The SQL of one column of REFERENCES by page_id."""
+    said = lambda x: "NULL" if x is None else "replace('" + x.replace("'", "''") + "', '{n}', CAST(page_id AS VARCHAR))"
+    return f"CASE page_id % {len(REFERENCES)} " + " ".join(f"WHEN {i} THEN {said(r[k])}" for i, r in enumerate(REFERENCES)) + " END"
+
+
+@query("c06_channel_refs", f"SELECT page_id, {_forms(1)} AS kind, {_forms(2)} AS value, {_forms(3)} AS problem FROM pages")
+def _(v: Views) -> DataFrame:
+    ref = F.replace(F.element_at(F.array(*(F.lit(r[0]) for r in REFERENCES)), (F.col("page_id") % len(REFERENCES) + 1).cast("int")), F.lit("{n}"), F.col("page_id").cast("string"))
+    return v.raw("pages").select("page_id", ref.alias("ref")).select("page_id", channel_ref("ref").alias("r")).select("page_id", "r.*")
+
+
+@query("c06_upload_lists", "SELECT page_id, CASE WHEN page_id % 2 = 0 THEN 'UU' || lpad(CAST(page_id AS VARCHAR), 22, 'x') END AS list FROM pages")
 def _(v: Views) -> DataFrame:
-    return v.raw("pages").select("page_id", channel_ref("url").alias("r")).select("page_id", "r.*")
+    n = F.lpad(F.col("page_id").cast("string"), 22, "x")
+    return v.raw("pages").select("page_id", uploads_list(F.when(F.col("page_id") % 2 == 0, F.concat(F.lit("UC"), n)).otherwise(F.concat(F.lit("UD"), n))).alias("list"))
 
 
 @query(
@@ -286,25 +320,38 @@ def _(v: Views) -> DataFrame:
     return details.select("video_id", skip_rules(include_shorts=False).alias("r")).select("video_id", "r.*")
 
 
-@query(
-    "c08_classify_attempts",
-    """SELECT event_id,
-      CASE event_id % 6 WHEN 0 THEN 'blocked' WHEN 1 THEN 'terminal' WHEN 2 THEN 'retryable' WHEN 3 THEN 'terminal' WHEN 4 THEN 'blocked' ELSE 'retryable' END AS outcome,
-      CASE event_id % 6 WHEN 1 THEN 'age_restricted' WHEN 3 THEN 'no_transcript' END AS status, event_id % 6 = 3 AS needs_audio,
-      CASE event_id % 6 WHEN 5 THEN 1 ELSE 5 END AS max_attempts FROM events""",
+#: Logged failures (type, message, HTTP status) and what they mean: outcome, status, audio wanted, attempts allowed of five.
+FAILURES = (
+    ("DownloadError", "Sign in to confirm you’re not a bot", None, "blocked", None, False, 5),
+    ("VideoUnplayable", "This video is Age-Restricted", None, "terminal", "age_restricted", False, 5),
+    ("HTTPError", "503 Server Error for url", None, "retryable", None, False, 5),
+    ("TranscriptsDisabled", "", None, "terminal", "no_transcript", True, 5),
+    ("YouTubeRequestFailed", "429 Client Error", None, "blocked", None, False, 5),
+    ("KeyError", "z", None, "retryable", None, False, 1),
+    ("IpBlocked", "", None, "blocked", None, False, 5),
+    ("NoTranscriptFound", "no en", None, "terminal", "lang_missing", False, 5),
+    ("VideoUnavailable", "", None, "terminal", "unavailable", False, 5),
+    ("JSONDecodeError", "line 1", None, "retryable", None, False, 2),
+    ("VideoUnplayable", "private", None, "terminal", "unavailable", False, 5),
+    ("YouTubeRequestFailed", "404 Client Error", None, "retryable", None, False, 2),
+    ("ExtractorError", "Premieres in 3 hours", None, "terminal", "skipped", False, 5),
+    ("ExtractorError", "Private video. Sign in", None, "terminal", "unavailable", False, 5),
+    ("DownloadError", "There are no captions", None, "terminal", "no_transcript", True, 5),
+    ("DownloadError", "odd", 403, "blocked", None, False, 5),
+    ("DownloadError", "odd", 502, "retryable", None, False, 5),
+    ("DownloadError", "odd", None, "retryable", None, False, 2),
+    ("AgeRestricted", "", None, "terminal", "age_restricted", False, 5),
+    ("CouldNotRetrieveTranscript", "", None, "retryable", None, False, 1),
+    ("HTTPError", "odd", 429, "blocked", None, False, 5),
 )
+_OUTCOMES = ", ".join(f"({i}, '{o}', {repr(s) if s else 'NULL'}, {str(a).lower()}, {m})" for i, (_, _, _, o, s, a, m) in enumerate(FAILURES))
+
+
+@query("c08_classify_attempts", f"SELECT event_id, outcome, status, needs_audio, max_attempts FROM events JOIN (VALUES {_OUTCOMES}) t(i, outcome, status, needs_audio, max_attempts) ON event_id % {len(FAILURES)} = i")
 def _(v: Views) -> DataFrame:
-    logged = F.element_at(
-        F.array(
-            *(
-                F.struct(F.lit(t).alias("type"), F.concat(F.lit(m), F.get_json_object("props", "$.k")).alias("message"))
-                for t, m in (("DownloadError", "Sign in to confirm you’re not a bot "), ("VideoUnplayable", "This video is Age-Restricted "), ("HTTPError", "503 Server Error for url: x"), ("TranscriptsDisabled", ""), ("YouTubeRequestFailed", "429 Client Error: y"), ("KeyError", "z"))
-            )
-        ),
-        (F.col("event_id") % 6 + 1).cast("int"),
-    )
-    rows = v.raw("events").select("event_id", logged.alias("e"))
-    return rows.select("event_id", classify_attempt(F.col("e.type"), F.col("e.message"), F.lit(None)).alias("c")).select("event_id", "c.*")
+    logged = F.array(*(F.struct(F.lit(t).alias("type"), F.lit(m).alias("message"), F.lit(c).cast("int").alias("code")) for t, m, c, *_ in FAILURES))
+    rows = v.raw("events").select("event_id", F.element_at(logged, (F.col("event_id") % len(FAILURES) + 1).cast("int")).alias("e"))
+    return rows.select("event_id", classify_attempt(F.col("e.type"), F.concat(F.col("e.message"), F.lit(" ")), F.col("e.code")).alias("c")).select("event_id", "c.*")
 
 
 @query("c09_reprocessed", "SELECT status, count(*) AS videos, bool_or(status IN ('discovered', 'metadata_ok', 'retry')) AS again FROM v_videos GROUP BY status")
@@ -450,6 +497,54 @@ def choose_tracks(tracks: DataFrame, languages: list[str], translate: bool = Fal
     return tracks.select("video_id").distinct().join(chosen, "video_id", "left").withColumn("status", F.when(F.col("kind").isNull(), "lang_missing").otherwise("transcript_ok"))
 
 
+def wanted_tracks(tracks: DataFrame, languages: list[str]) -> DataFrame:
+    """All variants of the languages asked for, with is_preferred on the one that ``choose_tracks`` takes."""
+    ask = F.array(*(F.lit(x.split("-")[0].lower()) for x in languages))
+    rows = tracks.where(F.array_contains(ask, F.split_part(F.lower("language_code"), F.lit("-"), F.lit(1))))
+    best = choose_tracks(tracks, languages).where("kind is not null").select("video_id", "language_code", "kind", F.lit(True).alias("best"))
+    return rows.select("video_id", "language_code", "kind").distinct().join(best, ["video_id", "language_code", "kind"], "left").select("video_id", "language_code", "kind", F.coalesce("best", F.lit(False)).alias("is_preferred"))
+
+
+def _contested(v: Views) -> DataFrame:
+    """Up to five tracks of a video, by the bits of its id."""
+    i = F.col("video_id")
+    bit = lambda k, code, kind: F.when(F.floor(i / 2**k) % 2 == 1, F.struct(F.lit(code).alias("language_code"), F.lit(kind).alias("kind"), F.lit(k >= 3).alias("is_translatable")))
+    every = F.array(bit(0, "en", "asr"), bit(1, "en-GB", "manual"), bit(2, "de", "asr"), bit(3, "fr", "manual"), bit(4, "es", "asr"), F.struct(F.lit("it").alias("language_code"), F.lit("asr").alias("kind"), F.lit(False).alias("is_translatable")))
+    return v.videos.select("video_id", F.inline(F.filter(every, lambda x: x.isNotNull())))
+
+
+_TRACKS = """tr AS (SELECT doc_id AS video_id, unnest(list_filter([CASE WHEN doc_id % 2 = 1 THEN {'c': 'en', 'k': 'asr', 't': false} END, CASE WHEN doc_id // 2 % 2 = 1 THEN {'c': 'en-GB', 'k': 'manual', 't': false} END, CASE WHEN doc_id // 4 % 2 = 1 THEN {'c': 'de', 'k': 'asr', 't': false} END,
+      CASE WHEN doc_id // 8 % 2 = 1 THEN {'c': 'fr', 'k': 'manual', 't': true} END, CASE WHEN doc_id // 16 % 2 = 1 THEN {'c': 'es', 'k': 'asr', 't': true} END, {'c': 'it', 'k': 'asr', 't': false}], lambda x: x IS NOT NULL)) AS x FROM documents),
+    l AS (SELECT * FROM (VALUES (0, 'en'), (1, 'de')) t(p, w)),
+    h AS (SELECT *, bool_or(x.c = w) OVER (PARTITION BY video_id, p) AS any_exact FROM tr JOIN l ON x.c = w OR split_part(x.c, '-', 1) = w),
+    ch AS (SELECT video_id, x.c AS c, x.k AS k, CAST(NULL AS VARCHAR) AS tr FROM h WHERE x.c = w OR NOT any_exact QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY p, CAST(x.k <> 'manual' AS INTEGER), x.c) = 1),
+    tl AS (SELECT video_id, x.c AS c, x.k AS k, w AS tr FROM tr, l WHERE x.t AND p = 0 AND video_id NOT IN (SELECT video_id FROM ch) QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY x.c) = 1)"""
+
+
+@query(
+    "f01_contested_tracks",
+    f"WITH {_TRACKS} SELECT d.doc_id AS video_id, c AS language_code, k AS kind, tr AS translate_to, CASE WHEN k IS NULL THEN 'lang_missing' ELSE 'transcript_ok' END AS status FROM documents d LEFT JOIN (SELECT * FROM ch UNION ALL SELECT * FROM tl) s ON s.video_id = d.doc_id",
+)
+def _(v: Views) -> DataFrame:
+    return choose_tracks(_contested(v), ["en", "de"], translate=True)
+
+
+@query("f01_all_variants", f"WITH {_TRACKS} SELECT t.video_id, t.x.c AS language_code, t.x.k AS kind, ch.c IS NOT NULL AS is_preferred FROM tr t LEFT JOIN ch ON ch.video_id = t.video_id AND ch.c = t.x.c AND ch.k = t.x.k WHERE split_part(t.x.c, '-', 1) IN ('en', 'de')")
+def _(v: Views) -> DataFrame:
+    return wanted_tracks(_contested(v), ["en", "de"])
+
+
+def last_runs(attempts: DataFrame, n: int = 20) -> DataFrame:
+    """Runs, newest first."""
+    runs = attempts.groupBy("run_id").agg(F.min("started_at").alias("started_at"), F.max("started_at").alias("last_at"))
+    return runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(n)
+
+
+@query("f08_last_runs", "SELECT run_id, min(started_at) AS started_at, max(started_at) AS last_at FROM v_attempts GROUP BY run_id ORDER BY started_at DESC, run_id DESC LIMIT 3")
+def _(v: Views) -> DataFrame:
+    return last_runs(v.attempts, 3)
+
+
 @query(
     "f01_choose_tracks",
     """SELECT video_id, CASE WHEN language = 'de' THEN 'de-AT' WHEN language = 'en' THEN 'en' WHEN language = 'fr' THEN 'fr' END AS language_code,

@@ -134,6 +134,26 @@ def coverage_figures(docs: DataFrame, cards: DataFrame, manifest: DataFrame) ->
     return manifest.agg(F.count("*").alias("archive")).crossJoin(a)  # one row each
 
 
+def coverage_spans(docs: DataFrame, cards: DataFrame, manifest: DataFrame) -> DataFrame:
+    """One row: videos, those with cards and their share in percent, words of the archive and its date span. ``manifest`` has words."""
+    carded = manifest.join(cards.select("video_id", F.lit(True).alias("has")).distinct(), "video_id", "left")
+    out = carded.agg(F.count("*").alias("archive"), F.count("has").alias("processed"), F.coalesce(F.sum("words"), F.lit(0)).alias("words"), F.min("published_at").alias("since"), F.max("published_at").alias("until"))
+    return out.withColumn("processed_percent", F.round(100 * F.col("processed") / F.greatest("archive", F.lit(1)), 1))
+
+
+@query(
+    "e18_coverage_spans",
+    "SELECT count(*) AS archive, count(*) FILTER (video_id IN (SELECT video_id FROM v_cards)) AS processed, CAST(sum(words) AS BIGINT) AS words, min(published_at) AS since, max(published_at) AS until, round(100 * count(*) FILTER (video_id IN (SELECT video_id FROM v_cards)) / count(*), 1) AS processed_percent FROM v_videos JOIN v_transcripts USING (video_id)",
+)
+def _(v: Views) -> DataFrame:
+    return coverage_spans(chapters(v), v.cards, v.videos.join(v.transcripts.select("video_id", "words"), "video_id"))
+
+
+@query("h15_without_citations", r"SELECT doc_id AS doc, regexp_replace(text || ' [EV-000012, EV-1234] end', '\s*\[(?:EV-(?:[A-Za-z0-9_-]{11}-\d{2,}|\d{4,}))(?:,\s*(?:EV-(?:[A-Za-z0-9_-]{11}-\d{2,}|\d{4,})))*\]', '', 'g') AS text FROM documents")
+def _(v: Views) -> DataFrame:
+    return v.raw("documents").select(F.col("doc_id").alias("doc"), without_citations(F.concat("text", F.lit(" [EV-000012, EV-1234] end"))).alias("text"))
+
+
 @query(
     "k13_blocks",
     rf"""WITH {_CHAPTERS}, b AS (SELECT doc, unnest(string_split_regex(text, '\n\s*\n')) AS t FROM ch) SELECT doc, CASE WHEN regexp_matches(x, '^#') THEN 'heading' WHEN regexp_matches(x, '^(\||!\[|- \[)') THEN 'other' ELSE 'prose' END AS kind, count(*) AS blocks

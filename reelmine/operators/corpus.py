@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+import uuid
 from difflib import SequenceMatcher
 
 import pandas as pd
@@ -11,9 +12,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import clean_caption, clock, collapse, duration_seconds, norm_title, snippet, words
+from ..functions.text import clean_caption, clock, collapse, corpus_body, duration_seconds, norm_title, short_text, snippet, words
 from ..plans.registry import query
-from ..plans.staging import table
+from ..plans.staging import shared_dir, table
 from ..plans.views import Views
 from .catalog import folded
 
@@ -80,21 +81,30 @@ def _(v: Views) -> DataFrame:
     return nested(v.cues).select("video_id", F.inline(paragraphs(F.col("cues"), 20)))
 
 
-@query("k01_rolling", None)
+@query(
+    "k01_rolling",
+    """WITH RECURSIVE t AS (SELECT video_id, "start", trim(text) AS text, row_number() OVER (PARTITION BY video_id ORDER BY "start", pos) AS n FROM v_cues),
+    f AS (SELECT DISTINCT video_id, CAST(0 AS BIGINT) AS n, '' AS prev, CAST(NULL AS DOUBLE) AS "start", '' AS cut FROM t UNION ALL
+      SELECT video_id, n, CASE WHEN cut = '' THEN prev ELSE array_to_string(list_slice(string_split(trim(concat_ws(' ', prev, cut)), ' '), greatest(1, len(string_split(trim(concat_ws(' ', prev, cut)), ' ')) - 24), 1000000), ' ') END, "start", cut
+      FROM (SELECT *, CASE WHEN prev <> '' AND starts_with(text, prev) THEN trim(substr(text, length(prev) + 1)) WHEN ends_with(prev, text) THEN '' WHEN k > 0 THEN array_to_string(b[k + 1 :], ' ') ELSE text END AS cut
+        FROM (SELECT *, coalesce(list_max(list_filter(range(3, least(12, len(a), len(b)) + 1), lambda k: a[len(a) - k + 1 :] = b[: k])), 0) AS k
+          FROM (SELECT t.video_id, t.n, f.prev, t."start", t.text, string_split(f.prev, ' ') AS a, string_split(t.text, ' ') AS b FROM f JOIN t ON t.video_id = f.video_id AND t.n = f.n + 1))))
+    SELECT video_id, "start", cut AS text FROM f WHERE cut <> ''""",
+)
 def _(v: Views) -> DataFrame:
     return nested(v.cues).select("video_id", F.inline(without_rolling(F.col("cues"))))
 
 
 @query(
     "k03_e09_metrics",
-    r"""SELECT video_id, count(*) AS segments, CAST(length(trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '[\s\p{Z}]+', ' ', 'g'))) AS BIGINT) AS chars,
+    r"""SELECT video_id, count(*) AS segments, trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '[\s\p{Z}]+', ' ', 'g')) AS plaintext,
     CAST(len(string_split(trim(regexp_replace(string_agg(text, ' ' ORDER BY pos), '[\s\p{Z}]+', ' ', 'g')), ' ')) AS BIGINT) AS words FROM v_cues WHERE trim(text) <> '' AND NOT regexp_matches(text, '^\s*[\[(][^\])]*[\])]\s*$') GROUP BY video_id""",
 )
 def _(v: Views) -> DataFrame:
     raw = v.cues.select("video_id", "pos", F.col("start").cast("string").alias("start"), F.col("duration").cast("string").alias("duration"), "text")
     rows = raw.groupBy("video_id").agg(normal_segments(F.collect_list(F.struct("start", "duration", "text"))).alias("s"))
     text = plaintext(F.col("s"))
-    return rows.select("video_id", F.size("s").cast("long").alias("segments"), F.length(text).cast("long").alias("chars"), F.size(words(text)).cast("long").alias("words"))
+    return rows.select("video_id", F.size("s").cast("long").alias("segments"), text.alias("plaintext"), F.size(words(text)).cast("long").alias("words"))
 
 
 @query("h01_durations", "SELECT event_id, CAST(event_id % 3 * 86400 + event_id % 24 * 3600 + event_id % 60 AS INTEGER) AS seconds FROM events WHERE event_id % 5 <> 0 UNION ALL SELECT event_id, NULL FROM events WHERE event_id % 5 = 0")
@@ -104,9 +114,9 @@ def _(v: Views) -> DataFrame:
     return v.raw("events").select("event_id", duration_seconds(iso).alias("seconds"))
 
 
-@query("h05_clean_captions", r"""SELECT page_id, CAST(length(trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\[(Music|Applause|Laughter|Sound|Silence)[^\]]*\]', '', 'gi'), '[\s\p{Z}]+', ' ', 'g'))) AS BIGINT) AS chars FROM pages""")
+@query("h05_clean_captions", r"""SELECT page_id, trim(regexp_replace(regexp_replace(replace(replace(replace(replace(replace(replace(regexp_replace(html, '<[^>]+>', '', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&#39;', ''''), '&nbsp;', ' '), '&amp;', '&'), '\[(Music|Applause|Laughter|Sound|Silence)[^\]]*\]', '', 'gi'), '[\s\p{Z}]+', ' ', 'g')) AS text FROM pages""")
 def _(v: Views) -> DataFrame:
-    return v.raw("pages").select("page_id", F.length(clean_caption(F.col("html"), entities=False)).cast("long").alias("chars"))
+    return v.raw("pages").select("page_id", clean_caption(F.col("html"), entities=False).alias("text"))
 
 
 @query("h03_clock", "SELECT video_id, lpad(CAST(duration_seconds // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(duration_seconds // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(duration_seconds % 60 AS VARCHAR), 2, '0') AS at FROM v_videos")
@@ -126,8 +136,22 @@ def inverted_index(transcripts: DataFrame) -> DataFrame:
     return transcripts.select("video_id", F.explode(tokens(F.col("plaintext"))).alias("term")).groupBy("term", "video_id").agg(F.count("*").alias("tf"))
 
 
+def _bucket(term: Column) -> Column:
+    return F.pmod(F.xxhash64(term), F.lit(64)).cast("int")
+
+
+def write_index(transcripts: DataFrame, path: str | None = None) -> DataFrame:
+    """The index as a written table, in 64 folders by a hash of the term and sorted by term within files, so that a search reads the
+    folders and row groups of its terms only. It is written once for a state of the transcripts."""
+    path = path or f"{shared_dir(transcripts.sparkSession)}/search-{uuid.uuid4().hex}"
+    rows = inverted_index(transcripts).withColumn("bucket", _bucket(F.col("term")))
+    rows.sortWithinPartitions("bucket", "term", "video_id").write.partitionBy("bucket").parquet(path)
+    return transcripts.sparkSession.read.schema(rows.schema).parquet(path)
+
+
 def search(index: DataFrame, transcripts: DataFrame, videos: DataFrame, text: str, limit: int = 50, shortest: int = 3) -> DataFrame:
-    """Videos with any of the query's words, by the sum of tf times idf squared; words shorter than ``shortest`` are ignored.
+    """Videos with any of the query's words, by the sum of tf times idf squared. Words shorter than ``shortest`` are ignored (a query
+    of short words alone finds nothing; ``substring_search`` finds them).
 
     Only postings of the query's words are read; title and snippet are joined to the result, which has ``limit`` rows."""
     import re
@@ -135,6 +159,8 @@ def search(index: DataFrame, transcripts: DataFrame, videos: DataFrame, text: st
     terms = sorted({w for w in re.split(r"[\W_]+", text.lower()) if len(w) >= shortest})
     limit = max(1, min(500, limit))
     hits = index.where(F.col("term").isin(terms)) if terms else index.limit(0)
+    if terms and "bucket" in index.columns:
+        hits = hits.where(F.col("bucket").isin([r[0] for r in index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]))
     total = transcripts.agg(F.count("*").alias("total"))
     df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
     scores = hits.join(F.broadcast(df), "term").groupBy("video_id").agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("idf")), 6).alias("score"))
@@ -151,20 +177,24 @@ def search(index: DataFrame, transcripts: DataFrame, videos: DataFrame, text: st
     SELECT video_id, score, title, channel_id, substring(plaintext, greatest(1, instr(lower(plaintext), 'the') - 120), 320) AS snippet FROM s JOIN v_transcripts USING (video_id) JOIN v_videos USING (video_id)""",
 )
 def _(v: Views) -> DataFrame:
-    return search(inverted_index(v.transcripts), v.transcripts, v.videos, "the with und a")
+    return search(write_index(v.transcripts), v.transcripts, v.videos, "the with und a")
+
 
+def substring_search(transcripts: DataFrame, text: str, limit: int = 500) -> DataFrame:
+    """Videos whose transcript holds ``text``, whatever its case and accents, by id; all score 0."""
+    return transcripts.where(F.contains(folded(F.col("plaintext")), folded(F.lit(text)))).orderBy("video_id").limit(limit).select("video_id", F.lit(0).alias("score"))
 
-@query("k05_substring_search", "SELECT video_id, 0 AS score FROM v_transcripts WHERE contains(lower(strip_accents(plaintext)), 'ration') ORDER BY video_id LIMIT 500")
+
+@query("k05_substring_search", "SELECT video_id, 0 AS score FROM v_transcripts WHERE contains(lower(strip_accents(plaintext)), 'the ma') ORDER BY video_id LIMIT 500")
 def _(v: Views) -> DataFrame:
-    hits = v.transcripts.where(F.contains(folded(F.col("plaintext")), folded(F.lit("RATIÓN"))))
-    return hits.orderBy("video_id").limit(500).select("video_id", F.lit(0).alias("score"))
+    return substring_search(v.transcripts, "THÉ ma")
 
 
 # ---- containment
 
 
-def shingle_rows(bodies: DataFrame, n: int = 5, least: int = 10) -> DataFrame:
-    """(video_id, words, shingles, shingle): a row for each distinct shingle of a body that has ``least`` of them."""
+def shingle_sets(bodies: DataFrame, n: int = 5, least: int = 10) -> DataFrame:
+    """(video_id, words, g): the distinct shingles of each body that has ``least`` of them."""
 
     def of(w: Column) -> Column:
         starts = F.sequence(F.lit(1), F.greatest(F.lit(1), F.size(w) - (n - 1)))
@@ -173,20 +203,29 @@ def shingle_rows(bodies: DataFrame, n: int = 5, least: int = 10) -> DataFrame:
 
     # the words stand in an array of one, so that they are split once for a body and not once for each shingle
     rows = bodies.select("video_id", F.explode(F.transform(F.array(words(F.col("body"))), of)).alias("s")).select("video_id", "s.*")
-    return rows.where(F.size("g") >= least).select("video_id", "words", F.size("g").alias("shingles"), F.explode("g").alias("shingle"))
+    return rows.where(F.size("g") >= least)
 
 
 def contained_clips(bodies: DataFrame, short_words: int = 500, least: float = 0.25) -> DataFrame:
     """(clip, clip_words, source, containment): the longer body that holds the largest share of a clip's shingles.
 
-    Clips and sources meet by equal shingles only; only pairs that share one are counted. AQE splits frequent shingles."""
-    rows = table(shingle_rows(bodies), "shingles")
-    clips = rows.where(F.col("words") <= short_words).select(F.col("video_id").alias("clip"), F.col("words").alias("clip_words"), "shingles", "shingle")
-    longer = rows.where(F.col("words") > short_words).select(F.col("video_id").alias("source"), F.col("words").alias("source_words"), "shingle")
-    pairs = clips.join(longer, "shingle").groupBy("clip", "clip_words", "shingles", "source", "source_words").agg(F.count("*").alias("shared"))
+    A source that holds enough of a clip also holds one of the clip's rarest shingles, all but the needed number and one more, so
+    only those are keys and what many bodies share is none. Pairs that meet are counted on their whole sets."""
+    sets = table(shingle_sets(bodies), "shingles")
+    clips, longer = sets.where(F.col("words") <= short_words), sets.where(F.col("words") > short_words)
+    posted = longer.select(F.col("video_id").alias("source"), F.explode("g").alias("shingle"))
+    often = posted.groupBy("shingle").agg(F.count("*").alias("often"))
+    size = F.size("g")
+    keys = clips.select("video_id", size.alias("size"), F.explode("g").alias("shingle")).join(often, "shingle", "left").fillna(0, ["often"])
+    rank = F.row_number().over(Window.partitionBy("video_id").orderBy("often", "shingle"))
+    keys = keys.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1) & (F.col("often") > 0))
+    pairs = table(keys.select(F.col("video_id").alias("clip"), "shingle").join(posted, "shingle").select("clip", "source").distinct(), "clip-pairs")
+    x = clips.select(F.col("video_id").alias("clip"), F.col("words").alias("clip_words"), F.col("g").alias("x"))
+    y = longer.select(F.col("video_id").alias("source"), F.col("words").alias("source_words"), F.col("g").alias("y"))
+    found = pairs.join(x, "clip").join(y, "source").select("clip", "clip_words", "source", "source_words", F.size("x").alias("shingles"), F.size(F.array_intersect("x", "y")).alias("shared"))
     best = Window.partitionBy("clip").orderBy(F.desc("shared"), F.desc("source_words"), "source")
-    top = pairs.withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    return top.where(F.col("shared") >= least * F.col("shingles")).select("clip", "clip_words", "source", F.round(F.col("shared") / F.col("shingles"), 3).alias("containment"))
+    top = found.where(F.col("shared") >= least * F.col("shingles")).withColumn("rn", F.row_number().over(best)).where("rn = 1")
+    return top.select("clip", "clip_words", "source", F.round(F.col("shared") / F.col("shingles"), 3).alias("containment"))
 
 
 @query(
@@ -352,3 +391,13 @@ def _(v: Views) -> DataFrame:
 @query("h11_titles", f"SELECT video_id, {_TITLE} AS title FROM v_videos")
 def _(v: Views) -> DataFrame:
     return v.videos.select("video_id", norm_title(F.col("title")).alias("title"))
+
+
+@query("h12_corpus_bodies", r"""SELECT doc_id, nfc_normalize(trim(regexp_replace(regexp_replace('[00:01:02] ' || text, '\[\d{2}:\d{2}:\d{2}\]', ' ', 'g'), '[\s\p{Z}]+', ' ', 'g'))) AS body FROM documents""")
+def _(v: Views) -> DataFrame:
+    return v.raw("documents").select("doc_id", corpus_body(F.concat(F.lit("# A title\n---\n[00:01:02] "), F.col("text"))).alias("body"))
+
+
+@query("h14_error_texts", r"""SELECT doc_id, CASE WHEN length(t) > 255 THEN left(t, 252) || '...' ELSE t END AS reason FROM (SELECT doc_id, trim(regexp_replace(text, '[\s\p{Z}]+', ' ', 'g')) AS t FROM documents)""")
+def _(v: Views) -> DataFrame:
+    return v.raw("documents").select("doc_id", short_text(F.col("text"), 255).alias("reason"))
