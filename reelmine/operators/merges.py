@@ -56,10 +56,15 @@ def write_snapshot(df: DataFrame, base: str, name: str) -> None:
     spark.createDataFrame([(number, target)], "number long, path string").coalesce(1).write.mode("append").json(f"{base}/{name}-pointers")
 
 
+def exists(spark: SparkSession, path: str) -> bool:
+    """Whether a folder is there, in whatever store its path names."""
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+
+
 def _pointers(spark: SparkSession, base: str, name: str) -> list[tuple[int, str]]:
     """The last pointer, if there is one."""
-    path = spark._jvm.org.apache.hadoop.fs.Path(f"{base}/{name}-pointers")
-    if not path.getFileSystem(spark._jsc.hadoopConfiguration()).exists(path):
+    if not exists(spark, f"{base}/{name}-pointers"):
         return []
     rows = spark.read.schema("number long, path string").json(f"{base}/{name}-pointers").orderBy(F.desc("number"), "path").limit(1)
     return [(r["number"], r["path"]) for r in rows.collect()]

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import gzip
 import re
+import uuid
 from collections.abc import Iterator
 
 import pandas as pd
@@ -20,7 +21,9 @@ from .operators.catalog import audio_queue
 from .operators.reports import export_rows, watch_url
 from .plans.registry import query
 from .plans.views import Views
-from .sources.captions import archive_path, safe_language
+from .plans.staging import shared_dir
+from .sources.captions import archive_path, caption_files, cue_archive, cues, safe_language, unique_ids
+from .sources.payloads import card_lines, side_map
 
 #: The fields of exported records and the form of a text record.
 JSON_FIELDS = ("video_id", "channel_id", "channel_handle", "title", "published_at", "duration_seconds", "view_count", "url", "language_code", "kind", "segment_count", "word_count", "covered_seconds", "source", "text")
@@ -188,3 +191,77 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     line = F.transform("segments", lambda x: F.concat_ws(" ", x["start"].cast("string"), x["text"]))
     return archive_records(v.cues).select("video_id", F.col("segment_count").cast("long").alias("segment_count"), F.array_join(line, "\n").alias("segments"))
+
+
+# ---- written by the sinks, read back by the sources
+
+
+def _folder(v: Views, name: str) -> str:
+    return f"{shared_dir(v.spark)}/{name}-{uuid.uuid4().hex}"
+
+
+@query(
+    "a06_cue_archive",
+    """SELECT 'ch' || conv_id % 3 AS channel_id, CAST(conv_id AS VARCHAR) AS video_id, 'pt-BR/x' AS language_code, 'asr' AS kind, count(*) AS segment_count, string_agg(CAST(CAST(turn * 7 AS DOUBLE) AS VARCHAR) || ' ' || text, chr(10) ORDER BY turn, length(text), text) AS segments FROM conversations GROUP BY conv_id""",
+)
+def _(v: Views) -> DataFrame:
+    path = _folder(v, "cues")
+    write_archive(v.cues.withColumns({"channel_id": F.concat(F.lit("ch"), (F.col("video_id") % 3).cast("string")), "language_code": F.lit("pt-BR/x"), "kind": F.lit("asr"), "source": F.lit("captions")}), path)
+    rows = cue_archive(v.spark, path)
+    line = F.transform("segments", lambda x: F.concat_ws(" ", x["start"].cast("string"), x["text"]))
+    return rows.select("channel_id", "video_id", "language_code", "kind", F.col("segment_count").cast("long").alias("segment_count"), F.array_join(line, "\n").alias("segments"))
+
+
+_PLAIN = "trim(regexp_replace(regexp_replace(text, '[^A-Za-z0-9 .,]', '', 'g'), ' +', ' ', 'g'))"
+
+
+@query(
+    "a01_a04_caption_files",
+    f"""SELECT conv_id % 4 AS form, CAST(conv_id AS VARCHAR) AS file, CASE WHEN conv_id % 4 = 3 THEN 0.0 ELSE CAST(turn * 7 AS DOUBLE) END AS "start", 'x ' || {_PLAIN} AS text FROM conversations WHERE {_PLAIN} <> ''""",
+)
+def _(v: Views) -> DataFrame:
+    """A file for each conversation, in one of four forms: timed lines, XML in seconds, XML in milliseconds, plain text."""
+    text = F.trim(F.regexp_replace(F.regexp_replace("text", "[^A-Za-z0-9 .,]", ""), " +", " "))
+    turns = v.raw("conversations").select("conv_id", "turn", F.concat(F.lit("x "), text).alias("t")).where("t <> 'x '").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "t"))).alias("c"))
+    joined = lambda line, sep="": F.array_join(F.transform("c", line), sep)
+    form, number = F.col("conv_id") % 4, lambda x: x.cast("string")
+    content = (
+        F.when(form == 0, F.concat(F.lit("WEBVTT\n\n"), joined(lambda x: F.concat(clock(x["turn"] * 7), F.lit(".000 --> "), clock(x["turn"] * 7 + 2), F.lit(".000\n"), x["t"]), "\n\n")))
+        .when(form == 1, F.concat(F.lit("<transcript>"), joined(lambda x: F.concat(F.lit('<text start="'), number(x["turn"] * 7), F.lit('" dur="2">'), x["t"], F.lit("</text>"))), F.lit("</transcript>")))
+        .when(form == 2, F.concat(F.lit("<timedtext><body>"), joined(lambda x: F.concat(F.lit('<p t="'), number(x["turn"] * 7000), F.lit('" d="2000">'), x["t"], F.lit("</p>"))), F.lit("</body></timedtext>")))
+        .otherwise(joined(lambda x: x["t"], "\n"))
+    )
+    path, name = _folder(v, "captions"), F.concat(F.lit("d/"), number(F.col("conv_id")), F.when(form == 0, ".vtt").otherwise(".txt"))
+    write_files(turns.select(name.alias("path"), content.cast("binary").alias("content")), path)
+    file = F.regexp_extract("file", r"/(\d+)\.", 1)
+    return cues(caption_files(v.spark, path)).select((file.cast("long") % 4).alias("form"), file.alias("file"), "start", "text")
+
+
+@query("a11_card_lines", "SELECT id, video_id, seconds, type, claim FROM (SELECT id, CAST(video_id AS VARCHAR) AS video_id, seconds, type, claim FROM v_cards) UNION ALL SELECT 'bad line', CAST(conv_id AS VARCHAR), CAST(count(*) + 2 AS INTEGER), NULL, NULL FROM conversations GROUP BY conv_id")
+def _(v: Views) -> DataFrame:
+    """A file of cards for each video, with a blank line and a broken one at its end, and bookkeeping files beside them."""
+    card = F.to_json(F.struct("id", F.col("video_id").cast("string").alias("video_id"), F.col("seconds").cast("int").alias("seconds"), "type", "claim", "anchor"))
+    files = v.cards.groupBy("video_id").agg(F.concat(F.array_join(F.collect_list(card), "\n"), F.lit("\n\n{broken\n")).alias("content"))
+    named = files.select(F.concat(F.col("video_id").cast("string"), F.lit(".jsonl")).alias("path"), "content").unionByName(files.select(F.concat(F.lit("_"), F.col("video_id").cast("string"), F.lit(".jsonl")).alias("path"), F.lit("{}").alias("content")).where("length(path) <> 17"))
+    path = _folder(v, "cards")
+    write_files(named.select("path", F.col("content").cast("binary").alias("content")), path)
+    good, bad = card_lines(v.spark, path)
+    nothing = F.lit(None).cast("string")
+    return good.select("id", "video_id", "seconds", "type", "claim").unionByName(bad.select(F.lit("bad line").alias("id"), F.regexp_extract("file", r"^(\d+)", 1).alias("video_id"), F.col("line").cast("int").alias("seconds"), nothing.alias("type"), nothing.alias("claim")))
+
+
+@query("a13_side_map", "SELECT channel_id AS key, handle AS title, reported_video_count AS videos FROM v_channels")
+def _(v: Views) -> DataFrame:
+    """A JSON map of the channels, as a side file, and no rows of one that isn't there."""
+    path, kind = _folder(v, "side"), "struct<title:string,videos:bigint>"
+    entry = F.struct("channel_id", F.struct(F.col("handle").alias("title"), F.col("reported_video_count").alias("videos")))
+    one = v.channels.agg(F.to_json(F.map_from_entries(F.collect_list(entry))).alias("content"))
+    write_files(one.select(F.lit("map.json").alias("path"), F.col("content").cast("binary").alias("content")), path)
+    rows = side_map(v.spark, f"{path}/map.json", kind).unionByName(side_map(v.spark, f"{path}/none.json", kind))
+    return rows.select("key", "value.*")
+
+
+@query("a14_unique_ids", "SELECT 'p' || page_id AS path, CASE WHEN n > 0 THEN 'v' || page_id // 3 || '_' || n ELSE 'v' || page_id // 3 END AS video_id FROM (SELECT page_id, row_number() OVER (PARTITION BY page_id // 3 ORDER BY 'p' || page_id) - 1 AS n FROM pages)")
+def _(v: Views) -> DataFrame:
+    n = F.col("page_id")
+    return unique_ids(v.raw("pages").select(F.concat(F.lit("p"), n.cast("string")).alias("path"), F.concat(F.lit("v"), F.floor(n / 3).cast("string")).alias("video_id")))

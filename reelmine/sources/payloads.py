@@ -151,3 +151,10 @@ def _(v: Views) -> DataFrame:
 def _(v: Views) -> DataFrame:
     line = F.when(F.col("event_id") % 4 == 0, F.concat(F.lit("broken "), F.col("props"))).otherwise(F.col("props"))
     return log_lines(v.raw("events").select(F.col("event_id").alias("seq"), line.alias("line")), since=10)
+
+
+@query("a09_flat_listing", "SELECT 'v' || lpad(CAST(page_id AS VARCHAR), 10, '0') AS video_id, url AS title, CASE WHEN page_id % 2 = 0 THEN TIMESTAMP '2024-01-01' END AS published_at FROM pages WHERE page_id % 3 <> 0")
+def _(v: Views) -> DataFrame:
+    n = F.col("page_id")
+    entry = F.struct(F.when(n % 3 == 0, "short").otherwise(F.concat(F.lit("v"), F.lpad(n.cast("string"), 10, "0"))).alias("id"), F.col("url").alias("title"), F.when(n % 2 == 0, 1704067200.0).alias("timestamp"))
+    return flat_listing("payload", v.raw("pages").select(F.to_json(F.struct(F.array(entry).alias("entries"))).alias("payload")))

@@ -9,14 +9,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merges import forward, logged_outcomes, merge, new_if_known, read_snapshot, write_snapshot
+from ..operators.merges import exists, forward, logged_outcomes, merge, read_snapshot, write_snapshot
 from ..operators.reports import pacific_day
 from ..plans.registry import query
-from ..plans.staging import shared_dir
+from ..plans.staging import shared_dir, table
 from ..plans.views import Views
 
 LATE = "10 minutes"
@@ -149,26 +149,78 @@ def live_videos(attempts: DataFrame, ceiling: int = 5, max_rechecks: int = 4, la
 
 
 def log_tail(lines: DataFrame) -> DataFrame:
-    """A text stream of log lines: level and event of JSON objects, everything else as a raw event. Writers rename complete files in."""
-    parsed = F.from_json("value", "struct<level:string,event:string,run_id:bigint,video_id:string>")
-    good = F.trim("value").startswith("{") & F.trim("value").endswith("}")
-    return lines.where(F.trim("value") != "").select(F.when(good, F.coalesce(parsed["level"], F.lit("info"))).otherwise("info").alias("level"), F.when(good, parsed["event"]).otherwise(F.left(F.trim("value"), F.lit(2000))).alias("event"), (~good).alias("raw"))
+    """A text stream of log lines: level and event of JSON objects, everything else as a raw event. Writers rename complete files in;
+    logs that grow are read by ``chunk_tail``."""
+    return lines.where(F.trim("value") != "").select(*_parsed(F.col("value")))
+
+
+def _parsed(value: Column) -> list[Column]:
+    parsed = F.from_json(value, "struct<level:string,event:string,run_id:bigint,video_id:string>")
+    good = F.trim(value).startswith("{") & F.trim(value).endswith("}")
+    return [F.when(good, F.coalesce(parsed["level"], F.lit("info"))).otherwise("info").alias("level"), F.when(good, parsed["event"]).otherwise(F.left(F.trim(value), F.lit(2000))).alias("event"), (~good).alias("raw")]
+
+
+def chunk_tail(chunks: DataFrame) -> DataFrame:
+    """(log, seq, level, event, raw) of logs that arrive in pieces (log, part, content), each part what was appended since the one
+    before. A line is given when its end has come; a half-written one is held back in the log's state with the number of its next
+    line, so a tail goes on where it stopped. Blank lines have a number but no row; a part that comes again is ignored."""
+    kinds = dict(chunks.dtypes)
+
+    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        rows = pd.concat(list(frames)).sort_values("part").drop_duplicates("part")
+        seq, last, rest = state.get if state.exists else (0, None, "")
+        rows = rows if last is None else rows[rows["part"] > last]
+        *lines, rest = (rest + "".join(rows["content"].fillna(""))).split("\n")
+        state.update((seq + len(lines), int(rows["part"].iloc[-1]) if len(rows) else last, rest))
+        yield pd.DataFrame({"log": key[0], "seq": np.arange(seq + 1, seq + len(lines) + 1), "value": lines})
+
+    out = chunks.groupBy("log").applyInPandasWithState(run, f"log {kinds['log']}, seq long, value string", "seq long, part long, rest string", "append", GroupStateTimeout.NoTimeout)
+    return out.where(F.trim("value") != "").select("log", "seq", *_parsed(F.col("value")))
+
+
+def discovered(spark: SparkSession, base: str) -> DataFrame:
+    """The videos as they are after all batches of ``discover``: the last snapshot and the batches after it, of each column the last
+    known value."""
+    snapshot = read_snapshot(spark, base, "videos").withColumn("__batch", F.lit(-1).cast("long"))
+    path = f"{base}/videos-batches"
+    if exists(spark, path):
+        through = read_snapshot(spark, base, "compacted").first()["batch"] if exists(spark, f"{base}/compacted-pointers") else -1
+        schema = ", ".join(f"`{c}` {t}" for c, t in snapshot.drop("__batch").dtypes)
+        more = spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") > through)
+        snapshot = snapshot.unionByName(more.withColumnRenamed("batch", "__batch"))
+    columns = [c for c in snapshot.columns if c not in ("video_id", "__batch")]
+    out = snapshot.groupBy("video_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__batch"))).alias(c) for c in columns))
+    return out.withColumn("status", F.coalesce("status", F.lit("discovered"))) if "status" in columns else out
+
+
+def compact(spark: SparkSession, base: str) -> None:
+    """Fold the batches so far into a new snapshot. A crash between its two writes only folds some batches twice."""
+    last = spark.read.parquet(f"{base}/videos-batches").agg(F.max("batch").cast("long").alias("batch"))
+    write_snapshot(discovered(spark, base), base, "videos")
+    write_snapshot(last, base, "compacted")
 
 
 def discover(listings: DataFrame, base: str, checkpoint: str):
-    """A stream of listing rows (video_id, channel_id, title, published_at) into the snapshots ``videos`` and ``marks`` under ``base``.
+    """A stream of listing rows (video_id, channel_id, title, published_at) into the videos and marks under ``base`` (snapshots
+    ``videos`` and ``marks``); ``discovered`` reads the result.
 
-    A batch takes only rows newer than their channel's mark or undated, merges them, and moves the marks forward; a batch that is
-    run again after a crash merges to the same snapshot."""
+    A batch takes rows of unseen ids whatever their date, undated rows, and rows newer than their channel's mark; a channel with
+    nothing of these costs nothing. It writes only those rows, as a folder of its own number, so the table is never rewritten and a
+    batch that runs again after a crash replaces its folder. Marks only move forward."""
 
-    def step(batch: DataFrame, _: int) -> None:
+    def step(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        marks, videos = read_snapshot(spark, base, "marks"), read_snapshot(spark, base, "videos")
-        new = batch.join(marks, "channel_id", "left").where("published_at is null or newest is null or published_at > newest").drop("newest")
+        marks, known = read_snapshot(spark, base, "marks"), read_snapshot(spark, base, "videos").select("video_id")
+        path = f"{base}/videos-batches"
+        if exists(spark, path):
+            known = known.union(spark.read.schema(f"video_id {dict(known.dtypes)['video_id']}, batch long").parquet(path).where(F.col("batch") != number).select("video_id"))
+        rows = batch.join(marks, "channel_id", "left").join(known.distinct().withColumn("seen", F.lit(True)), "video_id", "left")
+        new = rows.where("seen is null or published_at is null or newest is null or published_at > newest")
         new = new.groupBy("video_id").agg(*(F.max(c).alias(c) for c in ("channel_id", "title", "published_at")))
-        merged = merge(videos, new, ["video_id"], {c: new_if_known for c in ("channel_id", "title", "published_at")}, {"status": F.lit("discovered")})
-        write_snapshot(merged, base, "videos")
-        write_snapshot(merge(marks, new.groupBy("channel_id").agg(F.max("published_at").alias("newest")), ["channel_id"], {"newest": forward}), base, "marks")
+        new = table(new.withColumn("batch", F.lit(number).cast("long")), "discovered")
+        new.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
+        newest = new.groupBy("channel_id").agg(F.max("published_at").alias("newest"))
+        write_snapshot(merge(marks, newest, ["channel_id"], {"newest": forward}), base, "marks")
 
     return listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
@@ -255,6 +307,38 @@ def _(v: Views) -> DataFrame:
     return rows.groupBy("day").agg(F.max_by(F.struct("units_used", "over"), "batch").alias("s")).select("day", "s.*")
 
 
+@query(
+    "l02_log_tail",
+    """SELECT run_id AS log, row_number() OVER (PARTITION BY run_id ORDER BY id) AS seq, CASE WHEN id % 3 = 0 THEN 'info' ELSE outcome END AS level, CASE WHEN id % 3 = 0 THEN 'broken ' || id ELSE 'e' || id END AS event, id % 3 = 0 AS raw FROM v_attempts""",
+)
+def _(v: Views) -> DataFrame:
+    i = F.col("id").cast("string")
+    line = F.when(F.col("id") % 3 == 0, F.concat(F.lit("broken "), i)).otherwise(F.concat(F.lit('{"level":"'), "outcome", F.lit('","event":"e'), i, F.lit('"}')))
+    # each line comes in two pieces, cut inside
+    pieces = F.array(F.struct((F.col("id") * 2).alias("part"), F.left(line, F.lit(6)).alias("content")), F.struct((F.col("id") * 2 + 1).alias("part"), F.concat(F.substring(line, 7, 10_000), F.lit("\n")).alias("content")))
+    return drained(chunk_tail(events_stream(v.spark, v.sf_dir).select(F.col("run_id").alias("log"), F.inline(pieces))))
+
+
+@query(
+    "l01_discovery",
+    """WITH r AS (SELECT event_id % 997 AS video_id, 'c' || event_id % 997 % 7 AS channel_id, CASE WHEN event_id % 4 <> 0 THEN 'title ' || event_id % 997 END AS title, TIMESTAMP '2024-01-01' + to_hours(CAST(event_id % 997 * 31 % 1000 AS BIGINT)) AS published_at FROM events),
+    k AS (SELECT DISTINCT doc_id % 300 AS i FROM documents WHERE doc_id % 300 % 5 = 0), g AS (SELECT video_id, channel_id, published_at, max(title) AS title, video_id IN (SELECT i FROM k) AS known FROM r GROUP BY video_id, channel_id, published_at)
+    SELECT video_id, channel_id, CASE WHEN NOT known THEN title WHEN published_at > TIMESTAMP '2024-01-20' THEN coalesce(title, 'known') ELSE 'known' END AS title, published_at, CASE WHEN known THEN 'transcript_ok' ELSE 'discovered' END AS status FROM g
+    UNION ALL SELECT i, 'c' || i % 7, 'known', TIMESTAMP '2024-01-01' + to_hours(CAST(i * 31 % 1000 AS BIGINT)), 'transcript_ok' FROM k WHERE i NOT IN (SELECT video_id FROM r)""",
+)
+def _(v: Views) -> DataFrame:
+    """The events as listing rows of 997 videos, some of which are known already and older than their channel's mark."""
+    base = f"{shared_dir(v.spark)}/discovery-{uuid.uuid4().hex}"
+    listed = lambda i, title: (i.alias("video_id"), F.concat(F.lit("c"), (i % 7).cast("string")).alias("channel_id"), title.alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (i * 31 % 1000).cast("int"))).alias("published_at"))
+    i = F.col("id") % 997
+    known = v.raw("documents").select((F.col("doc_id") % 300).alias("i")).distinct().where("i % 5 = 0")
+    write_snapshot(known.select(*listed(F.col("i"), F.lit("known")), F.lit("transcript_ok").alias("status")), base, "videos")
+    write_snapshot(v.spark.range(7).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("channel_id"), F.lit("2024-01-20").cast("timestamp").alias("newest")), base, "marks")
+    rows = events_stream(v.spark, v.sf_dir).select(*listed(i, F.when(F.col("id") % 4 != 0, F.concat(F.lit("title "), i.cast("string")))))
+    discover(rows, base, f"{base}/checkpoint").start().awaitTermination()
+    return discovered(v.spark, base)
+
+
 @query("l07_deduplicated", "SELECT DISTINCT video_id, run_id, started_at FROM v_attempts")
 def _(v: Views) -> DataFrame:
     rows = events_stream(v.spark, v.sf_dir)

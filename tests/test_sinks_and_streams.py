@@ -83,6 +83,25 @@ def test_log_tail(spark, tmp_path):
     assert got == [("info", "broken {", True), ("info", "y", False), ("warn", "x", False)]
 
 
+def test_half_written_lines_are_held_back(spark, tmp_path):
+    """Pieces of a growing log, read by one query that is stopped and started again."""
+    (tmp_path / "in").mkdir()
+    schema, got = "log string, part long, content string", []
+
+    def feed(*pieces):
+        (tmp_path / "in" / f"{pieces[0][0]}.json").write_text("\n".join(json.dumps({"log": "a", "part": n, "content": c}) for n, c in pieces))
+        stream = jobs.chunk_tail(spark.readStream.schema(schema).json(f"file://{tmp_path}/in"))
+        writer = stream.writeStream.format("parquet").option("path", f"file://{tmp_path}/out").option("checkpointLocation", f"file://{tmp_path}/at")
+        writer.trigger(availableNow=True).start().awaitTermination()
+        return sorted((r.seq, r.level, r.event, r.raw) for r in spark.read.parquet(f"file://{tmp_path}/out").collect())
+
+    got = feed((1, '{"event": "a"}\n{"eve'), (2, 'nt": "b", "lev'))
+    assert got == [(1, "info", "a", False)]
+    got = feed((3, 'el": "warn"}\n\nodd'), (2, "again, ignored\n"))
+    assert got == [(1, "info", "a", False), (2, "warn", "b", False)]
+    assert feed((4, "\n"))[-1] == (4, "info", "odd", True)
+
+
 def test_discovery_is_incremental(spark, tmp_path):
     base, source = f"file://{tmp_path}/state", tmp_path / "in"
     source.mkdir()
@@ -94,13 +113,16 @@ def test_discovery_is_incremental(spark, tmp_path):
         (source / name).write_text("\n".join(json.dumps(dict(zip(("video_id", "channel_id", "title", "published_at"), i))) for i in items))
         stream = spark.readStream.schema(schema).json(f"file://{source}")
         jobs.discover(stream, base, f"file://{tmp_path}/checkpoint").start().awaitTermination()
-        return {r.video_id: (r.title, r.status) for r in merges.read_snapshot(spark, base, "videos").collect()}
+        return {r.video_id: (r.title, r.status) for r in jobs.discovered(spark, base).collect()}
 
     got = feed("1.json", [("v0", "c", "new", "2024-01-01T00:00:00Z"), ("v1", "c", "one", "2024-01-02T00:00:00Z"), ("v1", "c", None, "2024-01-02T00:00:00Z")])
     assert got == {"v0": ("new", "transcript_ok"), "v1": ("one", "discovered")}
-    got = feed("2.json", [("v9", "c", "older than the mark", "2023-01-01T00:00:00Z"), ("v2", "c", "two", "2024-02-01T00:00:00Z"), ("v3", "d", "undated", None)])
-    assert set(got) == {"v0", "v1", "v2", "v3"}
+    got = feed("2.json", [("v9", "c", "unseen, older than the mark", "2023-01-01T00:00:00Z"), ("v1", "c", "seen, older", "2024-01-01T00:00:00Z"), ("v2", "c", "two", "2024-02-01T00:00:00Z"), ("v3", "d", "undated", None)])
+    assert set(got) == {"v0", "v1", "v2", "v3", "v9"} and got["v1"][0] == "one"
     assert merges.read_snapshot(spark, base, "marks").where("channel_id = 'c'").first().newest.month == 2
+    jobs.compact(spark, base)
+    assert {r.video_id: (r.title, r.status) for r in jobs.discovered(spark, base).collect()} == got
+    assert set(feed("3.json", [("v4", "d", "four", "2024-03-01T00:00:00Z")])) == {*got, "v4"}
 
 
 def test_streams_equal_batches(spark):
