@@ -8,7 +8,8 @@ at least as long as a window are occurrences.
 
 Defined results: null text has no words; items without words or with a null item_id are left out; rows that repeat an id and a
 text are returned alike; items that repeat count once by item_id; an empty table gives no rows (documents) or no hits
-(benchmark); other columns are not read.
+(benchmark); very long texts are indexed whole, a posting for each of their words; of terms that are equally rare the one that
+comes first in the item is taken, which decides only where the search begins; other columns are not read.
 """
 
 from __future__ import annotations
@@ -60,7 +61,8 @@ def build_index(documents: DataFrame, vocabulary: DataFrame, id_col: str = "doc_
 def phrase_runs(index: DataFrame, items: DataFrame, window: int = WINDOW) -> DataFrame:
     """(rid, item, item_id, pos, n): the maximal runs of n >= window consecutive item words in a document, from position pos.
     An item of fewer words is one window. ``items`` has item, item_id, size, ipos, term."""
-    rows = items.join(small(index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n"))), "term", "left")
+    often = table(index.where(F.col("term") != END).groupBy("term").agg(F.count("*").alias("n")), "often")
+    rows = items.join(small(often), "term", "left")
     width = F.least(F.lit(window), F.col("size"))
     last = F.col("size") - width
     in_windows = rows.select("*", F.explode(F.sequence(F.greatest(F.lit(0), F.col("ipos") - width + 1), F.least(F.col("ipos"), last))).alias("start"))
@@ -69,7 +71,7 @@ def phrase_runs(index: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
     anchors = rarest.where((F.col("known") == width) & (F.col("rank") <= RAREST)).select("item", "ipos", "term", F.least(F.lit(RAREST), F.col("size")).alias("need")).distinct()
     places = index.join(small(table(anchors, "anchors")), "term").groupBy("rid", "item", "need", (F.col("pos") - F.col("ipos")).alias("at")).agg(F.count("*").alias("found"))
     places = table(places.where("found >= need").select("rid", "item", "at"), "places")
-    there = index.join(small(places.select("rid").distinct()), "rid", "left_semi").select("rid", "pos", "term").distinct()
+    there = index.join(small(table(places.select("rid").distinct(), "met")), "rid", "left_semi").select("rid", "pos", "term").distinct()
     wanted = places.join(small(items), "item").select("rid", "item", "item_id", "size", "at", "ipos", "term", (F.col("at") + F.col("ipos")).alias("pos"))
     matched = wanted.join(there, ["rid", "pos", "term"])
     run = Window.partitionBy("rid", "item", "at").orderBy("ipos")
@@ -80,7 +82,8 @@ def phrase_runs(index: DataFrame, items: DataFrame, window: int = WINDOW) -> Dat
 def proximity_matches(index: DataFrame, queries: DataFrame, within: int) -> DataFrame:
     """(query, rid, pos): places of the rarest term of a query that have every other term of it at most ``within`` words away.
     ``queries`` has query and term rows. Places are met by buckets of ``within`` positions, so each meets its neighbourhood only."""
-    asked = queries.select("query", "term").distinct().join(small(index.groupBy("term").agg(F.count("*").alias("n"))), "term", "left")
+    often = table(index.groupBy("term").agg(F.count("*").alias("n")), "often")
+    asked = queries.select("query", "term").distinct().join(small(often), "term", "left")
     whole = Window.partitionBy("query")
     asked = asked.withColumn("rank", F.row_number().over(whole.orderBy(F.asc_nulls_first("n"), F.asc("term")))).withColumn("need", F.count("*").over(whole) - 1)
     asked = table(asked, "queries")

@@ -10,8 +10,10 @@ times each chunk sends sorted lists of distinct hashes with its counts to parts
 chunks meet, and gets the sums for its own entries back: words (which are known), pairs of words (counts), and words again
 (unigrams, tokens after a word, kinds of words after it). A frequent word or pair is one entry of a chunk's list.
 
-Defined results: null or blank text has no tokens and a null score; repeated rows and null ids are scored like others; an empty
-target or background has add-one unigrams only; an empty table gives no rows; other columns are not read.
+Defined results: null or blank text has no tokens and a null score; repeated rows and null ids are scored like others and count in
+the background each; very long texts are counted and scored whole, each in one chunk; the vocabulary has no ties to break (all
+words that occur twice are in it; the optional ``vocabulary`` of a fixed size breaks them by the hashed word); an empty target or
+background has add-one unigrams only; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations

@@ -5,8 +5,9 @@ there are. Sums over the tail of the histogram then answer, for every context li
 tokens they hold and what is left after truncation; quantiles follow from the same running counts. The tail sums are taken in
 two steps, first over blocks of neighbouring lengths and then inside each block, so no task needs the whole histogram.
 
-Defined results: null or empty text has length 0 and counts as a document; repeated rows count each; an empty table gives an
-empty histogram; other columns are not read.
+Defined results: null or empty text has length 0 and counts as a document; repeated rows count each; documents of equal length
+are one row, so there are no ties; very long texts are encoded whole; an empty table gives an empty histogram; other columns are
+not read.
 """
 
 from __future__ import annotations

@@ -10,7 +10,9 @@ its own attempt, so a task that is run again leaves no archive half replaced.
 
 Defined results: null html is an empty payload; a null page_id is never the one referred to, and its record is a revisit if an
 equal payload has an identified page; rows that repeat a page_id and a payload are written alike; payloads below ``at_least``
-bytes are responses; control characters in a url are percent-encoded; an empty table makes no archive and no rows.
+bytes are responses; control characters in a url are percent-encoded; very long payloads are digested, compressed and read chunk
+by chunk; equal payloads of one page_id are one record written twice, so there are no ties; an empty table makes no archive and no
+rows; other columns are not read.
 """
 
 from __future__ import annotations

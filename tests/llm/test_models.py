@@ -32,6 +32,12 @@ def test_token_histogram_against_brute_force(spark):
     assert empty.count() == 0 and token_counts.at_limit(empty, 5).first().tokens == 0
 
 
+def test_token_histogram_ignores_other_columns(spark):
+    docs = documents(spark, "n_tokens")
+    clash = docs.withColumns({"docs": F.lit("x"), "block": F.lit(1)})
+    assert sorted(token_counts.histogram(clash).collect()) == sorted(token_counts.histogram(docs.select("text")).collect())
+
+
 def test_lm_against_brute_force(spark):
     back, target = spark.read.parquet(f"{DATA}/documents.parquet").limit(60), spark.read.parquet(f"{DATA}/conversations.parquet").limit(40)
     split = lambda t: re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), t or ""))
