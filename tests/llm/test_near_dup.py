@@ -129,3 +129,36 @@ def test_a_loose_group_of_two_thousand_copies(spark):
         comp = step
     assert found == {i: (len(sets[i]), comp[i]) for i in range(len(rows))}
     assert 1 < len(set(comp.tolist())) < 2000
+
+
+def test_recall_on_ten_thousand_documents(spark):
+    """Every link by exact counting over shared shingles: no component or size differs, so recall and precision are 1."""
+    from reelmine.llm.near_dup import Shingler
+
+    docs = spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/documents.parquet").select("doc_id", "text").orderBy("doc_id").toArrow().combine_chunks()
+    ids, sets = docs.column("doc_id").to_pylist(), list(Shingler(4).sets(docs.column("text")))
+    size = np.array([len(x) for x in sets])
+    owner, (_, term) = np.repeat(np.arange(len(sets)), size), np.unique(np.concatenate(sets), return_inverse=True)
+    order = np.argsort(term, kind="stable")
+    first = np.concatenate([[0], np.cumsum(np.bincount(term))])
+    posted, links, comp = owner[order], 0, np.arange(len(sets))
+    at = np.concatenate([[0], np.cumsum(size)])
+
+    def find(i):
+        while comp[i] != i:
+            comp[i] = comp[comp[i]]
+            i = comp[i]
+        return i
+
+    for i in range(len(sets)):
+        lists = [posted[first[t] : first[t + 1]] for t in term[at[i] : at[i + 1]] if first[t + 1] - first[t] > 1]
+        if lists:
+            shared = np.bincount(np.concatenate(lists))
+            for j in np.flatnonzero(180 * shared >= 80 * (size[i] + size[: len(shared)])):
+                if shared[j] and j < i:
+                    links += 1
+                    a, b = find(i), find(j)
+                    comp[max(a, b)] = min(a, b)
+    want = {(ids[i], int(size[i]), ids[find(i)]) for i in range(len(sets))}
+    found = {(r.doc_id, r.n_shingles, r.component_id) for r in near_duplicates(spark.read.parquet(f"{DATA.replace('0.001', '0.1')}/documents.parquet"), shingle=4).collect()}
+    assert links > 1000 and found == want
