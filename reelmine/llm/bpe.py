@@ -204,12 +204,13 @@ def _lists(chunks: DataFrame, parts: int) -> DataFrame:
     return chunks.select("chunk", "words", "n_words").mapInArrow(run, "chunk long, part int, words binary")
 
 
-PIECES = "part int, number int, pos int, id int, words binary"
+RUNS = "part int, words binary, sizes binary, packed binary, ids array<int>"
 
 
 def word_table(lists: DataFrame, where: str | None = None) -> DataFrame:
-    """(part, words, sizes, ids, texts): of each part its distinct words with their ids and the texts that these decode to, in runs
-    of ``SLICE`` words. ``lists`` has part and words."""
+    """(part, words, sizes, packed, pieces): of each part its distinct words with their ids and the pieces that these stand for, in
+    runs of ``SLICE`` words. ``lists`` has part and words. The id-to-piece table is one broadcast row, its pieces in the order of
+    their ids, so that the join needs no row for each id."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokenizer, seen, part = _load(where), set(), 0
@@ -222,40 +223,17 @@ def word_table(lists: DataFrame, where: str | None = None) -> DataFrame:
         for lo in range(0, len(words), SLICE):
             run = words[lo : lo + SLICE]
             ids = [[special[w]] if w in special else tokenizer.encode(w, add_special_tokens=False).ids for w in run]
-            size = np.array([len(x) for x in ids])
-            # a row with the words, then a row for each id of each word
-            number = np.concatenate([[-1], np.repeat(np.arange(len(run)), size)])
-            pos = np.arange(len(number)) - 1
-            columns = [np.full(len(number), part, np.int32), number.astype(np.int32), pos.astype(np.int32), pa.array([None, *(i for x in ids for i in x)], pa.int32())]
-            yield pa.RecordBatch.from_arrays([*(pa.array(x) for x in columns), pa.array([_pack_words(run), *[None] * (len(number) - 1)], pa.binary())], names=["part", "number", "pos", "id", "words"])
-
-    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        """The join keeps a task's rows in order, which is checked; a run may go on in the next batch."""
-        names, held = ["part", "words", "sizes", "ids", "texts"], None
-
-        def done() -> pa.RecordBatch:
-            part, words, number, ids, pieces = held
-            size, texts = np.bincount(number, minlength=len(_unpack_words(words))), iter(pieces)
-            texts = [" ".join([next(texts) for _ in range(n)]) for n in size.tolist()]
-            return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (words, _pack(size), _pack(np.array(ids)), _pack_words(texts)))], names=names)
+            flat, size = np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])
+            columns = [pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (_pack_words(run), _pack(size), _pack(flat))), pa.array([flat], pa.list_(pa.int32()))]
+            yield pa.RecordBatch.from_arrays(columns, names=["part", "words", "sizes", "packed", "ids"])
 
-        for batch in batches:
-            for part, number, pos, i, words, piece in zip(*(batch.column(c).to_pylist() for c in ("part", "number", "pos", "id", "words", "piece"))):
-                if number < 0:
-                    if held:
-                        yield done()
-                    held = (part, words, [], [], [])
-                    continue
-                if held is None or held[0] != part or len(held[2]) != pos:
-                    raise ValueError("ids of a run of words came out of order")
-                held[2].append(number)
-                held[3].append(i)
-                held[4].append(piece)
-        if held:
-            yield done()
-
-    ids = lists.groupBy("part").applyInArrow(encode, PIECES)
-    return ids.join(F.broadcast(pieces(lists.sparkSession, where)), "id", "left").mapInArrow(gather, "part int, words binary, sizes binary, ids binary, texts binary")
+    spark = lists.sparkSession
+    by_id = {i: p for p, i in _load(where).get_vocab(with_added_tokens=True).items()}
+    if any(set(" \n") & set(p) for p in by_id.values()):
+        raise ValueError("pieces with blanks or line ends can't be told apart; decode ids with decode()")
+    row = spark.createDataFrame(pa.table({"by_id": pa.array([[by_id.get(i) for i in range(max(by_id, default=-1) + 1)]], pa.list_(pa.string()))}))
+    met = lists.groupBy("part").applyInArrow(encode, RUNS).crossJoin(F.broadcast(row))  # one row, of the vocabulary's size
+    return met.select("part", "words", "sizes", "packed", F.array_join(F.transform("ids", lambda i: F.get(F.col("by_id"), i)), " ").alias("pieces"))
 
 
 def _look_up(lists: pa.Table, found: pa.Table) -> pa.Table:
@@ -263,9 +241,10 @@ def _look_up(lists: pa.Table, found: pa.Table) -> pa.Table:
     ids: dict[str, np.ndarray] = {}
     text: dict[str, str] = {}
     for r in found.to_pylist():
-        words, size = _unpack_words(r["words"]), _unpack(r["sizes"])
-        ids.update(zip(words, np.split(_unpack(r["ids"]), np.cumsum(size)[:-1])))
-        text.update(zip(words, _unpack_words(r["texts"])))
+        words, size, piece = _unpack_words(r["words"]), _unpack(r["sizes"]), iter(r["pieces"].split(" "))
+        ids.update(zip(words, np.split(_unpack(r["packed"]).astype(np.int32), np.cumsum(size)[:-1])))
+        # pieces hold no blank, so each word takes as many as it has ids
+        text.update(zip(words, [next(piece) if n == 1 else " ".join([next(piece) for _ in range(n)]) for n in size.tolist()]))
     out = []
     for packed in lists.column("words"):
         words = _unpack_words(packed.as_py())
@@ -334,8 +313,8 @@ def encoded(documents: DataFrame, per_chunk: Callable[[Chunk], pa.Table], schema
 
 def pieces(spark, where: str | None = None) -> DataFrame:
     """The id-to-piece table of the vocabulary: id, piece. Its size is the vocabulary's, whatever the corpus."""
-    rows = [(i, p) for p, i in _load(where).get_vocab(with_added_tokens=True).items()]
-    return spark.createDataFrame(rows, "id int, piece string")
+    vocabulary = _load(where).get_vocab(with_added_tokens=True)
+    return spark.createDataFrame(pa.table({"id": pa.array(vocabulary.values(), pa.int32()), "piece": pa.array(vocabulary.keys(), pa.string())}))
 
 
 def token_ids(documents: DataFrame, where: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

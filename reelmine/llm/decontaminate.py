@@ -50,7 +50,7 @@ def build_index(documents: DataFrame, vocabulary: DataFrame, id_col: str = "doc_
 
     (rid, doc_id, pos, term); doc_id stands only in the posting of the end mark, whose term is -1.
     """
-    end = documents.sparkSession.createDataFrame([("", END)], "word string, term long")
+    end = documents.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).cast("long").alias("term"))
     terms = small(vocabulary.unionByName(end))
     docs = documents.select(row_id(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), words(text_col).alias("words"))
     tokens = docs.select("rid", "doc_id", F.posexplode("words").alias("pos", "word"))
