@@ -77,6 +77,7 @@ def find_channels(channels: DataFrame, refs: DataFrame) -> DataFrame:
     return by[0].union(by[1]).distinct()
 
 
+#: The reasons that ``skip_rules`` gives are the stored ones, word for word.
 def skip_rules(max_seconds: int = 43_200, short_seconds: int = 180, include_shorts: bool = True, include_streams: bool = True) -> Column:
     """(status, reason) of a video's details: the first rule that holds."""
     d, live, stream = F.col("duration_seconds"), F.col("live_broadcast"), F.coalesce("was_livestream", F.lit(False))
@@ -359,9 +360,15 @@ def _(v: Views) -> DataFrame:
     return v.videos.groupBy("status").agg(F.count("*").alias("videos"), F.bool_or(reprocessed(F.col("status"))).alias("again"))
 
 
-@query("c11_ephemera", "SELECT video_id, regexp_matches(title, '(?i)the|und') AS dropped FROM v_videos")
+def ephemera(videos: DataFrame, pattern: str) -> DataFrame:
+    """(video_id, dropped): whether a title matches the pattern, regardless of case; an empty pattern and a missing title drop none."""
+    hit = F.coalesce(F.col("title").rlike(f"(?i){pattern}"), F.lit(False)) if pattern else F.lit(False)
+    return videos.select("video_id", hit.alias("dropped"))
+
+
+@query("c11_ephemera", "SELECT video_id, coalesce(regexp_matches(title, '(?i)the|und'), false) AS dropped FROM v_videos")
 def _(v: Views) -> DataFrame:
-    return v.videos.select("video_id", F.col("title").rlike("(?i)the|und").alias("dropped"))
+    return ephemera(v.videos, "the|und")
 
 
 def claim(videos: DataFrame, channels: DataFrame, as_of: str, n: int, workers: int) -> DataFrame:
@@ -452,12 +459,17 @@ def _(v: Views) -> DataFrame:
     return v.videos.where("claimed_by is not null").groupBy("claimed_by").agg(F.count("*").alias("held"), F.count_if(expired(AS_OF)).alias("stale"))
 
 
+def due(videos: DataFrame, as_of: str, max_rechecks: int = 4) -> DataFrame:
+    """(video_id, status, recheck) of retries and rechecks whose time has come."""
+    now = F.lit(as_of).cast("timestamp")
+    retry = (F.col("status") == "retry") & (F.col("next_attempt_at") <= now)
+    recheck = F.col("status").isin("no_transcript", "lang_missing") & (F.col("recheck_after") <= now) & (F.col("recheck_count") < max_rechecks)
+    return videos.where(retry | recheck).select("video_id", "status", (F.col("status") != "retry").alias("recheck"))
+
+
 @query("f05_due", f"SELECT video_id, status, status <> 'retry' AS recheck FROM v_videos WHERE status = 'retry' AND next_attempt_at <= TIMESTAMP '{AS_OF}' OR status IN ('no_transcript', 'lang_missing') AND recheck_after <= TIMESTAMP '{AS_OF}' AND recheck_count < 4")
 def _(v: Views) -> DataFrame:
-    now = F.lit(AS_OF).cast("timestamp")
-    retry = (F.col("status") == "retry") & (F.col("next_attempt_at") <= now)
-    recheck = F.col("status").isin("no_transcript", "lang_missing") & (F.col("recheck_after") <= now) & (F.col("recheck_count") < 4)
-    return v.videos.where(retry | recheck).select("video_id", "status", (F.col("status") != "retry").alias("recheck"))
+    return due(v.videos, AS_OF)
 
 
 @query("f07_audio_queue", "SELECT video_id, duration_seconds, floor((duration_seconds + 6) / 12) / 10 AS estimated_audio_mb FROM v_videos WHERE needs_audio AND status IN ('no_transcript', 'lang_missing') ORDER BY duration_seconds NULLS FIRST, video_id LIMIT 50")
@@ -471,10 +483,15 @@ def audio_queue(videos: DataFrame) -> DataFrame:
     return rows.select("video_id", "duration_seconds", (F.floor((F.col("duration_seconds") + 6) / 12) / 10).alias("estimated_audio_mb"))
 
 
+def last_attempts(attempts: DataFrame, n: int) -> DataFrame:
+    """The n newest attempts of each video."""
+    recent = Window.partitionBy("video_id").orderBy(F.desc("started_at"), F.desc("id"))
+    return attempts.withColumn("rn", F.row_number().over(recent)).where(F.col("rn") <= n).drop("rn")
+
+
 @query("f08_last_attempts", "SELECT video_id, id, outcome FROM v_attempts QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY started_at DESC, id DESC) <= 3")
 def _(v: Views) -> DataFrame:
-    recent = Window.partitionBy("video_id").orderBy(F.desc("started_at"), F.desc("id"))
-    return v.attempts.withColumn("rn", F.row_number().over(recent)).where("rn <= 3").select("video_id", "id", "outcome")
+    return last_attempts(v.attempts, 3).select("video_id", "id", "outcome")
 
 
 def choose_tracks(tracks: DataFrame, languages: list[str], translate: bool = False) -> DataFrame:

@@ -163,7 +163,25 @@ def _(v: Views) -> DataFrame:
     return blocks(chapters(v)).groupBy("doc", "kind").agg(F.count("*").alias("blocks"))
 
 
-@query("k14_citation_gate", None)
+_GAP, _SPACE = GAP_HEADING.replace("'", "''"), r"[\s\p{Z}]+"
+
+
+@query(
+    "k14_citation_gate",
+    rf"""WITH {_CHAPTERS}, b AS (SELECT doc, unnest(range(len(string_split_regex(text, '\n\s*\n')))) AS pos, unnest(string_split_regex(text, '\n\s*\n')) AS t FROM ch),
+    k AS (SELECT doc, pos, x, CASE WHEN x LIKE '#%' THEN 'heading' WHEN regexp_matches(x, '^(\||!\[|- \[)') THEN 'other' ELSE 'prose' END AS kind FROM (SELECT doc, pos, trim(regexp_replace(t, '^\s+|\s+$', '', 'g')) AS x FROM b) WHERE x <> ''),
+    s AS (SELECT *, sum(CAST(kind = 'heading' AS INTEGER)) OVER (PARTITION BY doc ORDER BY pos) AS section FROM k),
+    g AS (SELECT *, coalesce(regexp_matches(max(CASE WHEN kind = 'heading' THEN x END) OVER (PARTITION BY doc, section), '{_GAP}'), false) AS gap FROM s),
+    q AS (SELECT doc, unnest(regexp_extract_all(text, '{QUOTE}', 1)) AS q FROM ch),
+    n AS (SELECT doc, unnest(regexp_extract_all(text, '(?i)(?:^|[^\w-])(\d+(?:\.\d+)?)\s*(%|R\b|:1\b|x\b|pips?|ticks?|bps)', 1)) AS number FROM ch),
+    h AS (SELECT doc, string_agg(claim || ' ' || anchor, ' ') AS said FROM (SELECT DISTINCT doc, id FROM ci) JOIN v_cards USING (id) GROUP BY doc),
+    e AS (SELECT doc, 1 AS error FROM (SELECT DISTINCT doc, id FROM ci) WHERE id NOT IN (SELECT id FROM v_cards)
+      UNION ALL SELECT doc, 1 FROM g WHERE kind = 'prose' AND NOT gap AND length(regexp_replace(x, '\[[^\]]*\]', '', 'g')) >= {CLAIM_CHARS} AND NOT regexp_matches(x, 'EV-(?:[A-Za-z0-9_-]{{11}}-\d{{2,}}|\d{{4,}})')
+      UNION ALL SELECT doc, 1 FROM q WHERE len(list_filter(string_split_regex(q, '{_SPACE}'), lambda w: w <> '')) > {QUOTE_WORDS}
+      UNION ALL SELECT doc, 0 FROM n LEFT JOIN h USING (doc) WHERE NOT contains(coalesce(said, ''), number)),
+    c AS (SELECT doc, count(*) FILTER (error = 1) AS errors, count(*) FILTER (error = 0) AS warnings FROM e GROUP BY doc)
+    SELECT doc, coalesce(errors, 0) AS errors, coalesce(warnings, 0) AS warnings, CASE WHEN coalesce(errors, 0) > 0 THEN 'FAIL' WHEN coalesce(warnings, 0) > 0 THEN 'WARN' ELSE 'PASS' END AS verdict FROM ch LEFT JOIN c USING (doc)""",
+)
 def _(v: Views) -> DataFrame:
     docs = chapters(v)
     return gate(docs, findings(docs, v.cards))

@@ -1,10 +1,6 @@
-"""Fixed values of the model: statuses, outcomes, phases, kinds, card types and the transition relation."""
+"""Fixed values of the model: statuses, card types and the transition relation."""
 
 STATUSES = ("discovered", "metadata_ok", "transcript_ok", "no_transcript", "lang_missing", "unavailable", "age_restricted", "skipped", "retry", "failed")
-OUTCOMES = ("ok", "retryable", "terminal", "blocked")
-PHASES = ("metadata", "transcript", "audio")
-EXIT_REASONS = ("completed", "interrupted", "circuit_open", "quota_exhausted", "crashed", "stopped")
-KINDS = ("manual", "asr", "translated", "whisper")
 CARD_TYPES = ("rule", "procedure", "rationale", "definition", "example", "number", "psychology", "caveat", "opinion", "anecdote", "contradiction")
 REPROCESSED = ("discovered", "metadata_ok", "retry")
 
