@@ -185,9 +185,9 @@ def substring_search(transcripts: DataFrame, text: str, limit: int = 500) -> Dat
     return transcripts.where(F.contains(folded(F.col("plaintext")), folded(F.lit(text)))).orderBy("video_id").limit(limit).select("video_id", F.lit(0).alias("score"))
 
 
-@query("k05_substring_search", "SELECT video_id, 0 AS score FROM v_transcripts WHERE contains(lower(strip_accents(plaintext)), 'the ma') ORDER BY video_id LIMIT 500")
+@query("k05_substring_search", "SELECT video_id, 0 AS score FROM v_transcripts WHERE contains(lower(strip_accents(plaintext)), ' the ') ORDER BY video_id LIMIT 500")
 def _(v: Views) -> DataFrame:
-    return substring_search(v.transcripts, "THÉ ma")
+    return substring_search(v.transcripts, " THÉ ")
 
 
 # ---- containment
