@@ -166,7 +166,7 @@ def search(index: DataFrame, transcripts: DataFrame, videos: DataFrame, text: st
     scores = hits.join(F.broadcast(df), "term").groupBy("video_id").agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("idf")), 6).alias("score"))
     best = F.broadcast(scores.orderBy(F.desc("score"), "video_id").limit(limit))
     first = terms[0] if terms else ""
-    out = transcripts.join(best, "video_id").join(videos.select("video_id", "title", "channel_id").join(best.select("video_id"), "video_id", "left_semi"), "video_id")
+    out = transcripts.select("video_id", "plaintext").join(best, "video_id").join(videos.select("video_id", "title", "channel_id").join(best.select("video_id"), "video_id", "left_semi"), "video_id")
     return out.select("video_id", "score", "title", "channel_id", snippet(F.col("plaintext"), F.lit(first)).alias("snippet"))
 
 
