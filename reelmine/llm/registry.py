@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__.py``."""
 
-from . import bpe, decontaminate, lm_score, near_dup, quality, secrets, token_counts, topk, toxicity, warc
+from . import bpe, decontaminate, exact_dup, lm_score, near_dup, quality, secrets, token_counts, topk, toxicity, warc
 
 QUERIES = {
     f.__name__: f
@@ -15,6 +15,7 @@ QUERIES = {
         topk.op8_impact_ordered_topk,
         decontaminate.op9_benchmark_decontamination,
         warc.op10_warc_round_trip,
+        exact_dup.op11_exact_dedup,
     )
 }
-ORACLE = {**topk.ORACLE, **decontaminate.ORACLE, **warc.ORACLE}
+ORACLE = {**topk.ORACLE, **decontaminate.ORACLE, **warc.ORACLE, **exact_dup.ORACLE}
