@@ -125,3 +125,20 @@ def table_path(sf_dir: str, name: str) -> str:
 
 def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(table_path(sf_dir, name))
+
+
+def _nibbles() -> list[int]:
+    """CRC-32 of the sixteen half bytes."""
+    out = []
+    for x in range(16):
+        for _ in range(4):
+            x = x >> 1 ^ (0xEDB88320 if x & 1 else 0)
+        out.append(x)
+    return out
+
+
+def crc32_sql(text: str) -> str:
+    """CRC-32 of a string's UTF-8 bytes in DuckDB's SQL, which has no such function."""
+    half = lambda c, b: f"xor(({c}) >> 4, ({_nibbles()}::BIGINT[])[(xor({c}, {b}) & 15) + 1])"
+    code = f"list_transform(range(1, strlen({text}) * 2, 2), lambda i: CAST('0x' || substr(hex(encode({text})), i, 2) AS BIGINT))"
+    return f"xor(list_reduce(list_concat([4294967295::BIGINT], {code}), lambda c, b: {half(half('c', 'b'), 'b >> 4')}), 4294967295)"

@@ -1,6 +1,6 @@
 """The queries of this subpackage and their SQL, for ``__spark_entry__.py``."""
 
-from . import bpe, decontaminate, exact_dup, lm_score, near_dup, quality, secrets, token_counts, topk, toxicity, warc
+from . import bpe, decontaminate, exact_dup, lm_score, near_dup, prefix_trie, quality, secrets, token_counts, topk, toxicity, variants, warc
 
 QUERIES = {
     f.__name__: f
@@ -16,6 +16,8 @@ QUERIES = {
         decontaminate.op9_benchmark_decontamination,
         warc.op10_warc_round_trip,
         exact_dup.op11_exact_dedup,
+        prefix_trie.op12_conversation_prefix_trie,
+        variants.op13_spelling_variants,
     )
 }
-ORACLE = {**topk.ORACLE, **decontaminate.ORACLE, **warc.ORACLE, **exact_dup.ORACLE}
+ORACLE = {**topk.ORACLE, **decontaminate.ORACLE, **warc.ORACLE, **exact_dup.ORACLE, **prefix_trie.ORACLE, **variants.ORACLE}
