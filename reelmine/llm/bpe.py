@@ -2,8 +2,8 @@
 
 Texts are split into words where they lie, and runs of texts become chunks: the list of a chunk's distinct words in the order of
 their hash, and the texts as numbers of places in that list. Lists are cut by ranges of the hash into parts, whose number follows
-the distinct words. A part's distinct words are encoded once each, their ids are joined with the id-to-piece table (whose size is
-the vocabulary's), and ids and decoded words go back to the chunks in the order of their lists, so that they are joined to the
+the distinct words. A part's distinct words are encoded once each, their ids look up their pieces in the id-to-piece table (one broadcast
+row of the vocabulary's size; ``decode`` is the join by id for ids in columns), and ids and decoded words go back to the chunks in the order of their lists, so that they are joined to the
 texts by position. No text is shuffled; lists travel compressed, and chunks lie in buckets, so that only what comes back moves.
 
 Defined results: null text counts as empty and has no ids; an empty table gives no rows; repeated rows and null ids are
@@ -30,7 +30,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import over_texts, read, shared_dir
+from .common import over_texts, read, release, shared_dir
 
 #: Characters of text in a chunk, about; a longer document makes a longer chunk.
 CHUNK_CHARS = 8_000_000
@@ -184,7 +184,9 @@ def bucketed(chunks: DataFrame) -> DataFrame:
     spark, name = chunks.sparkSession, f"bpe_chunks_{uuid.uuid4().hex}"
     buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
     chunks.write.bucketBy(buckets, "chunk").sortBy("chunk").option("path", f"{shared_dir(spark)}/{name}").saveAsTable(name)
-    return spark.table(name)
+    known = spark.table(name)
+    spark.sql(f"DROP TABLE {name}")  # buckets need a table to be written; the files stay, the catalogue forgets it
+    return known
 
 
 def _lists(chunks: DataFrame, parts: int) -> DataFrame:
@@ -220,12 +222,14 @@ def word_table(lists: DataFrame, where: str | None = None) -> DataFrame:
             for packed in batch.column("words"):
                 seen.update(_unpack_words(packed.as_py()))
         words = sorted(seen)
+        seen.clear()
         for lo in range(0, len(words), SLICE):
             run = words[lo : lo + SLICE]
             ids = [[special[w]] if w in special else tokenizer.encode(w, add_special_tokens=False).ids for w in run]
             flat, size = np.array([i for x in ids for i in x], np.int32), np.array([len(x) for x in ids])
             columns = [pa.array([part], pa.int32()), *(pa.array([x], pa.binary()) for x in (_pack_words(run), _pack(size), _pack(flat))), pa.array([flat], pa.list_(pa.int32()))]
             yield pa.RecordBatch.from_arrays(columns, names=["part", "words", "sizes", "packed", "ids"])
+        release()
 
     spark = lists.sparkSession
     by_id = {i: p for p, i in _load(where).get_vocab(with_added_tokens=True).items()}
@@ -251,6 +255,9 @@ def _look_up(lists: pa.Table, found: pa.Table) -> pa.Table:
         own = [ids[w] for w in words]
         out.append((_pack(np.array([len(x) for x in own])), _pack(np.concatenate(own)), _pack_words([text[w] for w in words])))
     columns = list(zip(*out)) or [[], [], []]
+    ids.clear()
+    text.clear()
+    release()
     return pa.table([lists.column("chunk"), lists.column("part"), *(pa.array(c, pa.binary()) for c in columns)], names=["of_chunk", "part", "sizes", "ids", "texts"])
 
 
@@ -306,7 +313,9 @@ def encoded(documents: DataFrame, per_chunk: Callable[[Chunk], pa.Table], schema
     back = asked.applyInArrow(_look_up, "of_chunk long, part int, sizes binary, ids binary, texts binary")
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
-        return per_chunk(Chunk(rows, found))
+        out = per_chunk(Chunk(rows, found))
+        release()
+        return out
 
     return chunks.select("chunk", "ids", "lengths", "ranks", "places").groupBy("chunk").cogroup(back.groupBy("of_chunk")).applyInArrow(run, schema)
 

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import re
 from collections.abc import Callable, Iterator
 
@@ -91,10 +92,23 @@ def over_texts(rows: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterat
     """``mapInArrow`` for rows with long texts. Batches are bounded in rows only by default, so that ten thousand long texts would be
     one; the session's bound in bytes is lowered to ``BATCH_BYTES`` unless it was set by name (such as 8MB)."""
     conf, key = rows.sparkSession.conf, "spark.sql.execution.arrow.maxBytesPerBatch"
-    found = re.fullmatch(r"(\d+)b?", conf.get(key))
+    found = re.fullmatch(r"(\d+)b?", conf.get(key, None) or "")
     if found and int(found[1]) > BATCH_BYTES:
         conf.set(key, str(BATCH_BYTES))
-    return rows.mapInArrow(run, schema)
+
+    def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        release()
+
+    return rows.mapInArrow(released, schema)
+
+
+def release() -> None:
+    """Give memory that is free back to the machine. Python workers live on after a task, beside the executor's JVM."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim:
+        trim(0)
 
 
 def row_runs(offsets: np.ndarray, size: int = BLOCK_BYTES) -> Iterator[tuple[int, int]]:

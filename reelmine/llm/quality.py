@@ -8,8 +8,8 @@ and a few hashed figures of the whole text, so it also judges documents on which
 
 Defined results: null or blank text gets no votes, score 0 and is rejected; repeated rows and null ids are scored like others,
 count in the vote patterns each, and enter the sample once by id and text; the sample goes by a hash of id and text, ties of
-which are the same row for all but a chance of 2**-64; very long texts are scored whole, and one with more features than
-``CELLS`` is no sample; an empty table gives no rows; other columns are not read.
+which are the same row for all but a chance of 2**-64; very long texts are scored whole, and one that alone has
+the features of 64 average rows (``CELLS`` / ``SAMPLE``) is no sample and takes no room in it; an empty table gives no rows; other columns are not read.
 """
 
 from __future__ import annotations
@@ -26,6 +26,8 @@ from .common import Words, blocks, lists, over_texts, read, table
 SAMPLE, BUCKETS, ROUNDS = 8000, 1 << 14, 300
 #: Features that the whole sample may have; rows beyond are left out of it.
 CELLS = 1 << 23
+#: A text of more features than so many rows have on average, if the sample is full, is no sample.
+LONGEST = 64
 ACCEPT = 0.5
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 #: Frequent short words of four languages.
@@ -191,7 +193,8 @@ def sampled(documents: DataFrame, id_col: str, text_col: str, sample: int, cells
 
     found = table(over_texts(chosen, run, "key long, pattern int, bucket array<int>, value array<float>"), "quality-sample")
     before = Window.orderBy("key").rowsBetween(Window.unboundedPreceding, 0)  # over the sample's keys only
-    kept = found.select("key", F.sum(F.size("bucket")).over(before).alias("cells")).where(F.col("cells") <= cells).select("key")
+    fit_in = found.where(F.size("bucket") <= cells / sample * LONGEST)  # else one long text would take the place of all that follow it
+    kept = fit_in.select("key", F.sum(F.size("bucket")).over(before).alias("cells")).where(F.col("cells") <= cells).select("key")
     return found.join(F.broadcast(kept), "key", "left_semi").orderBy("key")
 
 

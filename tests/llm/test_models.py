@@ -271,6 +271,21 @@ def near_text(i):
     return text(i, 10 + i % 20)
 
 
+def test_one_long_text_leaves_the_samples_whole(spark):
+    """A text beyond the bound, whatever its place in the order of keys, takes no room of other rows, and they are fitted as without it."""
+    short = [(i, f"{near_text(i)} {'idiot' if i % 2 else 'friend'} word{i % 5}") for i in range(1, 200)]
+    labels = spark.createDataFrame([(i, i % 2) for i in range(1, 400)], "doc_id long, toxic int")
+    plain = spark.createDataFrame(short, "doc_id long, text string")
+    for long_id in (201, 202, 203, 204, 205, 206, 207):
+        docs = plain.union(spark.createDataFrame([(long_id, " ".join(f"{chr(97 + k % 26) * (1 + k % 60)}{k}" for k in range(12_000)))], plain.schema))
+        found, want = (toxicity.sampled(d, labels, 400, 9000).select("doc_id", "tokens").collect() for d in (docs, plain))
+        assert len(want) > 100 and found == want
+        found, want = (quality.sampled(d, "doc_id", "text", 400, 5000).select("key", "bucket").collect() for d in (docs, plain))
+        assert len(want) > 100 and {r.key for r in want} <= {r.key for r in found}
+    scores = [r.score for r in toxicity.score(plain, toxicity.train(docs, labels, 400, 9000)).collect()]
+    assert max(scores) - min(scores) > 0.2
+
+
 def test_quality_votes_and_scores_against_brute_force(spark):
     """Each labeller in plain Python; the scorer from the features of each text by itself."""
     docs = spark.read.parquet(f"{DATA}/documents.parquet").select("doc_id", "text").union(documents(spark).select("doc_id", "text"))
