@@ -40,21 +40,21 @@ def items_of(benchmark: DataFrame) -> DataFrame:
     return rows.select("item", "item_id", "size", F.posexplode(F.slice("words", F.lit(1), F.col("size"))).alias("ipos", "word"))
 
 
-def row_id(id_col: str = "doc_id", text_col: str = "text") -> Column:
-    """Stands for a row's id and text."""
-    return F.xxhash64(F.col(id_col), F.col(text_col))
+def text_key(text_col: str = "text") -> Column:
+    """128 bits that stand for a text."""
+    return F.unhex(F.concat(*(F.lpad(F.hex(h), 16, "0") for h in (F.xxhash64(F.col(text_col)), F.xxhash64(F.lit(1), F.col(text_col))))))
 
 
 def build_index(documents: DataFrame, vocabulary: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The positional index of ``documents`` for the terms of ``vocabulary`` (word, term), written to the shared folder.
 
-    (rid, doc_id, pos, term); doc_id stands only in the posting of the end mark, whose term is -1.
-    """
+    (rid, doc_id, key, pos, term); rid numbers the rows, doc_id and the text's key stand only in the posting of the end mark, whose
+    term is -1."""
     end = documents.sparkSession.range(1).select(F.lit("").alias("word"), F.lit(END).cast("long").alias("term"))
     terms = small(vocabulary.unionByName(end))
-    docs = documents.select(row_id(id_col, text_col).alias("rid"), F.col(id_col).alias("doc_id"), words(text_col).alias("words"))
-    tokens = docs.select("rid", "doc_id", F.posexplode("words").alias("pos", "word"))
-    found = tokens.join(terms, "word").select("rid", F.when(F.col("term") == END, F.col("doc_id")).alias("doc_id"), "pos", "term")
+    docs = documents.select(F.monotonically_increasing_id().alias("rid"), F.col(id_col).alias("doc_id"), text_key(text_col).alias("key"), words(text_col).alias("words"))
+    tokens = docs.select("rid", "doc_id", "key", F.posexplode("words").alias("pos", "word"))
+    found = tokens.join(terms, "word").select("rid", *(F.when(F.col("term") == END, F.col(c)).alias(c) for c in ("doc_id", "key")), "pos", "term")
     return table(found, "postings")
 
 
@@ -103,7 +103,7 @@ def _indexed(documents: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, Dat
 
 
 def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WINDOW) -> DataFrame:
-    """Per row of ``documents``: doc_id, rid, n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated
+    """Per row of ``documents``: doc_id, key (of its text), n_words, n_hit (words inside occurrences), n_items, items_sha256, contaminated
     (a twentieth of the words or more are hit)."""
     index, items = _indexed(documents, benchmark)
     runs = table(phrase_runs(index, items, window), "runs")
@@ -111,11 +111,11 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
     hit = spots.groupBy("rid").agg(F.count("*").alias("n_hit"))
     named = runs.select("rid", F.col("item_id").cast("string").alias("item_id")).distinct()
     named = named.groupBy("rid").agg(F.count("*").alias("n_items"), F.array_join(F.array_sort(F.collect_list("item_id")), ",").alias("ids"))
-    out = index.where(F.col("term") == END).select("doc_id", "rid", F.col("pos").cast("long").alias("n_words")).join(hit.join(named, "rid"), "rid", "left")
+    out = index.where(F.col("term") == END).select("doc_id", "key", "rid", F.col("pos").cast("long").alias("n_words")).join(hit.join(named, "rid"), "rid", "left")
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return out.select(
         "doc_id",
-        "rid",
+        "key",
         "n_words",
         n_hit.alias("n_hit"),
         F.coalesce("n_items", F.lit(0).cast("long")).alias("n_items"),
@@ -125,13 +125,18 @@ def contamination(documents: DataFrame, benchmark: DataFrame, window: int = WIND
 
 
 def clean_rows(documents: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The rows of ``documents`` that are not contaminated, with their columns."""
-    bad = table(contamination(documents, benchmark).where("contaminated").select(F.col("rid").alias("__rid")).distinct(), "contaminated")
-    return documents.withColumn("__rid", row_id()).join(small(bad), "__rid", "left_anti").drop("__rid")
+    """The rows of ``documents`` that are not contaminated, with their columns, whatever these are called."""
+    bad = table(contamination(documents, benchmark).where("contaminated").select("doc_id", "key").distinct(), "contaminated")
+    key = "__key"
+    while key in documents.columns:
+        key += "_"
+    docs, bad = documents.withColumn(key, text_key()).alias("d"), small(bad).alias("b")
+    same = (F.col(f"d.{key}") == F.col("b.key")) & F.col("d.doc_id").eqNullSafe(F.col("b.doc_id"))
+    return docs.join(bad, same, "left_anti").drop(key)
 
 
 def op9_benchmark_decontamination(spark, sf_dir: str) -> DataFrame:
-    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("rid")
+    return contamination(read(spark, sf_dir, "documents"), read(spark, sf_dir, "benchmark")).drop("key")
 
 
 ORACLE = {

@@ -14,7 +14,7 @@ stands at place i of one and j of the other, and all they can share is what stan
 
 That leaves each set a short prefix by which it can meet others, shingles of its own fill the first places of it, and of members
 that meet, those whose shared shingle stands too late are no candidates. Buckets of prefix shingles again meet their leaders
-first; at last members of different components meet if the inequality holds. Nothing is dropped by bucket size.
+first; at last members of different components meet if the inequality holds, a large bucket in parts. Nothing is dropped by bucket size.
 
 Defined results: null or blank text has an empty set, is linked with nothing and kept; rows that repeat an id with different
 texts are linked by their own texts, and each row has its own component; rows with a null id are linked like others, a
@@ -40,6 +40,8 @@ UNIVERSE, COORDINATES, ROWS, BANDS = 1 << 22, 256, 5, 51
 #: 0.8 differ in 26 on average); the exact step does not use it, so nothing is lost by it.
 SKETCH_DIFFERENCE = 48
 LEADER_ROUNDS = 2
+#: Members of a bucket that one task compares with the whole bucket in the last round.
+PAIR_ROWS = 256
 TEXT_KEY = ("text_1", "text_2")
 SPACE = bytes([0x20, *range(0x09, 0x0E)])
 
@@ -223,13 +225,15 @@ def _classes(docs: DataFrame, shingle: int, percent: int) -> tuple[DataFrame, Da
                 first = buckets.groupBy("band").agg(F.min_by(F.struct(F.col("cid").alias("l_cid"), F.col("comp").alias("l_comp"), F.col("place").alias("l_place"), F.col("n").alias("l_n")), order).alias("x")).select("band", "x.*")
                 pairs = buckets.join(first, "band").where((F.col("comp") != F.col("l_comp")) & _can_meet("", "l_", percent)).select(F.least("cid", "l_cid").alias("a"), F.greatest("cid", "l_cid").alias("b"))
             else:
-                x, y = (buckets.select("band", *(F.col(c).alias(f"{p}{c}") for c in ("cid", "comp", "place", "n"))) for p in ("a_", "b_"))
-                pairs = x.join(y, "band").where((F.col("a_comp") < F.col("b_comp")) & _can_meet("a_", "b_", percent)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
+                # the members of a large bucket are dealt to several keys, each of which gets the bucket
+                parts = F.ceil(F.col("members") / PAIR_ROWS)
+                x, y = (buckets.select("band", part.alias("part"), *(F.col(c).alias(f"{p}{c}") for c in ("cid", "comp", "place", "n"))) for p, part in (("a_", F.pmod(F.xxhash64("cid"), parts)), ("b_", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1)))))
+                pairs = x.join(y, ["band", "part"]).where((F.col("a_comp") < F.col("b_comp")) & _can_meet("a_", "b_", percent)).select(F.col("a_cid").alias("a"), F.col("b_cid").alias("b"))
             new = _confirmed(pairs, sets, percent)
             if not new.isEmpty():
                 links = links.union(new)
                 labels = components(links)
-            buckets = buckets.drop("comp")
+            buckets = buckets.drop("comp", "members")
     return made, classes.join(labels.withColumnRenamed("node", "cid"), "cid", "left").select("set_id", F.coalesce("comp", "cid").alias("comp"))
 
 
@@ -253,10 +257,10 @@ def near_duplicates(documents: DataFrame, id_col: str = "doc_id", text_col: str
 
 
 def _mixed(buckets: DataFrame, labels: DataFrame) -> DataFrame:
-    """The rows, with comp, of the buckets whose members lie in several components."""
+    """The rows, with comp and the number of members, of the buckets whose members lie in several components."""
     known = buckets.join(labels.withColumnRenamed("node", "cid"), "cid", "left").withColumn("comp", F.coalesce("comp", "cid"))
-    several = known.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q")).where("p != q").select("band")
-    return table(known.join(several, "band", "left_semi"), "mixed")
+    several = known.groupBy("band").agg(F.min("comp").alias("p"), F.max("comp").alias("q"), F.count("*").alias("members")).where("p != q").select("band", "members")
+    return table(known.join(several, "band"), "mixed")
 
 
 def kept_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = 5, percent: int = 80) -> DataFrame:

@@ -7,8 +7,8 @@ lists. What a vector's postings of lower impact can still add is at most the len
 of the query. A query stops only when this bound proves that few vectors can still be among the best; those are rescored exactly
 from their whole vectors, in integers.
 
-Queries and vectors meet block by block: every block of queries is dealt to every block of vectors, a pair of packed rows, so
-that what is shipped is small beside the comparisons it stands for.
+Queries and vectors meet block by block: a block's index is shipped once (to a few tasks where there are fewer blocks than tasks)
+and stays there while all blocks of queries, a packed row each, stream past it. A task holds one block and one row of queries.
 
 Defined results: vectors that are null or hold a null or a non-finite component take no part, nor do rows without an id; of
 rows that repeat an id the smallest vector counts; shorter vectors count as padded with zeros; ties go to the smaller id; fewer
@@ -18,12 +18,14 @@ table gives no rows; other columns are not read.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import read, table
+from .common import over_texts, read, table
 
 #: Vectors of a block and queries of a block.
 VECTORS, QUERIES = 8192, 2048
@@ -145,9 +147,9 @@ def build_index(vectors: DataFrame, blocks: int, width: int) -> DataFrame:
     return table(dealt.groupBy("block").applyInArrow(run, INDEX), "topk-index")
 
 
-def _stored(rows: pa.Table, width: int) -> Index:
+def _stored(rows: list[dict], width: int) -> Index:
     segments, ids, vectors = [], np.zeros(0, np.int64), np.zeros((0, width), np.int64)
-    for r in sorted(rows.to_pylist(), key=lambda r: r["level"]):
+    for r in rows:
         numbers = [np.frombuffer(r[c], np.int64) for c in ("dimensions", "bounds", "members", "components")]
         if r["level"] < 0:
             ids, vectors = numbers[2], numbers[3].reshape(-1, width)
@@ -156,6 +158,10 @@ def _stored(rows: pa.Table, width: int) -> Index:
     return Index(ids, vectors, segments)
 
 
+#: The level of a row of queries, which comes after all levels of an index.
+ASKED = (1 << 31) - 1
+
+
 def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64, id_col: str = "vec_id", vector_col: str = "embedding", block_size: int = VECTORS, ask_size: int = QUERIES) -> DataFrame:
     """query_id, rank, vec_id, score: the k largest integer inner products of each query with all other vectors."""
     v = vectors.select(F.col(id_col).cast("long").alias("vec_id"), _usable(F.col(vector_col), scale).alias("v")).where("vec_id is not null and v is not null")
@@ -168,23 +174,31 @@ def top_k(vectors: DataFrame, is_query: Column, k: int = 20, scale: float = 64,
         ids, m = rows.column("vec_id").to_numpy().astype(np.int64), _matrix(rows.column("v"), width)
         return pa.table([pa.array([rows.column("ask")[0].as_py()], pa.int32()), pa.array([ids.tobytes()], _BYTES), pa.array([m.tobytes()], _BYTES)], names=["ask", "ids", "asked"])
 
-    def meet(index: pa.Table, asks: pa.Table) -> pa.Table:
-        found: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        if len(index) and len(asks):
-            own, queries = np.frombuffer(asks.column("ids")[0].as_py(), np.int64), np.frombuffer(asks.column("asked")[0].as_py(), np.int64).reshape(-1, width)
-            block = _stored(index, width)
-            for lo in range(0, len(own), BATCH):
-                for q, (ids, score) in zip(own[lo : lo + BATCH], block.best(queries[lo : lo + BATCH], own[lo : lo + BATCH], k)):
-                    found.append((np.full(len(ids), q), ids, score))
-        columns = [np.concatenate(c) for c in zip(*found)] or [np.zeros(0, np.int64)] * 3
-        return pa.table([pa.array(c, pa.int64()) for c in columns], names=["query_id", "vec_id", "score"])
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        at, rows, block = None, [], None
+        for batch in batches:
+            for r in batch.to_pylist():
+                if (r["block"], r["slice"]) != at:
+                    at, rows, block = (r["block"], r["slice"]), [], None
+                if r["level"] < ASKED:
+                    rows.append(r)
+                    continue
+                block = block or _stored(rows, width)
+                rows.clear()
+                own, queries = np.frombuffer(r["members"], np.int64), np.frombuffer(r["components"], np.int64).reshape(-1, width)
+                for lo in range(0, len(own), BATCH):
+                    found = [(np.full(len(ids), q), ids, score) for q, (ids, score) in zip(own[lo : lo + BATCH], block.best(queries[lo : lo + BATCH], own[lo : lo + BATCH], k))]
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(c), pa.int64()) for c in zip(*found)], names=["query_id", "vec_id", "score"])
 
     packed = asks.withColumn("ask", F.pmod(F.xxhash64("vec_id", F.lit(1)), F.lit(asked)).cast("int")).groupBy("ask").applyInArrow(pack, "ask int, ids binary, asked binary")
-    lhs = build_index(v, blocks, width).withColumn("ask", F.explode(F.sequence(F.lit(0), F.lit(asked - 1))))
-    rhs = table(packed, "topk-asks").withColumn("of", F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))))
-    met = lhs.groupBy("block", "ask").cogroup(rhs.groupBy("of", "ask")).applyInArrow(meet, "query_id long, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
-    return met.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    slices = max(1, min(asked, -(-int(vectors.sparkSession.conf.get("spark.sql.shuffle.partitions")) // blocks)))
+    index = build_index(v, blocks, width).withColumn("slice", F.explode(F.sequence(F.lit(0), F.lit(slices - 1))))
+    nothing = F.lit(b"")
+    streamed = table(packed, "topk-asks").select(F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).alias("block"), F.lit(ASKED).alias("level"), nothing.alias("dimensions"), nothing.alias("bounds"), F.col("ids").alias("members"), F.col("asked").alias("components"), (F.col("ask") % slices).alias("slice"))
+    order = ["block", "slice", "level"]
+    met = over_texts(index.unionByName(streamed).repartition("block", "slice").sortWithinPartitions(*order), meet, "query_id long, vec_id long, score long")
+    best = Window.partitionBy("query_id").orderBy(F.desc("score"), F.asc("vec_id"))
+    return met.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 
 def op8_impact_ordered_topk(spark, sf_dir: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """WARC archives by way of a chunked record table.
 
-Payloads are handled as rows of a record identifier and a chunk number. The writer streams the chunks of a record into its
-archive and the reader turns a record back into chunk rows, each with the bytes and the SHA-1 digest so far; the last chunk of
-a record has its full digest. No step holds a record's payload twice, and none but the source row holds it whole.
+Payloads are rows of a record identifier and a chunk number from the scan to the archive and back. The scan cuts a page into chunk
+rows of ``CHUNK_BYTES`` at most, which carry the record's size and digests; what a record is to be (response or revisit) is decided on
+the narrow rows of last chunks, and joined to the chunk rows, so that no payload is whole in a shuffle, a join or an Arrow batch
+after the scan. The writer streams the chunks of a record into its archive and the reader turns a record back into chunk rows, each
+with the bytes and the SHA-1 digest so far; the last chunk of a record has its full digest.
 
-Equal payloads: the record with the largest identifier is written as response, the others as revisit records that refer to it
-and have no payload. Each record is a gzip member of its own, and each task writes archives of a bounded size under a name of
-its own attempt, so a task that is run again leaves no archive half replaced.
+Payloads are equal if they agree in length, SHA-1 and SHA-256: the record with the largest identifier is written as response, the
+others as revisit records that refer to it and have no payload. Pages of popular payloads are not shuffled: payloads that so many
+pages share that there can't be many of them are broadcast. Each record is a gzip member of its own, and each task writes archives
+of a bounded size under a name of its own attempt, so a task that is run again leaves no archive half replaced.
 
 Defined results: null html is an empty payload; a null page_id is never the one referred to, and its record is a revisit if an
 equal payload has an identified page; rows that repeat a page_id and a payload are written alike; payloads below ``at_least``
@@ -23,59 +26,108 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .common import over_texts, read, shared_dir, table
 
 CHUNK_BYTES, ARCHIVE_BYTES = 1 << 20, 64 << 20
+#: So many revisits, three short numbers each, are broadcast to the chunk rows; beyond that the chunk rows are sorted to them.
+REVISITS = 1_000_000
 DATE = "2024-01-01T00:00:00Z"
 
 
-def chunks_of(column: pa.Array) -> Iterator[Iterator[memoryview]]:
-    """For each row the chunks of its payload, as views of the column's own buffer."""
-    if isinstance(column, pa.ChunkedArray):
-        column = column.combine_chunks()
-    column = column.cast(pa.large_string()).cast(pa.large_binary())
-    data = memoryview(column.buffers()[2]) if len(column) and column.buffers()[2] is not None else memoryview(b"")
-    offsets = memoryview(column.buffers()[1]).cast("b").cast("q") if len(column) else []
-    for i in range(len(column)):
-        lo, hi = offsets[column.offset + i], offsets[column.offset + i + 1]
-        yield (data[a : min(a + CHUNK_BYTES, hi)] for a in (range(lo, hi, CHUNK_BYTES) if column[i].is_valid else ()))
-
-
 def base32(digest: bytes) -> str:
     return base64.b32encode(digest).decode()
 
 
-def _facts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
-        size, digest = [], []
-        for chunks in chunks_of(batch.column("html")):
-            sha, n = hashlib.sha1(), 0
-            for c in chunks:
-                sha.update(c)
-                n += len(c)
-            size.append(n)
-            digest.append(base32(sha.digest()))
-        yield pa.RecordBatch.from_arrays([batch.column("rid"), batch.column("page_id"), pa.array(size, pa.int64()), pa.array(digest, pa.string())], names=["rid", "page_id", "bytes", "digest"])
+def record_id(page_id: Column, sha256: Column) -> Column:
+    """128 bits that stand for a page and its payload."""
+    name = F.concat_ws(":", F.coalesce(page_id.cast("string"), F.lit("-")), F.hex(sha256))
+    return F.unhex(F.left(F.sha2(name, 256), F.lit(32)))
 
 
-def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
-    """(rid, page_id, url, html, bytes, digest, refers_to, refers_rid): what is written for each row of ``pages``."""
-    rows = pages.select(F.xxhash64("page_id", F.coalesce("html", F.lit(""))).alias("rid"), F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
-    facts = table(over_texts(rows.select("rid", "page_id", "html"), _facts, "rid long, page_id long, bytes long, digest string"), "payloads").distinct()
-    largest = facts.where(F.col("bytes") >= at_least).groupBy("digest", "bytes").agg(F.max("page_id").alias("largest"))
-    other = F.col("largest").isNotNull() & (F.col("page_id").isNull() | (F.col("page_id") < F.col("largest")))
-    known = facts.join(largest, ["digest", "bytes"], "left").select("rid", "bytes", "digest", F.when(other, F.col("largest")).alias("refers_to"))
-    return rows.join(known, "rid").withColumn("refers_rid", F.when(F.col("refers_to").isNotNull(), F.xxhash64("refers_to", "html")))
+CHUNKS = "page_id long, url string, row long, chunk int, last boolean, bytes long, sha1 string, sha256 binary"
+
 
+def chunk_rows(pages: DataFrame, data: bool = True) -> DataFrame:
+    """A row for each chunk of a page's payload, at least one, with the size and digests of the whole; ``data`` adds its bytes, without it
+    there is only the row of the last chunk. ``row`` tells pages apart within one job; a page's chunks follow each other."""
 
-def urn(rid: int) -> str:
-    return f"<urn:uuid:{uuid.UUID(bytes=hashlib.blake2b(rid.to_bytes(8, 'big', signed=True), digest_size=16).digest(), version=4)}>"
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = {"page_id": pa.int64(), "url": pa.string(), "row": pa.int64(), "chunk": pa.int32(), "last": pa.bool_(), "bytes": pa.int64(), "sha1": pa.string(), "sha256": pa.binary()} | ({"data": pa.binary()} if data else {})
+        rows: list[tuple] = []
+        held, number = 0, TaskContext.get().partitionId() << 40
+
+        def batch() -> pa.RecordBatch:
+            out = pa.RecordBatch.from_arrays([pa.array(c, kind) for c, kind in zip(zip(*rows), kinds.values())], names=list(kinds))
+            rows.clear()
+            return out
+
+        for b in batches:
+            html = b.column("html").cast(pa.large_string()).cast(pa.large_binary())
+            offsets = np.frombuffer(html.buffers()[1], np.int64)[html.offset : html.offset + len(html) + 1] if len(html) else []
+            whole = memoryview(html.buffers()[2] or b"") if len(html) else memoryview(b"")
+            for k, (page, url) in enumerate(zip(b.column("page_id").to_pylist(), b.column("url").to_pylist())):
+                lo, hi = int(offsets[k]), int(offsets[k + 1])
+                parts = [whole[a : min(a + CHUNK_BYTES, hi)] for a in range(lo, hi, CHUNK_BYTES)] or [b""]
+                one, two = hashlib.sha1(), hashlib.sha256()
+                for part in parts:
+                    one.update(part)
+                    two.update(part)
+                facts = (hi - lo, base32(one.digest()), two.digest())
+                for n, part in enumerate(parts):
+                    if data or n == len(parts) - 1:
+                        rows.append((page, url if n == 0 or not data else None, number, n, n == len(parts) - 1, *facts, *([bytes(part)] if data else [])))
+                        held += len(part)
+                    if len(rows) >= 5000 or data and held >= 4 * CHUNK_BYTES:
+                        yield batch()
+                        held = 0
+                number += 1
+        if rows:
+            yield batch()
+
+    rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
+    return over_texts(rows, run, CHUNKS + (", data binary" if data else ""))
+
+
+def with_groups(rows: DataFrame, groups: DataFrame, keys: list[str], size: str, total: int) -> DataFrame:
+    """``rows`` left-joined with ``groups`` of them on ``keys``. A group of more rows than a 100,000th of all is one of 100,000 at most, so
+    those are broadcast and their rows stay where they are; the rest is shuffled, and has no large key."""
+    large = max(1000, total // 100_000)
+    hot = groups.where(F.col(size) > large)
+    met = rows.join(F.broadcast(hot.withColumn("__hot", F.lit(True))), keys, "left")
+    values = [c for c in groups.columns if c not in keys]
+    rest = met.where("__hot is null").drop("__hot", *values).join(groups.where(F.col(size) <= large), keys, "left")
+    return met.where("__hot").drop("__hot").unionByName(rest)
+
+
+def records(pages: DataFrame, at_least: int = 0) -> DataFrame:
+    """The chunk rows that are to be written for ``pages``, each record's one after the other, with rid, refers_to and refers_rid. Chunks
+    of revisits have no data, and only the first of them is there."""
+    facts = table(chunk_rows(pages, data=False).select("page_id", "bytes", "sha1", "sha256"), "payloads")
+    total = facts.count()
+    keys = ["sha256", "sha1", "bytes"]
+    groups = facts.groupBy(*keys).agg(F.max("page_id").alias("largest"), F.count("*").alias("pages"))
+    groups = table(groups.where((F.col("bytes") >= at_least) & F.col("largest").isNotNull() & (F.col("pages") > 1)), "payload-groups")
+    other = F.col("page_id").isNull() | (F.col("page_id") < F.col("largest"))
+    known = with_groups(facts.distinct(), groups, keys, "pages", total).where(F.col("largest").isNotNull() & other)
+    known = table(known.select(record_id(F.col("page_id"), F.col("sha256")).alias("rid"), F.col("largest").alias("refers_to"), record_id(F.col("largest"), F.col("sha256")).alias("refers_rid")), "revisits")
+    rows = chunk_rows(pages).withColumn("rid", record_id(F.col("page_id"), F.col("sha256")))
+    few = known.limit(REVISITS + 1).count() <= REVISITS
+    out = rows.join(F.broadcast(known) if few else known, "rid", "left")
+    revisit = F.col("refers_rid").isNotNull()
+    out = out.where(~revisit | (F.col("chunk") == 0)).withColumns({"data": F.when(~revisit, F.col("data")), "last": F.col("last") | revisit})
+    return out if few else out.repartition("rid").sortWithinPartitions("rid", "row", "chunk")  # else they follow each other as they did
+
+
+def urn(rid: bytes) -> str:
+    """The 128 bits themselves, as the custom version of such names that says nothing of a time."""
+    return f"<urn:uuid:{uuid.UUID(bytes=bytes(rid))}>"
 
 
 def _clean(url: str | None) -> str:
@@ -84,7 +136,7 @@ def _clean(url: str | None) -> str:
 
 def _head(r: dict) -> bytes:
     lines = ["WARC/1.1", f"WARC-Type: {'response' if r['refers_rid'] is None else 'revisit'}", f"WARC-Record-ID: {urn(r['rid'])}", f"WARC-Date: {DATE}", f"WARC-Target-URI: {_clean(r['url'])}"]
-    lines += [f"WARC-Payload-Digest: sha1:{r['digest']}", "Content-Type: application/http;msgtype=response"]
+    lines += [f"WARC-Payload-Digest: sha1:{r['sha1']}", "Content-Type: application/http;msgtype=response"]
     lines += [] if r["page_id"] is None else [f"X-Page-ID: {r['page_id']}"]
     http = "HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n"
     if r["refers_rid"] is None:
@@ -97,7 +149,7 @@ def _head(r: dict) -> bytes:
 
 
 def write_archives(rows: DataFrame, folder: str) -> DataFrame:
-    """Write ``records`` rows as gzip WARC archives under ``folder`` and return (file, records), a row for each archive."""
+    """Write chunk rows of ``records`` as gzip WARC archives under ``folder`` and return (file, records), a row for each archive."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, base = fs.FileSystem.from_uri(folder)
@@ -110,16 +162,18 @@ def write_archives(rows: DataFrame, folder: str) -> DataFrame:
             return pa.RecordBatch.from_pydict({"file": [name], "records": pa.array([count], pa.int64())})
 
         for batch in batches:
-            heads = batch.select(["rid", "page_id", "url", "bytes", "digest", "refers_to", "refers_rid"]).to_pylist()
-            for r, chunks in zip(heads, chunks_of(batch.column("html"))):
+            heads = batch.select([c for c in batch.schema.names if c != "data"]).to_pylist()
+            for r, data in zip(heads, batch.column("data")):
                 if out is None:
                     name = f"{base}/{task.partitionId():06d}-{n:04d}-{task.taskAttemptId()}.warc.gz"
                     out, count, n = store.open_output_stream(f"{name}.part", compression=None), 0, n + 1
-                z = zlib.compressobj(6, zlib.DEFLATED, 31)
-                out.write(z.compress(_head(r)))
-                if r["refers_rid"] is None:
-                    for c in chunks:
-                        out.write(z.compress(c))
+                if r["chunk"] == 0:
+                    z = zlib.compressobj(6, zlib.DEFLATED, 31)
+                    out.write(z.compress(_head(r)))
+                if data.is_valid:
+                    out.write(z.compress(data.as_buffer()))
+                if not r["last"]:
+                    continue
                 out.write(z.compress(b"\r\n\r\n") + z.flush())
                 count += 1
                 if out.tell() >= ARCHIVE_BYTES:
@@ -238,9 +292,11 @@ def write_and_read(pages: DataFrame, folder: str, at_least: int = 0) -> DataFram
     """Archive ``pages`` (page_id, url, html) under ``folder``, read the archives back and report each page's record."""
     rows = read_chunks(write_archives(records(pages, at_least), folder), data=False).where("last")
     rows = table(rows, "records")
-    own = rows.where("record_type = 'response'")
+    own, other = rows.where("record_type = 'response'"), rows.where("record_type = 'revisit'").drop("bytes_so_far", "digest_so_far")
+    asked = other.groupBy("refers_id").agg(F.count("*").alias("pages"))
     full = own.groupBy(F.col("record_id").alias("refers_id")).agg(F.any_value("bytes_so_far").alias("bytes_so_far"), F.any_value("digest_so_far").alias("digest_so_far"))
-    other = rows.where("record_type = 'revisit'").drop("bytes_so_far", "digest_so_far").join(full, "refers_id", "left")
+    full = table(full.join(asked, "refers_id"), "referred")
+    other = with_groups(other, full, ["refers_id"], "pages", rows.count())
     columns = ["page_id", F.col("bytes_so_far").alias("payload_bytes"), F.col("digest_so_far").alias("payload_digest"), "record_type", "refers_to"]
     return own.select(*columns).unionByName(other.select(*columns))
 

@@ -2,7 +2,7 @@ import hashlib
 import random
 import re
 
-from reelmine.llm.decontaminate import UPPER, LOWER, _indexed, build_index, clean_rows, contamination, proximity_matches, row_id
+from reelmine.llm.decontaminate import UPPER, LOWER, _indexed, build_index, clean_rows, contamination, proximity_matches
 
 from .cases import DATA, documents
 
@@ -34,7 +34,7 @@ def brute(docs, items, window=13):
 
 
 def run(docs, bench):
-    return sorted((tuple(r) for r in contamination(docs, bench).drop("rid").collect()), key=str)
+    return sorted((tuple(r) for r in contamination(docs, bench).drop("key").collect()), key=str)
 
 
 def test_table(spark):
@@ -67,7 +67,7 @@ def test_proximity(spark):
     for asked in ("abc", "h", "gd"):
         queries = spark.createDataFrame([(1, "abcdefgh".index(w)) for w in asked], "query long, term long")
         found = {(r.rid, r.pos) for r in proximity_matches(index, queries, 4).collect()}
-        ids = {r.rid: r.doc_id for r in d.select(row_id().alias("rid"), "doc_id").collect()}
+        ids = {r.rid: r.doc_id for r in index.where("term = -1").collect()}
         texts = dict((i, t.split()) for i, t in docs)
         count = {w: sum(t.count(w) for t in texts.values()) for w in asked}
         first = min(asked, key=lambda w: (count[w], w))
@@ -79,4 +79,4 @@ def test_documents_with_clashing_columns(spark):
     d = documents(spark, "words")
     bench = spark.createDataFrame([(1, d.where("doc_id = 1").first().text)], "item_id long, text string")
     got = {r.doc_id: r.contaminated for r in contamination(d, bench).collect()}
-    assert got[1] and got[2] and got[3] and not got[13] and _indexed(d, bench)[0].columns == ["rid", "doc_id", "pos", "term"]
+    assert got[1] and got[2] and got[3] and not got[13] and _indexed(d, bench)[0].columns == ["rid", "doc_id", "key", "pos", "term"]

@@ -47,6 +47,22 @@ def test_edges(spark):
     assert run(df.limit(0)) == []
 
 
+def test_popular_payloads_and_many_revisits(spark, monkeypatch):
+    """A hundred thousand pages with one payload; and the same records where the revisits are too many to be broadcast."""
+    some = [(200_000 + i, "u", ("x" * (i % 5), None, "é" * 1_500_000)[min(i % 40, 2) if i % 40 < 2 else (2 if i == 39 or i == 79 else 0)]) for i in range(120)]
+    kind = "page_id long, url string, html string"
+    hot = spark.range(100_000).select("id", F.lit("u"), F.lit("popular")).toDF("page_id", "url", "html")
+    df = hot.union(spark.createDataFrame(some + some[:3], kind)).repartition(8)
+    want = brute([(i, "popular") for i in range(100_000)] + [(i, h) for i, _, h in some + some[:3]])
+    assert run(df) == want
+    monkeypatch.setattr(warc, "REVISITS", 0)
+    monkeypatch.setattr(warc, "CHUNK_BYTES", 1 << 18)
+    small = spark.createDataFrame(some + some[:3], kind).repartition(3)
+    assert run(small) == brute([(i, h) for i, _, h in some + some[:3]])
+    rows = warc.records(small)
+    assert rows.agg(F.max(F.octet_length("data"))).first()[0] <= 1 << 18 and rows.where("refers_rid is not null and (data is not null or chunk > 0)").isEmpty()
+
+
 def test_chunks_are_bounded_and_make_up_the_payload(spark):
     text = "".join(chr(97 + i % 26) for i in range(2_500_000))
     df = spark.createDataFrame([(1, "u", text)], "page_id long, url string, html string")
