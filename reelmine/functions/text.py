@@ -76,9 +76,10 @@ def clean_caption(c: Column, entities: bool = True) -> Column:
     return collapse(F.regexp_replace(bare, SOUND_MARK, ""))
 
 
-def snippet(text: Column, query: Column, before: int = 120, size: int = 320) -> Column:
-    """Text around the first hit, regardless of case."""
-    return F.substring(text, F.greatest(F.lit(1), F.instr(F.lower(text), F.lower(query)) - before), F.lit(size))
+def snippet(text: Column, queries: list[str], before: int = 120, size: int = 320) -> Column:
+    """Text around the first hit of any of the queries, regardless of case; the beginning if there is none."""
+    hits = F.filter(F.array(F.lit(0), *(F.instr(F.lower(text), q.lower()) for q in queries)), lambda p: p > 0)
+    return F.substring(text, F.greatest(F.lit(1), F.array_min(hits) - before), F.lit(size))
 
 
 def norm_title(c: Column, boilerplate: str = r"(?i)\|\||#\w+|\b(official|part\s*\d+|episode\s*\d+|ep\.?\s*\d+|full video|shorts?)\b") -> Column:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -12,7 +13,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import CARD_ID, NEGATION, collapse, composed, corpus_body, words
 from ..plans.registry import query
-from ..plans.staging import small, table
+from ..plans.staging import join_in_parts, small, table
 from ..plans.views import Views
 from ..plans.vocabulary import CARD_TYPES
 
@@ -67,24 +68,32 @@ def ledger(cards: DataFrame, manifest: DataFrame) -> tuple[DataFrame, DataFrame]
 
 
 def contradictions(cards: DataFrame, least: int = 3) -> DataFrame:
-    """(topic, a, b, shared): claims of different videos on one topic with opposite negation and ``least`` shared longer words.
+    """(topic, a, b, claim_a, claim_b, shared): claims of different videos on one topic with opposite negation and ``least`` shared longer
+    words. Of cards that repeat an id the smallest claim is told.
 
     Two claims that share so many words also share one that is not among the ``least`` - 1 commonest of either, so those are no
-    keys: pairs come from equal (topic, rarer word) keys, and a pair is counted on the claims' own lists of words. Self-declared
-    revisions follow without a partner."""
+    keys: pairs of claims' numbers come from equal (topic, rarer word) keys, in parts where a key is common, and a pair is counted on
+    the claims' own lists of words. Self-declared revisions follow without a partner."""
     rules = cards.where(F.col("type").isin("rule", "number", "procedure"))
     each = rules.select("id", "video_id", F.col("claim").rlike(NEGATION).alias("negative"), F.explode(F.array_distinct("topics")).alias("topic"), F.array_distinct(F.regexp_extract_all(F.lower("claim"), F.lit("([a-z]{5,})"), 1)).alias("w"))
-    each = table(each.where(F.size("w") >= least).groupBy("topic", "id", "video_id", "negative").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("w")), "claims")
-    word = each.select("topic", "id", "video_id", "negative", "w", F.explode("w").alias("word"))
+    each = each.where(F.size("w") >= least).groupBy("topic", "id", "video_id", "negative").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("w")))).alias("w"))
+    each = table(each.withColumn("n", F.monotonically_increasing_id()), "claims")
+    word = each.select("topic", "n", "video_id", "negative", F.explode("w").alias("word"))
     often = word.groupBy("topic", "word").agg(F.count("*").alias("often"), F.bool_and("negative").alias("p"), F.bool_or("negative").alias("q")).where("p != q").drop("p", "q")
-    rank = F.row_number().over(Window.partitionBy("topic", "id", "video_id", "negative").orderBy(F.desc("often"), "word"))
-    rarer = word.join(often, ["topic", "word"]).withColumn("rank", rank).where(F.col("rank") >= least)
-    x, y = rarer.where("negative").select("topic", "word", F.col("id").alias("x"), F.col("video_id").alias("vx"), F.col("w").alias("wx")), rarer.where("not negative").select("topic", "word", F.col("id").alias("y"), F.col("video_id").alias("vy"), F.col("w").alias("wy"))
+    rank = F.row_number().over(Window.partitionBy("n").orderBy(F.desc("often"), "word"))
+    rarer = table(word.join(often, ["topic", "word"]).withColumn("rank", rank).where(F.col("rank") >= least), "claim-keys")
+    x, y = (rarer.where(side).select("topic", "word", F.col("n").alias(c), F.col("video_id").alias(f"v{c}")) for side, c in (("negative", "x"), ("not negative", "y")))
+    met = join_in_parts(x, y, ["topic", "word"], "x").where("vx != vy").select("x", "y").distinct()
+    claims = lambda c: each.select(F.col("n").alias(c), F.col("topic").alias(f"t{c}"), F.col("id").alias(f"i{c}"), F.col("w").alias(f"w{c}"))
     shared = F.array_intersect("wx", "wy")
-    both = x.join(y, ["topic", "word"]).where((F.col("vx") != F.col("vy")) & (F.size(shared) >= least)).select("topic", F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"), F.slice(F.array_sort(shared), 1, 6).alias("shared")).distinct()
+    both = met.join(claims("x"), "x").join(claims("y"), "y").where(F.size(shared) >= least).select(F.col("tx").alias("topic"), F.least("ix", "iy").alias("a"), F.greatest("ix", "iy").alias("b"), F.slice(F.array_sort(shared), 1, 6).alias("shared")).distinct()
     one = both.groupBy("a", "b").agg(F.min(F.struct("topic", "shared")).alias("s")).select("s.topic", "a", "b", "s.shared")
     own = cards.where("type = 'contradiction'").select(F.array_join("topics", ",").alias("topic"), F.col("id").alias("a"), F.lit(None).cast("string").alias("b"), F.array(F.lit("self-declared revision")).alias("shared"))
-    return one.unionByName(own)
+    said = cards.groupBy("id").agg(F.min("claim").alias("claim"))
+    out = one.unionByName(own)
+    for side in ("a", "b"):
+        out = out.join(said.select(F.col("id").alias(side), F.col("claim").alias(f"claim_{side}")), side, "left")
+    return out.select("topic", "a", "b", "claim_a", "claim_b", "shared")
 
 
 def fetch_cards(cards: DataFrame, manifest: DataFrame, topics: list[str] | None = None, types: list[str] | None = None, ids: list[str] | None = None) -> DataFrame:
@@ -99,22 +108,63 @@ def fetch_cards(cards: DataFrame, manifest: DataFrame, topics: list[str] | None
     return rows.join(manifest.select("video_id", "title", "published_at"), "video_id", "left").orderBy(F.asc_nulls_last("published_at"), "video_id", "seconds", "id")
 
 
+#: Similarities from which a window makes an anchor near, and from which it is worth a repair.
+NEAR, REPAIR = 0.75, 0.7
+
+
+class Windows:
+    """The best windows of anchors in one text.
+
+    A window of m characters and an anchor of n that match in M characters have the ratio 2 M / (n + m). M is no more than what they
+    have in common as multisets of characters. The matches are runs with something unmatched between them, at most n + m - 2 M + 1
+    runs, and a run of k characters has k - 1 bigrams in common; so with B bigrams in common M <= (B + n + m + 1) / 3. Both bounds come
+    from running counts for all windows at once. Windows are compared with the greatest bound first, until no bound exceeds the best
+    ratio, and none whose bound is below the ratio that matters."""
+
+    def __init__(self, text: str) -> None:
+        self.text = text
+        self.codes = np.array([ord(c) for c in text], np.int64)
+        self.pairs = self.codes[:-1] << 21 | self.codes[1:]
+
+    def _common(self, units: np.ndarray, of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        total = np.zeros(len(lo), np.int64)
+        for unit, n in zip(*np.unique(of, return_counts=True)):
+            at = np.flatnonzero(units == unit)
+            total += np.minimum(n, np.searchsorted(at, hi) - np.searchsorted(at, lo))
+        return total
+
+    def best(self, anchor: str, wide: float, least: float) -> tuple[float, str | None]:
+        """(ratio, window) of the first best window of ``wide`` anchor lengths, a quarter length apart, if it reaches ``least``."""
+        n, codes = len(anchor), np.array([ord(c) for c in anchor], np.int64)
+        starts = np.arange(0, max(len(self.text) - n, 1), max(n // 4, 1))
+        ends = np.minimum(starts + int(n * wide), len(self.text))
+        size = n + ends - starts
+        chars = self._common(self.codes, codes, starts, ends)
+        pairs = self._common(self.pairs, codes[:-1] << 21 | codes[1:], starts, np.maximum(ends - 1, starts))
+        bound = 2 * np.minimum(chars, (pairs + size + 1) / 3) / np.maximum(size, 1) + 1e-9
+        score, at, matcher = 0.0, -1, SequenceMatcher(None)
+        matcher.set_seq1(anchor)
+        for k in np.argsort(-bound, kind="stable").tolist():
+            if bound[k] < max(score, least):
+                break
+            matcher.set_seq2(self.text[starts[k] : ends[k]])
+            r = matcher.ratio()
+            if r > score or r == score and at > k:
+                score, at = r, k
+        return (score, self.text[starts[at] : ends[at]]) if score >= least else (0.0, None)
+
+
 @pandas_udf(T.StructType([T.StructField("near", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("span", T.StringType())]))
 def best_windows(anchor: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """The similarity of the best window of 1.4 anchor lengths, and that of 1.6 with its text, a quarter length apart. The wider one
-    is looked for only where it can matter."""
-
-    def best(a: str, t: str, wide: float) -> tuple[float, str | None]:
-        score, span, size = 0.0, None, len(a)
-        matcher = SequenceMatcher(None)
-        matcher.set_seq1(a)
-        for i in range(0, max(len(t) - size, 1), max(size // 4, 1)):
-            matcher.set_seq2(t[i : i + int(size * wide)])
-            if matcher.real_quick_ratio() > score and matcher.quick_ratio() > score and (r := matcher.ratio()) > score:
-                score, span = r, t[i : i + int(size * wide)]
-        return score, span
-
-    found = [(best(a, t, 1.4)[0], *best(a, t, 1.6)) if a and t is not None else (0.0, 0.0, None) for a, t in zip(anchor, text)]
+    """The similarity of the best window of 1.4 anchor lengths if it makes the anchor near, and that of 1.6 with its text if it is worth
+    a repair; else 0."""
+    found, known = [], None
+    for a, t in zip(anchor, text):
+        if not a or t is None:
+            found.append((0.0, 0.0, None))
+            continue
+        known = known if known is not None and known.text == t else Windows(t)
+        found.append((known.best(a, 1.4, NEAR)[0], *known.best(a, 1.6, REPAIR)))
     return pd.DataFrame(found, columns=["near", "score", "span"])
 
 
@@ -141,8 +191,8 @@ def check_anchors(cards: DataFrame, bodies: DataFrame) -> DataFrame:
     quick = F.when(text.isNull(), "no transcript").when(F.col("a") == "", "missing").when(F.contains(text, F.col("a")), "exact").when((F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(text, p)), "fragments")
     rows = rows.withColumn("verdict", quick).select("id", "verdict", F.when(F.col("verdict").isNull(), F.col("a")).alias("a"), F.when(F.col("verdict").isNull(), text).alias("body"))
     rows = table(rows, "anchors").withColumn("w", best_windows("a", "body"))
-    run = F.when(F.col("w.score") >= 0.7, common_run("a", F.col("w.span")))
-    verdict = F.coalesce("verdict", F.when(F.col("w.near") >= 0.75, "near").otherwise("missing"))
+    run = F.when(F.col("w.score") >= REPAIR, common_run("a", F.col("w.span")))
+    verdict = F.coalesce("verdict", F.when(F.col("w.near") >= NEAR, "near").otherwise("missing"))
     return rows.withColumn("run", run).select("id", verdict.alias("verdict"), F.when((F.length("run") >= 20) & F.contains("body", "run"), F.col("run")).alias("repaired"))
 
 
@@ -152,6 +202,27 @@ def verbatim_rate(checked: DataFrame) -> DataFrame:
     return checked.agg(judged.alias("anchors"), F.round(100 * F.count_if(F.col("verdict").isin("exact", "fragments")) / F.greatest(judged, F.lit(1)), 1).alias("percent"))
 
 
+def verdict_counts(checked: DataFrame) -> DataFrame:
+    """(verdict, anchors)."""
+    return checked.groupBy("verdict").agg(F.count("*").alias("anchors"))
+
+
+def anchor_gate(checked: DataFrame, allowed_percent: float) -> DataFrame:
+    """One row: anchors with a transcript, those that are near or missing, their share in percent, and FAIL above what is allowed."""
+    judged, bad = F.count_if(F.col("verdict") != "no transcript"), F.count_if(F.col("verdict").isin("near", "missing"))
+    share = 100 * bad / F.greatest(judged, F.lit(1))
+    return checked.agg(judged.alias("anchors"), bad.alias("failing"), F.round(share, 1).alias("percent"), F.when(share > allowed_percent, "FAIL").otherwise("PASS").alias("verdict"))
+
+
+def repair_anchors(cards: DataFrame, checked: DataFrame) -> DataFrame:
+    """``cards`` with repaired anchors in place of bent ones, and a flag ``anchor_repaired``. Cards that repeat an id and are repaired in
+    several ways take the smallest."""
+    fixed = checked.where("repaired is not null").groupBy("id").agg(F.min("repaired").alias("__repaired"))
+    rows = cards.drop("anchor_repaired").join(fixed, "id", "left")
+    out = rows.withColumns({"anchor": F.coalesce("__repaired", "anchor"), "anchor_repaired": F.col("__repaired").isNotNull()})
+    return out.select(*(c for c in cards.columns if c != "anchor_repaired"), "anchor_repaired")
+
+
 @query(
     "d09_canonical_topics",
     """WITH e AS (SELECT id, unnest(topics) AS t FROM v_cards) SELECT id, array_to_string(list_sort(list_distinct(list(CASE WHEN t IN ('assistant', 'bot') THEN 'helper' WHEN t IN ('the', 'a') THEN 'article' ELSE t END))), '|') AS topics FROM e GROUP BY id""",
@@ -219,12 +290,13 @@ def _(v: Views) -> DataFrame:
     r"""WITH c AS (SELECT *, regexp_matches(claim, '(?i)\b(never|don''?t|not|no longer|avoid|stopped|without)\b') AS neg FROM v_cards WHERE type IN ('rule', 'number', 'procedure')),
     w AS (SELECT DISTINCT topic, id, video_id, neg, unnest(regexp_extract_all(lower(claim), '[a-z]{5,}')) AS word FROM (SELECT DISTINCT id, video_id, neg, claim, unnest(topics) AS topic FROM c)),
     p AS (SELECT x.topic, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list_sort(list(DISTINCT x.word)) AS shared, count(*) AS n FROM w x JOIN w y ON x.topic = y.topic AND x.word = y.word AND x.video_id <> y.video_id AND x.neg AND NOT y.neg GROUP BY ALL)
-    SELECT topic, a, b, array_to_string(shared[1:6], ',') AS shared FROM (SELECT topic, a, b, min(shared) AS shared, min(n) AS n FROM (SELECT x.topic, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list_sort(list(DISTINCT x.word)) AS shared, count(*) AS n
+    SELECT z.*, ca.claim AS claim_a, cb.claim AS claim_b FROM (SELECT topic, a, b, array_to_string(shared[1:6], ',') AS shared FROM (SELECT topic, a, b, min(shared) AS shared, min(n) AS n FROM (SELECT x.topic, least(x.id, y.id) AS a, greatest(x.id, y.id) AS b, list_sort(list(DISTINCT x.word)) AS shared, count(*) AS n
       FROM w x JOIN w y ON x.topic = y.topic AND x.word = y.word AND x.video_id <> y.video_id AND x.neg AND NOT y.neg GROUP BY 1, 2, 3) GROUP BY topic, a, b) WHERE n >= 3 QUALIFY row_number() OVER (PARTITION BY a, b ORDER BY topic) = 1
-    UNION ALL SELECT array_to_string(topics, ','), id, NULL, 'self-declared revision' FROM v_cards WHERE type = 'contradiction'""",
+    UNION ALL SELECT array_to_string(topics, ','), id, NULL, 'self-declared revision' FROM v_cards WHERE type = 'contradiction') z
+    LEFT JOIN (SELECT id, min(claim) AS claim FROM v_cards GROUP BY id) ca ON ca.id = z.a LEFT JOIN (SELECT id, min(claim) AS claim FROM v_cards GROUP BY id) cb ON cb.id = z.b""",
 )
 def _(v: Views) -> DataFrame:
-    return contradictions(v.cards).select("topic", "a", "b", F.array_join("shared", ",").alias("shared"))
+    return contradictions(v.cards).withColumn("shared", F.array_join("shared", ","))
 
 
 @query("c10_fetch_cards", "SELECT c.id, title, published_at FROM v_cards c LEFT JOIN v_videos v USING (video_id) WHERE list_has_any(topics, ['the', 'user']) AND type IN ('rule', 'example')")
@@ -232,6 +304,16 @@ def _(v: Views) -> DataFrame:
     return fetch_cards(v.cards, v.videos, ["the", "user"], ["rule", "example"]).select("id", "title", "published_at")
 
 
+def fetched(rows: DataFrame) -> DataFrame:
+    """One row: how many cards a filter gave, and of how many videos."""
+    return rows.agg(F.count("*").alias("cards"), F.countDistinct("video_id").alias("videos"))
+
+
+@query("c10_fetched", "SELECT count(*) AS cards, count(DISTINCT video_id) AS videos FROM v_cards WHERE list_has_any(topics, ['the', 'user']) AND type IN ('rule', 'example')")
+def _(v: Views) -> DataFrame:
+    return fetched(fetch_cards(v.cards, v.videos, ["the", "user"], ["rule", "example"]))
+
+
 @query("d12_coverage", "SELECT v.video_id, coalesce(n, 0) AS cards, CASE WHEN n IS NULL THEN 'no cards' WHEN v.video_id % 2 = 0 THEN 'cited' ELSE 'not cited' END AS state FROM v_videos v LEFT JOIN (SELECT video_id, count(*) AS n FROM v_cards GROUP BY 1) USING (video_id)")
 def _(v: Views) -> DataFrame:
     return coverage(v.videos, v.cards, v.cards.where("video_id % 2 = 0").select("video_id"))
@@ -270,8 +352,37 @@ def _(v: Views) -> DataFrame:
     return checked.select("id", F.when(F.col("verdict").isin("exact", "fragments"), F.col("verdict")).otherwise("other").alias("verdict"))
 
 
+def _bent(v: Views) -> DataFrame:
+    """Anchors with something put between two pieces of the claim; every seventh is whole."""
+    n = F.regexp_extract("id", r"(\d+)$", 1).cast("long")
+    text = collapse(F.col("claim"))
+    return v.cards.withColumn("anchor", F.when(n % 7 == 0, F.substring(text, 3, 40)).otherwise(F.concat(F.substring(text, 1, 30), F.lit(" x "), F.substring(text, 31, 30))))
+
+
 @query("k12_anchor_repair", None)
 def _(v: Views) -> DataFrame:
-    bodies = conversation_bodies(v)
-    bent = v.cards.withColumn("anchor", F.concat(F.substring("claim", 1, 30), F.lit(" x "), F.substring("claim", 31, 30)))
-    return check_anchors(bent, bodies)
+    return check_anchors(_bent(v), conversation_bodies(v))
+
+
+@query("k12_repaired_cards", None)
+def _(v: Views) -> DataFrame:
+    bent = _bent(v)
+    return repair_anchors(bent, check_anchors(bent, conversation_bodies(v))).select("id", "video_id", "anchor", "anchor_repaired")
+
+
+@query("k11_verdicts", None)
+def _(v: Views) -> DataFrame:
+    checked = table(check_anchors(_bent(v), conversation_bodies(v)), "checked")
+    return verdict_counts(checked).crossJoin(anchor_gate(checked, 5.0).select(F.col("percent"), F.col("verdict").alias("gate")))  # one row
+
+
+@query(
+    "k11_gate",
+    r"""WITH b AS (SELECT conv_id AS video_id, trim(regexp_replace(string_agg(text, ' ' ORDER BY turn, text), '[\s\p{Z}]+', ' ', 'g')) AS body FROM conversations GROUP BY 1),
+    t AS (SELECT id, video_id, trim(regexp_replace(claim, '[\s\p{Z}]+', ' ', 'g')) AS t FROM v_cards), a AS (SELECT t IS NOT NULL AND contains(body, trim(substr(t, 4, 50))) AND trim(substr(t, 4, 50)) <> '' AS good FROM t JOIN b USING (video_id))
+    SELECT count(*) AS anchors, count(*) FILTER (NOT good) AS failing, round(100 * count(*) FILTER (NOT good) / count(*), 1) AS percent, CASE WHEN 100 * count(*) FILTER (NOT good) / count(*) > 5 THEN 'FAIL' ELSE 'PASS' END AS verdict FROM a""",
+)
+def _(v: Views) -> DataFrame:
+    """Anchors that stand in their text, but for empty ones."""
+    plain = v.cards.withColumn("anchor", F.substring(collapse(F.col("claim")), 4, 50))
+    return anchor_gate(check_anchors(plain, conversation_bodies(v)), 5.0)

@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.staging import shared_dir, table
 from ..plans.views import AS_OF, Views
 from ..plans.vocabulary import REPROCESSED
+from .merges import commit, last_snapshot, read_snapshot, write_snapshot
+from .reports import watch_url
 
 #: Sort keys of listings; an unknown key falls back to the first.
 SORTS = {
@@ -371,27 +376,83 @@ def _(v: Views) -> DataFrame:
     return ephemera(v.videos, "the|und")
 
 
-def claim(videos: DataFrame, channels: DataFrame, as_of: str, n: int, workers: int) -> DataFrame:
-    """The n oldest eligible videos, dealt to workers so that no two get the same. The order is global, but only n rows reach it."""
+def claimable(as_of: str, unhydrated: bool = False) -> Column:
+    """Videos that wait for captions, whose time has come (no time: at once) and that nobody holds; discovered ones only if asked."""
     now = F.lit(as_of).cast("timestamp")
     free = F.col("lease_expires_at").isNull() | (F.col("lease_expires_at") < now)
-    due = F.col("status").isin("metadata_ok", "discovered") | ((F.col("status") == "retry") & (F.col("next_attempt_at") <= now))
-    rows = videos.where(free & due).join(channels.where("is_enabled"), "channel_id", "left_semi")
-    first = rows.orderBy(F.asc_nulls_first("published_at"), "video_id").limit(n)
+    due = F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now)
+    return F.col("status").isin("metadata_ok", "retry", *(["discovered"] if unhydrated else [])) & due & free
+
+
+def oldest(videos: DataFrame, channels: DataFrame, as_of: str, n: int, channel=None, unhydrated: bool = False) -> DataFrame:
+    """The n oldest claimable videos of enabled channels, or of the one that is named, be it enabled or not. The order is global, but
+    only n rows reach it."""
+    rows = videos.where(claimable(as_of, unhydrated))
+    rows = rows.join(channels.where("is_enabled"), "channel_id", "left_semi") if channel is None else rows.where(F.col("channel_id") == channel)
+    return rows.orderBy(F.asc_nulls_first("published_at"), "video_id").limit(n)
+
+
+def claim(videos: DataFrame, channels: DataFrame, as_of: str, n: int, workers: int, channel=None, unhydrated: bool = False) -> DataFrame:
+    """The n oldest claimable videos, dealt to workers so that no two get the same: for one planner that serves all of them."""
     rank = F.row_number().over(Window.orderBy(F.asc_nulls_first("published_at"), "video_id"))
+    first = oldest(videos, channels, as_of, n, channel, unhydrated)
     return first.select("video_id", "published_at", rank.alias("rank")).withColumn("worker", F.pmod("rank", F.lit(workers)))
 
 
+def with_leases(videos: DataFrame, base: str) -> DataFrame:
+    """``videos`` with the leases under ``base`` in place of their own."""
+    plain = videos.drop("claimed_by", "lease_expires_at")
+    if not last_snapshot(videos.sparkSession, base, "leases"):
+        return plain.withColumns({"claimed_by": F.lit(None).cast("string"), "lease_expires_at": F.lit(None).cast("timestamp")})
+    return plain.join(read_snapshot(videos.sparkSession, base, "leases"), "video_id", "left")
+
+
+def claim_batch(videos: DataFrame, channels: DataFrame, base: str, worker: str, as_of: str, n: int = 25, seconds: int = 600, channel=None, unhydrated: bool = False) -> DataFrame:
+    """Lease the n oldest claimable videos to a worker and give them, oldest first. Workers may claim at the same time from several
+    applications: leases are snapshots under ``base`` with an optimistic commit, and a worker that comes second chooses again, among
+    what the first has left. Only the table of leases is written, which has a row for each video that is being worked on."""
+    spark, kind = videos.sparkSession, dict(videos.dtypes)["video_id"]
+    until = F.lit(as_of).cast("timestamp") + F.make_dt_interval(secs=F.lit(seconds))
+    if not last_snapshot(spark, base, "leases"):
+        write_snapshot(spark.createDataFrame([], f"video_id {kind}, claimed_by string, lease_expires_at timestamp"), base, "leases", after=-1)
+    chosen = []
+
+    def lease(leases: DataFrame) -> DataFrame:
+        free = videos.drop("claimed_by", "lease_expires_at").join(leases, "video_id", "left")
+        rows = table(oldest(free, channels, as_of, n, channel, unhydrated).select(videos.columns), "claimed")
+        chosen[:] = [rows]
+        mine = rows.select("video_id", F.lit(worker).alias("claimed_by"), until.alias("lease_expires_at"))
+        return leases.join(F.broadcast(rows.select("video_id")), "video_id", "left_anti").unionByName(mine)  # n rows
+
+    commit(spark, base, "leases", lease)
+    return chosen[0].withColumns({"claimed_by": F.lit(worker), "lease_expires_at": until}).orderBy(F.asc_nulls_first("published_at"), "video_id")
+
+
+_CLAIMABLE = f"""status IN ('metadata_ok', 'retry') AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '{AS_OF}') AND channel_id IN (SELECT channel_id FROM v_channels WHERE is_enabled)"""
+
+
 @query(
     "f03_claim",
     f"""SELECT *, rank % 3 AS worker FROM (SELECT video_id, published_at, CAST(row_number() OVER (ORDER BY published_at NULLS FIRST, video_id) AS INTEGER) AS rank FROM v_videos
-    WHERE (lease_expires_at IS NULL OR lease_expires_at < TIMESTAMP '{AS_OF}') AND (status IN ('metadata_ok', 'discovered') OR status = 'retry' AND next_attempt_at <= TIMESTAMP '{AS_OF}')
-      AND channel_id IN (SELECT channel_id FROM v_channels WHERE is_enabled)) WHERE rank <= 100""",
+    WHERE (lease_expires_at IS NULL OR lease_expires_at < TIMESTAMP '{AS_OF}') AND {_CLAIMABLE}) WHERE rank <= 100""",
 )
 def _(v: Views) -> DataFrame:
     return claim(v.videos, v.channels, AS_OF, 100, 3)
 
 
+@query(
+    "f03_claim_batches",
+    f"""SELECT video_id, CASE WHEN rank <= 25 THEN 'a' WHEN rank <= 40 THEN 'b' ELSE 'c' END AS claimed_by, TIMESTAMP '{AS_OF}' + to_seconds(CASE WHEN rank <= 25 THEN 600 WHEN rank <= 40 THEN 60 ELSE 300 END) AS lease_expires_at
+    FROM (SELECT video_id, row_number() OVER (ORDER BY published_at NULLS FIRST, video_id) AS rank FROM v_videos WHERE {_CLAIMABLE}) WHERE rank <= 60""",
+)
+def _(v: Views) -> DataFrame:
+    """The table of leases after three workers claimed one after the other."""
+    base = f"{shared_dir(v.spark)}/claims-{uuid.uuid4().hex}"
+    for worker, n, seconds in (("a", 25, 600), ("b", 15, 60), ("c", 20, 300)):
+        claim_batch(v.videos, v.channels, base, worker, AS_OF, n, seconds)
+    return read_snapshot(v.spark, base, "leases")
+
+
 def expired(as_of: str) -> Column:
     return F.col("lease_expires_at") < F.lit(as_of).cast("timestamp")
 
@@ -411,12 +472,15 @@ def reap_leases(videos: DataFrame, as_of: str) -> DataFrame:
     return videos.withColumns(new)
 
 
-def release_leases(videos: DataFrame, worker: str, ids: DataFrame | None = None) -> DataFrame:
-    """``videos`` without the leases of a worker (of the ids named), statuses untouched."""
+def release_leases(videos: DataFrame, worker: str, ids: DataFrame | None = None, keep: DataFrame | None = None) -> DataFrame:
+    """``videos`` without the leases of a worker (of the ids named, or of all but those to keep), statuses untouched."""
     mine = F.coalesce(F.col("claimed_by") == worker, F.lit(False))
     rows = videos
-    if ids is not None:
-        rows, mine = videos.join(ids.select("video_id", F.lit(True).alias("__asked")).distinct(), "video_id", "left"), mine & F.col("__asked").isNotNull()
+    for named, there in ((ids, True), (keep, False)):
+        if named is not None:
+            flag = f"__named_{there}"
+            rows = rows.join(named.select("video_id", F.lit(True).alias(flag)).distinct(), "video_id", "left")
+            mine &= F.col(flag).isNotNull() if there else F.col(flag).isNull()
     out = rows.withColumn("__mine", mine).withColumns({c: F.when(~F.col("__mine"), F.col(c)) for c in ("claimed_by", "lease_expires_at")})
     return out.select(*videos.columns)
 
@@ -449,6 +513,11 @@ def _(v: Views) -> DataFrame:
     return release_leases(v.videos, "w1", v.raw("pages").select((F.col("page_id") * 2).alias("video_id"))).select("video_id", "claimed_by", "lease_expires_at")
 
 
+@query("f04_release_but", "SELECT video_id, CASE WHEN claimed_by = 'w1' AND video_id NOT IN (SELECT page_id * 2 FROM pages) THEN NULL ELSE claimed_by END AS claimed_by FROM v_videos")
+def _(v: Views) -> DataFrame:
+    return release_leases(v.videos, "w1", keep=v.raw("pages").select((F.col("page_id") * 2).alias("video_id"))).select("video_id", "claimed_by")
+
+
 @query("f04_extend", f"SELECT video_id, CASE WHEN claimed_by = 'w2' AND video_id IN (SELECT page_id * 2 FROM pages) THEN TIMESTAMP '{AS_OF}' + INTERVAL 600 SECOND ELSE lease_expires_at END AS lease_expires_at FROM v_videos")
 def _(v: Views) -> DataFrame:
     return extend_leases(v.videos, "w2", v.raw("pages").select((F.col("page_id") * 2).alias("video_id")), AS_OF, 600).select("video_id", "lease_expires_at")
@@ -460,27 +529,64 @@ def _(v: Views) -> DataFrame:
 
 
 def due(videos: DataFrame, as_of: str, max_rechecks: int = 4) -> DataFrame:
-    """(video_id, status, recheck) of retries and rechecks whose time has come."""
+    """(video_id, status, why) of retries (without a time: at once), rechecks and premieres whose time has come."""
     now = F.lit(as_of).cast("timestamp")
-    retry = (F.col("status") == "retry") & (F.col("next_attempt_at") <= now)
+    retry = (F.col("status") == "retry") & (F.col("next_attempt_at").isNull() | (F.col("next_attempt_at") <= now))
     recheck = F.col("status").isin("no_transcript", "lang_missing") & (F.col("recheck_after") <= now) & (F.col("recheck_count") < max_rechecks)
-    return videos.where(retry | recheck).select("video_id", "status", (F.col("status") != "retry").alias("recheck"))
+    why = F.when(retry, "retry").when(recheck, "recheck").when(matured(as_of), "premiere")
+    return videos.select("video_id", "status", why.alias("why")).where("why is not null")
+
+
+def matured(as_of: str) -> Column:
+    """Premieres that were skipped before their date, which has passed."""
+    return F.coalesce((F.col("status") == "skipped") & (F.col("live_broadcast_content") == "upcoming") & (F.col("published_at") <= F.lit(as_of).cast("timestamp")), F.lit(False))
+
+
+def reopen_matured(videos: DataFrame, as_of: str) -> DataFrame:
+    """``videos`` with matured premieres discovered again, so that they are looked at anew."""
+    rows = videos.withColumn("__matured", matured(as_of))
+    new = {"status": F.lit("discovered"), "status_reason": F.lit("its date has passed")}
+    return rows.withColumns({c: F.when(F.col("__matured"), x).otherwise(F.col(c)) for c, x in new.items() if c in videos.columns}).select(*videos.columns)
+
+
+_MATURED = f"status = 'skipped' AND live_broadcast_content = 'upcoming' AND coalesce(published_at <= TIMESTAMP '{AS_OF}', false)"
 
 
-@query("f05_due", f"SELECT video_id, status, status <> 'retry' AS recheck FROM v_videos WHERE status = 'retry' AND next_attempt_at <= TIMESTAMP '{AS_OF}' OR status IN ('no_transcript', 'lang_missing') AND recheck_after <= TIMESTAMP '{AS_OF}' AND recheck_count < 4")
+@query(
+    "f05_due",
+    f"""SELECT * FROM (SELECT video_id, status, CASE WHEN status = 'retry' AND (next_attempt_at IS NULL OR next_attempt_at <= TIMESTAMP '{AS_OF}') THEN 'retry'
+      WHEN status IN ('no_transcript', 'lang_missing') AND recheck_after <= TIMESTAMP '{AS_OF}' AND recheck_count < 4 THEN 'recheck' WHEN {_MATURED} THEN 'premiere' END AS why FROM v_videos) WHERE why IS NOT NULL""",
+)
 def _(v: Views) -> DataFrame:
     return due(v.videos, AS_OF)
 
 
-@query("f07_audio_queue", "SELECT video_id, duration_seconds, floor((duration_seconds + 6) / 12) / 10 AS estimated_audio_mb FROM v_videos WHERE needs_audio AND status IN ('no_transcript', 'lang_missing') ORDER BY duration_seconds NULLS FIRST, video_id LIMIT 50")
+@query("f05_reopen_matured", f"SELECT video_id, CASE WHEN {_MATURED} THEN 'discovered' ELSE status END AS status, CASE WHEN {_MATURED} THEN 'its date has passed' END AS status_reason FROM v_videos")
 def _(v: Views) -> DataFrame:
-    return audio_queue(v.videos).limit(50)
+    return reopen_matured(v.videos.withColumn("status_reason", F.lit(None).cast("string")), AS_OF).select("video_id", "status", "status_reason")
 
 
 def audio_queue(videos: DataFrame) -> DataFrame:
     """Flagged videos, shortest first, with the estimated size of their audio: 30 MB an hour, to a tenth, ties up (exact in integers)."""
     rows = videos.where(F.col("needs_audio") & F.col("status").isin("no_transcript", "lang_missing")).orderBy(F.asc_nulls_first("duration_seconds"), "video_id")
-    return rows.select("video_id", "duration_seconds", (F.floor((F.col("duration_seconds") + 6) / 12) / 10).alias("estimated_audio_mb"))
+    size = F.floor((F.col("duration_seconds") + 6) / 12) / 10
+    return rows.select(*(c for c in ("video_id", "channel_id", "title") if c in rows.columns), watch_url(F.col("video_id")).alias("url"), *(c for c in ("duration_seconds", "published_at", "status", "status_reason", "available_transcripts") if c in rows.columns), size.alias("estimated_audio_mb"))
+
+
+def queued(v: Views) -> DataFrame:
+    """The videos with what else the queue tells of them."""
+    tracks = F.array(F.struct(F.col("language").alias("language_code"), F.lit("asr").alias("kind")))
+    return v.videos.withColumns({"status_reason": F.concat(F.lit("none in "), "language"), "available_transcripts": F.when(F.col("status") == "lang_missing", tracks)})
+
+
+QUEUED_SQL = """SELECT video_id, channel_id, title, 'https://www.youtube.com/watch?v=' || video_id AS url, duration_seconds, published_at, status, 'none in ' || language AS status_reason, CASE WHEN status = 'lang_missing' THEN language || '/asr' END AS available_transcripts,
+    floor((duration_seconds + 6) / 12) / 10 AS estimated_audio_mb FROM v_videos WHERE needs_audio AND status IN ('no_transcript', 'lang_missing')"""
+
+
+@query("f07_audio_queue", f"{QUEUED_SQL} ORDER BY duration_seconds NULLS FIRST, video_id LIMIT 50")
+def _(v: Views) -> DataFrame:
+    tracks = F.array_join(F.transform("available_transcripts", lambda t: F.concat_ws("/", t["language_code"], t["kind"])), ",")
+    return audio_queue(queued(v)).limit(50).withColumn("available_transcripts", tracks)
 
 
 def last_attempts(attempts: DataFrame, n: int) -> DataFrame:

@@ -36,7 +36,7 @@ def cited_rows(docs: DataFrame) -> DataFrame:
 def findings(docs: DataFrame, cards: DataFrame) -> DataFrame:
     """(doc, severity, finding, detail): dangling ids, uncited prose, unanchored notes, long quotes, figures in no cited card."""
     cites = cited_rows(docs).distinct()
-    known = cards.select("id", "video_id", F.concat_ws(" ", "claim", "anchor").alias("said"))
+    known = cards.select("id", "video_id", F.concat_ws(" ", "claim", "anchor", *(["conditions"] if "conditions" in cards.columns else [])).alias("said"))
     dangling = cites.join(known.select("id"), "id", "left_anti").select("doc", F.lit("error").alias("severity"), F.lit("dangling").alias("finding"), F.col("id").alias("detail"))
     order = Window.partitionBy("doc").orderBy("pos")
     b = blocks(docs).withColumn("cites", F.size(citations(F.col("text")))).withColumn("section", F.sum((F.col("kind") == "heading").cast("int")).over(order))
@@ -82,15 +82,16 @@ def source_index(docs: DataFrame, cards: DataFrame, manifest: DataFrame) -> tupl
 
 
 def chapters(v: Views) -> DataFrame:
-    """Documents as chapters whose paragraphs cite cards, some of which don't exist."""
+    """Documents as chapters that cite cards, some of which don't exist, with a figure that stands in some of their conditions only."""
     n = F.col("doc_id")
     cite = lambda k: F.concat(F.lit("["), card_id(k), F.lit("]"))
-    text = F.concat(F.lit("# Part\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(" "), cite(n % 1000), F.lit(" "), cite(n * 7 % 3000))
+    text = F.concat(F.lit("# Part\n\n"), F.replace("text", F.lit("\n"), F.lit("\n\n")), F.lit(" "), (n % 97).cast("string"), F.lit("% "), cite(n), F.lit(" "), cite(n * 7))
     return v.raw("documents").select(n.alias("doc"), text.alias("text"))
 
 
-_CHAPTERS = """ch AS (SELECT doc_id AS doc, '# Part' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || ' [EV-' || lpad(CAST(doc_id % 1000 AS VARCHAR), 6, '0') || '] [EV-' || lpad(CAST(doc_id * 7 % 3000 AS VARCHAR), 6, '0') || ']' AS text FROM documents),
-    ci AS (SELECT doc, unnest(regexp_extract_all(text, 'EV-(?:[A-Za-z0-9_-]{11}-\\d{2,}|\\d{4,})')) AS id FROM ch)"""
+_CITE = lambda n: f"'[EV-' || lpad(CAST({n} AS VARCHAR), CAST(greatest(6, length(CAST({n} AS VARCHAR))) AS INTEGER), '0') || ']'"
+_CHAPTERS = f"""ch AS (SELECT doc_id AS doc, '# Part' || chr(10) || chr(10) || replace(text, chr(10), chr(10) || chr(10)) || ' ' || doc_id % 97 || '% ' || {_CITE("doc_id")} || ' ' || {_CITE("(doc_id * 7)")} AS text FROM documents),
+    ci AS (SELECT doc, unnest(regexp_extract_all(text, 'EV-(?:[A-Za-z0-9_-]{{11}}-\\d{{2,}}|\\d{{4,}})')) AS id FROM ch)"""
 
 
 @query("d08_dangling_citations", f"WITH {_CHAPTERS} SELECT DISTINCT doc, id FROM ci WHERE id NOT IN (SELECT id FROM v_cards)")
@@ -174,7 +175,7 @@ _GAP, _SPACE = GAP_HEADING.replace("'", "''"), r"[\s\p{Z}]+"
     g AS (SELECT *, coalesce(regexp_matches(max(CASE WHEN kind = 'heading' THEN x END) OVER (PARTITION BY doc, section), '{_GAP}'), false) AS gap FROM s),
     q AS (SELECT doc, unnest(regexp_extract_all(text, '{QUOTE}', 1)) AS q FROM ch),
     n AS (SELECT doc, unnest(regexp_extract_all(text, '(?i)(?:^|[^\w-])(\d+(?:\.\d+)?)\s*(%|R\b|:1\b|x\b|pips?|ticks?|bps)', 1)) AS number FROM ch),
-    h AS (SELECT doc, string_agg(claim || ' ' || anchor, ' ') AS said FROM (SELECT DISTINCT doc, id FROM ci) JOIN v_cards USING (id) GROUP BY doc),
+    h AS (SELECT doc, string_agg(claim || ' ' || anchor || coalesce(' ' || conditions, ''), ' ') AS said FROM (SELECT DISTINCT doc, id FROM ci) JOIN v_cards USING (id) GROUP BY doc),
     e AS (SELECT doc, 1 AS error FROM (SELECT DISTINCT doc, id FROM ci) WHERE id NOT IN (SELECT id FROM v_cards)
       UNION ALL SELECT doc, 1 FROM g WHERE kind = 'prose' AND NOT gap AND length(regexp_replace(x, '\[[^\]]*\]', '', 'g')) >= {CLAIM_CHARS} AND NOT regexp_matches(x, 'EV-(?:[A-Za-z0-9_-]{{11}}-\d{{2,}}|\d{{4,}})')
       UNION ALL SELECT doc, 1 FROM q WHERE len(list_filter(string_split_regex(q, '{_SPACE}'), lambda w: w <> '')) > {QUOTE_WORDS}

@@ -3,29 +3,22 @@
 from __future__ import annotations
 
 import math
-import uuid
+from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
-from ..functions.text import clean_caption, clock, collapse, corpus_body, duration_seconds, norm_title, short_text, snippet, words
+from ..functions.text import clean_caption, clock, collapse, corpus_body, duration_seconds, norm_title, short_text, words
 from ..plans.registry import query
-from ..plans.staging import shared_dir, table
+from ..plans.staging import join_in_parts, table
 from ..plans.views import Views
 from .catalog import folded
 
-CUE = "array<struct<start:double,text:string>>"
-
-
-def nested(cues: DataFrame, fields: tuple[str, ...] = ("start", "text")) -> DataFrame:
-    """Cues of each video in time order as one array."""
-    return cues.groupBy("video_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("start", "pos", *(f for f in fields if f != "start")))), lambda x: F.struct(*(x[f].alias(f) for f in fields))).alias("cues"))
-
-
 def normal_segments(raw: Column) -> Column:
     """White space collapsed, empty or unparsable segments dropped, negatives raised to 0, in time order."""
     number = lambda x: F.greatest(F.lit(0.0), F.coalesce(x.try_cast("double"), F.when(F.coalesce(x, F.lit("")) == "", F.lit(0.0))))
@@ -39,46 +32,90 @@ def plaintext(segments: Column) -> Column:
     return collapse(F.array_join(F.transform(F.filter(segments, lambda x: ~x["text"].rlike(r"^\s*[\[(][^\])]*[\])]\s*$")), lambda x: x["text"]), " "))
 
 
-def without_rolling(cues: Column) -> Column:
-    """Cues without what a rolling caption repeats: a fold that remembers the last 25 words."""
-    start = F.struct(F.lit("").alias("prev"), F.array().cast(CUE).alias("out"))
-
-    def step(acc, x):
-        prev, text = acc["prev"], F.trim(F.coalesce(x["text"], F.lit("")))
-        a, b = F.split(prev, " "), F.split(text, " ")
-        most = F.least(F.lit(12), F.size(a), F.size(b))
-        lengths = F.when(most >= 3, F.sequence(most, F.lit(3), F.lit(-1))).otherwise(F.array().cast("array<int>"))
-        overlap = F.coalesce(F.get(F.filter(lengths, lambda n: F.slice(a, -n, n) == F.slice(b, F.lit(1), n)), F.lit(0)), F.lit(0))
-        cut = F.when((prev != "") & F.startswith(text, prev), F.trim(F.substring(text, F.length(prev) + 1, F.length(text)))).when(F.endswith(prev, text), F.lit("")).when(overlap > 0, F.array_join(F.slice(b, overlap + 1, F.size(b)), " ")).otherwise(text)
-        all_words = F.split(F.trim(F.concat_ws(" ", prev, cut)), " ")
-        tail = F.array_join(F.slice(all_words, F.greatest(F.lit(1), F.size(all_words) - 24), F.lit(25)), " ")
-        return F.when(cut == "", acc).otherwise(F.struct(tail.alias("prev"), F.concat(acc["out"], F.array(F.struct(x["start"].cast("double").alias("start"), cut.alias("text")))).alias("out")))
-
-    return F.aggregate(cues, start, step, lambda acc: acc["out"])
-
-
-def paragraphs(cues: Column, seconds: int = 30) -> Column:
-    """Blocks of cues: a block closes with the cue that starts ``seconds`` or more after its first."""
-    start = F.struct(F.lit(None).cast("double").alias("since"), F.array().cast("array<string>").alias("buf"), F.array().cast(CUE).alias("out"))
-    block = lambda since, buf: F.array(F.struct(F.coalesce(since, F.lit(0.0)).alias("start"), F.array_join(buf, " ").alias("text")))
-
-    def step(acc, x):
-        since, buf = F.coalesce(acc["since"], x["start"]), F.concat(acc["buf"], F.array(x["text"]))
-        full = x["start"] - since >= seconds
-        return F.struct(F.when(~full, since).alias("since"), F.when(full, F.array().cast("array<string>")).otherwise(buf).alias("buf"), F.when(full, F.concat(acc["out"], block(since, buf))).otherwise(acc["out"]).alias("out"))
-
-    return F.aggregate(cues, start, step, lambda acc: F.when(F.size(acc["buf"]) > 0, F.concat(acc["out"], block(acc["since"], acc["buf"]))).otherwise(acc["out"]))
+def _in_order(cues: DataFrame) -> DataFrame:
+    """Cues of a video one after the other, in time order: a sort that spills, so no list of a video's cues is built."""
+    return cues.select("video_id", "start", "pos", "text").repartition("video_id").sortWithinPartitions("video_id", "start", "pos")
+
+
+def _fresh_text(prev: str, text: str) -> str:
+    """What a rolling caption adds to the last words before it."""
+    if prev and text.startswith(prev):
+        return text[len(prev) :].strip(" ")
+    if prev.endswith(text):
+        return ""
+    a, b = prev.split(" "), text.split(" ")
+    for n in range(min(12, len(a), len(b)), 2, -1):
+        if a[-n:] == b[:n]:
+            return " ".join(b[n:])
+    return text
+
+
+def without_rolling(cues: DataFrame) -> DataFrame:
+    """(video_id, start, text): cues without what a rolling caption repeats; what is carried from cue to cue are the last 25 words."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, prev = object(), ""
+        for batch in batches:
+            keep, out = [], []
+            for k, (of, text) in enumerate(zip(batch.column("video_id").to_pylist(), batch.column("text").to_pylist())):
+                if of != video:
+                    video, prev = of, ""
+                fresh = _fresh_text(prev, (text or "").strip(" "))
+                if fresh:
+                    prev = " ".join(f"{prev} {fresh}".strip(" ").split(" ")[-25:])
+                    keep.append(k)
+                    out.append(fresh)
+            rows = batch.take(pa.array(keep, pa.int64()))
+            yield pa.RecordBatch.from_arrays([rows.column("video_id"), rows.column("start").cast(pa.float64()), pa.array(out, pa.string())], names=["video_id", "start", "text"])
+
+    return _in_order(cues).mapInArrow(run, f"video_id {dict(cues.dtypes)['video_id']}, start double, text string")
+
+
+def paragraphs(cues: DataFrame, seconds: int = 30) -> DataFrame:
+    """(video_id, start, text): blocks of cues; a block closes with the cue that starts ``seconds`` or more after its first. The open
+    block is all that is carried. A cue without a start never closes one; a block without any starts at 0."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        video, since, texts, done = object(), None, [], []
+
+        def close() -> None:
+            done.append((video, 0.0 if since is None else since, " ".join(t for t in texts if t is not None)))
+
+        def blocks() -> pa.RecordBatch:
+            columns = list(zip(*done)) or [[], [], []]
+            done.clear()
+            return pa.RecordBatch.from_arrays([pa.array(columns[0], kind), pa.array(columns[1], pa.float64()), pa.array(columns[2], pa.string())], names=["video_id", "start", "text"])
+
+        kind = None
+        for batch in batches:
+            kind = batch.schema.field("video_id").type
+            for of, start, text in zip(*(batch.column(c).to_pylist() for c in ("video_id", "start", "text"))):
+                if of != video:
+                    if texts:
+                        close()
+                    video, since, texts = of, None, []
+                since = start if since is None else since
+                texts.append(text)
+                if start is not None and start - since >= seconds:
+                    close()
+                    since, texts = None, []
+            yield blocks()
+        if texts:
+            close()
+            yield blocks()
+
+    return _in_order(cues).mapInArrow(run, f"video_id {dict(cues.dtypes)['video_id']}, start double, text string")
+
+
+PARAGRAPHS_SQL = """WITH RECURSIVE t AS (SELECT video_id, "start", text, row_number() OVER (PARTITION BY video_id ORDER BY "start", pos) AS n FROM v_cues),
+    f AS (SELECT video_id, n, "start" AS since, false AS closed, 0 AS block FROM t WHERE n = 1 UNION ALL
+      SELECT t.video_id, t.n, CASE WHEN f.closed THEN t."start" ELSE f.since END, NOT f.closed AND t."start" - f.since >= 20, CASE WHEN f.closed THEN block + 1 ELSE block END FROM f JOIN t ON t.video_id = f.video_id AND t.n = f.n + 1),
+    blocks AS (SELECT f.video_id, min(since) AS "start", string_agg(text, ' ' ORDER BY f.n) AS text FROM f JOIN t ON f.video_id = t.video_id AND f.n = t.n GROUP BY f.video_id, block)"""
 
 
-@query(
-    "k02_paragraphs",
-    """WITH RECURSIVE t AS (SELECT video_id, "start", text, row_number() OVER (PARTITION BY video_id ORDER BY "start", pos) AS n FROM v_cues),
-    f AS (SELECT video_id, n, "start" AS since, false AS closed, 0 AS block FROM t WHERE n = 1 UNION ALL
-      SELECT t.video_id, t.n, CASE WHEN f.closed THEN t."start" ELSE f.since END, NOT f.closed AND t."start" - f.since >= 20, CASE WHEN f.closed THEN block + 1 ELSE block END FROM f JOIN t ON t.video_id = f.video_id AND t.n = f.n + 1)
-    SELECT f.video_id, min(since) AS "start", string_agg(text, ' ' ORDER BY f.n) AS text FROM f JOIN t ON f.video_id = t.video_id AND f.n = t.n GROUP BY f.video_id, block""",
-)
+@query("k02_paragraphs", f"{PARAGRAPHS_SQL} SELECT * FROM blocks")
 def _(v: Views) -> DataFrame:
-    return nested(v.cues).select("video_id", F.inline(paragraphs(F.col("cues"), 20)))
+    return paragraphs(v.cues, 20)
 
 
 @query(
@@ -92,7 +129,7 @@ def _(v: Views) -> DataFrame:
     SELECT video_id, "start", cut AS text FROM f WHERE cut <> ''""",
 )
 def _(v: Views) -> DataFrame:
-    return nested(v.cues).select("video_id", F.inline(without_rolling(F.col("cues"))))
+    return without_rolling(v.cues)
 
 
 @query(
@@ -124,60 +161,7 @@ def _(v: Views) -> DataFrame:
     return v.videos.select("video_id", clock(F.col("duration_seconds")).alias("at"))
 
 
-# ---- search
-
-
-def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
-
-
-def inverted_index(transcripts: DataFrame) -> DataFrame:
-    """(term, video_id, tf) of all transcripts."""
-    return transcripts.select("video_id", F.explode(tokens(F.col("plaintext"))).alias("term")).groupBy("term", "video_id").agg(F.count("*").alias("tf"))
-
-
-def _bucket(term: Column) -> Column:
-    return F.pmod(F.xxhash64(term), F.lit(64)).cast("int")
-
-
-def write_index(transcripts: DataFrame, path: str | None = None) -> DataFrame:
-    """The index as a written table, in 64 folders by a hash of the term and sorted by term within files, so that a search reads the
-    folders and row groups of its terms only. It is written once for a state of the transcripts."""
-    path = path or f"{shared_dir(transcripts.sparkSession)}/search-{uuid.uuid4().hex}"
-    rows = inverted_index(transcripts).withColumn("bucket", _bucket(F.col("term")))
-    rows.sortWithinPartitions("bucket", "term", "video_id").write.partitionBy("bucket").parquet(path)
-    return transcripts.sparkSession.read.schema(rows.schema).parquet(path)
-
-
-def search(index: DataFrame, transcripts: DataFrame, videos: DataFrame, text: str, limit: int = 50, shortest: int = 3) -> DataFrame:
-    """Videos with any of the query's words, by the sum of tf times idf squared. Words shorter than ``shortest`` are ignored (a query
-    of short words alone finds nothing; ``substring_search`` finds them).
-
-    Only postings of the query's words are read; title and snippet are joined to the result, which has ``limit`` rows."""
-    import re
-
-    terms = sorted({w for w in re.split(r"[\W_]+", text.lower()) if len(w) >= shortest})
-    limit = max(1, min(500, limit))
-    hits = index.where(F.col("term").isin(terms)) if terms else index.limit(0)
-    if terms and "bucket" in index.columns:
-        hits = hits.where(F.col("bucket").isin([r[0] for r in index.sparkSession.createDataFrame([(t,) for t in terms], "term string").select(_bucket(F.col("term"))).distinct().collect()]))
-    total = transcripts.agg(F.count("*").alias("total"))
-    df = hits.groupBy("term").agg(F.count("*").alias("df")).crossJoin(F.broadcast(total)).select("term", F.log(1 + F.col("total") / F.col("df")).alias("idf"))
-    scores = hits.join(F.broadcast(df), "term").groupBy("video_id").agg(F.round(F.sum(F.col("tf") * F.col("idf") * F.col("idf")), 6).alias("score"))
-    best = F.broadcast(scores.orderBy(F.desc("score"), "video_id").limit(limit))
-    first = terms[0] if terms else ""
-    out = transcripts.select("video_id", "plaintext").join(best, "video_id").join(videos.select("video_id", "title", "channel_id").join(best.select("video_id"), "video_id", "left_semi"), "video_id")
-    return out.select("video_id", "score", "title", "channel_id", snippet(F.col("plaintext"), F.lit(first)).alias("snippet"))
-
-
-@query(
-    "k04_search",
-    r"""WITH i AS (SELECT term, video_id, count(*) AS tf FROM (SELECT video_id, unnest(string_split_regex(lower(plaintext), '[^\p{L}\p{N}]+')) AS term FROM v_transcripts) WHERE term IN ('the', 'with', 'und') GROUP BY ALL),
-    d AS (SELECT term, ln(1 + (SELECT count(*) FROM v_transcripts) / count(*)) AS idf FROM i GROUP BY term), s AS (SELECT video_id, round(sum(tf * idf * idf), 6) AS score FROM i JOIN d USING (term) GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 50)
-    SELECT video_id, score, title, channel_id, substring(plaintext, greatest(1, instr(lower(plaintext), 'the') - 120), 320) AS snippet FROM s JOIN v_transcripts USING (video_id) JOIN v_videos USING (video_id)""",
-)
-def _(v: Views) -> DataFrame:
-    return search(write_index(v.transcripts), v.transcripts, v.videos, "the with und a")
+# ---- substrings
 
 
 def substring_search(transcripts: DataFrame, text: str, limit: int = 500) -> DataFrame:
@@ -228,6 +212,14 @@ def contained_clips(bodies: DataFrame, short_words: int = 500, least: float = 0.
     return top.select("clip", "clip_words", "source", F.round(F.col("shared") / F.col("shingles"), 3).alias("containment"))
 
 
+def with_titles(found: DataFrame, videos: DataFrame) -> DataFrame:
+    """``contained_clips`` with the titles of both; a video that is not known has none."""
+    for side in ("clip", "source"):
+        titles = videos.select(F.col("video_id").alias(side), F.col("title").alias(f"{side}_title"))
+        found = found.join(titles, side, "left")
+    return found.select("clip", "clip_words", "source", "containment", "clip_title", "source_title")
+
+
 @query(
     "k06_k07_contained_clips",
     r"""WITH w AS (SELECT video_id, list_filter(string_split_regex(plaintext, '[\s\p{Z}]+'), lambda x: x <> '') AS w FROM v_transcripts),
@@ -236,10 +228,10 @@ def contained_clips(bodies: DataFrame, short_words: int = 500, least: float = 0.
     p AS (SELECT c.video_id AS clip, c.words AS clip_words, nc.shingles, s.video_id AS source, s.words AS source_words, count(*) AS shared FROM g c JOIN n nc ON nc.video_id = c.video_id JOIN g s ON s.g = c.g JOIN n ns ON ns.video_id = s.video_id
       WHERE c.words <= 500 AND s.words > 500 GROUP BY ALL),
     b AS (SELECT * FROM p QUALIFY row_number() OVER (PARTITION BY clip ORDER BY shared DESC, source_words DESC, source) = 1)
-    SELECT clip, CAST(clip_words AS INTEGER) AS clip_words, source, round(shared / shingles, 3) AS containment FROM b WHERE shared >= 0.25 * shingles""",
+    SELECT clip, CAST(clip_words AS INTEGER) AS clip_words, source, round(shared / shingles, 3) AS containment, x.title AS clip_title, y.title AS source_title FROM b LEFT JOIN v_videos x ON x.video_id = clip LEFT JOIN v_videos y ON y.video_id = source WHERE shared >= 0.25 * shingles""",
 )
 def _(v: Views) -> DataFrame:
-    return contained_clips(v.transcripts.select("video_id", F.col("plaintext").alias("body")))
+    return with_titles(contained_clips(v.transcripts.select("video_id", F.col("plaintext").alias("body"))), v.videos)
 
 
 # ---- title clusters
@@ -262,7 +254,7 @@ def similar_titles(titles: DataFrame, threshold: float = 0.86) -> DataFrame:
 
     All follows from the threshold: lengths differ by a factor of at most (2 - t) / t, and of a title's grams a similar one lacks
     no more than ``_unmatched``, so two similar titles share one of the rarest of that many and one more. Repeated grams count as
-    different ones. Grams have three characters where that leaves at least one to share, and one character where a title is too
+    different ones. What shares a common gram meets in parts. Grams have three characters where that leaves at least one to share, and one character where a title is too
     short for that. Members that meet are compared by bit maps of their bigrams before the costly ratio; nothing is lost by it."""
     t, length = threshold, F.length("title")
     reach = (2 - t) / t
@@ -286,7 +278,7 @@ def similar_titles(titles: DataFrame, threshold: float = 0.86) -> DataFrame:
     facts = table(titles.where("title <> ''").withColumn("bits", F.expr(bits)).select("title", "rank", *maps), "title-maps")
     longer = facts.where(length >= shortest) if shortest else facts.limit(0)
     shorter = facts.where(length < shortest * reach) if shortest else facts
-    rows = keyed(3, longer).unionByName(keyed(1, shorter)).join(facts, "title")
+    rows = table(keyed(3, longer).unionByName(keyed(1, shorter)).join(facts, "title"), "title-keys")
     x, y = (rows.select("q", "key", *(F.col(c).alias(f"{p}_{c}") for c in facts.columns)) for p in ("a", "b"))
     la, lb = F.length("a_title"), F.length("b_title")
     near = (F.greatest(la, lb) <= F.least(la, lb) * reach + 1e-9) & (F.col("a_rank") < F.col("b_rank"))
@@ -294,7 +286,7 @@ def similar_titles(titles: DataFrame, threshold: float = 0.86) -> DataFrame:
     for p, o, n, m in (("a", "b", la, lb), ("b", "a", lb, la)):
         lacks = sum((F.bit_count(F.col(f"{p}_m{k}").bitwiseAND(F.bitwise_not(F.col(f"{o}_m{k}")))) for k in range(4)), F.lit(0))
         near &= lacks <= _unmatched(n, m, 2, t)
-    pairs = x.join(y, ["q", "key"]).where(near).select(F.col("a_title").alias("a"), F.col("a_rank").alias("ra"), F.col("b_title").alias("b"), F.col("b_rank").alias("rb")).distinct()
+    pairs = join_in_parts(x, y, ["q", "key"], "a_title").where(near).select(F.col("a_title").alias("a"), F.col("a_rank").alias("ra"), F.col("b_title").alias("b"), F.col("b_rank").alias("rb")).distinct()
     return table(pairs, "title-pairs").where(ratio("a", "b") >= threshold)
 
 

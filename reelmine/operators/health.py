@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.staging import shared_dir, table
 from ..plans.views import AS_OF, Views
+from ..sinks import below, write_files
 
 
 def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(path below root, length, sha256 if asked for) of all files; contents are read only for the hash."""
     rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    path = F.regexp_replace("path", "^.*?" + root.removeprefix("file:").rstrip("/") + "/", "")
-    return rows.select(path.alias("path"), "length", *([F.sha2("content", 256).alias("sha256")] if content else []))
+    return rows.select(below(F.col("path"), root).alias("path"), "length", *([F.sha2("content", 256).alias("sha256")] if content else []))
 
 
 def reconcile(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -22,6 +25,11 @@ def reconcile(rows: DataFrame, found: DataFrame) -> DataFrame:
     return both.select("path", F.when(F.col("file").isNull(), "missing file").when(F.col("row").isNull(), "orphan file").otherwise("ok").alias("state"), "length")
 
 
+def byte_totals(state: DataFrame) -> DataFrame:
+    """(state, files, bytes): how much lies in each state; missing files have no bytes."""
+    return state.groupBy("state").agg(F.count("*").alias("files"), F.coalesce(F.sum("length"), F.lit(0)).alias("bytes"))
+
+
 def bad_hashes(rows: DataFrame, found: DataFrame) -> DataFrame:
     """(path, stored, actual) where a stored hash differs from the file's."""
     return rows.join(found, "path").where("raw_sha256 <> sha256").select("path", F.col("raw_sha256").alias("stored"), F.col("sha256").alias("actual"))
@@ -47,19 +55,31 @@ def health(videos: DataFrame, state: DataFrame, bad: DataFrame, as_of: str) -> D
 
 
 def _tables(v: Views) -> tuple[DataFrame, DataFrame]:
-    """Rows that name a path and a hash for each document, and a listing of files that lacks some and has others."""
-    d = v.raw("documents").select(F.col("doc_id").alias("video_id"), F.concat(F.lit("c/"), F.col("doc_id").cast("string")).alias("path"), F.sha2("text", 256).alias("raw_sha256"), F.length("text").cast("long").alias("length"))
-    listing = d.where("video_id % 10 <> 0").select("path", "length", F.when(F.col("video_id") % 7 == 0, "0" * 64).otherwise(F.col("raw_sha256")).alias("sha256"))
-    more = d.where("video_id % 10 = 1").select(F.concat("path", F.lit(".tmp")).alias("path"), "length", F.col("raw_sha256").alias("sha256"))
-    return d, listing.unionByName(more)
+    """Rows that name a path and a hash for each document, and the files that were written: some are lacking, some have another content,
+    some are left over. The folder's name holds what means something in a pattern."""
+    i, text = F.col("video_id"), F.col("text")
+    d = v.raw("documents").select(F.col("doc_id").alias("video_id"), F.concat(F.lit("c/"), F.col("doc_id").cast("string")).alias("path"), "text")
+    written = d.where(i % 10 != 0).select("path", F.when(i % 7 == 0, F.concat(text, F.lit("!"))).otherwise(text).alias("text"))
+    more = d.where(i % 10 == 1).select(F.concat("path", F.lit(".tmp")).alias("path"), "text")
+    root = f"{shared_dir(v.spark)}/raw+(1).d-{uuid.uuid4().hex}"
+    write_files(written.unionByName(more).select("path", F.col("text").cast("binary").alias("content")), root)
+    return d.select("video_id", "path", F.sha2("text", 256).alias("raw_sha256")), table(files(v.spark, root, True), "listing")
+
 
+_FILES = """fl AS (SELECT 'c/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'missing file' ELSE 'ok' END AS state, CASE WHEN doc_id % 10 <> 0 THEN strlen(text) + CAST(doc_id % 7 = 0 AS BIGINT) END AS length FROM documents UNION ALL SELECT 'c/' || doc_id || '.tmp', 'orphan file', strlen(text) FROM documents WHERE doc_id % 10 = 1)"""
 
-@query("d06_reconcile", "SELECT 'c/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'missing file' ELSE 'ok' END AS state, CASE WHEN doc_id % 10 <> 0 THEN CAST(length(text) AS BIGINT) END AS length FROM documents UNION ALL SELECT 'c/' || doc_id || '.tmp', 'orphan file', CAST(length(text) AS BIGINT) FROM documents WHERE doc_id % 10 = 1")
+
+@query("d06_reconcile", f"WITH {_FILES} SELECT * FROM fl")
 def _(v: Views) -> DataFrame:
     return reconcile(*_tables(v))
 
 
-@query("d07_bad_hashes", "SELECT 'c/' || doc_id AS path, sha256(text) AS stored, repeat('0', 64) AS actual FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 = 0")
+@query("d06_byte_totals", f"WITH {_FILES} SELECT state, count(*) AS files, CAST(coalesce(sum(length), 0) AS BIGINT) AS bytes FROM fl GROUP BY state")
+def _(v: Views) -> DataFrame:
+    return byte_totals(reconcile(*_tables(v)))
+
+
+@query("d07_bad_hashes", "SELECT 'c/' || doc_id AS path, sha256(text) AS stored, sha256(text || '!') AS actual FROM documents WHERE doc_id % 10 <> 0 AND doc_id % 7 = 0")
 def _(v: Views) -> DataFrame:
     return bad_hashes(*_tables(v))
 

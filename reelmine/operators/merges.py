@@ -1,8 +1,12 @@
-"""Keyed merges and maintenance. Batch tables have no update in place, so every change is one primitive: a full outer join of the
-target with the updates and one expression per column, whose result is written as a new snapshot."""
+"""Keyed merges and maintenance. One primitive says what a change does: a full outer join of the target with the updates and one
+expression per column. Its result is written as a new snapshot with an optimistic commit, into the parts of a partitioned table that
+hold updates, or by MERGE INTO where a catalogue's tables support that."""
 
 from __future__ import annotations
 
+import datetime
+import json
+import os
 import uuid
 from collections.abc import Callable
 
@@ -10,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.staging import shared_dir, table
 from ..plans.views import AS_OF, Views
 from ..plans.vocabulary import TRANSITIONS
 from .reports import pacific_day
@@ -47,31 +52,115 @@ def latest(rows: DataFrame, keys: list[str], order: Column) -> DataFrame:
     return rows.withColumn("__rn", F.row_number().over(Window.partitionBy(*keys).orderBy(order.desc()))).where("__rn = 1").drop("__rn")
 
 
-def write_snapshot(df: DataFrame, base: str, name: str) -> None:
+def write_snapshot(df: DataFrame, base: str, name: str, after: int | None = None, through: int | None = None, partition_by: tuple[str, ...] = ()) -> bool:
     """Write a new folder, then a pointer that names it. Pointers are numbered and never replaced, so a crash between the two leaves
-    the last snapshot in place; a new pointer is seen only when it is complete."""
-    target, spark = f"{base}/{name}-{uuid.uuid4().hex}", df.sparkSession
-    df.write.parquet(target)
-    number = (_pointers(spark, base, name) or [(-1, "")])[-1][0] + 1
-    spark.createDataFrame([(number, target)], "number long, path string").coalesce(1).write.mode("append").json(f"{base}/{name}-pointers")
+    the last snapshot in place, and two writers can't take one number. With ``after``, the number of the snapshot that ``df`` was made
+    from, only the next number will do: False says that another writer has it, and nothing was changed. ``through`` is a number that
+    the snapshot carries."""
+    spark, target = df.sparkSession, f"{base}/{name}-{uuid.uuid4().hex}"
+    df.write.partitionBy(*partition_by).parquet(target)
+    while True:
+        number = (last_snapshot(spark, base, name) or (-1,))[0] + 1 if after is None else after + 1
+        if _create(spark, f"{base}/{name}-pointers/{number:012d}.json", json.dumps({"number": number, "path": target, "through": through})):
+            return True
+        if after is not None:
+            _path(spark, target)[0].delete(_path(spark, target)[1], True)
+            return False
+
+
+def commit(spark: SparkSession, base: str, name: str, change: Callable[[DataFrame], DataFrame], tries: int = 50) -> int:
+    """Write ``change`` of the last snapshot as the next one and give its number. If another writer was first, ``change`` is applied to
+    what that one wrote, so no update is lost."""
+    for _ in range(tries):
+        number, path, _ = last_snapshot(spark, base, name)
+        if write_snapshot(change(spark.read.parquet(path)), base, name, after=number):
+            return number + 1
+    raise RuntimeError(f"{name} was changed by others {tries} times in a row")
+
+
+def _path(spark: SparkSession, path: str):
+    found = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return found.getFileSystem(spark._jsc.hadoopConfiguration()), found
+
+
+def _create(spark: SparkSession, path: str, text: str) -> bool:
+    """Make a file with this text, whole or not at all, if there is none of the name. A local file is linked, which fails where the name
+    is taken; other stores must refuse to rename onto a file, as HDFS does."""
+    store, target = _path(spark, path)
+    parent = target.getParent()
+    store.mkdirs(parent)
+    draft = spark._jvm.org.apache.hadoop.fs.Path(parent, f".{uuid.uuid4().hex}")
+    out = store.create(draft)
+    out.write(bytearray(text.encode()))
+    out.close()
+    if store.getUri().getScheme() != "file":
+        done = store.rename(draft, target)
+    else:
+        try:
+            os.link(draft.toUri().getPath(), target.toUri().getPath())
+            done = True
+        except FileExistsError:
+            done = False
+    if not done or store.exists(draft):
+        store.delete(draft, False)
+    return done
 
 
 def exists(spark: SparkSession, path: str) -> bool:
     """Whether a folder is there, in whatever store its path names."""
-    found = spark._jvm.org.apache.hadoop.fs.Path(path)
-    return found.getFileSystem(spark._jsc.hadoopConfiguration()).exists(found)
+    store, found = _path(spark, path)
+    return store.exists(found)
 
 
-def _pointers(spark: SparkSession, base: str, name: str) -> list[tuple[int, str]]:
-    """The last pointer, if there is one."""
+def last_snapshot(spark: SparkSession, base: str, name: str) -> tuple[int, str, int | None] | None:
+    """Number, path and ``through`` of the last snapshot."""
     if not exists(spark, f"{base}/{name}-pointers"):
-        return []
-    rows = spark.read.schema("number long, path string").json(f"{base}/{name}-pointers").orderBy(F.desc("number"), "path").limit(1)
-    return [(r["number"], r["path"]) for r in rows.collect()]
+        return None
+    r = spark.read.schema("number long, path string, through long").json(f"{base}/{name}-pointers").orderBy(F.desc("number")).first()
+    return r and (r["number"], r["path"], r["through"])
 
 
 def read_snapshot(spark: SparkSession, base: str, name: str) -> DataFrame:
-    return spark.read.parquet(_pointers(spark, base, name)[-1][1])
+    return spark.read.parquet(last_snapshot(spark, base, name)[1])
+
+
+def part_of(keys: list[str], parts: int) -> Column:
+    return F.pmod(F.xxhash64(*keys), F.lit(parts)).cast("int")
+
+
+def write_parts(df: DataFrame, path: str, keys: list[str], parts: int = 256) -> None:
+    """``df`` as a table that ``merge_parts`` can change: a folder for each part of its keys."""
+    df.withColumn("part", part_of(keys, parts)).repartition("part").write.partitionBy("part").parquet(path)
+
+
+def merge_parts(path: str, updates: DataFrame, keys: list[str], rules: dict[str, Rule], parts: int = 256, **how) -> int:
+    """``merge`` into a table of ``write_parts``: only the parts that hold updates are read, and only they are written again, each whole,
+    by dynamic partition overwrite. Returns their number. One writer at a time; a part is replaced when all of the new ones are
+    written, and a run that broke off may be repeated unless a rule adds."""
+    spark = updates.sparkSession
+    updates = table(updates.withColumn("part", part_of(keys, parts)), "updates")
+    hit = sorted(r[0] for r in updates.select("part").distinct().collect())  # ``parts`` numbers at most
+    if hit:
+        target = spark.read.parquet(path).where(F.col("part").isin(hit))
+        merged = table(merge(target, updates, [*keys, "part"], rules, **how), "merged")
+        merged.repartition("part").write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("part").parquet(path)
+    return len(hit)
+
+
+def merge_table(name: str, updates: DataFrame, keys: list[str], rules: dict[str, Rule], defaults: dict[str, Column] | None = None, guard: Column | None = None, insert: bool = True) -> None:
+    """The same change by MERGE INTO, for tables of a catalogue that supports it: the table's own format then decides what is written
+    again. ``guard`` is over the target's columns."""
+    spark = updates.sparkSession
+    target = spark.table(name)
+    old, new = (lambda c: F.col(f"{name}.{c}")), (lambda c: F.col(f"__updates.{c}") if c in updates.columns else F.lit(None))
+    same = F.lit(True)
+    for k in keys:
+        same &= old(k) == new(k)
+    changed = {c: rules[c](old(c), new(c)).cast(target.schema[c].dataType) for c in target.columns if c in rules}
+    fresh = {c: F.coalesce(new(c), (defaults or {}).get(c, F.lit(None))).cast(target.schema[c].dataType) for c in target.columns}
+    into = updates.alias("__updates").mergeInto(name, same)
+    into = (into.whenMatched(guard) if guard is not None else into.whenMatched()).update(changed)
+    (into.whenNotMatched().insert(fresh) if insert else into).merge()
 
 
 def upsert_videos(videos: DataFrame, listed: DataFrame) -> DataFrame:
@@ -91,6 +180,21 @@ def _(v: Views) -> DataFrame:
     return upsert_videos(v.videos, listed).select("video_id", "title", "status", "attempts")
 
 
+@query(
+    "j01_upsert_parts",
+    """SELECT video_id, CASE WHEN video_id % 64 = 7 THEN 'late title' ELSE title END AS title, status, attempts FROM v_videos
+    UNION ALL SELECT 1000000000 + max(video_id), 'fresh', 'discovered', 0 FROM v_videos""",
+)
+def _(v: Views) -> DataFrame:
+    """An upsert into a table in parts, which writes only the parts that it hits."""
+    path = f"{shared_dir(v.spark)}/videos-{uuid.uuid4().hex}"
+    write_parts(v.videos.select("video_id", "title", "status", "attempts"), path, ["video_id"], 64)
+    late = v.videos.where("video_id % 64 = 7").select("video_id", F.lit("late title").alias("title"))
+    fresh = v.videos.agg((F.max("video_id") + 1_000_000_000).alias("video_id")).withColumn("title", F.lit("fresh"))
+    merge_parts(path, late.unionByName(fresh), ["video_id"], {"title": new_if_known}, 64, defaults={"status": F.lit("discovered"), "attempts": F.lit(0)})
+    return v.spark.read.parquet(path).select("video_id", "title", "status", "attempts")
+
+
 @query("j02_upsert_channels", "SELECT channel_id, handle, CASE WHEN channel_id = 'src1' THEN false ELSE is_enabled END AS is_enabled, reported_video_count FROM v_channels UNION ALL SELECT 'fresh', '@fresh', true, NULL")
 def _(v: Views) -> DataFrame:
     rows = v.channels
@@ -376,11 +480,48 @@ def prune_attempts(attempts: DataFrame, as_of: str, days: int) -> DataFrame:
     return attempts.where((F.to_date("started_at") >= F.to_date(since)) & (F.col("started_at") >= since))
 
 
+def write_attempts(attempts: DataFrame, path: str) -> None:
+    """Append to an attempt log that has a folder for each day (column ``day``), as ``retain_attempts`` needs it. Days are spread over
+    tasks by a hash of the video too, so a busy day isn't one task's."""
+    rows = attempts.withColumn("day", F.to_date("started_at"))
+    rows.repartition("day", F.pmod(F.xxhash64("video_id"), F.lit(8))).write.mode("append").partitionBy("day").parquet(path)
+
+
+def retain_attempts(spark: SparkSession, path: str, as_of: str, days: int) -> tuple[int, int]:
+    """Drop what is older than ``days`` from a log of ``write_attempts``: (folders dropped, folders written again). Days before the
+    boundary go as whole folders, the boundary's own is written again without its old rows, later ones aren't touched."""
+    since = datetime.datetime.fromisoformat(as_of) - datetime.timedelta(days=days)
+    store, root = _path(spark, path)
+    found = [(f.getPath().getName().removeprefix("day="), f.getPath()) for f in store.listStatus(root) if f.getPath().getName().startswith("day=")]
+    old = [p for day, p in found if day < since.date().isoformat()]  # a folder a day; undated attempts stand apart and stay
+    boundary = [day for day, _ in found if day == since.date().isoformat()]
+    if boundary:
+        rows = spark.read.parquet(path).where(F.col("day") == F.lit(boundary[0]).cast("date"))
+        kept = table(rows.where(F.col("started_at") >= F.lit(since)), "boundary")
+        if kept.isEmpty():
+            old += [p for day, p in found if day == boundary[0]]
+            boundary = []
+        else:
+            kept.write.option("partitionOverwriteMode", "dynamic").mode("overwrite").partitionBy("day").parquet(path)
+    for p in old:
+        store.delete(p, True)
+    return len(old), len(boundary)
+
+
 @query("j13_prune_attempts", "SELECT id FROM v_attempts WHERE started_at >= TIMESTAMP '2024-01-30 12:00:00' - INTERVAL 10 DAY")
 def _(v: Views) -> DataFrame:
     return prune_attempts(v.attempts, "2024-01-30 12:00:00", 10).select("id")
 
 
+@query("j13_retained_log", "SELECT id, video_id, outcome, CAST(started_at AS DATE) AS day FROM v_attempts WHERE started_at >= TIMESTAMP '2024-01-20 07:30:00'")
+def _(v: Views) -> DataFrame:
+    """The log written by days, pruned by dropping folders, and read again."""
+    path = f"{shared_dir(v.spark)}/attempts-{uuid.uuid4().hex}"
+    write_attempts(v.attempts.select("id", "video_id", "outcome", "started_at"), path)
+    retain_attempts(v.spark, path, "2024-01-30 07:30:00", 10)
+    return v.spark.read.parquet(path).select("id", "video_id", "outcome", "day")
+
+
 @query(
     "h09_recheck_schedule",
     f"""SELECT video_id, TIMESTAMP '{AS_OF}' + to_hours(h) AS recheck_at FROM (SELECT video_id, CASE WHEN recheck_count >= 4 THEN NULL WHEN d < 7 THEN 6 WHEN d < 30 THEN 72 WHEN d < 180 THEN 720 END AS h

@@ -4,11 +4,13 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..plans.registry import query
+from ..plans.staging import small, table
 from ..plans.views import AS_OF, Views
 
 DONE, REMAINING = ("transcript_ok",), ("discovered", "metadata_ok", "retry")
@@ -156,7 +158,8 @@ def quota_ledger(spending: DataFrame, budget: int, soft: float = 0.9) -> DataFra
     so_far = Window.partitionBy("day").orderBy("minute").rowsBetween(Window.unboundedPreceding, 0)
     minutes = minutes.withColumn("sum", F.sum("units").over(so_far))
     days = minutes.groupBy("day").agg(F.sum("units").alias("units_used"), F.min(F.when(F.col("sum") >= soft * budget, F.struct("minute", (F.col("sum") - F.col("units")).alias("before")))).alias("passed"))
-    inside = at.join(days.select("day", "passed.*").where("minute is not null"), ["day", "minute"])
+    days = table(days, "quota-days")  # a row for each day
+    inside = at.join(small(days.select("day", "passed.*").where("minute is not null")), ["day", "minute"])
     running = F.col("before") + F.sum("units").over(Window.partitionBy("day").orderBy("started_at", "id").rowsBetween(Window.unboundedPreceding, 0))
     limit = inside.withColumn("sum", running).where(F.col("sum") >= soft * budget).groupBy("day").agg(F.min("started_at").alias("soft_limit_at"))
     out = days.drop("passed").join(limit, "day", "left").select("day", "units_used", "soft_limit_at")
@@ -446,35 +449,119 @@ def _(v: Views) -> DataFrame:
     return covered_seconds(v.cues)
 
 
+def _runs(batches: Iterator[pa.RecordBatch], keys: list[str]) -> Iterator[pa.Table]:
+    """The rows of each run of equal keys, from batches in which equal keys follow each other."""
+    held, key = [], None
+    for batch in batches:
+        if not batch.num_rows:
+            continue
+        rows = list(zip(*(batch.column(k).to_pylist() for k in keys)))
+        lo = 0
+        for hi in range(1, len(rows) + 1):
+            if hi < len(rows) and rows[hi] == rows[lo]:
+                continue
+            if held and rows[lo] != key:
+                yield pa.Table.from_batches(held)
+                held = []
+            key = rows[lo]
+            held.append(batch.slice(lo, hi - lo))
+            lo = hi
+    if held:
+        yield pa.Table.from_batches(held)
+
+
+class _Block:
+    """A phase's items inside a block, as the places where batches begin."""
+
+    def __init__(self, words: np.ndarray, budget: int) -> None:
+        self.words, self.budget, self.n = words, budget, len(words)
+        self.before = np.concatenate([[0], np.cumsum(words)])  # words before each item
+        start = self.before[:-1]
+        over = np.searchsorted(self.before, start + budget, "right") - 1  # the item that exceeds the budget of a batch begun here
+        filled = np.searchsorted(self.before, start, "right")  # the item before which a batch begun here has words
+        self.next = np.append(np.minimum(np.maximum(np.maximum(over, filled), np.arange(1, self.n + 1)), self.n), self.n)
+
+    def first(self, total: int) -> int:
+        """The item that begins a batch, if ``total`` words are in the open one when the block begins; n if none does."""
+        before, words = self.before[:-1] + total, self.words
+        hit = np.flatnonzero((before > 0) & (before + words > self.budget))
+        return int(hit[0]) if len(hit) else self.n
+
+    def leaps(self) -> tuple[np.ndarray, np.ndarray]:
+        """From each item that begins a batch: how many batches begin in the block, and the words of the last one at its end. Each round
+        leaps twice as far."""
+        leap, count = self.next.copy(), np.append(np.ones(self.n, np.int64), 0)
+        last = np.arange(self.n + 1)
+        while (leap[:-1] < self.n).any():
+            last = np.where(leap < self.n, last[leap], last)
+            count = count + count[leap]
+            leap = leap[leap]
+        return count[:-1], self.before[-1] - self.before[last[:-1]]
+
+    def starts(self, total: int) -> np.ndarray:
+        out, i = np.zeros(self.n, np.int64), self.first(total)
+        while i < self.n:
+            out[i] = 1
+            i = int(self.next[i])
+        return out
+
+
 def work_batches(items: DataFrame, budget: int) -> DataFrame:
     """(phase, video_id, batch): items in order, a new batch when the word sum would exceed the budget.
 
-    Where a batch begins depends on where the one before it began, so a phase's items stream through one task in the order of a
-    sort that spills; its state is two numbers, and no list of the phase is built. More machines do not shorten a phase."""
-    rows = items.select("phase", "pos", "video_id", F.col("words").cast("long").alias("words"))
-    kind = dict(rows.dtypes)
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        phase, batch, total = object(), 0, 0
-        for rows in batches:
-            numbers = []
-            for of, words in zip(rows.column("phase").to_pylist(), rows.column("words").to_pylist()):
-                words = words or 0
-                if of != phase:
-                    phase, batch, total = of, 0, 0
-                elif total > 0 and total + words > budget:
-                    batch, total = batch + 1, 0
-                total += words
-                numbers.append(batch)
-            yield pa.RecordBatch.from_arrays([rows.column("phase"), rows.column("video_id"), pa.array(numbers, pa.int32())], names=["phase", "video_id", "batch"])
-
-    ordered = rows.repartition("phase").sortWithinPartitions("phase", "pos", "video_id", "words")
-    return ordered.mapInArrow(run, f"phase {kind['phase']}, video_id {kind['video_id']}, batch int")
-
-
-@query("f10_fixed_batches", "SELECT channel_id, video_id, CAST((row_number() OVER (PARTITION BY channel_id ORDER BY video_id) - 1) // 50 AS BIGINT) AS batch FROM v_videos")
+    Where a batch begins depends on where the one before it began. So the items are dealt in order to blocks, a phase to as many as
+    its size asks for, and each block says what becomes of it for every place where its first batch may begin: only items within
+    the budget from its beginning can be that, and what follows is found by leaps along the sums. The blocks' answers are chained
+    phase by phase, which takes a row for each block and phase, and then every block numbers its batches. No task holds a phase."""
+    spark, rows = items.sparkSession, items.select("phase", "pos", "video_id", F.coalesce(F.col("words").cast("long"), F.lit(0)).alias("words"))
+    kind, order = dict(rows.dtypes), ["phase", "pos", "video_id", "words"]
+    blocks = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = table(rows.repartitionByRange(blocks, *order).withColumn("block", F.spark_partition_id()), "blocks")
+    placed = dealt.repartition("block").sortWithinPartitions("block", *order)
+
+    def summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["block", "phase"]):
+            b = _Block(run.column("words").to_numpy(), budget)
+            count, end = b.leaps()
+            head = min(b.n, int(np.searchsorted(b.before[:-1], budget, "right")) + 1)
+            lists = [pa.array([x[:head]], pa.list_(pa.int64())) for x in (b.before[:-1], b.words, count, end)]
+            yield pa.RecordBatch.from_arrays([run.column("phase").combine_chunks()[:1], run.column("block").combine_chunks()[:1], pa.array([int(b.before[-1])]), *lists], names=["phase", "block", "words", "before", "sizes", "counts", "ends"])
+
+    def chained(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        phase, total, number = object(), 0, 0
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["phase"] != phase:
+                    phase, total, number = r["phase"], 0, 0
+                out.append((total, number))
+                before = np.array(r["before"]) + total
+                hit = np.flatnonzero((before > 0) & (before + np.array(r["sizes"]) > budget))
+                if len(hit):
+                    total, number = r["ends"][hit[0]], number + r["counts"][hit[0]]
+                else:
+                    total += r["words"]
+            columns = [pa.array(c, pa.int64()) for c in zip(*out)] if out else [pa.array([], pa.int64())] * 2
+            yield pa.RecordBatch.from_arrays([batch.column("phase"), batch.column("block"), *columns], names=["of_phase", "of_block", "total", "number"])
+
+    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for run in _runs(batches, ["block", "phase"]):
+            starts = _Block(run.column("words").to_numpy(), budget).starts(run.column("total")[0].as_py())
+            batch = run.column("number")[0].as_py() + np.cumsum(starts)
+            yield pa.RecordBatch.from_arrays([run.column(c).combine_chunks() for c in ("phase", "video_id")] + [pa.array(batch.astype(np.int32))], names=["phase", "video_id", "batch"])
+
+    lists = ", ".join(f"{c} array<bigint>" for c in ("before", "sizes", "counts", "ends"))
+    answers = placed.mapInArrow(summed, f"phase {kind['phase']}, block int, words long, {lists}")
+    entries = answers.repartition("phase").sortWithinPartitions("phase", "block").mapInArrow(chained, f"of_phase {kind['phase']}, of_block int, total long, number long")
+    known = dealt.join(small(table(entries, "entries")), (F.col("block") == F.col("of_block")) & F.col("phase").eqNullSafe(F.col("of_phase"))).drop("of_block", "of_phase")
+    return known.repartition("block").sortWithinPartitions("block", *order).mapInArrow(numbered, f"phase {kind['phase']}, video_id {kind['video_id']}, batch int")
+
+
+@query("f10_fixed_batches", "SELECT channel_id, video_id, CAST((row_number() OVER (PARTITION BY channel_id ORDER BY video_id) - 1) // 50 AS INTEGER) AS batch FROM v_videos")
 def _(v: Views) -> DataFrame:
-    return v.videos.select("channel_id", "video_id", F.floor((F.row_number().over(Window.partitionBy("channel_id").orderBy("video_id")) - 1) / 50).alias("batch"))
+    """Fifty to a batch: items of one word each."""
+    rows = v.videos.select(F.col("channel_id").alias("phase"), F.col("video_id").alias("pos"), "video_id", F.lit(1).alias("words"))
+    return work_batches(rows, 50).withColumnRenamed("phase", "channel_id")
 
 
 @query(

@@ -36,3 +36,13 @@ def small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
     """``df`` with a broadcast hint if it has at most ``rows`` rows; otherwise unchanged, for a shuffled join. For rows of a few
     numbers or short words: the bound is one of rows, so wide rows need a smaller one."""
     return F.broadcast(df) if df.limit(rows + 1).count() <= rows else df
+
+
+def join_in_parts(x: DataFrame, y: DataFrame, keys: list[str], own: str, rows: int = 256) -> DataFrame:
+    """``x.join(y, keys)`` where a key may have very many rows on both sides: its rows in ``x`` are dealt by ``own`` to parts of about
+    ``rows``, and every part meets the key's rows in ``y``. So no task holds more than its share of a common key's pairs."""
+    parts = F.ceil(F.col("__n") / rows)
+    size = x.groupBy(*keys).agg(F.count("*").alias("__n"))
+    dealt = x.join(size, keys).withColumn("__part", F.pmod(F.xxhash64(own), parts)).drop("__n")
+    every = y.join(size, keys).withColumn("__part", F.explode(F.sequence(F.lit(0).cast("long"), parts - 1))).drop("__n")
+    return dealt.join(every, [*keys, "__part"]).drop("__part")

@@ -52,8 +52,9 @@ class Views:
             (status == "no_transcript").alias("needs_audio"),
             (i % 5).cast("int").alias("attempts"),
             (i % 6).cast("int").alias("recheck_count"),
-            F.when(status == "retry", as_of + F.make_dt_interval(F.lit(0), (i % 13 - 6).cast("int"))).alias("next_attempt_at"),
+            F.when(status.isin("retry", "metadata_ok") & (i % 4 != 0), as_of + F.make_dt_interval(F.lit(0), (i % 13 - 6).cast("int"))).alias("next_attempt_at"),
             F.when(status.isin("no_transcript", "lang_missing"), as_of + F.make_dt_interval((i % 9 - 4).cast("int"))).alias("recheck_after"),
+            F.when(i % 3 == 0, "upcoming").otherwise("none").alias("live_broadcast_content"),
             F.when(leased, F.concat(F.lit("w"), i % 3)).alias("claimed_by"),
             F.when(leased, as_of + F.make_dt_interval(F.lit(0), F.lit(0), (i % 11 - 5).cast("int"))).alias("lease_expires_at"),
         )
@@ -116,6 +117,7 @@ class Views:
             F.array(F.lower("role"), word(0), word(1)).alias("topics"),
             F.col("text").alias("claim"),
             first_words("text", 6).alias("anchor"),
+            F.when(n % 5 == 0, F.concat(F.lit("above "), (n % 97).cast("string"), F.lit("%"))).alias("conditions"),
             F.when(n % 3 == 0, "implied").otherwise("explicit").alias("stated"),
             F.when(n % 4 == 0, "strong").when(n % 4 == 1, "weak").alias("strength"),
         )
@@ -126,7 +128,8 @@ _STATUS_LIST = ", ".join(f"'{s}'" for s in STATUSES)
 SQL = {
     "v_videos": f"""v_videos AS (
   SELECT *, status = 'no_transcript' AS needs_audio,
-    CASE WHEN status = 'retry' THEN TIMESTAMP '{AS_OF}' + to_hours(CAST(video_id % 13 - 6 AS BIGINT)) END AS next_attempt_at,
+    CASE WHEN video_id % 3 = 0 THEN 'upcoming' ELSE 'none' END AS live_broadcast_content,
+    CASE WHEN status IN ('retry', 'metadata_ok') AND video_id % 4 <> 0 THEN TIMESTAMP '{AS_OF}' + to_hours(CAST(video_id % 13 - 6 AS BIGINT)) END AS next_attempt_at,
     CASE WHEN status IN ('no_transcript', 'lang_missing') THEN TIMESTAMP '{AS_OF}' + to_days(CAST(video_id % 9 - 4 AS INTEGER)) END AS recheck_after,
     CASE WHEN video_id % 5 = 0 THEN 'w' || (video_id % 3) END AS claimed_by,
     CASE WHEN video_id % 5 = 0 THEN TIMESTAMP '{AS_OF}' + to_minutes(CAST(video_id % 11 - 5 AS BIGINT)) END AS lease_expires_at
@@ -155,10 +158,10 @@ SQL = {
     CAST(floor(value) AS BIGINT) AS units, CAST(json_extract(props, '$.k') AS BIGINT) AS k
   FROM events)""",
     "v_cards": """v_cards AS (
-  SELECT 'EV-' || lpad(CAST(n AS VARCHAR), 6, '0') AS id, conv_id AS video_id, turn * 7 AS seconds,
+  SELECT 'EV-' || lpad(CAST(n AS VARCHAR), CAST(greatest(6, length(CAST(n AS VARCHAR))) AS INTEGER), '0') AS id, conv_id AS video_id, turn * 7 AS seconds,
     (['rule', 'number', 'procedure', 'example', 'caveat', 'opinion', 'contradiction', 'anecdote'])[turn % 8 + 1] AS type,
     [lower(role), lower(coalesce(w[1], '')), lower(coalesce(w[2], ''))] AS topics, text AS claim,
-    array_to_string(w[1:6], ' ') AS anchor, CASE WHEN n % 3 = 0 THEN 'implied' ELSE 'explicit' END AS stated,
+    array_to_string(w[1:6], ' ') AS anchor, CASE WHEN n % 5 = 0 THEN 'above ' || n % 97 || '%' END AS conditions, CASE WHEN n % 3 = 0 THEN 'implied' ELSE 'explicit' END AS stated,
     CASE WHEN n % 4 = 0 THEN 'strong' WHEN n % 4 = 1 THEN 'weak' END AS strength
   FROM (SELECT *, conv_id * 10 + turn AS n, string_split_regex(trim(text), '[\\s\\p{Z}]+') AS w FROM conversations))""",
 }

@@ -3,32 +3,33 @@
 from __future__ import annotations
 
 import gzip
-import re
 import uuid
 from collections.abc import Iterator
+from urllib.parse import urlparse
 
 import pandas as pd
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.functions import pandas_udf
 
 from .functions.text import clock
-from .operators.catalog import audio_queue
+from .operators import corpus
+from .operators.catalog import QUEUED_SQL, audio_queue, queued
+from .operators.merges import read_snapshot, write_snapshot
 from .operators.reports import export_rows, watch_url
 from .plans.registry import query
 from .plans.views import Views
-from .plans.staging import shared_dir
+from .plans.staging import shared_dir, table
 from .sources.captions import archive_path, caption_files, cue_archive, cues, safe_language, unique_ids
 from .sources.payloads import card_lines, side_map
 
 #: The fields of exported records and the form of a text record.
 JSON_FIELDS = ("video_id", "channel_id", "channel_handle", "title", "published_at", "duration_seconds", "view_count", "url", "language_code", "kind", "segment_count", "word_count", "covered_seconds", "source", "text")
 CSV_FIELDS = ("video_id", "channel_id", "channel_handle", "title", "published_at", "duration_seconds", "view_count", "status", "language_code", "kind", "segment_count", "word_count", "char_count", "covered_seconds", "source", "url", "raw_path")
-TEXT_HEADER = ("# {title}", "# {url}", "# channel: {channel}", "# published: {date}", "# language: {language} ({kind})")
 RULE = "-" * 72
 
 
@@ -45,12 +46,11 @@ def json_record(rows: DataFrame) -> Column:
 
 def text_record() -> Column:
     """Five lines of header, the body, a rule."""
-    known = {"title": F.coalesce("title", F.col("video_id").cast("string")), "url": F.col("url"), "channel": F.coalesce("channel_handle", "channel_id"), "date": F.coalesce("published_at", F.lit("unknown")), "language": F.coalesce("language_code", F.lit("")), "kind": F.coalesce("kind", F.lit(""))}
-    head = []
-    for line in TEXT_HEADER:
-        parts = re.split(r"\{(\w+)\}", line)
-        head.append(F.concat(*(known[x] if k % 2 else F.lit(x) for k, x in enumerate(parts) if x)))
-    return F.concat(F.concat_ws("\n", *head), F.lit("\n\n"), F.col("text"), F.lit(f"\n\n{RULE}\n"))
+    title, channel = F.coalesce("title", F.col("video_id").cast("string")), F.coalesce("channel_handle", "channel_id")
+    language = F.concat(F.coalesce("language_code", F.lit("")), F.lit(" ("), F.coalesce("kind", F.lit("")), F.lit(")"))
+    lines = [("", title), ("", F.col("url")), ("channel: ", channel), ("published: ", F.coalesce("published_at", F.lit("unknown"))), ("language: ", language)]
+    head = F.concat_ws("\n", *(F.concat(F.lit(f"# {name}"), value) for name, value in lines))
+    return F.concat(head, F.lit("\n\n"), F.col("text"), F.lit(f"\n\n{RULE}\n"))
 
 
 def export_json(rows: DataFrame, path: str) -> None:
@@ -88,6 +88,12 @@ def write_files(rows: DataFrame, base: str) -> int:
     return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
+def below(path: Column, root: str) -> Column:
+    """What of a file's path follows its root folder, whatever characters that has."""
+    part = urlparse(root).path.rstrip("/") + "/"
+    return F.substring(path, F.instr(path, part) + len(part), F.length(path))
+
+
 def export_per_video(rows: DataFrame, path: str) -> int:
     """<channel>/<video>.<language>.txt for each row; returns how many were written."""
     name = F.concat_ws("/", F.coalesce("channel_id", F.lit("unknown")), F.concat(F.col("video_id").cast("string"), F.lit("."), safe_language(F.coalesce("language_code", F.lit(""))), F.lit(".txt")))
@@ -95,17 +101,21 @@ def export_per_video(rows: DataFrame, path: str) -> int:
 
 
 def export_audio_queue(videos: DataFrame, path: str) -> DataFrame:
-    """Write the queue as JSON lines in its order; returns its totals (videos, hours, gigabytes) as one row."""
+    """Write the queue as JSON lines in its order, with all fields; returns its totals (videos, hours, gigabytes) as one row."""
     queue = audio_queue(videos)
-    queue.write.json(path)
+    queue.write.option("ignoreNullFields", "false").json(path)
     seconds = F.coalesce(F.sum("duration_seconds"), F.lit(0))
     return queue.agg(F.count("*").alias("videos"), F.round(seconds / 3600, 2).alias("hours"), F.round(seconds / 3600 * 30 / 1024, 3).alias("gigabytes"))
 
 
 def write_plan(path: str, **tables: DataFrame) -> None:
-    """A folder of named tables: a prune plan, a ledger, its contradictions."""
+    """Named tables: a prune plan, a ledger, its contradictions. Each is a new snapshot; until that is complete the last one counts."""
     for name, rows in tables.items():
-        rows.write.mode("overwrite").parquet(f"{path}/{name}")
+        write_snapshot(rows, path, name)
+
+
+def read_plan(spark: SparkSession, path: str, name: str) -> DataFrame:
+    return read_snapshot(spark, path, name)
 
 
 def corpus_text(paragraphs: DataFrame) -> DataFrame:
@@ -116,10 +126,9 @@ def corpus_text(paragraphs: DataFrame) -> DataFrame:
 
 def write_corpus(paragraphs: DataFrame, manifest: DataFrame, path: str, min_words: int = 250) -> None:
     """Bodies with their header, a file for each video, and the manifest with flags for short and long videos; videos without a body
-    are failures."""
-    bodies = corpus_text(paragraphs)
+    are failures. What all three are made of is written once."""
     flags = F.filter(F.array(F.when(F.col("word_count") < min_words, "short"), F.when(F.col("duration_seconds") > 5400, "long_form")), lambda x: x.isNotNull())
-    rows = manifest.withColumn("flags", flags).join(bodies, "video_id", "left")
+    rows = table(manifest.withColumn("flags", flags).join(corpus_text(paragraphs), "video_id", "left"), "corpus")
     found = rows.where("body is not null")
     content = F.concat(F.lit("# "), F.coalesce("title", F.lit("")), F.lit("\n---\n"), F.col("body"), F.lit("\n"))
     write_files(found.select(F.concat(F.col("video_id").cast("string"), F.lit(".txt")).alias("path"), content.cast("binary").alias("content")), f"{path}/bodies")
@@ -187,6 +196,59 @@ def _(v: Views) -> DataFrame:
     return with_link(export_rows(v.transcripts, v.videos, v.channels)).select("video_id", text_record().alias("record"))
 
 
+def _read_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path below root, text) of files."""
+    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
+    return rows.select(below(F.col("path"), root).alias("path"), F.col("content").cast("string").alias("text"))
+
+
+@query(
+    "b04_file_per_video",
+    f"""SELECT channel_id || '/' || video_id || '.' || language_code || '.txt' AS path, '# ' || coalesce(title, CAST(video_id AS VARCHAR)) || chr(10) || '# https://www.youtube.com/watch?v=' || video_id || chr(10) || '# channel: ' || coalesce(c.handle, channel_id) || chr(10) || '# published: ' || coalesce({_DATE}, 'unknown') || chr(10)
+      || '# language: ' || language_code || ' (' || kind || ')' || chr(10) || chr(10) || coalesce(plaintext, '') || chr(10) || chr(10) || repeat('-', 72) || chr(10) AS text FROM {_EXPORTED}""",
+)
+def _(v: Views) -> DataFrame:
+    path = _folder(v, "each")
+    export_per_video(export_rows(v.transcripts, v.videos, v.channels), path)
+    return _read_files(v.spark, path)
+
+
+@query("b05_audio_queue_file", QUEUED_SQL)
+def _(v: Views) -> DataFrame:
+    path, rows = _folder(v, "queue"), queued(v)
+    export_audio_queue(rows, path)
+    back = v.spark.read.schema(audio_queue(rows).schema).json(path)
+    return back.withColumn("available_transcripts", F.array_join(F.transform("available_transcripts", lambda t: F.concat_ws("/", t["language_code"], t["kind"])), ","))
+
+
+@query(
+    "b06_corpus",
+    f"""{corpus.PARAGRAPHS_SQL}, p AS (SELECT video_id, string_agg('[' || lpad(CAST(CAST("start" AS BIGINT) // 3600 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST("start" AS BIGINT) // 60 % 60 AS VARCHAR), 2, '0') || ':' || lpad(CAST(CAST("start" AS BIGINT) % 60 AS VARCHAR), 2, '0') || '] ' || text, chr(10) || chr(10) ORDER BY "start") AS body FROM blocks GROUP BY video_id)
+    SELECT CASE WHEN body IS NULL THEN 'failure' ELSE 'body' END AS kind, CAST(video_id AS VARCHAR) AS video_id, '# ' || coalesce(title, '') || chr(10) || '---' || chr(10) || body || chr(10) AS text, CASE WHEN body IS NOT NULL THEN concat_ws(',', CASE WHEN words < 250 THEN 'short' END, CASE WHEN duration_seconds > 5400 THEN 'long_form' END) END AS flags
+    FROM v_videos JOIN v_transcripts USING (video_id) LEFT JOIN p USING (video_id)""",
+)
+def _(v: Views) -> DataFrame:
+    path = _folder(v, "corpus")
+    manifest = v.videos.select("video_id", "title", "duration_seconds").join(v.transcripts.select("video_id", F.col("words").alias("word_count")), "video_id")
+    write_corpus(corpus.paragraphs(v.cues, 20), manifest, path)
+    bodies = _read_files(v.spark, f"{path}/bodies").select(F.regexp_extract("path", r"^(\d+)\.txt$", 1).alias("video_id"), "text")
+    kept = v.spark.read.parquet(f"{path}/manifest").select(F.col("video_id").cast("string").alias("video_id"), F.array_join("flags", ",").alias("flags"))
+    nothing = F.lit(None).cast("string")
+    failed = v.spark.read.schema("video_id long").json(f"{path}/failures").select(F.lit("failure").alias("kind"), F.col("video_id").cast("string").alias("video_id"), nothing.alias("text"), nothing.alias("flags"))
+    return bodies.join(kept, "video_id", "full").select(F.lit("body").alias("kind"), "video_id", "text", "flags").unionByName(failed)
+
+
+@query("b08_plans", "SELECT 'plan' AS name, class AS key, count(*) AS n FROM (SELECT CASE WHEN words < 250 THEN 'thin' ELSE 'deep' END AS class FROM v_transcripts) GROUP BY class UNION ALL SELECT 'ledger', topic, count(*) FROM (SELECT unnest(topics) AS topic FROM v_cards) GROUP BY topic")
+def _(v: Views) -> DataFrame:
+    """A plan and a ledger, written twice: what is read is the second one."""
+    path = _folder(v, "plans")
+    kind = v.transcripts.select(F.when(F.col("words") < 250, "thin").otherwise("deep").alias("key"))
+    counted = lambda rows: rows.groupBy("key").agg(F.count("*").alias("n"))
+    write_plan(path, plan=counted(kind.limit(1)))
+    write_plan(path, plan=counted(kind), ledger=counted(v.cards.select(F.explode("topics").alias("key"))))
+    return read_plan(v.spark, path, "plan").select(F.lit("plan").alias("name"), "key", "n").unionByName(read_plan(v.spark, path, "ledger").select(F.lit("ledger").alias("name"), "key", "n"))
+
+
 @query("b07_archive_records", """SELECT video_id, count(*) AS segment_count, string_agg("start" || ' ' || text, chr(10) ORDER BY "start", duration, text) AS segments FROM v_cues GROUP BY video_id""")
 def _(v: Views) -> DataFrame:
     line = F.transform("segments", lambda x: F.concat_ws(" ", x["start"].cast("string"), x["text"]))

@@ -6,14 +6,16 @@ from __future__ import annotations
 import os
 import uuid
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
-from ..operators.merges import exists, forward, logged_outcomes, merge, read_snapshot, write_snapshot
+from ..operators.merges import exists, last_snapshot, logged_outcomes, part_of, write_snapshot
 from ..operators.reports import pacific_day
 from ..plans.registry import query
 from ..plans.staging import shared_dir, table
@@ -102,50 +104,117 @@ def live_states(attempts: DataFrame, ceiling: int = 5) -> DataFrame:
     return attempts.groupBy("video_id").applyInPandasWithState(run, f"video_id long, {kinds}", kinds, "update", GroupStateTimeout.NoTimeout)
 
 
-def live_videos(attempts: DataFrame, ceiling: int = 5, max_rechecks: int = 4, late: str = LATE) -> DataFrame:
-    """(video_id, status, attempts, needs_audio, recheck_count, next_attempt_at, recheck_after, fired) after each batch: outcomes as in
-    ``apply_outcomes``, kept as a video's state with timers in event time.
+class LeasedVideo(StatefulProcessor):
+    """A video's state with three timers in event time: the lease, the next attempt, the recheck."""
+
+    FIELDS = "status string, status_reason string, attempts int, needs_audio boolean, recheck_count int, retry_at long, recheck_at long, claimed_by string, lease_at long, version long"
+    FRESH = ("metadata_ok", None, 0, False, 0, None, None, None, None, 0)
+    TIMED = {"lease": "lease_at", "retry": "retry_at", "recheck": "recheck_at"}
+
+    def __init__(self, ceiling: int, max_rechecks: int) -> None:
+        self.ceiling, self.max_rechecks = ceiling, max_rechecks
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.kept = handle.getValueState("video", self.FIELDS)
+        self.names = [x.split(" ")[0] for x in self.FIELDS.split(", ")]
+
+    def _state(self) -> dict:
+        return dict(zip(self.names, self.kept.get() if self.kept.exists() else self.FRESH))
+
+    def _timers(self, v: dict) -> set[int]:
+        """The millisecond after each moment."""
+        return {v[c] // 1000 + 1 for c in self.TIMED.values() if v[c] is not None}
+
+    def _keep(self, key: tuple, before: set[int], v: dict, fired: str | None) -> Row:
+        after = self._timers(v)
+        for at in before - after:
+            self.handle.deleteTimer(at)
+        for at in after - before:
+            self.handle.registerTimer(at)
+        v["version"] += 1
+        self.kept.update(tuple(v[c] for c in self.names))
+        return Row(video_id=key[0], **v, fired=fired)
+
+    def _apply(self, v: dict, r: Row) -> None:
+        if r.outcome == "claim":
+            v.update(claimed_by=r.worker, lease_at=r.lease_us)
+            return
+        v.update(claimed_by=None, lease_at=None, retry_at=None)
+        if r.outcome == "blocked":
+            return
+        v["attempts"] += 1
+        v["status_reason"] = None if r.outcome == "ok" else r.reason
+        if r.outcome == "ok":
+            v.update(status="transcript_ok", needs_audio=False, recheck_at=None)
+        elif r.outcome == "terminal":
+            again = r.recheck and v["recheck_count"] < self.max_rechecks
+            v.update(status=r.target, needs_audio=bool(r.needs_audio), recheck_at=r.recheck_us if again else None)
+        elif v["attempts"] >= min(self.ceiling, r.max_attempts):
+            v["status"] = "failed"
+        else:
+            v.update(status="retry", retry_at=r.next_us)
+
+    def _fire(self, v: dict, what: str) -> None:
+        if what == "lease":
+            if v["status"] in ("metadata_ok", "retry"):
+                v.update(status="retry", status_reason=f"lease of {v['claimed_by']} expired", retry_at=None)
+            v.update(claimed_by=None, lease_at=None)
+        elif what == "recheck":
+            v.update(status="metadata_ok", status_reason="captions may be there now", recheck_count=v["recheck_count"] + 1, recheck_at=None, retry_at=None)
+        else:
+            v["retry_at"] = None
 
-    ``attempts`` has the columns of ``apply_outcomes`` and next_at (when a retry would be due if the attempt leads to one) and
-    recheck_at (when a recheck would be due), which are expressions of the row and its video. A timer fires when the watermark
-    passes it: a due retry is eligible (its time is cleared), a due recheck puts the video back as metadata_ok and counts."""
-    moment = lambda t: None if t is None or pd.isna(t) else int(pd.Timestamp(t).value // 1000)
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
+        v = self._state()
+        before = self._timers(v)
+        for r in sorted(rows, key=lambda r: (r.at, r.id)):
+            self._apply(v, r)
+        yield self._keep(key, before, v, None)
 
-    def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        status, n, audio, rechecks, retry_at, recheck_at = state.get if state.exists else ("metadata_ok", 0, False, 0, None, None)
-        fired = None
-        if state.hasTimedOut:
-            now = state.getCurrentWatermarkMs() * 1000
-            if recheck_at is not None and recheck_at <= now and rechecks < max_rechecks:
-                status, rechecks, recheck_at, retry_at, fired = "metadata_ok", rechecks + 1, None, None, "recheck"
-            elif retry_at is not None and retry_at <= now:
-                retry_at, fired = None, "retry"
-        else:
-            rows = _in_order(frames)
-            said, judged = rows[rows["outcome"] != "blocked"], rows[rows["outcome"].isin(["ok", "terminal"])]
-            n += len(said)
-            retry_at = None
-            if len(said):
-                last = said.iloc[-1]
-                failed = n >= min(ceiling, int(last["max_attempts"]))
-                status = {"ok": "transcript_ok", "terminal": last["target"]}.get(last["outcome"], "failed" if failed else "retry")
-                if rows.iloc[-1]["outcome"] == "retryable" and not failed:
-                    retry_at = moment(last["next_at"])
-            if len(judged):
-                last = judged.iloc[-1]
-                audio = bool(last["outcome"] == "terminal" and last["needs_audio"])
-                recheck_at = moment(last["recheck_at"]) if last["outcome"] == "terminal" and last["recheck"] and rechecks < max_rechecks else None
-        state.update((status, n, audio, rechecks, retry_at, recheck_at))
-        due = [t for t in (retry_at, recheck_at) if t is not None]
-        if due:
-            state.setTimeoutTimestamp(max(min(due) // 1000 + 1, state.getCurrentWatermarkMs() + 1))
-        stamp = lambda t: pd.NaT if t is None else pd.Timestamp(t * 1000)
-        yield pd.DataFrame([(key[0], status, n, audio, rechecks, stamp(retry_at), stamp(recheck_at), fired)], columns=["video_id", "status", "attempts", "needs_audio", "recheck_count", "next_attempt_at", "recheck_after", "fired"])
-
-    kept = "status string, attempts int, needs_audio boolean, recheck_count int"
-    out = f"video_id long, {kept}, next_attempt_at timestamp, recheck_after timestamp, fired string"
-    marked = attempts.withWatermark("started_at", late)
-    return marked.groupBy("video_id").applyInPandasWithState(run, out, f"{kept}, retry_at long, recheck_at long", "update", GroupStateTimeout.EventTimeTimeout)
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
+        v, now = self._state(), expiredTimerInfo.getExpiryTimeInMs()
+        before = self._timers(v) - {now}
+        while due := [(v[c], what) for what, c in self.TIMED.items() if v[c] is not None and v[c] // 1000 + 1 <= now]:
+            what = min(due)[1]
+            self._fire(v, what)
+            yield self._keep(key, before, v, what)
+            before = self._timers(v)
+
+    def close(self) -> None:
+        pass
+
+
+def live_videos(attempts: DataFrame, ceiling: int = 5, max_rechecks: int = 4, late: str = LATE) -> DataFrame:
+    """(video_id, status, status_reason, attempts, needs_audio, recheck_count, next_attempt_at, recheck_after, claimed_by,
+    lease_expires_at, version, fired) after each batch and timer: outcomes as in ``apply_outcomes``, kept as a video's state.
+
+    ``attempts`` has the columns of ``apply_outcomes`` and next_at (when a retry would be due if the attempt leads to one), recheck_at
+    (when a recheck would be due), worker and lease_until: an outcome of ``claim`` leases the video, every other ends the lease. A
+    timer fires when the watermark passes it: a lease that expires returns a waiting video as a retry that is due, with a reason; a
+    due retry is eligible (its time is cleared); a due recheck puts the video back as metadata_ok and counts. Of the rows of a video
+    the one of the greatest version is its state. Start it with ``with_rocksdb``, the only state store that has timers."""
+    us = lambda c: F.unix_micros(c)
+    rows = attempts.withWatermark("started_at", late).select(
+        "video_id", "id", "started_at", us("started_at").alias("at"), "outcome", "target", "reason", "needs_audio", "recheck", F.coalesce("max_attempts", F.lit(ceiling)).cast("int").alias("max_attempts"),
+        us("next_at").alias("next_us"), us("recheck_at").alias("recheck_us"), "worker", us("lease_until").alias("lease_us"),
+    )
+    kind = dict(attempts.dtypes)["video_id"]
+    out = rows.groupBy("video_id").transformWithState(LeasedVideo(ceiling, max_rechecks), f"video_id {kind}, {LeasedVideo.FIELDS}, fired string", "Update", "EventTime")
+    moment = lambda c: F.timestamp_micros(F.col(c))
+    return out.select("video_id", "status", "status_reason", "attempts", "needs_audio", "recheck_count", moment("retry_at").alias("next_attempt_at"), moment("recheck_at").alias("recheck_after"), "claimed_by", moment("lease_at").alias("lease_expires_at"), "version", "fired")
+
+
+@contextmanager
+def with_rocksdb(spark: SparkSession) -> Iterator[None]:
+    """Streams that are started here keep their state in RocksDB, on the executors' disks and in the checkpoint."""
+    key = "spark.sql.streaming.stateStore.providerClass"
+    was = spark.conf.get(key)
+    spark.conf.set(key, "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider")
+    try:
+        yield
+    finally:
+        spark.conf.set(key, was)
 
 
 def log_tail(lines: DataFrame) -> DataFrame:
@@ -178,51 +247,89 @@ def chunk_tail(chunks: DataFrame) -> DataFrame:
     return out.where(F.trim("value") != "").select("log", "seq", *_parsed(F.col("value")))
 
 
+#: Parts of the ids that discovery has seen.
+SEEN_PARTS = 64
+
+
+def write_discovered(videos: DataFrame, marks: DataFrame, base: str, through: int = -1) -> None:
+    """Snapshots ``videos`` (in parts of their ids) and ``marks`` (channel_id, newest) for ``discover``, which hold all batches up to
+    ``through``. Each carries that number itself, so a crash between the two does no harm."""
+    parts = videos.withColumn("part", part_of(["video_id"], SEEN_PARTS)).repartition("part")
+    write_snapshot(parts, base, "videos", through=through, partition_by=("part",))
+    write_snapshot(marks, base, "marks", through=through)
+
+
+def _batches(spark: SparkSession, base: str, videos: DataFrame, after: int, before: int | None = None) -> DataFrame:
+    """The rows of written batches, with part and batch."""
+    kinds = [(c, t) for c, t in videos.dtypes if c != "part"]
+    path, schema = f"{base}/videos-batches", ", ".join(f"`{c}` {t}" for c, t in kinds) + ", part int, batch long"
+    rows = spark.read.schema(schema).parquet(path) if exists(spark, path) else spark.createDataFrame([], schema)
+    rows = rows.where(F.col("batch") > after)
+    return rows if before is None else rows.where(F.col("batch") < before)
+
+
 def discovered(spark: SparkSession, base: str) -> DataFrame:
     """The videos as they are after all batches of ``discover``: the last snapshot and the batches after it, of each column the last
     known value."""
-    snapshot = read_snapshot(spark, base, "videos").withColumn("__batch", F.lit(-1).cast("long"))
-    path = f"{base}/videos-batches"
-    if exists(spark, path):
-        through = read_snapshot(spark, base, "compacted").first()["batch"] if exists(spark, f"{base}/compacted-pointers") else -1
-        schema = ", ".join(f"`{c}` {t}" for c, t in snapshot.drop("__batch").dtypes)
-        more = spark.read.schema(f"{schema}, batch long").parquet(path).where(F.col("batch") > through)
-        snapshot = snapshot.unionByName(more.withColumnRenamed("batch", "__batch"))
-    columns = [c for c in snapshot.columns if c not in ("video_id", "__batch")]
-    out = snapshot.groupBy("video_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("__batch"))).alias(c) for c in columns))
+    _, path, through = last_snapshot(spark, base, "videos")
+    snapshot = spark.read.parquet(path)
+    more = _batches(spark, base, snapshot, through)
+    columns = [c for c in snapshot.columns if c not in ("video_id", "part")]
+    rows = snapshot.withColumn("batch", F.lit(-1).cast("long")).unionByName(more)
+    out = rows.groupBy("video_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in columns))
     return out.withColumn("status", F.coalesce("status", F.lit("discovered"))) if "status" in columns else out
 
 
+def marks_before(spark: SparkSession, base: str, batch: int | None = None) -> DataFrame:
+    """(channel_id, newest) as they were before a batch, or after all: the marks' snapshot and the newest dates of the batches since."""
+    _, path, through = last_snapshot(spark, base, "marks")
+    marks = spark.read.parquet(path).select("channel_id", "newest")
+    rows = _batches(spark, base, spark.read.parquet(last_snapshot(spark, base, "videos")[1]), through, batch)
+    newest = rows.groupBy("channel_id").agg(F.max("published_at").alias("newest"))
+    return marks.unionByName(newest).groupBy("channel_id").agg(F.max("newest").alias("newest"))
+
+
 def compact(spark: SparkSession, base: str) -> None:
-    """Fold the batches so far into a new snapshot. A crash between its two writes only folds some batches twice."""
-    last = spark.read.parquet(f"{base}/videos-batches").agg(F.max("batch").cast("long").alias("batch"))
-    write_snapshot(discovered(spark, base), base, "videos")
-    write_snapshot(last, base, "compacted")
+    """Fold the batches into new snapshots, all but the last one, which the stream may have to run again as it was."""
+    path = f"{base}/videos-batches"
+    last = spark.read.parquet(path).agg(F.max("batch").cast("long")).first()[0] if exists(spark, path) else None
+    _, snapshot, through = last_snapshot(spark, base, "videos")
+    if last is None or last - 1 <= through:
+        return
+    known = spark.read.parquet(snapshot)
+    rows = known.withColumn("batch", F.lit(-1).cast("long")).unionByName(_batches(spark, base, known, through, last))
+    columns = [c for c in known.columns if c not in ("video_id", "part")]
+    videos = rows.groupBy("video_id").agg(*(F.max_by(c, F.when(F.col(c).isNotNull(), F.col("batch"))).alias(c) for c in columns))
+    videos = videos.withColumn("status", F.coalesce("status", F.lit("discovered"))) if "status" in columns else videos
+    write_discovered(videos, marks_before(spark, base, last), base, last - 1)
+
+
+def discovery_step(batch: DataFrame, number: int, base: str) -> None:
+    """One batch of ``discover``. What it takes depends on the rows, the snapshots and the batches before it only, and it makes one
+    write, of a folder with its number: run again, wherever it broke off, it gives the same folder."""
+    spark = batch.sparkSession
+    _, path, through = last_snapshot(spark, base, "videos")
+    if number <= through:
+        return  # folded already
+    known = spark.read.parquet(path)
+    asked = table(batch.withColumn("part", part_of(["video_id"], SEEN_PARTS)), "listed")
+    parts = sorted(r[0] for r in asked.select("part").distinct().collect())  # SEEN_PARTS numbers at most
+    seen = known.select("part", "video_id").unionByName(_batches(spark, base, known, through, number).select("part", "video_id"))
+    seen = seen.where(F.col("part").isin(parts)).select("video_id").distinct().withColumn("seen", F.lit(True))
+    rows = asked.join(marks_before(spark, base, number), "channel_id", "left").join(seen, "video_id", "left")
+    new = rows.where("seen is null or published_at is null or newest is null or published_at > newest")
+    new = new.groupBy("part", "video_id").agg(*(F.max(c).alias(c) for c in ("channel_id", "title", "published_at")))
+    new.write.mode("overwrite").partitionBy("part").parquet(f"{base}/videos-batches/batch={number}")
 
 
 def discover(listings: DataFrame, base: str, checkpoint: str):
-    """A stream of listing rows (video_id, channel_id, title, published_at) into the videos and marks under ``base`` (snapshots
-    ``videos`` and ``marks``); ``discovered`` reads the result.
+    """A stream of listing rows (video_id, channel_id, title, published_at) into the videos under ``base`` (see ``write_discovered``);
+    ``discovered`` reads the result.
 
     A batch takes rows of unseen ids whatever their date, undated rows, and rows newer than their channel's mark; a channel with
-    nothing of these costs nothing. It writes only those rows, as a folder of its own number, so the table is never rewritten and a
-    batch that runs again after a crash replaces its folder. Marks only move forward."""
-
-    def step(batch: DataFrame, number: int) -> None:
-        spark = batch.sparkSession
-        marks, known = read_snapshot(spark, base, "marks"), read_snapshot(spark, base, "videos").select("video_id")
-        path = f"{base}/videos-batches"
-        if exists(spark, path):
-            known = known.union(spark.read.schema(f"video_id {dict(known.dtypes)['video_id']}, batch long").parquet(path).where(F.col("batch") != number).select("video_id"))
-        rows = batch.join(marks, "channel_id", "left").join(known.distinct().withColumn("seen", F.lit(True)), "video_id", "left")
-        new = rows.where("seen is null or published_at is null or newest is null or published_at > newest")
-        new = new.groupBy("video_id").agg(*(F.max(c).alias(c) for c in ("channel_id", "title", "published_at")))
-        new = table(new.withColumn("batch", F.lit(number).cast("long")), "discovered")
-        new.drop("batch").write.mode("overwrite").parquet(f"{path}/batch={number}")
-        newest = new.groupBy("channel_id").agg(F.max("published_at").alias("newest"))
-        write_snapshot(merge(marks, newest, ["channel_id"], {"newest": forward}), base, "marks")
-
-    return listings.writeStream.foreachBatch(step).option("checkpointLocation", checkpoint).trigger(availableNow=True)
+    nothing of these costs nothing. Of the ids that are known it reads only the parts its own ids fall into. It writes only what is
+    new, and marks are drawn from what was written, so each batch counts exactly once."""
+    return listings.writeStream.foreachBatch(lambda batch, number: discovery_step(batch, number, base)).option("checkpointLocation", checkpoint).trigger(availableNow=True)
 
 
 def drained(stream: DataFrame, mode: str = "append") -> DataFrame:
@@ -277,28 +384,37 @@ def _(v: Views) -> DataFrame:
 
 
 def timed_outcomes(attempts: DataFrame) -> DataFrame:
-    """The views' attempts with fixed delays: a retry is due after 40 hours, a recheck after 6."""
-    rows = logged_outcomes(attempts)
-    return rows.withColumn("next_at", F.col("started_at") + F.expr("interval 40 hours")).withColumn("recheck_at", F.col("started_at") + F.expr("interval 6 hours"))
+    """The views' attempts with fixed delays: a retry is due after 40 hours, a recheck after 6. Every sixth is a claim for 2 hours."""
+    later = lambda hours: F.col("started_at") + F.make_dt_interval(F.lit(0), F.lit(hours))
+    claims = F.col("id") % 6 == 0
+    rows = logged_outcomes(attempts.withColumn("outcome", F.when(claims, "claim").otherwise(F.col("outcome"))))
+    return rows.withColumns({"next_at": later(40), "recheck_at": later(6), "worker": F.when(claims, F.concat(F.lit("w"), (F.col("id") % 4).cast("string"))), "lease_until": F.when(claims, later(2))})
+
+
+_LIVE = ["status", "status_reason", "attempts", "needs_audio", "recheck_count", "next_attempt_at", "recheck_after", "claimed_by", "lease_expires_at"]
 
 
 @query(
     "l05_live_videos",
-    """WITH RECURSIVE t AS (SELECT *, row_number() OVER (PARTITION BY video_id ORDER BY started_at, id) AS n, (['no_transcript', 'lang_missing', 'age_restricted', 'unavailable', 'skipped'])[id % 5 + 1] AS target, CASE WHEN id % 7 = 0 THEN 2 ELSE 5 END AS most FROM v_attempts),
-    f AS (SELECT DISTINCT video_id, 0 AS n, 'metadata_ok' AS status, 0 AS attempts, false AS needs_audio, CAST(NULL AS TIMESTAMP) AS retry_at, CAST(NULL AS TIMESTAMP) AS recheck_at FROM t UNION ALL
-      SELECT f.video_id, t.n, CASE outcome WHEN 'ok' THEN 'transcript_ok' WHEN 'terminal' THEN target WHEN 'retryable' THEN CASE WHEN attempts + 1 >= most THEN 'failed' ELSE 'retry' END ELSE status END,
-        CASE WHEN outcome = 'blocked' THEN attempts ELSE attempts + 1 END, CASE outcome WHEN 'ok' THEN false WHEN 'terminal' THEN target = 'no_transcript' ELSE needs_audio END,
-        CASE WHEN outcome = 'retryable' AND attempts + 1 < most THEN started_at + INTERVAL 40 HOUR END, CASE WHEN outcome IN ('retryable', 'blocked') THEN recheck_at WHEN outcome = 'terminal' AND target IN ('no_transcript', 'lang_missing') THEN started_at + INTERVAL 6 HOUR END
+    """WITH RECURSIVE t AS (SELECT video_id, id, started_at, CASE WHEN id % 6 = 0 THEN 'claim' ELSE outcome END AS o, row_number() OVER (PARTITION BY video_id ORDER BY started_at, id) AS n, (['no_transcript', 'lang_missing', 'age_restricted', 'unavailable', 'skipped'])[id % 5 + 1] AS target, CASE WHEN id % 7 = 0 THEN 2 ELSE 5 END AS most FROM v_attempts),
+    f AS (SELECT DISTINCT video_id, 0 AS n, 'metadata_ok' AS status, CAST(NULL AS VARCHAR) AS reason, 0 AS attempts, false AS needs_audio, CAST(NULL AS TIMESTAMP) AS retry_at, CAST(NULL AS TIMESTAMP) AS recheck_at, CAST(NULL AS VARCHAR) AS worker, CAST(NULL AS TIMESTAMP) AS lease_at FROM t UNION ALL
+      SELECT f.video_id, t.n, CASE o WHEN 'ok' THEN 'transcript_ok' WHEN 'terminal' THEN target WHEN 'retryable' THEN CASE WHEN attempts + 1 >= most THEN 'failed' ELSE 'retry' END ELSE status END,
+        CASE WHEN o = 'ok' THEN NULL WHEN o IN ('terminal', 'retryable') THEN 'said ' || id ELSE reason END,
+        CASE WHEN o IN ('blocked', 'claim') THEN attempts ELSE attempts + 1 END, CASE o WHEN 'ok' THEN false WHEN 'terminal' THEN target = 'no_transcript' ELSE needs_audio END,
+        CASE WHEN o = 'claim' THEN retry_at WHEN o = 'retryable' AND attempts + 1 < most THEN started_at + INTERVAL 40 HOUR END, CASE WHEN o IN ('retryable', 'blocked', 'claim') THEN recheck_at WHEN o = 'terminal' AND target IN ('no_transcript', 'lang_missing') THEN started_at + INTERVAL 6 HOUR END,
+        CASE WHEN o = 'claim' THEN 'w' || id % 4 END, CASE WHEN o = 'claim' THEN started_at + INTERVAL 2 HOUR END
       FROM f JOIN t ON t.video_id = f.video_id AND t.n = f.n + 1),
-    s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC) = 1), d AS (SELECT *, recheck_at < (SELECT max(started_at) - INTERVAL 10 MINUTE FROM v_attempts) AS due FROM s)
-    SELECT video_id, CASE WHEN due THEN 'metadata_ok' ELSE status END AS status, attempts, needs_audio, CASE WHEN due THEN 1 ELSE 0 END AS recheck_count, CASE WHEN NOT coalesce(due, false) AND retry_at >= (SELECT max(started_at) - INTERVAL 10 MINUTE FROM v_attempts) THEN retry_at END AS next_attempt_at,
-      CASE WHEN NOT due THEN recheck_at END AS recheck_after FROM d""",
+    s AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY video_id ORDER BY n DESC) = 1), w AS (SELECT max(started_at) - INTERVAL 10 MINUTE AS mark FROM v_attempts),
+    d AS (SELECT *, coalesce(recheck_at < mark, false) AS again, coalesce(lease_at < mark, false) AS lost FROM s, w),
+    e AS (SELECT *, lost AND CASE WHEN again AND recheck_at <= lease_at THEN true WHEN again THEN false ELSE status IN ('metadata_ok', 'retry') END AS back FROM d)
+    SELECT video_id, CASE WHEN back THEN 'retry' WHEN again THEN 'metadata_ok' ELSE status END AS status, CASE WHEN back THEN 'lease of ' || worker || ' expired' WHEN again THEN 'captions may be there now' ELSE reason END AS status_reason,
+      attempts, needs_audio, CAST(again AS INTEGER) AS recheck_count, CASE WHEN NOT back AND NOT again AND retry_at >= mark THEN retry_at END AS next_attempt_at, CASE WHEN NOT again THEN recheck_at END AS recheck_after,
+      CASE WHEN NOT lost THEN worker END AS claimed_by, CASE WHEN NOT lost THEN lease_at END AS lease_expires_at FROM e""",
 )
 def _(v: Views) -> DataFrame:
-    rows = drained(live_videos(timed_outcomes(events_stream(v.spark, v.sf_dir))), "update")
-    columns = ["status", "attempts", "needs_audio", "recheck_count", "next_attempt_at", "recheck_after"]
-    last = rows.groupBy("video_id").agg(F.max_by(F.struct(*columns), "batch").alias("s"))
-    return last.select("video_id", "s.*")
+    with with_rocksdb(v.spark):
+        rows = drained(live_videos(timed_outcomes(events_stream(v.spark, v.sf_dir))), "update")
+    return rows.groupBy("video_id").agg(F.max_by(F.struct(*_LIVE), "version").alias("s")).select("video_id", "s.*")
 
 
 @query("l08_soft_limit", "SELECT CAST(timezone('America/Los_Angeles', timezone('UTC', started_at)) AS DATE) AS day, CAST(sum(units) AS BIGINT) AS units_used, sum(units) >= 0.9 * 20000 AS over FROM v_attempts GROUP BY day")
@@ -321,19 +437,19 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "l01_discovery",
-    """WITH r AS (SELECT event_id % 997 AS video_id, 'c' || event_id % 997 % 7 AS channel_id, CASE WHEN event_id % 4 <> 0 THEN 'title ' || event_id % 997 END AS title, TIMESTAMP '2024-01-01' + to_hours(CAST(event_id % 997 * 31 % 1000 AS BIGINT)) AS published_at FROM events),
-    k AS (SELECT DISTINCT doc_id % 300 AS i FROM documents WHERE doc_id % 300 % 5 = 0), g AS (SELECT video_id, channel_id, published_at, max(title) AS title, video_id IN (SELECT i FROM k) AS known FROM r GROUP BY video_id, channel_id, published_at)
+    """WITH r AS (SELECT event_id // 3 AS video_id, 'c' || event_id // 3 % 7 AS channel_id, CASE WHEN event_id % 4 <> 0 THEN 'title ' || event_id // 3 END AS title, TIMESTAMP '2024-01-01' + to_hours(CAST(event_id // 3 * 31 % 1000 AS BIGINT)) AS published_at FROM events),
+    k AS (SELECT doc_id * 2 AS i FROM documents), g AS (SELECT video_id, channel_id, published_at, max(title) AS title, video_id IN (SELECT i FROM k) AS known FROM r GROUP BY video_id, channel_id, published_at)
     SELECT video_id, channel_id, CASE WHEN NOT known THEN title WHEN published_at > TIMESTAMP '2024-01-20' THEN coalesce(title, 'known') ELSE 'known' END AS title, published_at, CASE WHEN known THEN 'transcript_ok' ELSE 'discovered' END AS status FROM g
     UNION ALL SELECT i, 'c' || i % 7, 'known', TIMESTAMP '2024-01-01' + to_hours(CAST(i * 31 % 1000 AS BIGINT)), 'transcript_ok' FROM k WHERE i NOT IN (SELECT video_id FROM r)""",
 )
 def _(v: Views) -> DataFrame:
-    """The events as listing rows of 997 videos, some of which are known already and older than their channel's mark."""
+    """The events as listing rows, three for a video, some of which are known already and older than their channel's mark."""
     base = f"{shared_dir(v.spark)}/discovery-{uuid.uuid4().hex}"
     listed = lambda i, title: (i.alias("video_id"), F.concat(F.lit("c"), (i % 7).cast("string")).alias("channel_id"), title.alias("title"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), (i * 31 % 1000).cast("int"))).alias("published_at"))
-    i = F.col("id") % 997
-    known = v.raw("documents").select((F.col("doc_id") % 300).alias("i")).distinct().where("i % 5 = 0")
-    write_snapshot(known.select(*listed(F.col("i"), F.lit("known")), F.lit("transcript_ok").alias("status")), base, "videos")
-    write_snapshot(v.spark.range(7).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("channel_id"), F.lit("2024-01-20").cast("timestamp").alias("newest")), base, "marks")
+    known = v.raw("documents").select(*listed(F.col("doc_id") * 2, F.lit("known")), F.lit("transcript_ok").alias("status"))
+    marks = v.spark.range(7).select(F.concat(F.lit("c"), F.col("id").cast("string")).alias("channel_id"), F.lit("2024-01-20").cast("timestamp").alias("newest"))
+    write_discovered(known, marks, base)
+    i = F.floor(F.col("id") / 3)
     rows = events_stream(v.spark, v.sf_dir).select(*listed(i, F.when(F.col("id") % 4 != 0, F.concat(F.lit("title "), i.cast("string")))))
     discover(rows, base, f"{base}/checkpoint").start().awaitTermination()
     return discovered(v.spark, base)

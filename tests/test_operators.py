@@ -2,6 +2,7 @@
 
 import json
 import random
+import time
 from difflib import SequenceMatcher
 
 import pytest
@@ -121,8 +122,23 @@ def test_rolling_captions(spark):
             at += size if rng.random() < 0.8 else 0
         data.append((v, cues))
     rows = [(v, i, s, t) for v, cues in data for i, (s, t) in enumerate(cues)]
-    got = corpus.nested(spark.createDataFrame(rows, "video_id long, pos long, start double, text string")).select("video_id", corpus.without_rolling(F.col("cues")).alias("c")).collect()
-    assert {r.video_id: [(x.start, x.text) for x in r.c] for r in got} == {v: rolling(cues) for v, cues in data}
+    got = {}
+    for r in sorted(corpus.without_rolling(spark.createDataFrame(rows, "video_id long, pos long, start double, text string")).collect(), key=lambda r: r.start):
+        got.setdefault(r.video_id, []).append((r.start, r.text))
+    assert got == {v: rolling(cues) for v, cues in data}
+
+
+def test_folds_of_a_long_video(spark):
+    """A hundred thousand cues of one video, in batches, in seconds."""
+    cues = spark.range(100_000).select(F.lit(1).alias("video_id"), F.col("id").alias("pos"), (F.col("id") * 2.0).alias("start"), F.concat_ws(" ", F.lit("w"), F.col("id"), F.col("id") + 1, F.col("id") + 2).alias("text"))
+    began = time.time()
+    blocks = corpus.paragraphs(cues.repartition(3), 30).collect()
+    assert len(blocks) == 6250 and {len(b.text.split(" ")) for b in blocks} == {64} and sorted(b.start for b in blocks) == [32.0 * i for i in range(6250)]
+    fresh = corpus.without_rolling(cues.repartition(3)).collect()
+    assert len(fresh) == 100_000 and time.time() - began < 60
+    odd = spark.createDataFrame([(1, 0, None, "a"), (1, 1, 5.0, None), (1, 2, 40.0, "b"), (1, 3, 41.0, "c"), (2, 0, None, "d"), (None, 0, 1.0, "e")], "video_id long, pos long, start double, text string")
+    assert sorted(map(tuple, corpus.paragraphs(odd).collect()), key=str) == sorted([(1, 5.0, "a b"), (1, 41.0, "c"), (2, 0.0, "d"), (None, 1.0, "e")], key=str)
+    assert corpus.paragraphs(odd.limit(0)).count() == corpus.without_rolling(odd.limit(0)).count() == 0
 
 
 def greedy(titles, threshold):

@@ -1,17 +1,60 @@
 """Operators that search by rare keys or fold by aggregates, against the plain rule on small random tables."""
 
 import datetime
+import math
 import random
 import re
+import threading
+from difflib import SequenceMatcher
 from types import SimpleNamespace
 
 import pytest
 from pyspark.sql import functions as F
 
-from reelmine.operators import cards, catalog, corpus, merges, reports
+from reelmine.operators import cards, catalog, corpus, merges, reports, search
 from reelmine.plans import staging
 
 
+def slid(a, t, wide):
+    """The first best window of all, by the plain ratio."""
+    best, span, size = 0.0, None, len(a)
+    for i in range(0, max(len(t) - size, 1), max(size // 4, 1)):
+        r = SequenceMatcher(None, a, t[i : i + int(size * wide)]).ratio()
+        if r > best:
+            best, span = r, t[i : i + int(size * wide)]
+    return best, span
+
+
+def test_best_windows_against_the_full_slide():
+    rng, letters = random.Random(9), "abcde fgh"
+    for case in range(120):
+        t = "".join(rng.choice(letters[: rng.randint(2, 9)]) for _ in range(rng.choice((0, 1, 7, 200, 900))))
+        at, n = rng.randint(0, max(0, len(t) - 1)), rng.randint(1, 70)
+        a = list(t[at : at + n] or "abc")
+        for _ in range(rng.randint(0, len(a) // 3)):
+            a[rng.randrange(len(a))] = rng.choice(letters + "é")
+        a, known = "".join(a), cards.Windows(t)
+        for wide, least in ((1.4, cards.NEAR), (1.6, cards.REPAIR), (1.4, 0.2)):
+            best, span = slid(a, t, wide)
+            assert known.best(a, wide, least) == ((best, span) if best >= least else (0.0, None)), (case, a, t)
+
+
+def test_anchors_are_judged_gated_and_repaired(spark):
+    body = "we learned to place the stop below the swing low and never to move it further away from the entry price"
+    rows = [("EV-000001", 1, body[3:40]), ("EV-000002", 1, "place the stop below the swung low and never"), ("EV-000003", 1, "qqqq zzzz xxxx jjjj"), ("EV-000004", 1, "learned to place ... further away"), ("EV-000005", 2, "anything"), ("EV-000006", 1, None)]
+    df = spark.createDataFrame(rows, "id string, video_id long, anchor string")
+    checked = cards.check_anchors(df, spark.createDataFrame([(1, body)], "video_id long, body string"))
+    assert {r.id[-1]: r.verdict for r in checked.collect()} == {"1": "exact", "2": "near", "3": "missing", "4": "fragments", "5": "no transcript", "6": "missing"}
+    assert {r.verdict: r.anchors for r in cards.verdict_counts(checked).collect()} == {"exact": 1, "near": 1, "missing": 2, "fragments": 1, "no transcript": 1}
+    assert [tuple(cards.anchor_gate(checked, limit).first()) for limit in (59.9, 60.0)] == [(5, 3, 60.0, "FAIL"), (5, 3, 60.0, "PASS")]
+    assert tuple(cards.anchor_gate(checked.limit(0), 5.0).first())[:2] == (0, 0)
+    mended = {r.id[-1]: (r.anchor, r.anchor_repaired) for r in cards.repair_anchors(df, checked).collect()}
+    assert mended["2"] == ("place the stop below the sw", True) and mended["2"][0] in body
+    assert all(mended[r[0][-1]] == (r[2], False) for r in rows if not r[0].endswith("2"))
+    again = cards.check_anchors(cards.repair_anchors(df, checked), spark.createDataFrame([(1, body)], "video_id long, body string"))
+    assert {r.verdict for r in again.where("id = 'EV-000002'").collect()} == {"exact"}
+
+
 def test_contradictions_against_all_pairs(spark):
     rng, words = random.Random(4), [f"word{c}" for c in "abcdefghijkl"]
     rows = []
@@ -65,12 +108,45 @@ def test_quota_passes_its_limit_at_the_right_row(spark):
     assert got == want and any(x[1] for x in want.values()) and not all(x[1] for x in want.values())
 
 
-def test_a_stored_index_finds_what_a_fresh_one_finds(spark):
-    rows = spark.createDataFrame([(i, f"alpha w{i % 7} beta{i % 3}", f"t{i}", "c") for i in range(50)], "video_id long, plaintext string, title string, channel_id string")
-    fresh, stored = corpus.inverted_index(rows), corpus.write_index(rows)
-    for text in ("alpha", "w3 beta1", "beta2 none", "no hits here", "a b"):
-        one, two = (sorted(corpus.search(x, rows, rows, text).collect()) for x in (fresh, stored))
-        assert one == two and (one or text in ("no hits here", "a b"))
+def ranked(texts, query, limit):
+    words = {w for w in query.lower().split() if len(w) >= 3}
+    df = {w: sum(w in t.split() for t in texts.values()) for w in words}
+    score = {v: round(sum(t.split().count(w) * math.log(1 + len(texts) / df[w]) ** 2 for w in words if df[w]), 6) for v, t in texts.items()}
+    return sorted(((v, x) for v, x in score.items() if x > 0), key=lambda r: (-r[1], r[0]))[:limit]
+
+
+def test_an_index_follows_its_transcripts(spark, tmp_path, monkeypatch):
+    """After additions, replacements and deletions it finds what plain counting over the texts finds, and old files stay as they are."""
+    monkeypatch.setattr(search, "BLOCK", 8)
+    rng, path = random.Random(6), f"file://{tmp_path}/i"
+    words = ["alpha", "beta", "gamma", "delta", *(f"rare{i}" for i in range(40))]
+    text = lambda: " ".join(rng.choices(words, weights=[60, 20, 8, 3, *[1] * 40], k=rng.randint(0, 40)))
+    texts, files = {}, {}
+    put = lambda rows: spark.createDataFrame(rows, "video_id long, plaintext string")
+    changes = [{i: text() for i in range(600)}, {i: text() for i in range(500, 700)}, {i: None for i in range(0, 640, 7)} | {9999: None}, {7: "alpha rare1", 14: None, 650: ""}]
+    for number, change in enumerate(changes):
+        assert search.update_index(put(list(change.items())), path) == number
+        now = _files(tmp_path / "i")
+        assert all(now[f] == at for f, at in files.items())
+        files = now
+        texts = {v: t for v, t in (texts | change).items() if t is not None}
+        for query, limit in (("alpha", 5), ("delta rare3 rare9", 20), ("alpha beta gamma", 50), ("rare1 a", 500), ("nothing", 5)):
+            found = [tuple(r) for r in search.scores(spark, path, query, limit).collect()]
+            assert found == ranked(texts, query, limit), (number, query)
+    again = search.compact_index(spark, path, put(list(texts.items())))
+    assert search.scores(spark, again, "beta delta", 30).collect() == search.scores(spark, path, "beta delta", 30).collect()
+    (tmp_path / "i" / "generations" / "000000000004.json").write_text('{"generation": 3}')  # another writer took the number meanwhile
+    with pytest.raises(RuntimeError, match="another writer"):
+        search.update_index(put([(1, "lost")]), path)
+
+
+def test_search_takes_text_and_notes_short_words(spark):
+    rows = spark.createDataFrame([(i, f"{'x ' * 200}Alpha w{i % 7} beta{i % 3}", f"t{i}", "c") for i in range(50)] + [(99, None, "none", "c")], "video_id long, plaintext string, title string, channel_id string")
+    path = search.write_index(rows)
+    found = search.search(path, rows, rows, "beta1 alpha no", 5).collect()
+    assert len(found) == 5 and all(r.snippet.startswith("x ") and "Alpha w" in r.snippet and r.video_id % 3 == 1 for r in found)
+    assert search.search(path, rows, rows, "a no").count() == 0 and search.search(path, rows, rows, "unheard").count() == 0
+    assert search.search_note("beta1 alpha") is None and "no" in search.search_note("alpha no") and "cannot match" in search.search_note("a no")
 
 
 def test_outcomes(spark):
@@ -99,19 +175,127 @@ def test_outcomes(spark):
     assert {r.claimed_by for r in catalog.release_leases(videos, "w").collect()} == {None}
 
 
-def test_word_batches_in_order(spark):
+@pytest.mark.parametrize("partitions", ["1", "4", "37"])
+def test_word_batches_in_order(spark, partitions):
+    """Equal to the fold, whatever the blocks: hot and small phases, items without words, above the budget, and null."""
     rng = random.Random(3)
-    rows = [(p, k, f"{p}{k}", rng.randint(0, 60)) for p in ("a", "b", None) for k in range(500)]
+    rows = [(p, k, f"{p}{k}", rng.choice((0, 0, None, rng.randint(1, 60), 250))) for p, n in (("a", 3000), ("b", 400), (None, 300), ("c", 1)) for k in range(n)]
+    rows += [("d", k, f"d{k}", w) for k, w in enumerate([0, 0, 500, 0, 0, 100, 1, 0, 99, 101, 101])]
     rng.shuffle(rows)
-    got = {r.video_id: r.batch for r in reports.work_batches(spark.createDataFrame(rows, "phase string, pos long, video_id string, words long"), 100).collect()}
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    spark.conf.set("spark.sql.shuffle.partitions", partitions)
+    try:
+        got = {r.video_id: r.batch for r in reports.work_batches(spark.createDataFrame(rows, "phase string, pos long, video_id string, words long"), 100).collect()}
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
     want, state = {}, {}
     for p, _, v, words in sorted(rows, key=lambda r: (str(r[0]), r[1])):
         batch, total = state.get(p, (0, 0))
+        words = words or 0
         batch, total = (batch + 1, words) if total > 0 and total + words > 100 else (batch, total + words)
         want[v], state[p] = batch, (batch, total)
     assert got == want
 
 
+def _stored(spark, n=60):
+    at = lambda h: datetime.datetime(2024, 5, 1) + datetime.timedelta(hours=h)
+    rows = [(i, f"c{i % 3}", ("metadata_ok", "retry", "discovered", "transcript_ok")[i % 4], at(-i) if i % 7 else None, at(i % 5 - 2) if i % 3 else None) for i in range(n)]
+    videos = spark.createDataFrame(rows, "video_id long, channel_id string, status string, published_at timestamp, next_attempt_at timestamp")
+    return videos, spark.createDataFrame([("c0", True), ("c1", True), ("c2", False)], "channel_id string, is_enabled boolean")
+
+
+def test_claimers_get_disjoint_sets(spark, tmp_path):
+    """Six at once, again and again, until two turns in a row gave nothing: every claimable video once."""
+    videos, channels = _stored(spark)
+    base, now, got = f"file://{tmp_path}/c", "2024-05-01 00:00:00", {}
+    catalog.claim_batch(videos, channels, base, "first", now, 0)
+
+    def work(name):
+        got[name] = []
+        while batch := [r.video_id for r in catalog.claim_batch(videos, channels, base, name, now, 3, 600).collect()]:
+            got[name] += batch
+
+    workers = [threading.Thread(target=work, args=(f"w{i}",)) for i in range(6)]
+    [w.start() for w in workers]
+    [w.join() for w in workers]
+    claimed = [v for ids in got.values() for v in ids]
+    free = {r.video_id for r in videos.where("channel_id <> 'c2' and status in ('metadata_ok', 'retry') and (next_attempt_at is null or next_attempt_at <= '2024-05-01 00:00:00')").collect()}
+    assert len(claimed) == len(set(claimed)) and set(claimed) == free
+    leases = {r.video_id: r.claimed_by for r in merges.read_snapshot(spark, base, "leases").collect()}
+    assert leases == {v: w for w, ids in got.items() for v in ids}
+    held = catalog.with_leases(videos, base)
+    assert {r.video_id for r in held.where("lease_expires_at = '2024-05-01 00:10:00'").collect()} == free
+
+
+def test_claims_by_rule(spark, tmp_path):
+    videos, channels = _stored(spark)
+    now = "2024-05-01 00:00:00"
+    ids = lambda base, **how: [r.video_id for r in catalog.claim_batch(videos, channels, f"file://{tmp_path}/{base}", "w", how.pop("at", now), how.pop("n", 100), **how).collect()]
+    plain = ids("a")
+    assert ids("a") == [] and len(plain) > 10
+    assert ids("a", at="2024-05-01 00:20:00", n=4) == plain[:4]  # expired leases are free again before any reaper runs
+    assert set(ids("b", unhydrated=True)) - set(plain) == {r.video_id for r in videos.where("channel_id <> 'c2' and status = 'discovered' and (next_attempt_at is null or next_attempt_at <= '2024-05-01')").collect()}
+    assert {v % 3 for v in ids("c", channel="c2")} == {2}  # a disabled channel, if it is named
+    rows = {r.video_id: r.published_at for r in videos.collect()}
+    order = [(rows[v] is not None, rows[v], v) for v in plain]
+    assert order == sorted(order)
+    state = videos.withColumns({"status_reason": F.lit(None).cast("string"), "attempts": F.lit(1), "recheck_count": F.lit(0), "needs_audio": F.lit(False), "recheck_after": F.lit(None).cast("timestamp"), "claimed_by": F.lit(None).cast("string"), "lease_expires_at": F.lit(None).cast("timestamp")})
+    blocked = spark.createDataFrame([(13, 1, "blocked")], "video_id long, id long, outcome string").select("*", F.lit(now).cast("timestamp").alias("started_at"), *(F.lit(None).cast(t).alias(c) for c, t in {"target": "string", "reason": "string", "needs_audio": "boolean", "recheck": "boolean", "retry_after": "long", "max_attempts": "int"}.items()))
+    after = merges.apply_outcomes(state.where("video_id = 13"), blocked)
+    assert after.first().status == "retry" and after.first().next_attempt_at is None
+    assert catalog.due(after.withColumn("live_broadcast_content", F.lit("none")), now).first().why == "retry"
+    assert [r.video_id for r in catalog.claim_batch(after, channels, f"file://{tmp_path}/d", "w", now).collect()] == [13]
+
+
+def test_commits_of_two_writers(spark, tmp_path):
+    base = f"file://{tmp_path}/s"
+    assert merges.write_snapshot(spark.range(1), base, "t", after=-1)
+    assert not merges.write_snapshot(spark.range(2), base, "t", after=-1) and merges.read_snapshot(spark, base, "t").count() == 1
+    add = [threading.Thread(target=merges.commit, args=(spark, base, "t", lambda rows, k=k: rows.unionByName(spark.range(k, k + 1)))) for k in range(10, 16)]
+    [a.start() for a in add]
+    [a.join() for a in add]
+    assert sorted(r.id for r in merges.read_snapshot(spark, base, "t").collect()) == [0, *range(10, 16)] and merges.last_snapshot(spark, base, "t")[0] == 6
+    assert len([f for f in (tmp_path / "s" / "t-pointers").iterdir() if f.suffix == ".json"]) == 7 and not [f for f in (tmp_path / "s" / "t-pointers").iterdir() if len(f.name) == 33]
+
+
+def _files(folder):
+    return {str(f.relative_to(folder)): f.stat().st_mtime_ns for f in folder.rglob("*.parquet") if f.is_file()}
+
+
+def test_a_small_update_leaves_other_parts_alone(spark, tmp_path):
+    path = f"file://{tmp_path}/t"
+    rows = spark.range(5000).select("id", F.lit("old").alias("title"), F.lit(1).alias("n"))
+    merges.write_parts(rows, path, ["id"], 32)
+    before = _files(tmp_path / "t")
+    updates = spark.createDataFrame([(7, "new"), (8, None), (99_999, "fresh")], "id long, title string")
+    hit = merges.merge_parts(path, updates, ["id"], {"title": merges.new_if_known}, 32, defaults={"n": F.lit(0)})
+    after = _files(tmp_path / "t")
+    parts = lambda files: {f.split("/")[0] for f in files}
+    changed = parts(f for f in before if after.get(f) != before[f])
+    assert 1 <= hit <= 3 and len(changed) == hit and len(before) == 32 and parts(after) == parts(before)
+    got = {r.id: (r.title, r.n) for r in spark.read.parquet(path).collect()}
+    assert len(got) == 5001 and got[7] == ("new", 1) and got[8] == ("old", 1) and got[99_999] == ("fresh", 0)
+    assert merges.merge_parts(path, updates.limit(0), ["id"], {}, 32) == 0 and _files(tmp_path / "t") == after
+    with pytest.raises(Exception, match="(?i)merge"):  # the given catalogue's tables know no MERGE INTO; the plan is made and refused
+        rows.write.mode("overwrite").option("path", f"file://{tmp_path}/m").saveAsTable("merged_videos")
+        merges.merge_table("merged_videos", updates, ["id"], {"title": merges.new_if_known}, {"n": F.lit(0)})
+    spark.sql("DROP TABLE merged_videos")
+
+
+def test_retention_drops_days(spark, tmp_path):
+    path = f"file://{tmp_path}/log"
+    log = spark.range(240).select("id", F.col("id").alias("video_id"), (F.lit("2024-01-01").cast("timestamp") + F.make_dt_interval(F.lit(0), F.col("id").cast("int"))).alias("started_at"))
+    merges.write_attempts(log.union(spark.createDataFrame([(999, 1, None)], log.schema)), path)
+    before = _files(tmp_path / "log")
+    assert merges.retain_attempts(spark, path, "2024-01-08 12:00:00", 3) == (4, 1)
+    after = _files(tmp_path / "log")
+    days = lambda files: {f.split("/")[0][4:] for f in files}
+    assert days(before) - days(after) == {f"2024-01-0{d}" for d in range(1, 5)}
+    assert {f for f in before if after.get(f) == before[f]} == {f for f in before if f.split("/")[0][4:] > "2024-01-05"}
+    assert sorted(r.id for r in spark.read.parquet(path).collect()) == [*range(108, 240), 999]
+    assert merges.retain_attempts(spark, path, "2024-01-08 12:00:00", 3)[0] == 0
+
+
 def test_a_cluster_without_a_shared_folder_is_refused():
     session = SimpleNamespace(conf=SimpleNamespace(get=lambda key, default: default), sparkContext=SimpleNamespace(master="local-cluster[2,1,1024]"))
     with pytest.raises(ValueError, match="spark.checkpoint.dir"):

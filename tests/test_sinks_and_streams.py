@@ -44,12 +44,14 @@ def test_audio_queue_and_plan(spark, tmp_path):
     total = sinks.export_audio_queue(v.videos, f"file://{tmp_path}/queue").first()
     assert spark.read.json(f"file://{tmp_path}/queue").count() == total.videos == v.videos.where("needs_audio").count()
     sinks.write_plan(f"file://{tmp_path}/plan", a=spark.range(3), b=spark.range(4))
-    assert spark.read.parquet(f"file://{tmp_path}/plan/b").count() == 4
+    assert sinks.read_plan(spark, f"file://{tmp_path}/plan", "b").count() == 4
+    sinks.write_plan(f"file://{tmp_path}/plan", a=spark.range(9))
+    assert sinks.read_plan(spark, f"file://{tmp_path}/plan", "a").count() == 9
 
 
 def test_corpus_and_archive(spark, tmp_path):
     v = Views(spark, DATA)
-    nested = corpus.nested(v.cues).select("video_id", F.inline(corpus.paragraphs(F.col("cues"), 20)))
+    nested = corpus.paragraphs(v.cues, 20)
     manifest = v.videos.select("video_id", "title", "duration_seconds").limit(60).withColumn("word_count", F.lit(10))
     sinks.write_corpus(nested, manifest, f"file://{tmp_path}/corpus")
     found = spark.read.parquet(f"file://{tmp_path}/corpus/manifest")
@@ -106,8 +108,7 @@ def test_discovery_is_incremental(spark, tmp_path):
     base, source = f"file://{tmp_path}/state", tmp_path / "in"
     source.mkdir()
     schema = "video_id string, channel_id string, title string, published_at timestamp"
-    merges.write_snapshot(spark.createDataFrame([("v0", "c", "old", None, "transcript_ok")], f"{schema}, status string"), base, "videos")
-    merges.write_snapshot(spark.createDataFrame([], "channel_id string, newest timestamp"), base, "marks")
+    jobs.write_discovered(spark.createDataFrame([("v0", "c", "old", None, "transcript_ok")], f"{schema}, status string"), spark.createDataFrame([], "channel_id string, newest timestamp"), base)
 
     def feed(name, items):
         (source / name).write_text("\n".join(json.dumps(dict(zip(("video_id", "channel_id", "title", "published_at"), i))) for i in items))
@@ -119,12 +120,82 @@ def test_discovery_is_incremental(spark, tmp_path):
     assert got == {"v0": ("new", "transcript_ok"), "v1": ("one", "discovered")}
     got = feed("2.json", [("v9", "c", "unseen, older than the mark", "2023-01-01T00:00:00Z"), ("v1", "c", "seen, older", "2024-01-01T00:00:00Z"), ("v2", "c", "two", "2024-02-01T00:00:00Z"), ("v3", "d", "undated", None)])
     assert set(got) == {"v0", "v1", "v2", "v3", "v9"} and got["v1"][0] == "one"
-    assert merges.read_snapshot(spark, base, "marks").where("channel_id = 'c'").first().newest.month == 2
+    assert jobs.marks_before(spark, base).where("channel_id = 'c'").first().newest.month == 2
     jobs.compact(spark, base)
     assert {r.video_id: (r.title, r.status) for r in jobs.discovered(spark, base).collect()} == got
     assert set(feed("3.json", [("v4", "d", "four", "2024-03-01T00:00:00Z")])) == {*got, "v4"}
 
 
+def test_a_batch_of_discovery_counts_once(spark, tmp_path):
+    """A step that runs again, after it wrote or after it broke off, and before or after a compaction, changes nothing."""
+    base, schema = f"file://{tmp_path}/state", "video_id string, channel_id string, title string, published_at timestamp"
+    at = lambda day: f"2024-01-{day:02d} 00:00:00"
+    rows = lambda *items: spark.createDataFrame(items, "video_id string, channel_id string, title string, published_at string").withColumn("published_at", F.col("published_at").cast("timestamp"))
+    jobs.write_discovered(rows(("v0", "c", "old", at(1))).withColumn("status", F.lit("transcript_ok")), spark.createDataFrame([], "channel_id string, newest timestamp"), base)
+    state = lambda: sorted(map(tuple, jobs.discovered(spark, base).collect()))
+    marks = lambda: sorted(map(tuple, jobs.marks_before(spark, base).collect()))
+    first, second = rows(("v0", "c", "new", at(5)), ("v1", "c", "one", at(4))), rows(("v0", "c", "newer", at(9)), ("v1", "c", "old news", at(3)), ("v2", "d", "two", None))
+    jobs.discovery_step(first, 0, base)
+    once = state(), marks()
+    assert {r[0]: r[2] for r in once[0]} == {"v0": "new", "v1": "one"}
+    jobs.discovery_step(first, 0, base)
+    assert (state(), marks()) == once
+    jobs.discovery_step(second, 1, base)
+    twice = state(), marks()
+    assert {r[0]: r[2] for r in twice[0]} == {"v0": "newer", "v1": "one", "v2": "two"}
+    for folder in (tmp_path / "state" / "videos-batches" / "batch=1").iterdir():  # a writer that died between deleting and writing
+        if folder.name.startswith("part="):
+            [f.unlink() for f in folder.iterdir()]
+    jobs.discovery_step(second, 1, base)
+    assert (state(), marks()) == twice
+    jobs.compact(spark, base)
+    assert (state(), marks()) == twice and merges.last_snapshot(spark, base, "videos")[2] == 0
+    for number, batch in ((0, first), (1, second), (1, second)):
+        jobs.discovery_step(batch, number, base)
+        assert (state(), marks()) == twice
+    seen = spark.read.parquet(merges.last_snapshot(spark, base, "videos")[1]).where(F.col("part") == 3).select("video_id")
+    assert "PartitionFilters: [isnotnull(part" in seen._jdf.queryExecution().toString()  # one folder of ids is read, not all
+
+
+def test_timers_of_the_live_state_survive_a_restart(spark, tmp_path):
+    """Leases, retries and rechecks that were set by one run of the stream fire in the next, each once."""
+    (tmp_path / "in").mkdir()
+    kinds = {"video_id": "long", "id": "long", "started_at": "timestamp", "outcome": "string", "target": "string", "reason": "string", "needs_audio": "boolean", "recheck": "boolean", "max_attempts": "int", "next_at": "timestamp", "recheck_at": "timestamp", "worker": "string", "lease_until": "timestamp"}
+    at = lambda h, m=0: f"2024-05-01T{h:02d}:{m:02d}:00Z"
+
+    def feed(name, *rows):
+        (tmp_path / "in" / name).write_text("\n".join(json.dumps({"video_id": v, "id": i, "started_at": t, "outcome": o, **more}) for v, i, t, o, more in rows))
+        return run()
+
+    def run():
+        stream = jobs.live_videos(spark.readStream.schema(", ".join(f"{c} {k}" for c, k in kinds.items())).json(f"file://{tmp_path}/in"))
+        with jobs.with_rocksdb(spark):
+            writer = stream.writeStream.outputMode("update").foreachBatch(lambda df, n: df.write.mode("append").parquet(f"file://{tmp_path}/out"))
+            writer.option("checkpointLocation", f"file://{tmp_path}/at").trigger(availableNow=True).start().awaitTermination()
+        rows = spark.read.parquet(f"file://{tmp_path}/out").collect()
+        last = {r.video_id: max((x for x in rows if x.video_id == r.video_id), key=lambda x: x.version) for r in rows}
+        return last, sorted((r.video_id, r.fired) for r in rows if r.fired)
+
+    lease = lambda w, h, m=0: {"worker": w, "lease_until": at(h, m)}
+    last, fired = feed(
+        "1.json",
+        (1, 1, at(10), "claim", lease("w1", 10, 5)),
+        (2, 2, at(10), "claim", lease("w1", 10, 5)),
+        (3, 3, at(10), "retryable", {"reason": "slow", "max_attempts": 5, "next_at": at(10, 30)}),
+        (4, 4, at(10), "terminal", {"target": "no_transcript", "reason": "none", "needs_audio": True, "recheck": True, "recheck_at": at(10, 40)}),
+        (5, 5, at(10), "claim", lease("w2", 23)),
+    )
+    assert fired == [] and (last[1].status, last[1].claimed_by) == ("metadata_ok", "w1") and last[3].next_attempt_at is not None
+    last, fired = feed("2.json", (2, 6, at(10, 3), "ok", {}), (9, 7, at(12), "blocked", {}))
+    assert fired == [(1, "lease"), (3, "retry"), (4, "recheck")]
+    assert (last[1].status, last[1].status_reason, last[1].claimed_by, last[1].lease_expires_at) == ("retry", "lease of w1 expired", None, None)
+    assert (last[2].status, last[2].claimed_by) == ("transcript_ok", None)
+    assert (last[3].status, last[3].next_attempt_at) == ("retry", None)
+    assert (last[4].status, last[4].recheck_count, last[4].recheck_after, last[4].needs_audio) == ("metadata_ok", 1, None, True)
+    assert (last[5].claimed_by, last[5].lease_expires_at.hour) == ("w2", 23)
+    assert run()[1] == fired  # a restart without news fires nothing again
+
+
 def test_streams_equal_batches(spark):
     v = Views(spark, DATA)
     stream = jobs.events_stream(spark, DATA)
