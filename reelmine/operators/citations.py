@@ -118,6 +118,16 @@ def _(v: Views) -> DataFrame:
     return rows.select("video_id", F.array_join(F.array_sort(F.transform("marks", lambda m: m["id"])), ",").alias("marks"))
 
 
+@query(
+    "e17_dated_index",
+    f"WITH {_CHAPTERS}, m AS (SELECT video_id, string_agg(seconds || ' ' || id, ',' ORDER BY seconds, id) AS marks FROM (SELECT DISTINCT id FROM ci) JOIN v_cards USING (id) GROUP BY video_id) SELECT m.video_id, title, published_at, marks FROM m LEFT JOIN v_videos USING (video_id)",
+)
+def _(v: Views) -> DataFrame:
+    """With titles, dates, and the marks of a video in time order."""
+    rows, _ = source_index(chapters(v), v.cards, v.videos)
+    return rows.select("video_id", "title", "published_at", F.array_join(F.transform("marks", lambda m: F.concat_ws(" ", m["seconds"].cast("string"), m["id"])), ",").alias("marks"))
+
+
 @query(
     "e18_coverage_figures",
     f"""WITH {_CHAPTERS} SELECT (SELECT count(*) FROM v_videos) AS archive, (SELECT count(DISTINCT video_id) FROM v_cards WHERE video_id IN (SELECT video_id FROM v_videos)) AS processed,

@@ -142,6 +142,29 @@ def _(v: Views) -> DataFrame:
     return found.groupBy("conv_id", "start", "duration").agg(F.count("*").alias("cues"))
 
 
+@query("a03_vtt_texts", r"""SELECT conv_id, CAST(turn * 7 AS DOUBLE) AS "start", 4.5 AS duration, regexp_replace('x ' || text, '\s+|-->', ' ', 'g') AS text FROM conversations WHERE trim(text) <> ''""")
+def _(v: Views) -> DataFrame:
+    clock = lambda s: F.format_string("%02d:%02d:%02d,%03d", F.floor(s / 3600), F.floor(s / 60) % 60, F.floor(s) % 60, F.floor(s * 1000) % 1000)
+    s, number = F.col("turn") * 7, F.col("turn").cast("string")
+    block = F.concat(number, F.lit("\r\n"), clock(s), F.lit(" --> "), clock(s + 4.5), F.lit("\r\n"), F.regexp_replace(F.concat(F.lit("x "), "text"), r"\s+|-->", " "))
+    rows = v.raw("conversations").where("trim(text) <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", block.alias("block")))).alias("b"))
+    files = rows.select("conv_id", F.array_join(F.transform("b", lambda x: x["block"]), "\r\n\r\n").alias("content"))
+    return files.select("conv_id", F.explode(vtt_cues(F.col("content"))).alias("c")).select("conv_id", "c.*")
+
+
+@query("a02_json_shapes", """SELECT conv_id, CAST(turn * 7 AS DOUBLE) AS "start", CAST(turn + 1 AS DOUBLE) / 2 AS duration, text FROM conversations WHERE text <> ''""")
+def _(v: Views) -> DataFrame:
+    """A list of segments, an archive, or timed events with two pieces of text, by the conversation."""
+    rows = v.raw("conversations").where("text <> ''").groupBy("conv_id").agg(F.array_sort(F.collect_list(F.struct("turn", "text"))).alias("t"))
+    segment = lambda x: F.struct(x["text"].alias("text"), (x["turn"] * 7).alias("start"), ((x["turn"] + 1) / 2).alias("duration"))
+    pieces = lambda t: F.array(F.struct(F.left(t, F.lit(3)).alias("utf8")), F.struct(F.substring(t, 4, 100_000).alias("utf8")))
+    event = lambda x: F.struct((x["turn"] * 7000).alias("tStartMs"), ((x["turn"] + 1) * 500).alias("dDurationMs"), pieces(x["text"]).alias("segs"))
+    segments = F.transform("t", segment)
+    shape = F.col("conv_id") % 3
+    content = F.when(shape == 0, F.to_json(segments)).when(shape == 1, F.to_json(F.struct(F.lit("v").alias("video_id"), segments.alias("segments")))).otherwise(F.to_json(F.struct(F.transform("t", event).alias("events"))))
+    return rows.select("conv_id", F.explode(json_cues(content)).alias("c")).select("conv_id", "c.*")
+
+
 @query(
     "a05_text_cues",
     r"""WITH l AS (SELECT doc_id AS file, unnest(string_split(text, chr(10))) AS line, unnest(range(0, len(string_split(text, chr(10))))) AS pos FROM documents),

@@ -103,6 +103,27 @@ def side_map(spark: SparkSession, path: str, value: str) -> DataFrame:
     return text.select(F.explode(F.from_json("value", f"map<string,{value}>")))
 
 
+@query(
+    "a07_full_details",
+    """SELECT 'v' || page_id AS video_id, left(html, 700) AS description, CASE WHEN page_id % 5 <> 0 THEN 'PT' || page_id % 60 || 'M' END AS duration, CASE WHEN page_id % 2 = 0 THEN page_id * 3 END AS like_count, page_id % 4 AS comment_count, CASE WHEN page_id % 3 <> 0 THEN 'a,' || page_id END AS tags,
+      CASE WHEN page_id % 2 = 0 THEN 'public' ELSE 'private' END AS privacy, 'processed' AS upload, page_id % 6 = 0 AS was_livestream, left(repeat(url, 40), 512) AS title FROM pages""",
+)
+def _(v: Views) -> DataFrame:
+    n = F.col("page_id")
+    text = lambda c: c.cast("string")
+    item = F.struct(
+        F.concat(F.lit("v"), text(n)).alias("id"),
+        F.struct(F.repeat("url", F.lit(40)).alias("title"), F.left("html", F.lit(700)).alias("description"), F.when(n % 3 != 0, F.array(F.lit("a"), text(n))).alias("tags")).alias("snippet"),
+        F.struct(F.when(n % 5 != 0, F.concat(F.lit("PT"), text(n % 60), F.lit("M"))).alias("duration")).alias("contentDetails"),
+        F.struct(F.when(n % 2 == 0, text(n * 3)).otherwise("hidden").alias("likeCount"), text(n % 4).alias("commentCount")).alias("statistics"),
+        F.struct(F.when(n % 2 == 0, "public").otherwise("private").alias("privacyStatus"), F.lit("processed").alias("uploadStatus")).alias("status"),
+        F.when(n % 6 == 0, F.struct(F.lit("2024-03-01T12:00:00Z").alias("actualStartTime"))).alias("liveStreamingDetails"),
+    )
+    rows = v.raw("pages").select(F.to_json(F.struct(F.array(item).alias("items"))).alias("payload"))
+    found = video_details("payload", rows)
+    return found.select("video_id", "description", "duration", "like_count", "comment_count", F.array_join("tags", ",").alias("tags"), "privacy", "upload", "was_livestream", "title")
+
+
 @query(
     "a07_video_details",
     """SELECT 'v' || page_id AS video_id, url AS title, TIMESTAMP '2024-03-01 10:00:00' AS published_at, CASE WHEN page_id % 4 <> 0 THEN page_id * 10 END AS view_count,

@@ -268,12 +268,14 @@ def test_citation_findings(spark):
     long = "word " * 40
     docs = [
         ("dangling", "[EV-0009] ok"), ("uncited", f"# H\n\n{long}"), ("gap", f"# What the archive does not cover\n\n{long}"), ("note", "# H\n\n> **Editor's note** lonely"), ("anchored", "# H\n\nshort [EV-0001]\n\n> **Editor's note** fine"),
-        ("reset", "# H\n\nshort [EV-0001]\n\n# Next\n\n> **Editor's note** lonely"), ("quote", '"' + "w " * 16 + '" [EV-0001]'), ("number", "gain of 42% [EV-0001]"), ("traced", "gain of 7% [EV-0001]"), ("code", f"```\n{long}\n\n{long}\n```"),
+        ("reset", "# H\n\nshort [EV-0001]\n\n# Next\n\n> **Editor's note** lonely"), ("quote", '"' + "w " * 16 + '" [EV-0001]'), ("number", "gain of 42% [EV-0001]"), ("traced", "gain of 7% [EV-0001]"), ("condition", "gain of 12% [EV-0001]"), ("code", f"```\n{long}\n\n{long}\n```"),
     ]
-    df, cards = spark.createDataFrame(docs, "doc string, text string"), spark.createDataFrame([("EV-0001", 1, "rise of 7", "a")], "id string, video_id long, claim string, anchor string")
+    df, cards = spark.createDataFrame(docs, "doc string, text string"), spark.createDataFrame([("EV-0001", 1, "rise of 7", "a", "only above 12 %"), ("EV-0002", 1, "b", "b", None)], "id string, video_id long, claim string, anchor string, conditions string")
     found = citations.findings(df, cards)
     got = {(r.doc, r.finding) for r in found.collect()}
     assert got == {("dangling", "dangling"), ("uncited", "uncited"), ("note", "unanchored note"), ("reset", "unanchored note"), ("quote", "long quote"), ("number", "untraced number")}
+    without = {(r.doc, r.finding) for r in citations.findings(df, cards.drop("conditions")).collect()}
+    assert without == got | {("condition", "untraced number")}
     verdict = {r.doc: r.verdict for r in citations.gate(df, found).collect()}
     assert verdict["number"] == "WARN" and verdict["quote"] == "FAIL" and verdict["traced"] == "PASS"
     assert {r.doc: r.verdict for r in citations.gate(df, found, strict=True).collect()}["number"] == "FAIL"

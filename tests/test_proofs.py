@@ -115,6 +115,31 @@ def ranked(texts, query, limit):
     return sorted(((v, x) for v, x in score.items() if x > 0), key=lambda r: (-r[1], r[0]))[:limit]
 
 
+def test_a_common_key_is_met_in_parts(spark):
+    """The same pairs as a join, and no part of a hot key has much more than its share."""
+    x = spark.range(5000).select(F.when(F.col("id") % 3 == 0, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("a"))
+    y = spark.range(0, 5000, 7).select(F.when(F.col("id") % 2 == 0, 0).otherwise(F.col("id")).alias("key"), F.col("id").alias("b"))
+    met = staging.join_in_parts(x, y, ["key"], "a", 100)
+    assert met.exceptAll(x.join(y, "key").select(met.columns)).isEmpty() and met.count() == x.join(y, "key").count()
+    sizes = [r["count"] for r in x.where("key = 0").groupBy(F.pmod(F.xxhash64("a"), F.lit(-(-1667 // 100)))).count().collect()]
+    assert len(sizes) == 17 and max(sizes) < 200
+    assert staging.join_in_parts(x.limit(0), y, ["key"], "a").count() == 0 == staging.join_in_parts(x, y.limit(0), ["key"], "a").count()
+
+
+def test_titles_that_share_a_common_gram(spark):
+    """A third of the titles begins alike; the pairs are those of the plain ratio."""
+    rng = random.Random(12)
+    titles = sorted({("the best of " if i % 3 == 0 else "") + " ".join(rng.choice(["market", "orders", "trade", "plan", "risk", "gold"]) + rng.choice("abc") for _ in range(rng.randint(1, 3))) for i in range(260)})
+    df = spark.createDataFrame([(t, i) for i, t in enumerate(titles)], "title string, rank int")
+    got = {(r.a, r.b) for r in corpus.similar_titles(df, 0.86).collect()}
+    want = set()
+    for i, a in enumerate(titles):
+        for b in titles[i + 1 :]:
+            if abs(len(a) - len(b)) <= 0.4 * max(len(a), len(b)) and SequenceMatcher(None, a, b).ratio() >= 0.86:
+                want.add((a, b))
+    assert got == want and len(want) > 50
+
+
 def test_an_index_follows_its_transcripts(spark, tmp_path, monkeypatch):
     """After additions, replacements and deletions it finds what plain counting over the texts finds, and old files stay as they are."""
     monkeypatch.setattr(search, "BLOCK", 8)
