@@ -56,6 +56,9 @@ def test_edges(spark):
     assert kept.columns == d.columns
     want = sorted(str(r[0]) for r in brute(docs, items) if not r[5])
     assert sorted(str(r.doc_id) for r in kept.collect()) == want
+    named = d.withColumns({"key": d.doc_id, "__key": d.doc_id, "__rid": d.doc_id, "rid": d.doc_id})
+    kept = clean_rows(named, b)
+    assert kept.columns == named.columns and sorted(str(r["__key"]) for r in kept.collect()) == sorted(str(r["rid"]) for r in kept.collect()) == want
 
 
 def test_proximity(spark):

@@ -83,6 +83,16 @@ def test_lm_edges(spark):
     assert lm_score.score(docs.limit(0), *lm_score.train(docs.limit(0), docs.limit(0))).count() == 0
 
 
+def test_lm_scores_repeated_rows_alike(spark):
+    """Rows that repeat an id and a text have one score; an id with two texts has two; null ids are scored."""
+    text = "one two three one two"
+    docs = spark.createDataFrame([(1, text), (1, text), (1, "one other text two three"), (None, text), (2, text)], "doc_id long, text string").repartition(3)
+    target = spark.createDataFrame([(text,), ("one two",)], "text string")
+    rows = lm_score.score(docs, *lm_score.train(target, docs)).collect()
+    assert len(rows) == 5 and len({r.score for r in rows if r.doc_id in (None, 2)}) == 1
+    assert sorted(r.n_tokens for r in rows) == [5] * 5 and len({r.score for r in rows if r.doc_id == 1}) == 2
+
+
 def test_lm_vocabulary_grows_with_the_corpora(spark):
     word = lambda k: f"w{k:05d}"
     common = " ".join(word(k) for k in range(3000)) + " "
