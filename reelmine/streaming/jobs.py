@@ -232,14 +232,22 @@ def _parsed(value: Column) -> list[Column]:
 def chunk_tail(chunks: DataFrame) -> DataFrame:
     """(log, seq, level, event, raw) of logs that arrive in pieces (log, part, content), each part what was appended since the one
     before. A line is given when its end has come; a half-written one is held back in the log's state with the number of its next
-    line, so a tail goes on where it stopped. Blank lines have a number but no row; a part that comes again is ignored."""
+    line, so a tail goes on where it stopped. Blank lines have a number but no row; a part that comes again is ignored. What a task
+    holds of a log is what a micro-batch brings of it, so bound these (``maxBytesPerTrigger``) where a log grows fast."""
     kinds = dict(chunks.dtypes)
 
     def run(key: tuple, frames: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
         rows = pd.concat(list(frames)).sort_values("part").drop_duplicates("part")
         seq, last, rest = state.get if state.exists else (0, None, "")
         rows = rows if last is None else rows[rows["part"] > last]
-        *lines, rest = (rest + "".join(rows["content"].fillna(""))).split("\n")
+        lines, held = [], [rest]  # the pieces of the line that is still open
+        for content in rows["content"].fillna(""):
+            first, *more = content.split("\n")
+            held.append(first)
+            if more:
+                lines += ["".join(held), *more[:-1]]
+                held = more[-1:]
+        rest = "".join(held)
         state.update((seq + len(lines), int(rows["part"].iloc[-1]) if len(rows) else last, rest))
         yield pd.DataFrame({"log": key[0], "seq": np.arange(seq + 1, seq + len(lines) + 1), "value": lines})
 
@@ -425,14 +433,14 @@ def _(v: Views) -> DataFrame:
 
 @query(
     "l02_log_tail",
-    """SELECT run_id AS log, row_number() OVER (PARTITION BY run_id ORDER BY id) AS seq, CASE WHEN id % 3 = 0 THEN 'info' ELSE outcome END AS level, CASE WHEN id % 3 = 0 THEN 'broken ' || id ELSE 'e' || id END AS event, id % 3 = 0 AS raw FROM v_attempts""",
+    """SELECT video_id AS log, row_number() OVER (PARTITION BY video_id ORDER BY id) AS seq, CASE WHEN id % 3 = 0 THEN 'info' ELSE outcome END AS level, CASE WHEN id % 3 = 0 THEN 'broken ' || id ELSE 'e' || id END AS event, id % 3 = 0 AS raw FROM v_attempts""",
 )
 def _(v: Views) -> DataFrame:
     i = F.col("id").cast("string")
     line = F.when(F.col("id") % 3 == 0, F.concat(F.lit("broken "), i)).otherwise(F.concat(F.lit('{"level":"'), "outcome", F.lit('","event":"e'), i, F.lit('"}')))
     # each line comes in two pieces, cut inside
     pieces = F.array(F.struct((F.col("id") * 2).alias("part"), F.left(line, F.lit(6)).alias("content")), F.struct((F.col("id") * 2 + 1).alias("part"), F.concat(F.substring(line, 7, 10_000), F.lit("\n")).alias("content")))
-    return drained(chunk_tail(events_stream(v.spark, v.sf_dir).select(F.col("run_id").alias("log"), F.inline(pieces))))
+    return drained(chunk_tail(events_stream(v.spark, v.sf_dir).select(F.col("video_id").alias("log"), F.inline(pieces))))
 
 
 @query(

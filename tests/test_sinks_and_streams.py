@@ -104,6 +104,18 @@ def test_half_written_lines_are_held_back(spark, tmp_path):
     assert feed((4, "\n"))[-1] == (4, "info", "odd", True)
 
 
+def test_a_hot_log_and_small_ones(spark, tmp_path):
+    """One log has nearly all lines, in pieces cut anywhere, out of order; a line may take many pieces."""
+    (tmp_path / "in").mkdir()
+    whole = {"hot": "\n".join(f'{{"event": "e{i}"}}' if i % 7 else "x" * (i % 50) for i in range(20_000)) + "\n", **{f"small{k}": f"only {k}\n" for k in range(30)}}
+    rows = [{"log": log, "part": k, "content": text[at : at + 97]} for log, text in whole.items() for k, at in enumerate(range(0, len(text), 97))]
+    rows.reverse()
+    (tmp_path / "in" / "1.json").write_text("\n".join(map(json.dumps, rows)))
+    got = jobs.drained(jobs.chunk_tail(spark.readStream.schema("log string, part long, content string").json(f"file://{tmp_path}/in"))).collect()
+    lines = {log: [(n + 1, x) for n, x in enumerate(text.split("\n")[:-1]) if x.strip()] for log, text in whole.items()}
+    assert {(r.log, r.seq, r.event) for r in got} == {(log, n, json.loads(x)["event"] if x.startswith("{") else x) for log, some in lines.items() for n, x in some} and len(got) == sum(map(len, lines.values()))
+
+
 def test_discovery_is_incremental(spark, tmp_path):
     base, source = f"file://{tmp_path}/state", tmp_path / "in"
     source.mkdir()
