@@ -102,14 +102,17 @@ def kept_rows(documents: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     digest = F.unhex(F.sha2(normal(text) if normal else text, 256))
     groups = grouped(refined(documents, id_col, text_col, normal, {"digest": lambda t: F.unhex(F.sha2(t, 256))}))
     groups = table(groups.where("group_size > 1 and row = keep_row").select(F.col("digest").alias("__digest"), F.col("keep_id").alias("__keep_id")), "kept")
-    docs = documents.withColumn("__own", digest)
-    if not groups.limit(HOT_GROUPS + 1).count() > HOT_GROUPS:
+    own = "__own"
+    while own in documents.columns:
+        own += "_"
+    if groups.limit(HOT_GROUPS + 1).count() <= HOT_GROUPS:
         groups = F.broadcast(groups)
-    met = docs.join(groups, F.col("__own") == F.col("__digest"), "left")
-    once = met.where("__digest is null").select(*(F.col(f"`{c}`") for c in documents.columns))
-    same = met.where(F.col("__digest").isNotNull() & F.col(id_col).cast("long").eqNullSafe(F.col("__keep_id")))
-    one = same.groupBy("__digest").agg(F.min(F.struct(*(F.col(f"`{c}`") for c in documents.columns))).alias("__row"))
-    return once.unionByName(one.select("__row.*"))
+    met = documents.withColumn(own, digest).alias("d").join(groups.alias("g"), F.col(f"d.{own}") == F.col("g.__digest"), "left")
+    columns = [F.col(f"d.`{c}`").alias(c) for c in documents.columns]
+    once = met.where("g.__digest is null").select(*columns)
+    same = met.where(F.col("g.__digest").isNotNull() & F.col(f"d.{id_col}").cast("long").eqNullSafe(F.col("g.__keep_id")))
+    one = same.groupBy(F.col("g.__digest").alias("digest")).agg(F.any_value(F.struct(*columns)).alias("row"))
+    return once.unionByName(one.select("row.*"))
 
 
 def op11_exact_dedup(spark, sf_dir: str) -> DataFrame:

@@ -54,6 +54,14 @@ def test_small_bitmaps_and_hot_groups(spark, monkeypatch):
     assert kept_rows(docs).count() == len({t for _, t in rows})
 
 
+def test_kept_rows_carry_any_columns(spark):
+    """Maps, which have no order, and names that the operator uses itself."""
+    docs = spark.createDataFrame([(1, "a"), (2, "a"), (2, "a"), (3, "b"), (None, None), (None, "")], "doc_id long, text string")
+    docs = docs.withColumns({c: F.create_map(F.lit("k"), F.col("doc_id")) for c in ("__own", "__digest", "__keep_id", "digest", "row")})
+    kept = kept_rows(docs)
+    assert kept.dtypes == docs.dtypes and sorted(((r.doc_id, r["__own"]["k"]) for r in kept.collect()), key=str) == [(2, 2), (3, 3), (None, None)]
+
+
 def test_normal_form(spark):
     docs = spark.createDataFrame([(1, "A  b"), (2, "a b"), (3, "c")], "doc_id long, text string")
     found = exact_duplicates(docs, normal=lambda t: F.regexp_replace(F.lower(t), r"\s+", " "), carry={"t": lambda t: t})
