@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 import math
+from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
+import numpy as np
 import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
@@ -15,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import clean_caption, clock, collapse, corpus_body, duration_seconds, norm_title, short_text, words
 from ..plans.registry import query
-from ..plans.staging import join_in_parts, table
+from ..plans.staging import shuffled, table
 from ..plans.views import Views
 from .catalog import folded
 
@@ -242,52 +244,103 @@ def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
     return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
 
 
-def _unmatched(a: Column, b: Column, q: int, threshold: float) -> Column:
-    """Grams of q characters of a text of length ``a`` that one of length ``b`` may lack, at most, if the two are as similar as
-    ``threshold``: each character without a partner takes q of them, each gap in the partner q - 1."""
-    half = threshold * (a + b) / 2  # matched characters, at least
-    return F.floor(q * (a - half) + (q - 1) * (b - half) + 1e-9)
+#: Titles of a block; words of 64 bits that tell a title's bigrams, and its characters.
+TITLES, GRAM_WORDS, CHAR_WORDS = 8192, 8, 4
 
 
-def similar_titles(titles: DataFrame, threshold: float = 0.86) -> DataFrame:
+def _marks(units: list[int], words: int) -> int:
+    """A bit for each unit, the second of a kind another than the first; kinds may share a bit."""
+    seen, out = Counter(), 0
+    for u in units:
+        seen[u] += 1
+        out |= 1 << (((u << 6 | min(seen[u], 63)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) % (64 * words)
+    return out
+
+
+def _title_blocks(most: int):
+    """Blocks of ``most`` titles that lie together, from (id, title): their ids, lengths and marks."""
+
+    def block(rows: list[tuple[int, str]]) -> pa.RecordBatch:
+        ids, sizes, marks = np.array([i for i, _ in rows], np.int64), np.array([len(t) for _, t in rows], np.int32), []
+        for _, t in rows:
+            codes = [ord(c) for c in t]
+            marks.append(_marks([x << 21 | y for x, y in zip(codes, codes[1:])], GRAM_WORDS).to_bytes(8 * GRAM_WORDS, "little") + _marks(codes, CHAR_WORDS).to_bytes(8 * CHAR_WORDS, "little"))
+        columns = [[int(ids[0])], [int(sizes.min())], [int(sizes.max())], [ids.tobytes()], [sizes.tobytes()], [b"".join(marks)]]
+        return pa.RecordBatch.from_pydict(dict(zip(("block", "lo", "hi", "ids", "sizes", "marks"), columns)), pa.schema([("block", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "marks"))]))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows: list[tuple[int, str]] = []
+        for batch in batches:
+            for row in zip(batch.column("id").to_pylist(), batch.column("title").to_pylist()):
+                rows.append(row)
+                if len(rows) == most:
+                    yield block(rows)
+                    rows = []
+        if rows:
+            yield block(rows)
+
+    return run
+
+
+def _block_pairs(threshold: float):
+    """Of one or two blocks the pairs (x, y) of ids whose bounds reach the threshold."""
+
+    def common(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
+        """Units that two texts have in common, at most: what of a has no mark in b has no partner there."""
+        both = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.int16)
+        for k in range(a.shape[-1]):
+            both += np.bitwise_count(a[..., k] & b[..., k])
+        spare = lambda m, n: n - np.bitwise_count(m).sum(axis=-1, dtype=np.int32)
+        return both + np.minimum(spare(a, na), spare(b, nb))
+
+    def run(blocks: pa.Table) -> pa.Table:
+        sides = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["marks"], np.uint64).reshape(-1, GRAM_WORDS + CHAR_WORDS)) for r in blocks.to_pylist()]
+        (ia, la, ma), (ib, lb, mb) = sides[0], sides[-1]
+        gb, xs, ys = np.ascontiguousarray(mb[:, :GRAM_WORDS]), [], []
+        for lo in range(0, len(ia), 64):
+            rows, size = np.s_[lo : lo + 64], la[lo : lo + 64, None] + lb[None]
+            pairs = common(ma[rows, None, :GRAM_WORDS], gb[None], la[rows, None] - 1, lb[None] - 1)
+            # M matched characters are n + m - 2 M + 1 runs at most, and a run of k has k - 1 bigrams
+            near = 2 * (pairs + size + 1) >= 3 * (threshold * size - 1e-6)
+            if len(sides) == 1:
+                near &= np.arange(lo, lo + len(size))[:, None] < np.arange(len(ib))[None]
+            x, y = np.nonzero(near)
+            x += lo
+            chars = common(ma[x, GRAM_WORDS:], mb[y, GRAM_WORDS:], la[x], lb[y])
+            good = 2 * np.minimum(chars, np.minimum(la[x], lb[y])) >= threshold * (la[x] + lb[y]) - 1e-6
+            xs.append(ia[x[good]])
+            ys.append(ib[y[good]])
+        return pa.table({"x": pa.array(np.concatenate(xs), pa.int64()), "y": pa.array(np.concatenate(ys), pa.int64())})
+
+    return run
+
+
+def similar_titles(titles: DataFrame, threshold: float = 0.86, block: int = TITLES) -> DataFrame:
     """(a, b) with a before b, from (title, rank): pairs whose similarity reaches the threshold.
 
-    All follows from the threshold: lengths differ by a factor of at most (2 - t) / t, and of a title's grams a similar one lacks
-    no more than ``_unmatched``, so two similar titles share one of the rarest of that many and one more. Repeated grams count as
-    different ones. What shares a common gram meets in parts. Grams have three characters where that leaves at least one to share, and one character where a title is too
-    short for that. Members that meet are compared by bit maps of their bigrams before the costly ratio; nothing is lost by it."""
-    t, length = threshold, F.length("title")
-    reach = (2 - t) / t
-    most = lambda q: F.greatest(*(_unmatched(length, length * x, q, t) for x in (1 / reach, reach)))
-    worst = max((3 - 2.5 * t) + (2 - 2.5 * t) * x for x in (1 / reach, reach))
-    shortest = math.ceil(3 / (1 - worst) + 1e-9) if worst < 1 else None  # below it a title may share no trigram
-
-    def keyed(q: int, rows: DataFrame) -> DataFrame:
-        places = F.sequence(F.lit(1), F.greatest(F.lit(1), length - (q - 1)))
-        grams = rows.select("title", F.explode(F.transform(places, lambda i: F.substring(F.col("title"), i, F.lit(q)))).alias("gram"))
-        grams = grams.groupBy("title", "gram").agg(F.count("*").alias("n")).select("title", F.explode(F.transform(F.sequence(F.lit(1), F.col("n")), lambda k: F.struct("gram", k.alias("nth")))).alias("key"))
-        grams = table(grams.select("title", F.lit(q).alias("q"), "key"), "grams")
-        often = grams.groupBy("key").agg(F.count("*").alias("often")).where("often > 1")
-        own = F.count("*").over(Window.partitionBy("title"))
-        rank = F.row_number().over(Window.partitionBy("title").orderBy("often", "key"))
-        known = grams.join(often, "key").withColumn("place", rank + F.greatest(F.lit(1), length - (q - 1)) - own)  # grams without a second title come first
-        return known.where(F.col("place") <= most(q) + 1).select("title", "q", "key")
-
-    bits = "transform(array_distinct(transform(sequence(1, greatest(1, length(title) - 1)), i -> substring(title, i, 2))), g -> pmod(xxhash64(g), 256))"
-    maps = [F.expr(f"aggregate(filter(bits, x -> x div 64 = {k}), 0L, (m, x) -> m | shiftleft(1L, int(x % 64)))").alias(f"m{k}") for k in range(4)]
-    facts = table(titles.where("title <> ''").withColumn("bits", F.expr(bits)).select("title", "rank", *maps), "title-maps")
-    longer = facts.where(length >= shortest) if shortest else facts.limit(0)
-    shorter = facts.where(length < shortest * reach) if shortest else facts
-    rows = table(keyed(3, longer).unionByName(keyed(1, shorter)).join(facts, "title"), "title-keys")
-    x, y = (rows.select("q", "key", *(F.col(c).alias(f"{p}_{c}") for c in facts.columns)) for p in ("a", "b"))
-    la, lb = F.length("a_title"), F.length("b_title")
-    near = (F.greatest(la, lb) <= F.least(la, lb) * reach + 1e-9) & (F.col("a_rank") < F.col("b_rank"))
-    near &= (F.abs(la - lb) <= 0.4 * F.greatest(la, lb)) & (F.when(F.least(la, lb) < (shortest or 1 << 30), 1).otherwise(3) == F.col("q"))
-    for p, o, n, m in (("a", "b", la, lb), ("b", "a", lb, la)):
-        lacks = sum((F.bit_count(F.col(f"{p}_m{k}").bitwiseAND(F.bitwise_not(F.col(f"{o}_m{k}")))) for k in range(4)), F.lit(0))
-        near &= lacks <= _unmatched(n, m, 2, t)
-    pairs = join_in_parts(x, y, ["q", "key"], "a_title").where(near).select(F.col("a_title").alias("a"), F.col("a_rank").alias("ra"), F.col("b_title").alias("b"), F.col("b_rank").alias("rb")).distinct()
-    return table(pairs, "title-pairs").where(ratio("a", "b") >= threshold)
+    At such thresholds two similar titles may share a small part of their grams only, so that keys which suffice for a proof let nearly
+    all titles meet. Titles lie in blocks by length, a task compares two blocks by bit maps of bigrams and characters, whose
+    bounds lose nothing, and only what passes is joined to its texts for the costly ratio. Blocks whose lengths are too far apart
+    (a factor of more than (2 - t) / t) don't meet. The work is quadratic, of some ten nanoseconds a pair; a task holds two blocks."""
+    facts = table(titles.where("title <> ''").withColumn("id", F.monotonically_increasing_id()), "title-ids")
+    reach = (2 - threshold) / threshold if threshold > 0 else math.inf
+    if threshold >= 1:  # equal ones only
+        met = facts.select(F.col("id").alias("x"), "title").join(shuffled(facts.select(F.col("id").alias("y"), "title")), "title").where("x < y").select("x", "y")
+    else:
+        laid = facts.select("id", "title").orderBy(F.length("title"), "title")
+        blocks = table(laid.mapInArrow(_title_blocks(block), "block long, lo int, hi int, ids binary, sizes binary, marks binary"), "title-blocks")
+        i, j = (blocks.select(*(F.col(c).alias(f"{c}{n}") for c in ("block", "lo", "hi"))) for n in "ij")
+        meet = (F.col("blocki") <= F.col("blockj")) & (F.col("loi") <= F.col("hij") * reach + 1e-9) & (F.col("loj") <= F.col("hii") * reach + 1e-9)
+        places = i.join(F.broadcast(j), meet).select("blocki", "blockj", F.explode(F.array_distinct(F.array("blocki", "blockj"))).alias("block"))  # three numbers for each block
+        every = blocks.select("block", "ids", "sizes", "marks").join(F.broadcast(places), "block")
+        tasks = every.repartition(F.col("blocki"), F.col("blockj"))
+        met = tasks.groupBy("blocki", "blockj").applyInArrow(_block_pairs(threshold), "x long, y long")
+    met = table(met, "title-pairs")
+    x, y = (facts.select(F.col("id").alias(p), F.struct("rank", "title").alias(f"t{p}")) for p in "xy")
+    both = met.join(shuffled(x), "x").join(shuffled(y), "y").select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b")).where("a.rank < b.rank")
+    pairs = both.select(F.col("a.title").alias("a"), F.col("a.rank").alias("ra"), F.col("b.title").alias("b"), F.col("b.rank").alias("rb"))
+    la, lb = F.length("a"), F.length("b")
+    return pairs.where(F.abs(la - lb) <= 0.4 * F.greatest(la, lb)).repartition("a", "b").where(ratio("a", "b") >= threshold)
 
 
 def cluster_titles(videos: DataFrame, threshold: float = 0.86) -> DataFrame:
@@ -301,27 +354,27 @@ def cluster_titles(videos: DataFrame, threshold: float = 0.86) -> DataFrame:
     done = None
     free = buckets.select("title", "rank")
     while True:
-        live = edges.join(free.select(F.col("title").alias("a")), "a", "left_semi").join(free.select(F.col("title").alias("b")), "b", "left_semi")
+        live = edges.join(shuffled(free.select(F.col("title").alias("a"))), "a", "left_semi").join(shuffled(free.select(F.col("title").alias("b"))), "b", "left_semi")
         first = live.groupBy("b").agg(F.min("ra").alias("first"))
-        state = table(free.join(first, free.title == first.b, "left").select("title", "rank", F.col("first.title").alias("head")), "round")
+        state = table(free.join(shuffled(first), free.title == first.b, "left").select("title", "rank", F.col("first.title").alias("head")), "round")
         starts = state.where("head is null")
-        taken = state.join(starts.select(F.col("title").alias("head")), "head", "left_semi").select("title", F.col("head").alias("cluster"))
+        taken = state.join(shuffled(starts.select(F.col("title").alias("head"))), "head", "left_semi").select("title", F.col("head").alias("cluster"))
         new = starts.select("title", F.col("title").alias("cluster")).unionByName(taken)
         done = new if done is None else done.unionByName(new)
-        free = table(state.join(new.select("title"), "title", "left_anti").select("title", "rank"), "free")
+        free = table(state.join(shuffled(new.select("title")), "title", "left_anti").select("title", "rank"), "free")
         if free.isEmpty():
-            return rows.join(table(done, "clusters"), "title", "left").select("video_id", "cluster")
+            return rows.join(shuffled(table(done, "clusters")), "title", "left").select("video_id", "cluster")
 
 
 def prune_plan(videos: DataFrame, drop_pattern: str, min_words: int = 250, threshold: float = 0.86) -> DataFrame:
     """(video_id, class, weight): ephemera by title, then duplicates of a cluster, thin or deep representatives with their weight."""
     eph = videos.where(F.coalesce(F.col("title"), F.lit("")).rlike(f"(?i){drop_pattern}")) if drop_pattern else videos.limit(0)
-    rest = videos.join(eph.select("video_id"), "video_id", "left_anti")
+    rest = videos.join(shuffled(eph.select("video_id")), "video_id", "left_anti")
     groups = cluster_titles(rest, threshold).withColumn("cluster", F.coalesce("cluster", F.concat(F.lit("\x00"), F.col("video_id").cast("string"))))
-    both = groups.join(rest.select("video_id", "words"), "video_id")
+    both = groups.join(shuffled(rest.select("video_id", "words")), "video_id")
     best = both.groupBy("cluster").agg(F.max_by("video_id", F.struct("words", (-F.col("video_id")).alias("v"))).alias("best"), F.count("*").alias("weight"))
     kind = F.when(F.col("video_id") != F.col("best"), "duplicate").when(F.col("words") >= min_words, "deep").otherwise("thin")
-    planned = both.join(best, "cluster").select("video_id", kind.alias("class"), F.when(F.col("video_id") == F.col("best"), F.col("weight")).alias("weight"))
+    planned = both.join(shuffled(best), "cluster").select("video_id", kind.alias("class"), F.when(F.col("video_id") == F.col("best"), F.col("weight")).alias("weight"))
     return planned.unionByName(eph.select("video_id", F.lit("ephemera").alias("class"), F.lit(None).cast("long").alias("weight")))
 
 
