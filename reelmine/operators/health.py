@@ -10,13 +10,17 @@ from pyspark.sql import functions as F
 from ..plans.registry import query
 from ..plans.staging import shared_dir, table
 from ..plans.views import AS_OF, Views
-from ..sinks import below, write_files
+from ..sinks import hashed_files, listed_files, write_files
+
+
+#: Folders of the queries' files.
+FOLDERS = 256
 
 
 def files(spark: SparkSession, root: str, content: bool = False) -> DataFrame:
     """(path below root, length, sha256 if asked for) of all files; contents are read only for the hash."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return rows.select(below(F.col("path"), root).alias("path"), "length", *([F.sha2("content", 256).alias("sha256")] if content else []))
+    rows = listed_files(spark, root)
+    return hashed_files(rows, root) if content else rows
 
 
 def reconcile(rows: DataFrame, found: DataFrame) -> DataFrame:
@@ -56,14 +60,17 @@ def health(videos: DataFrame, state: DataFrame, bad: DataFrame, as_of: str) -> D
 
 def _tables(v: Views) -> tuple[DataFrame, DataFrame]:
     """Rows that name a path and a hash for each document, and the files that were written: some are lacking, some have another content,
-    some are left over. The folder's name holds what means something in a pattern."""
+    some are left over. The folder's name holds what means something in a pattern. Files are dealt to ``FOLDERS`` folders by their path, so
+    that no folder holds all of them."""
     i, text = F.col("video_id"), F.col("text")
     d = v.raw("documents").select(F.col("doc_id").alias("video_id"), F.concat(F.lit("c/"), F.col("doc_id").cast("string")).alias("path"), "text")
     written = d.where(i % 10 != 0).select("path", F.when(i % 7 == 0, F.concat(text, F.lit("!"))).otherwise(text).alias("text"))
     more = d.where(i % 10 == 1).select(F.concat("path", F.lit(".tmp")).alias("path"), "text")
     root = f"{shared_dir(v.spark)}/raw+(1).d-{uuid.uuid4().hex}"
-    write_files(written.unionByName(more).select("path", F.col("text").cast("binary").alias("content")), root)
-    return d.select("video_id", "path", F.sha2("text", 256).alias("raw_sha256")), table(files(v.spark, root, True), "listing")
+    place = F.concat(F.pmod(F.xxhash64("path"), F.lit(FOLDERS)).cast("string"), F.lit("/"), "path")
+    write_files(written.unionByName(more).select(place.alias("path"), F.col("text").cast("binary").alias("content")), root)
+    found = files(v.spark, root, True).withColumn("path", F.regexp_replace("path", r"^\d+/", ""))
+    return d.select("video_id", "path", F.sha2("text", 256).alias("raw_sha256")), table(found, "listing")
 
 
 _FILES = """fl AS (SELECT 'c/' || doc_id AS path, CASE WHEN doc_id % 10 = 0 THEN 'missing file' ELSE 'ok' END AS state, CASE WHEN doc_id % 10 <> 0 THEN strlen(text) + CAST(doc_id % 7 = 0 AS BIGINT) END AS length FROM documents UNION ALL SELECT 'c/' || doc_id || '.tmp', 'orphan file', strlen(text) FROM documents WHERE doc_id % 10 = 1)"""

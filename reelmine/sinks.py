@@ -3,9 +3,9 @@
 from __future__ import annotations
 
 import gzip
+import hashlib
 import uuid
 from collections.abc import Iterator
-from urllib.parse import urlparse
 
 import pandas as pd
 import pyarrow as pa
@@ -88,10 +88,59 @@ def write_files(rows: DataFrame, base: str) -> int:
     return rows.select("path", "content").mapInArrow(run, "n long").agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
 
 
-def below(path: Column, root: str) -> Column:
-    """What of a file's path follows its root folder, whatever characters that has."""
-    part = urlparse(root).path.rstrip("/") + "/"
-    return F.substring(path, F.instr(path, part) + len(part), F.length(path))
+def _store(root: str) -> tuple[fs.FileSystem, str]:
+    return fs.FileSystem.from_uri(root if "://" in root else root.replace(":", "://", 1))
+
+
+def listed_files(spark: SparkSession, root: str) -> DataFrame:
+    """(path below root, length) of all files, without those that are hidden (a name that begins with a dot or an underscore). Folders
+    are listed by tasks, a level at a time; the driver holds no list. A task holds what lies directly in one folder."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        base = base.rstrip("/")
+        for batch in batches:
+            for folder in batch.column("folder").to_pylist():
+                found = [x for x in store.get_file_info(fs.FileSelector(f"{base}/{folder}".rstrip("/"))) if x.base_name[:1] not in ("_", ".")]
+                for lo in range(0, len(found), 10_000):
+                    some = found[lo : lo + 10_000]
+                    is_folder = pa.array([x.type == fs.FileType.Directory for x in some], pa.bool_())
+                    yield pa.RecordBatch.from_arrays([pa.array([x.path[len(base) + 1 :] for x in some], pa.string()), pa.array([x.size for x in some], pa.int64()), is_folder], names=["path", "length", "is_folder"])
+
+    out, level = None, spark.createDataFrame([("",)], "folder string")
+    while folders := level.count():
+        found = table(level.repartition(min(folders, 4 * spark.sparkContext.defaultParallelism), "folder").mapInArrow(run, "path string, length long, is_folder boolean"), "files")
+        files = found.where("not is_folder").select("path", "length")
+        out = files if out is None else out.unionByName(files)
+        level = found.where("is_folder").select(F.col("path").alias("folder"))
+    return out
+
+
+#: Files that a task reads, about, and bytes of a batch of them.
+READ, READ_BYTES = 5000, 4 << 20
+
+
+def _dealt(files: DataFrame) -> DataFrame:
+    """Files in even parts, wherever they were listed."""
+    return files.repartition(max(files.sparkSession.sparkContext.defaultParallelism, files.count() // READ), "path")
+
+
+def hashed_files(files: DataFrame, root: str) -> DataFrame:
+    """``listed_files`` with the sha256 of each; a file is read in pieces where its row lies."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        for batch in batches:
+            found = []
+            for path in batch.column("path").to_pylist():
+                digest = hashlib.sha256()
+                with store.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as file:
+                    while piece := file.read(1 << 20):
+                        digest.update(piece)
+                found.append(digest.hexdigest())
+            yield pa.RecordBatch.from_arrays([batch.column("path"), batch.column("length"), pa.array(found, pa.string())], names=["path", "length", "sha256"])
+
+    return _dealt(files).mapInArrow(run, "path string, length long, sha256 string")
 
 
 def export_per_video(rows: DataFrame, path: str) -> int:
@@ -198,8 +247,22 @@ def _(v: Views) -> DataFrame:
 
 def _read_files(spark: SparkSession, root: str) -> DataFrame:
     """(path below root, text) of files."""
-    rows = spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root)
-    return rows.select(below(F.col("path"), root).alias("path"), F.col("content").cast("string").alias("text"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = _store(root)
+        some = lambda: pa.RecordBatch.from_arrays([pa.array([p for p, _ in held], pa.string()), pa.array([c for _, c in held], pa.binary())], names=["path", "content"])
+        held, size = [], 0
+        for batch in batches:
+            for path in batch.column("path").to_pylist():
+                with store.open_input_stream(f"{base.rstrip('/')}/{path}", compression=None) as file:
+                    held.append((path, file.read()))
+                size += len(held[-1][1])
+                if size >= READ_BYTES:
+                    yield some()
+                    held, size = [], 0
+        yield some()
+
+    return _dealt(listed_files(spark, root)).mapInArrow(run, "path string, content binary").select("path", F.col("content").cast("string").alias("text"))
 
 
 @query(
