@@ -110,6 +110,8 @@ def fetch_cards(cards: DataFrame, manifest: DataFrame, topics: list[str] | None
 
 #: Similarities from which a window makes an anchor near, and from which it is worth a repair.
 NEAR, REPAIR = 0.75, 0.7
+#: Anchors that a task compares with their bodies, about.
+COMPARED = 500
 
 
 class Windows:
@@ -184,13 +186,17 @@ def common_run(anchor: pd.Series, span: pd.Series) -> pd.Series:
 def check_anchors(cards: DataFrame, bodies: DataFrame) -> DataFrame:
     """(id, verdict, repaired): exact, fragments, near, missing or no transcript; near misses (0.7 or more) get the longest common
     run of 20 characters or more. Anchors and bodies are compared in Unicode normal form C. Only anchors that the exact steps leave
-    over reach Python, and only they carry a body on."""
+    over reach Python, and only they carry a body on. They are dealt to as many tasks as their number asks for: their files are small,
+    the comparison is not."""
     text, anchor = F.col("body"), collapse(composed(F.coalesce("anchor", F.lit(""))))
     rows = cards.select("id", "video_id", anchor.alias("a")).join(bodies.select("video_id", corpus_body(F.col("body")).alias("body")), "video_id", "left")
     parts = F.filter(F.transform(F.split("a", r"\.\.\.|…"), lambda p: F.trim(p)), lambda p: F.length(p) > 8)
     quick = F.when(text.isNull(), "no transcript").when(F.col("a") == "", "missing").when(F.contains(text, F.col("a")), "exact").when((F.size(parts) > 0) & F.forall(parts, lambda p: F.contains(text, p)), "fragments")
-    rows = rows.withColumn("verdict", quick).select("id", "verdict", F.when(F.col("verdict").isNull(), F.col("a")).alias("a"), F.when(F.col("verdict").isNull(), text).alias("body"))
-    rows = table(rows, "anchors").withColumn("w", best_windows("a", "body"))
+    rows = rows.withColumn("verdict", quick).select("id", "video_id", "verdict", F.when(F.col("verdict").isNull(), F.col("a")).alias("a"), F.when(F.col("verdict").isNull(), text).alias("body"))
+    rows = table(rows, "anchors")
+    parts = max(rows.sparkSession.sparkContext.defaultParallelism, rows.where("verdict is null").count() // COMPARED)
+    dealt = rows.repartition(parts, "video_id", F.pmod(F.xxhash64("id"), F.lit(8))).sortWithinPartitions("video_id")
+    rows = dealt.withColumn("w", best_windows("a", "body"))
     run = F.when(F.col("w.score") >= REPAIR, common_run("a", F.col("w.span")))
     verdict = F.coalesce("verdict", F.when(F.col("w.near") >= NEAR, "near").otherwise("missing"))
     return rows.withColumn("run", run).select("id", verdict.alias("verdict"), F.when((F.length("run") >= 20) & F.contains("body", "run"), F.col("run")).alias("repaired"))
