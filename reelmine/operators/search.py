@@ -1,8 +1,7 @@
 """Full-text search over a stored index that follows its transcripts.
 
-The index is a folder of generations. Each holds what one change brought: postings in blocks of a term (a term's videos in the order
-of their ids, with the greatest count of the block), the terms of its videos, changes of document counts by term, and the ids whose
-earlier postings it voids. A generation counts from the moment its number is committed; nothing that is written is written again,
+The index is a folder of generations. Each holds what one change brought: postings in blocks of a term (with the greatest count of the
+block), the terms of its videos, changes of document counts by term, and the ids whose earlier postings it voids. A generation counts from the moment its number is committed; nothing that is written is written again,
 until ``compact_index`` makes a new index of it. Postings lie in folders by a hash of the term, so a search reads its words' folders
 only, and of these the blocks that can hold one of the best."""
 
@@ -14,7 +13,9 @@ import re
 import uuid
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -31,12 +32,37 @@ SHORTEST = 3
 
 
 def tokens(text: Column) -> Column:
-    return F.filter(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), lambda w: w != "")
+    return F.array_remove(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), "")
 
 
-def inverted_index(transcripts: DataFrame) -> DataFrame:
-    """(term, video_id, tf) of all transcripts."""
-    return transcripts.select("video_id", F.explode(tokens(F.col("plaintext"))).alias("term")).groupBy("term", "video_id").agg(F.count("*").alias("tf"))
+def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The distinct tokens of each row and how often it has each; a row without a list has neither."""
+    for batch in batches:
+        tokens = batch.column("tokens")
+        coded = tokens.flatten().dictionary_encode()
+        kinds, n = max(1, len(coded.dictionary)), len(batch)
+        row = np.repeat(np.arange(n), pc.list_value_length(tokens).fill_null(0).to_numpy(zero_copy_only=False))
+        key, tf = np.unique(row * kinds + coded.indices.to_numpy(zero_copy_only=False), return_counts=True)
+        at, none = pa.array(np.searchsorted(key, np.arange(n + 1) * kinds), pa.int32()), tokens.is_null()
+        columns = [pa.ListArray.from_arrays(at, x, mask=none) for x in (coded.dictionary.take(pa.array(key % kinds)), pa.array(tf, pa.int64()))]
+        yield pa.RecordBatch.from_arrays([batch.column("video_id"), batch.column("part"), *columns], names=["video_id", "part", "terms", "tfs"])
+
+
+def forward_index(transcripts: DataFrame) -> DataFrame:
+    """(video_id, part, terms, tfs) of transcripts: the distinct terms of each and their counts, without a shuffle; null text has none."""
+    rows = transcripts.select("video_id", part_of(["video_id"], PARTS).alias("part"), tokens(F.col("plaintext")).alias("tokens"))
+    return rows.mapInArrow(_counted, f"video_id {dict(transcripts.dtypes)['video_id']}, part int, terms array<string>, tfs array<long>")
+
+
+def one_text(changed: DataFrame) -> DataFrame:
+    """(video_id, plaintext), one row for an id: of rows that repeat it the greatest text. Only texts of repeated ids are shuffled."""
+    rows = changed.where("video_id is not null").select("video_id", "plaintext")
+    again = table(rows.groupBy("video_id").count().where("count > 1").select("video_id"), "repeated")
+    if again.isEmpty():
+        return rows
+    again = small(again)
+    most = rows.join(again, "video_id", "left_semi").groupBy("video_id").agg(F.max("plaintext").alias("plaintext"))
+    return rows.join(again, "video_id", "left_anti").unionByName(most)
 
 
 def _folder(term: Column) -> Column:
@@ -44,21 +70,22 @@ def _folder(term: Column) -> Column:
 
 
 def _blocks(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Runs of at most BLOCK postings of a term, from rows (folder, term, video_id, tf) in this order."""
+    """Runs of at most BLOCK postings of a term, those of one batch of rows (video_id, terms, tfs) in their order."""
     for batch in batches:
-        term = batch.column("term").to_pylist()
-        cuts, lo = [], 0
-        for i in range(1, len(term) + 1):
-            if i == len(term) or term[i] != term[lo] or i - lo == BLOCK:
-                cuts.append((lo, i))
-                lo = i
-        at = pa.array([a for a, _ in cuts] + [len(term)], pa.int32())
-        tf, ids = batch.column("tf"), batch.column("video_id")
-        counts = tf.to_pylist()
-        rows = pa.array([a for a, _ in cuts], pa.int64())
+        coded = batch.column("terms").flatten().dictionary_encode()
+        code, n = coded.indices.to_numpy(zero_copy_only=False), len(coded)
+        if not n:
+            continue
+        order = np.argsort(code, kind="stable")
+        code = code[order]
+        first = np.flatnonzero(np.diff(code, prepend=-1))
+        cuts = np.flatnonzero((np.arange(n) - np.repeat(first, np.diff(first, append=n))) % BLOCK == 0)
+        row = np.repeat(np.arange(len(batch)), pc.list_value_length(batch.column("terms")).fill_null(0).to_numpy(zero_copy_only=False))
+        ids, tf = batch.column("video_id").take(pa.array(row[order])), batch.column("tfs").flatten().to_numpy()[order]
+        at = pa.array(np.append(cuts, n), pa.int32())
         yield pa.RecordBatch.from_arrays(
-            [batch.column("folder").take(rows), batch.column("term").take(rows), pa.array([max(counts[a:b]) for a, b in cuts], pa.int64()), pa.ListArray.from_arrays(at, ids), pa.ListArray.from_arrays(at, tf)],
-            names=["folder", "term", "most", "ids", "tfs"],
+            [coded.dictionary.take(pa.array(code[cuts])), pa.array(np.maximum.reduceat(tf, cuts), pa.int64()), pa.ListArray.from_arrays(at, ids), pa.ListArray.from_arrays(at, pa.array(tf, pa.int64()))],
+            names=["term", "most", "ids", "tfs"],
         )
 
 
@@ -82,27 +109,28 @@ def update_index(changed: DataFrame, path: str) -> int:
     spark = changed.sparkSession
     last = _generation(spark, path)
     now, kind = last + 1, dict(changed.dtypes)["video_id"]
-    rows = table(changed.where("video_id is not null").groupBy("video_id").agg(F.max("plaintext").alias("plaintext")), "changed")
     write = lambda df, name, *by: df.write.mode("overwrite").partitionBy(*by).parquet(f"{path}/{name}/generation={now}")
+    mine = lambda name, schema: spark.read.schema(schema).parquet(f"{path}/{name}/generation={now}")
 
-    deal = F.pmod(F.xxhash64("video_id"), F.lit(rows.count() // DEALT + 1))
-    postings = inverted_index(rows.where("plaintext is not null")).withColumn("folder", _folder(F.col("term")))
-    postings = postings.repartition("folder", deal).sortWithinPartitions("folder", "term", "video_id")
-    write(postings.select("folder", "term", "video_id", "tf").mapInArrow(_blocks, f"folder int, term string, most long, ids array<{kind}>, tfs array<long>"), "postings", "folder")
+    # each text is split once; all that follows is drawn from the forward table
+    write(forward_index(one_text(changed)).repartition("part"), "terms", "part")
+    terms = mine("terms", f"video_id {kind}, terms array<string>, tfs array<long>, part int")
+    deal = F.pmod(F.xxhash64("ids"), F.lit(terms.count() // DEALT + 1))
+    postings = terms.select("video_id", "terms", "tfs").mapInArrow(_blocks, f"term string, most long, ids array<{kind}>, tfs array<long>")
+    postings = postings.withColumn("folder", _folder(F.col("term"))).repartition("folder", deal).sortWithinPartitions("folder", "term")
+    write(postings, "postings", "folder")
 
-    parts = rows.withColumn("part", part_of(["video_id"], PARTS))
-    terms = parts.select("video_id", "part", F.when(F.col("plaintext").isNotNull(), F.array_distinct(tokens(F.col("plaintext")))).alias("terms"))
-    write(terms.repartition("part"), "terms", "part")
     schema = f"video_id {kind}, terms array<string>, part int"
     if last >= 0:
-        hit = [r[0] for r in parts.select("part").distinct().collect()]  # PARTS numbers at most
-        known = _part(spark, path, "terms", schema).where(F.col("part").isin(hit)).join(rows.select("video_id"), "video_id", "left_semi")
+        hit = [r[0] for r in terms.select("part").distinct().collect()]  # PARTS numbers at most
+        known = _part(spark, path, "terms", schema).where(F.col("part").isin(hit)).join(terms.select("video_id"), "video_id", "left_semi")
         old = known.groupBy("video_id").agg(F.max_by("terms", "generation").alias("terms")).where("terms is not null")
     else:
         old = spark.createDataFrame([], f"video_id {kind}, terms array<string>")
     old = table(old, "replaced")
     write(old.select("video_id"), "void")
-    more = terms.where("terms is not null").select(F.explode("terms").alias("term"), F.lit(1).alias("n")).unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("n")))
+    held = mine("postings", f"term string, ids array<{kind}>, folder int").select("term", F.size("ids").alias("n"))
+    more = held.unionByName(old.select(F.explode("terms").alias("term"), F.lit(-1).alias("n")))
     stats = more.groupBy("term").agg(F.sum("n").alias("n")).where("n <> 0").withColumn("folder", _folder(F.col("term")))
     write(stats.repartition("folder"), "stats", "folder")
     total = terms.agg(F.count("terms").alias("n")).unionByName(old.agg((-F.count("*")).alias("n"))).agg(F.sum("n").alias("n"))
@@ -181,7 +209,7 @@ def search(path: str, transcripts: DataFrame, videos: DataFrame, text: str, limi
     has ``limit`` rows."""
     spark, limit = transcripts.sparkSession, max(1, min(500, limit))
     found = scores(spark, path, text, limit, shortest)
-    best = F.broadcast(found if found is not None else transcripts.limit(0).select("video_id", F.lit(0.0).alias("score")))
+    best = F.broadcast(table(found, "found") if found is not None else transcripts.limit(0).select("video_id", F.lit(0.0).alias("score")))
     title = videos.select("video_id", "title", "channel_id").join(best.select("video_id"), "video_id", "left_semi")
     out = transcripts.select("video_id", "plaintext").join(best, "video_id").join(title, "video_id")
     return out.select("video_id", "score", "title", "channel_id", snippet(F.col("plaintext"), query_words(text, shortest)).alias("snippet"))

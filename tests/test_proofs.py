@@ -165,6 +165,18 @@ def test_an_index_follows_its_transcripts(spark, tmp_path, monkeypatch):
         search.update_index(put([(1, "lost")]), path)
 
 
+def test_texts_are_split_once_and_counted_where_they_lie(spark, monkeypatch):
+    texts = {1: "Beta beta, alpha!", 2: None, 3: "", 4: "gamma-beta 7 7 7", 5: "Éa éa"}
+    rows = spark.createDataFrame(list(texts.items()), "video_id long, plaintext string")
+    found = search.forward_index(rows)
+    assert "Exchange" not in found._jdf.queryExecution().executedPlan().toString()
+    assert {r.video_id: r.terms and dict(zip(r.terms, r.tfs)) for r in found.collect()} == {1: {"beta": 2, "alpha": 1}, 2: None, 3: [], 4: {"gamma": 1, "beta": 1, "7": 3}, 5: {"éa": 2}}
+    splits, tokens = [], search.tokens
+    monkeypatch.setattr(search, "tokens", lambda c: splits.append(1) or tokens(c))
+    path = search.write_index(rows.unionByName(spark.createDataFrame([(1, "Alpha beta")], rows.schema)))
+    assert len(splits) == 1 and search.scores(spark, path, "beta").orderBy("video_id").select("video_id").collect() == [(1,), (4,)]
+
+
 def test_search_takes_text_and_notes_short_words(spark):
     rows = spark.createDataFrame([(i, f"{'x ' * 200}Alpha w{i % 7} beta{i % 3}", f"t{i}", "c") for i in range(50)] + [(99, None, "none", "c")], "video_id long, plaintext string, title string, channel_id string")
     path = search.write_index(rows)
