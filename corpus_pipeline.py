@@ -17,6 +17,9 @@ from pyspark.sql import functions as F
 from reelmine.llm import bpe, decontaminate, near_dup, quality, secrets
 from reelmine.llm.common import read, table
 
+#: Characters of a chunk of the last stage: its executors hold what four stages left in them, so its chunks are smaller than usual.
+BPE_CHARS = 3_000_000
+
 
 def quality_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the weakly trained scorer accepts; it is trained on ``docs`` itself, without labels. Blank texts are rejected."""
@@ -43,7 +46,7 @@ def secrets_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFram
 
 def bpe_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """doc_id, the token count and the digests of ids and decoded text, a row for each document."""
-    return bpe.digests(docs)
+    return bpe.digests(docs, chunk_chars=BPE_CHARS)
 
 
 STAGES = [

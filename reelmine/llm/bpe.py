@@ -128,8 +128,8 @@ def _pack_ranks(x: np.ndarray) -> bytes:
 
 
 def _unpack_ranks(packed: bytes) -> np.ndarray:
-    low, high = np.frombuffer(zstandard.decompress(packed), "<u2").astype(np.int64).reshape(2, -1)
-    return high << 16 | low
+    low, high = np.frombuffer(zstandard.decompress(packed), "<u2").reshape(2, -1)
+    return high.astype(np.uint32) << np.uint32(16) | low
 
 
 CHUNKS = "chunk long, ids array<{kind}>, lengths binary, ranks binary, places binary, words binary, n_words long, sampled array<long>"
@@ -242,6 +242,7 @@ def word_table(lists: DataFrame, where: str | None = None) -> DataFrame:
 
 def _look_up(lists: pa.Table, found: pa.Table) -> pa.Table:
     """For each list of a part the ids and decoded texts of its words, in the order of the list."""
+    _load.cache_clear()  # the worker needs its tokenizer no more
     ids: dict[str, np.ndarray] = {}
     text: dict[str, str] = {}
     for r in found.to_pylist():
@@ -266,18 +267,24 @@ class Chunk:
 
     def __init__(self, rows: pa.Table, found: pa.Table) -> None:
         self.doc_ids = rows.column("ids").combine_chunks().flatten()
-        lengths, ranks = _unpack(rows.column("lengths")[0].as_py()), _unpack_ranks(rows.column("ranks")[0].as_py())
-        numbers = _unpack(rows.column("places")[0].as_py())[ranks]
+        lengths = _unpack(rows.column("lengths")[0].as_py())
+        # four bytes a word, and no list of another width beside it: these lists are as long as the chunk's texts
+        numbers = _unpack(rows.column("places")[0].as_py()).astype(np.uint32)[_unpack_ranks(rows.column("ranks")[0].as_py())]
         order = np.argsort(found.column("part").to_numpy()) if len(found) else []
         parts = lambda c: [found.column(c)[int(i)].as_py() for i in order]
         self.size = np.concatenate([np.zeros(0, np.int64), *map(_unpack, parts("sizes"))])
         self.flat = np.concatenate([np.zeros(0, np.int64), *map(_unpack, parts("ids"))])
         self.text = [t for x in parts("texts") for t in _unpack_words(x)]
-        tokens = self.size[numbers]
-        full, tokens = tokens > 0, np.concatenate([[0], np.cumsum(tokens)])
-        before, end = np.concatenate([[0], np.cumsum(full)]), np.cumsum(lengths)
-        self.n_tokens = tokens[end] - tokens[end - lengths]
-        self.numbers, self.bounds = numbers[full], list(zip(before[end - lengths].tolist(), before[end].tolist()))
+        end = np.cumsum(lengths)
+        sums = np.zeros(len(numbers) + 1, np.int64)
+        np.cumsum(self.size[numbers], out=sums[1:])
+        self.n_tokens = sums[end] - sums[end - lengths]
+        full = self.size > 0
+        if not full.all():  # words without ids are left out
+            np.cumsum(full[numbers], out=sums[1:])
+            self.numbers, self.bounds = numbers[full[numbers]], list(zip(sums[end - lengths].tolist(), sums[end].tolist()))
+        else:
+            self.numbers, self.bounds = numbers, list(zip((end - lengths).tolist(), end.tolist()))
 
     def decimal(self) -> list[str]:
         """The ids of each word in decimal, joined by spaces."""
@@ -313,6 +320,7 @@ def encoded(documents: DataFrame, per_chunk: Callable[[Chunk], pa.Table], schema
     back = asked.applyInArrow(_look_up, "of_chunk long, part int, sizes binary, ids binary, texts binary")
 
     def run(rows: pa.Table, found: pa.Table) -> pa.Table:
+        _load.cache_clear()
         out = per_chunk(Chunk(rows, found))
         release()
         return out
@@ -346,7 +354,7 @@ def decode(ids: DataFrame, where: str | None = None) -> DataFrame:
     return rows.join(text, "__row", "left").withColumn("decoded", F.coalesce("decoded", F.lit(""))).drop("__row")
 
 
-def digests(documents: DataFrame, where: str | None = None, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def digests(documents: DataFrame, where: str | None = None, id_col: str = "doc_id", text_col: str = "text", chunk_chars: int = CHUNK_CHARS) -> DataFrame:
     """doc_id, n_tokens, ids_sha256, decoded_sha256. The ids and the decoded text of a document exist only inside its chunk's task."""
 
     def out(c: Chunk) -> pa.Table:
@@ -359,7 +367,7 @@ def digests(documents: DataFrame, where: str | None = None, id_col: str = "doc_i
         return pa.table({"doc_id": c.doc_ids, "n_tokens": pa.array(c.n_tokens), "ids_sha256": pa.array(ids, pa.string()), "decoded_sha256": pa.array(decoded, pa.string())})
 
     kind = documents.schema[id_col].dataType.simpleString()
-    return encoded(documents, out, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", where, id_col, text_col)
+    return encoded(documents, out, f"doc_id {kind}, n_tokens long, ids_sha256 string, decoded_sha256 string", where, id_col, text_col, chunk_chars)
 
 
 def op5_bpe_encode_decode(spark, sf_dir: str) -> DataFrame:

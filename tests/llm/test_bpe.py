@@ -1,3 +1,7 @@
+import tracemalloc
+import numpy as np
+import pyarrow as pa
+from reelmine.llm import bpe
 import hashlib
 import random
 
@@ -61,3 +65,15 @@ def test_decode_join(spark):
 
 def test_empty(spark):
     assert digests(documents(spark).limit(0)).count() == 0
+
+
+def test_a_chunk_takes_few_bytes_for_each_word():
+    n = 1_000_000
+    rows = pa.table({"ids": [[1, 2]], "lengths": [bpe._pack(np.array([n // 2, n // 2]))], "ranks": [bpe._pack_ranks(np.arange(n) % 4)], "places": [bpe._pack(np.arange(4)[::-1])]})
+    found = pa.table({"part": [0], "sizes": [bpe._pack(np.array([1, 2, 1, 0]))], "ids": [bpe._pack(np.array([7, 8, 9, 10]))], "texts": [bpe._pack_words(["a", "b c", "d", ""])]})
+    tracemalloc.start()
+    chunk = bpe.Chunk(rows, found)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 40 * n and chunk.n_tokens.tolist() == [n // 2, n // 2]
+    assert [x[:4].tolist() for x in chunk.document_ids()] == [[10, 8, 9, 7]] * 2
