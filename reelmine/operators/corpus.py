@@ -17,7 +17,7 @@ from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import clean_caption, clock, collapse, corpus_body, duration_seconds, norm_title, short_text, words
 from ..plans.registry import query
-from ..plans.staging import shuffled, table
+from ..plans.staging import shuffled, small, table
 from ..plans.views import Views
 from .catalog import folded
 
@@ -195,23 +195,31 @@ def shingle_sets(bodies: DataFrame, n: int = 5, least: int = 10) -> DataFrame:
 def contained_clips(bodies: DataFrame, short_words: int = 500, least: float = 0.25) -> DataFrame:
     """(clip, clip_words, source, containment): the longer body that holds the largest share of a clip's shingles.
 
+    Only shingles that clips and longer bodies both have can count, so sets are cut to these. Clips whose cut sets are equal have the
+    same best source, and of sources with equal cut sets only the longest (then the smallest id) can be it: each class meets as one.
     A source that holds enough of a clip also holds one of the clip's rarest shingles, all but the needed number and one more, so
-    only those are keys and what many bodies share is none. Pairs that meet are counted on their whole sets."""
+    only those are keys and what many bodies share is none. Pairs that meet are counted on their whole cut sets."""
     sets = table(shingle_sets(bodies), "shingles")
     clips, longer = sets.where(F.col("words") <= short_words), sets.where(F.col("words") > short_words)
-    posted = longer.select(F.col("video_id").alias("source"), F.explode("g").alias("shingle"))
-    often = posted.groupBy("shingle").agg(F.count("*").alias("often"))
-    size = F.size("g")
-    keys = clips.select("video_id", size.alias("size"), F.explode("g").alias("shingle")).join(often, "shingle", "left").fillna(0, ["often"])
-    rank = F.row_number().over(Window.partitionBy("video_id").orderBy("often", "shingle"))
-    keys = keys.withColumn("rank", rank).where((F.col("rank") <= F.col("size") - F.ceil(least * F.col("size") - 1e-9) + 1) & (F.col("often") > 0))
-    pairs = table(keys.select(F.col("video_id").alias("clip"), "shingle").join(posted, "shingle").select("clip", "source").distinct(), "clip-pairs")
-    x = clips.select(F.col("video_id").alias("clip"), F.col("words").alias("clip_words"), F.col("g").alias("x"))
-    y = longer.select(F.col("video_id").alias("source"), F.col("words").alias("source_words"), F.col("g").alias("y"))
-    found = pairs.join(x, "clip").join(y, "source").select("clip", "clip_words", "source", "source_words", F.size("x").alias("shingles"), F.size(F.array_intersect("x", "y")).alias("shared"))
-    best = Window.partitionBy("clip").orderBy(F.desc("shared"), F.desc("source_words"), "source")
-    top = found.where(F.col("shared") >= least * F.col("shingles")).withColumn("rn", F.row_number().over(best)).where("rn = 1")
-    return top.select("clip", "clip_words", "source", F.round(F.col("shared") / F.col("shingles"), 3).alias("containment"))
+    held = clips.select(F.col("video_id").alias("clip"), F.col("words").alias("clip_words"), F.size("g").alias("shingles"), F.explode("g").alias("shingle"))
+    posted = longer.select(F.col("video_id").alias("source"), F.col("words").alias("source_words"), F.explode("g").alias("shingle"))
+    often = shuffled(posted.groupBy("shingle").agg(F.count("*").alias("often")))
+    often = small(table(often.join(shuffled(held.select("shingle").distinct()), "shingle", "left_semi"), "shared-shingles"))
+    digest = lambda g: F.sha2(F.array_join(F.transform(g, lambda x: x.cast("string")), ","), 256)
+    x = held.join(often, "shingle").groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("x"), F.first("clip_words").alias("clip_words"), F.first("shingles").alias("shingles"))
+    x = table(x.withColumn("set", digest(F.col("x.shingle"))), "clip-sets")
+    y = posted.join(often.select("shingle"), "shingle").groupBy("source").agg(F.array_sort(F.collect_list("shingle")).alias("y"), F.first("source_words").alias("source_words"))
+    y = y.groupBy(digest(F.col("y")).alias("of")).agg(F.min(F.struct((-F.col("source_words")).alias("w"), "source")).alias("s"), F.first("y").alias("y"))
+    y = table(y.select("of", (-F.col("s.w")).alias("source_words"), "s.source", "y"), "source-sets")
+    one = table(x.groupBy("set").agg(F.first("x").alias("x"), F.min("shingles").alias("fewest")), "clip-classes")
+    most = F.size("x") - F.ceil(least * F.col("fewest") - 1e-9).cast("int") + 1
+    keys = one.where(most > 0).select("set", F.explode(F.slice(F.col("x.shingle"), F.lit(1), F.least(most, F.size("x")))).alias("shingle"))
+    pairs = table(keys.join(y.select("of", F.explode("y").alias("shingle")), "shingle").select("set", "of").distinct(), "clip-pairs")
+    found = pairs.join(one.select("set", F.col("x.shingle").alias("x")), "set").join(y, "of")
+    found = found.select("set", "source", "source_words", F.size(F.array_intersect("x", "y")).alias("shared"))
+    best = found.groupBy("set").agg(F.min(F.struct((-F.col("shared")).alias("n"), (-F.col("source_words")).alias("w"), "source")).alias("b"))
+    top = x.select("clip", "clip_words", "shingles", "set").join(best.select("set", "b.source", (-F.col("b.n")).alias("shared")), "set")
+    return top.where(F.col("shared") >= least * F.col("shingles")).select("clip", "clip_words", "source", F.round(F.col("shared") / F.col("shingles"), 3).alias("containment"))
 
 
 def with_titles(found: DataFrame, videos: DataFrame) -> DataFrame:

@@ -165,6 +165,16 @@ def test_an_index_follows_its_transcripts(spark, tmp_path, monkeypatch):
         search.update_index(put([(1, "lost")]), path)
 
 
+def test_copies_of_clips_and_sources_meet_once(spark, monkeypatch):
+    met, table = [], corpus.table
+    monkeypatch.setattr(corpus, "table", lambda df, name: met.append((name, out := table(df, name))) or out)
+    clip, more = [f"w{i}" for i in range(40)], [f"v{i}" for i in range(60)]
+    rows = [(i, " ".join(clip + [f"only{i}"])) for i in range(30)] + [(100 + i, " ".join(clip + more + [f"own{i}"] * (i % 3))) for i in range(30)]
+    got = corpus.contained_clips(spark.createDataFrame(rows, "video_id long, body string"), short_words=50).collect()
+    assert sorted(map(tuple, got)) == [(i, 41, 102, round(36 / 37, 3)) for i in range(30)]
+    assert dict(met)["clip-pairs"].count() == 1
+
+
 def test_texts_are_split_once_and_counted_where_they_lie(spark, monkeypatch):
     texts = {1: "Beta beta, alpha!", 2: None, 3: "", 4: "gamma-beta 7 7 7", 5: "Éa éa"}
     rows = spark.createDataFrame(list(texts.items()), "video_id long, plaintext string")
