@@ -356,3 +356,53 @@ def test_toxicity_scores_against_brute_force(spark):
     assert len(rows) > 40
     for t, found in rows.items():
         assert found == pytest.approx(score(t), abs=1e-4)
+
+
+def test_toxicity_learns_from_every_labelled_row(spark):
+    """Toxic rows have one word among the first 8,000 by the hash of their ids and another one beyond; both are found."""
+    ids = spark.range(1, 16_001).withColumnRenamed("id", "doc_id").where(~toxicity.held_out())
+    place = {r.doc_id: n for n, r in enumerate(ids.orderBy(F.xxhash64("doc_id"), "doc_id").collect())}
+    assert len(place) > 10_000
+    word = lambda i: "friend" if i % 5 else "idiot" if place[i] < 8000 else "zorkish"
+    rows = [(i, f"{near_text(i % 37)} {word(i)} {near_text(i % 31)}", "en") for i in place]
+    docs, labels = spark.createDataFrame(rows, "doc_id long, text string, lang string"), spark.createDataFrame([(i, int(i % 5 == 0)) for i in place], "doc_id long, toxic int")
+    model = toxicity.train(docs, labels, part_rows=4000)
+    new = [(-i, f"{near_text(i)} {w} {near_text(i + 1)}", "en") for i, w in enumerate(["idiot", "zorkish", "friend", "other"] * 10)]
+    scores = {r.doc_id: r.score for r in toxicity.score(spark.createDataFrame(new, docs.schema), model).collect()}
+    assert all((scores[i] >= 0.3) == ("idiot" in t or "zorkish" in t) for i, t, _ in new)
+
+
+def test_toxicity_trains_in_pieces_with_right_gradients(spark, monkeypatch):
+    """Texts in pieces have the peaks of whole texts; gradients of some parameters are those of small differences of the loss."""
+    texts = [near_text(i) * (9 if i == 3 else 1) for i in range(8)] + [""]
+    raw = "".join(texts).encode()
+    tokens, starts = toxicity.padded(np.frombuffer(raw, np.uint8), np.cumsum([0, *map(len, texts)]), toxicity.Words(toxicity.GAPS))
+    model, y = toxicity.fresh(0.4), np.arange(9) % 2.0
+    model.embedding[[toxicity.RARE, toxicity.PADDING]] = 0
+    known = model.embedding.any(axis=1)
+    whole = toxicity.peaks(model, tokens, starts)[0]
+    monkeypatch.setattr(toxicity, "PIECE", 7)
+    found, places = toxicity.peaks(model, tokens, starts)
+    for k, c in enumerate(toxicity.responses(model, tokens)[1]):
+        assert np.allclose(found[k], whole[k], atol=1e-5) and np.allclose(np.take_along_axis(c, places[k], axis=0), whole[k], atol=1e-5)
+    rows, grads = toxicity.gradients(model, known, tokens, starts, y)
+    assert not {toxicity.RARE, toxicity.PADDING} & set(rows.tolist())
+
+    def loss():
+        z = toxicity.logits(model, tokens, starts).astype(float)
+        return float((np.logaddexp(0, z) - y * z).mean())
+
+    def slope(x, at):
+        was, found = x[at], []
+        for e in (1e-2, -1e-2):
+            x[at] = was + e
+            found.append(loss())
+        x[at] = was
+        return (found[0] - found[1]) / 2e-2
+
+    busy = int(np.abs(grads[0]).sum(axis=1).argmax())
+    for k in range(toxicity.SIZE):
+        assert slope(model.embedding, (rows[busy], k)) == pytest.approx(grads[0][busy, k], abs=3e-3)
+    for k, f in enumerate(model.filters):
+        assert slope(f, (0, 1, 2)) == pytest.approx(grads[1 + k][0, 1, 2], abs=3e-3)
+    assert slope(model.weight, 5) == pytest.approx(grads[-2][5], abs=1e-3)
