@@ -3,6 +3,7 @@ de-duplication, quota. Each takes and returns streaming DataFrames, or writes in
 
 from __future__ import annotations
 
+import json
 import os
 import uuid
 from collections.abc import Iterator
@@ -120,7 +121,7 @@ class LeasedVideo(StatefulProcessor):
         self.names = [x.split(" ")[0] for x in self.FIELDS.split(", ")]
 
     def _state(self) -> dict:
-        return dict(zip(self.names, self.kept.get() if self.kept.exists() else self.FRESH))
+        return dict(zip(self.names, self.kept.get() or self.FRESH))  # one call to the store: None if there is none
 
     def _timers(self, v: dict) -> set[int]:
         """The millisecond after each moment."""
@@ -136,24 +137,25 @@ class LeasedVideo(StatefulProcessor):
         self.kept.update(tuple(v[c] for c in self.names))
         return Row(video_id=key[0], **v, fired=fired)
 
-    def _apply(self, v: dict, r: Row) -> None:
-        if r.outcome == "claim":
-            v.update(claimed_by=r.worker, lease_at=r.lease_us)
+    def _apply(self, v: dict, r: dict) -> None:
+        outcome = r.get("outcome")
+        if outcome == "claim":
+            v.update(claimed_by=r.get("worker"), lease_at=r.get("lease_us"))
             return
         v.update(claimed_by=None, lease_at=None, retry_at=None)
-        if r.outcome == "blocked":
+        if outcome == "blocked":
             return
         v["attempts"] += 1
-        v["status_reason"] = None if r.outcome == "ok" else r.reason
-        if r.outcome == "ok":
+        v["status_reason"] = None if outcome == "ok" else r.get("reason")
+        if outcome == "ok":
             v.update(status="transcript_ok", needs_audio=False, recheck_at=None)
-        elif r.outcome == "terminal":
-            again = r.recheck and v["recheck_count"] < self.max_rechecks
-            v.update(status=r.target, needs_audio=bool(r.needs_audio), recheck_at=r.recheck_us if again else None)
-        elif v["attempts"] >= min(self.ceiling, r.max_attempts):
+        elif outcome == "terminal":
+            again = r.get("recheck") and v["recheck_count"] < self.max_rechecks
+            v.update(status=r.get("target"), needs_audio=bool(r.get("needs_audio")), recheck_at=r.get("recheck_us") if again else None)
+        elif v["attempts"] >= min(self.ceiling, r["max_attempts"]):
             v["status"] = "failed"
         else:
-            v.update(status="retry", retry_at=r.next_us)
+            v.update(status="retry", retry_at=r.get("next_us"))
 
     def _fire(self, v: dict, what: str) -> None:
         if what == "lease":
@@ -168,7 +170,7 @@ class LeasedVideo(StatefulProcessor):
     def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         v = self._state()
         before = self._timers(v)
-        for r in sorted(rows, key=lambda r: (r.at, r.id)):
+        for r in sorted((json.loads(r.row) for r in rows), key=lambda r: (r.get("at"), r.get("id"))):
             self._apply(v, r)
         yield self._keep(key, before, v, None)
 
@@ -195,10 +197,12 @@ def live_videos(attempts: DataFrame, ceiling: int = 5, max_rechecks: int = 4, la
     due retry is eligible (its time is cleared); a due recheck puts the video back as metadata_ok and counts. Of the rows of a video
     the one of the greatest version is its state. Start it with ``with_rocksdb``, the only state store that has timers."""
     us = lambda c: F.unix_micros(c)
-    rows = attempts.withWatermark("started_at", late).select(
-        "video_id", "id", "started_at", us("started_at").alias("at"), "outcome", "target", "reason", "needs_audio", "recheck", F.coalesce("max_attempts", F.lit(ceiling)).cast("int").alias("max_attempts"),
+    own = F.struct(
+        "id", us("started_at").alias("at"), "outcome", "target", "reason", "needs_audio", "recheck", F.coalesce("max_attempts", F.lit(ceiling)).cast("int").alias("max_attempts"),
         us("next_at").alias("next_us"), us("recheck_at").alias("recheck_us"), "worker", us("lease_until").alias("lease_us"),
     )
+    # Python takes rows apart value by value, which costs more than all that is done with them: one text has all values
+    rows = attempts.withWatermark("started_at", late).select("video_id", "started_at", F.to_json(own).alias("row"))
     kind = dict(attempts.dtypes)["video_id"]
     out = rows.groupBy("video_id").transformWithState(LeasedVideo(ceiling, max_rechecks), f"video_id {kind}, {LeasedVideo.FIELDS}, fired string", "Update", "EventTime")
     moment = lambda c: F.timestamp_micros(F.col(c))

@@ -2,6 +2,7 @@
 
 import json
 import os
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -208,6 +209,20 @@ def test_timers_of_the_live_state_survive_a_restart(spark, tmp_path):
     assert run()[1] == fired  # a restart without news fires nothing again
 
 
+def test_rows_of_the_live_state_reach_python_as_one_text(spark, tmp_path):
+    """A key, the moment of the watermark and one text (the time of Python goes by the number of columns); texts come through whole."""
+    (tmp_path / "in").mkdir()
+    kinds = "video_id long, id long, started_at timestamp, outcome string, target string, reason string, needs_audio boolean, recheck boolean, max_attempts int, next_at timestamp, recheck_at timestamp, worker string, lease_until timestamp"
+    said = 'said "no", \\ \n{a: [1]} \u2028 \u00e9 \U0001f600'
+    rows = [(1, 9007199254740993, "retryable", said), (2, 2, "retryable", ""), (3, 3, "retryable", None), (3, 4, "retryable", "later")]
+    (tmp_path / "in" / "1.json").write_text("\n".join(json.dumps({"video_id": v, "id": i, "started_at": "2024-05-01T10:00:00.123456Z", "outcome": o, "reason": r}) for v, i, o, r in rows))
+    stream = jobs.live_videos(spark.readStream.schema(kinds).json(f"file://{tmp_path}/in"))
+    assert re.search(r"transformWithStateUDF\(video_id[^,]*, started_at[^,]*, row[^,]*\)", stream._jdf.queryExecution().analyzed().toString())
+    with jobs.with_rocksdb(spark):
+        found = {r.video_id: (r.status, r.status_reason, r.attempts) for r in jobs.drained(stream, "update").collect()}
+    assert found == {1: ("retry", said, 1), 2: ("retry", "", 1), 3: ("retry", "later", 2)}
+
+
 def test_streams_equal_batches(spark):
     v = Views(spark, DATA)
     stream = jobs.events_stream(spark, DATA)
