@@ -3,17 +3,13 @@
 from __future__ import annotations
 
 import math
-from collections import Counter
 from collections.abc import Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
-from pyspark.sql.functions import pandas_udf
 
 from ..functions.text import clean_caption, clock, collapse, corpus_body, duration_seconds, norm_title, short_text, words
 from ..plans.registry import query
@@ -247,131 +243,323 @@ def _(v: Views) -> DataFrame:
 # ---- title clusters
 
 
-@pandas_udf(T.DoubleType())
-def ratio(a: pd.Series, b: pd.Series) -> pd.Series:
-    return pd.Series([SequenceMatcher(None, x, y).ratio() for x, y in zip(a, b)])
+#: Titles and characters of a block, at most; titles of one at least; blocks of a table, about; words of 64 bits that tell a title's bigrams, and its characters.
+TITLES, TITLE_CHARS, FEW_TITLES, TITLE_BLOCKS, GRAM_WORDS, CHAR_WORDS = 32768, 1 << 23, 1024, 24, 4, 2
+#: Pairs that are looked at together: by their characters, by all their marks, by their common subsequence, by their runs.
+TILE, MARKED, COMMON, ABREAST = 1 << 14, 1 << 20, 1 << 13, 1 << 11
+#: Titles of more words of 64 characters have no bound by their common subsequence.
+LONG_WORDS = 4
 
 
-#: Titles of a block; words of 64 bits that tell a title's bigrams, and its characters.
-TITLES, GRAM_WORDS, CHAR_WORDS = 8192, 8, 4
+def _flat(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+    """(the characters of all texts in a row, their numbers)."""
+    return np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64), np.array([len(t) for t in texts], np.int64)
 
 
-def _marks(units: list[int], words: int) -> int:
-    """A bit for each unit, the second of a kind another than the first; kinds may share a bit."""
-    seen, out = Counter(), 0
-    for u in units:
-        seen[u] += 1
-        out |= 1 << (((u << 6 | min(seen[u], 63)) * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> 40) % (64 * words)
-    return out
+def _kinds(texts: list[str], size: int) -> tuple[np.ndarray, np.ndarray]:
+    """(text, kind) of all characters (size 1) or bigrams (2), the second of its sort in a text of another kind than the first."""
+    codes, sizes = _flat(texts)
+    owner = np.repeat(np.arange(len(texts)), sizes)
+    if size == 2:
+        inside = owner[1:] == owner[:-1]
+        codes, owner = (codes[:-1] << 21 | codes[1:])[inside], owner[1:][inside]
+    order = np.lexsort((codes, owner))
+    owner, codes, at = owner[order], codes[order], np.arange(len(order))
+    first = np.append(True, (owner[1:] != owner[:-1]) | (codes[1:] != codes[:-1]))[: len(at)]
+    return owner, codes << 6 | np.minimum(at - np.maximum.accumulate(np.where(first, at, 0)), 63)
+
+
+def _marks(texts: list[str], size: int, words: int, often: np.ndarray) -> np.ndarray:
+    """A bit for each kind: the kinds of ``often`` have one of their own, all others share the rest."""
+    owner, kinds = _kinds(texts, size)
+    order = np.argsort(often)
+    at = order[np.minimum(np.searchsorted(often, kinds, sorter=order), len(often) - 1)] if len(often) else np.zeros(len(kinds), np.int64)
+    known = often[at] == kinds if len(often) else np.zeros(len(kinds), bool)
+    rest = 64 * words - len(often)
+    bit = np.where(known, at, len(often) + (kinds.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> np.uint64(40)).astype(np.int64) % rest)
+    out = np.zeros(len(texts) * words, np.uint64)
+    np.bitwise_or.at(out, owner * words + (bit >> 6), np.uint64(1) << (bit & 63).astype(np.uint64))
+    return out.reshape(-1, words)
+
+
+def _often(titles: DataFrame) -> list[np.ndarray]:
+    """The commonest kinds of bigrams and of characters, three for four bits. They change what a bound costs, not what is found."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for size in (1, 2):
+                kinds, n = np.unique(_kinds(batch.column(0).to_pylist(), size)[1], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(n), size, np.int32)), pa.array(kinds), pa.array(n)], names=["size", "kind", "n"])
+
+    counts = table(titles.select("title").mapInArrow(run, "size int, kind long, n long").groupBy("size", "kind").agg(F.sum("n").alias("n")), "title-kinds")
+    top = lambda size, words: counts.where(F.col("size") == size).orderBy(F.desc("n"), "kind").limit(48 * words)
+    return [np.array([r.kind for r in top(size, words).collect()], np.int64) for size, words in ((2, GRAM_WORDS), (1, CHAR_WORDS))]
 
 
-def _title_blocks(most: int):
-    """Blocks of ``most`` titles that lie together, from (id, title): their ids, lengths and marks."""
+def _title_blocks(most: int, often: list[np.ndarray]):
+    """Blocks of ``most`` titles that lie together, in the order of their lengths, from (id, title): ids, lengths, marks and texts."""
 
-    def block(rows: list[tuple[int, str]]) -> pa.RecordBatch:
-        ids, sizes, marks = np.array([i for i, _ in rows], np.int64), np.array([len(t) for _, t in rows], np.int32), []
-        for _, t in rows:
-            codes = [ord(c) for c in t]
-            marks.append(_marks([x << 21 | y for x, y in zip(codes, codes[1:])], GRAM_WORDS).to_bytes(8 * GRAM_WORDS, "little") + _marks(codes, CHAR_WORDS).to_bytes(8 * CHAR_WORDS, "little"))
-        columns = [[int(ids[0])], [int(sizes.min())], [int(sizes.max())], [ids.tobytes()], [sizes.tobytes()], [b"".join(marks)]]
-        return pa.RecordBatch.from_pydict(dict(zip(("block", "lo", "hi", "ids", "sizes", "marks"), columns)), pa.schema([("block", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), *((c, pa.binary()) for c in ("ids", "sizes", "marks"))]))
+    def block(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+        sizes = np.array([len(t) for t in texts], np.int32)
+        marks = [np.ascontiguousarray(_marks(texts, size, words, kinds).T) for size, words, kinds in zip((2, 1), (GRAM_WORDS, CHAR_WORDS), often)]
+        columns = [[ids[0]], [int(sizes.min())], [int(sizes.max())], [np.array(ids, np.int64).tobytes()], [sizes.tobytes()], *([m.tobytes()] for m in marks), ["".join(texts).encode()]]
+        return pa.RecordBatch.from_pydict(dict(zip(("block", "lo", "hi", *_BLOCK), columns)), pa.schema([("block", pa.int64()), ("lo", pa.int32()), ("hi", pa.int32()), *((c, pa.binary()) for c in _BLOCK)]))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rows: list[tuple[int, str]] = []
+        ids, texts, size = [], [], 0
         for batch in batches:
-            for row in zip(batch.column("id").to_pylist(), batch.column("title").to_pylist()):
-                rows.append(row)
-                if len(rows) == most:
-                    yield block(rows)
-                    rows = []
-        if rows:
-            yield block(rows)
+            for i, t in zip(batch.column("id").to_pylist(), batch.column("title").to_pylist()):
+                ids.append(i)
+                texts.append(t)
+                size += len(t)
+                if len(ids) == most or size >= TITLE_CHARS:
+                    yield block(ids, texts)
+                    ids, texts, size = [], [], 0
+        if ids:
+            yield block(ids, texts)
 
     return run
 
 
-def _block_pairs(threshold: float):
-    """Of one or two blocks the pairs (x, y) of ids whose bounds reach the threshold."""
+_BLOCK = ("ids", "sizes", "grams", "chars", "texts")
+
+
+class Titles:
+    """A block's titles."""
+
+    def __init__(self, row: dict) -> None:
+        self.ids, self.sizes = np.frombuffer(row["ids"], np.int64), np.frombuffer(row["sizes"], np.int32)
+        self.grams, self.chars = (np.frombuffer(row[c], np.uint64).reshape(words, -1) for c, words in (("grams", GRAM_WORDS), ("chars", CHAR_WORDS)))
+        self.more_grams, self.more_chars = (n - np.bitwise_count(m).sum(axis=0, dtype=np.int32) for m, n in ((self.grams, self.sizes - 1), (self.chars, self.sizes)))
+        self.text, self.ends = row["texts"].decode(), np.cumsum(self.sizes, dtype=np.int64)
+        self.starts = self.ends - self.sizes
+        self.sorts = (_flat([self.text])[0] % 127).astype(np.uint8)
+        self.runs = np.flatnonzero(np.append(True, self.sizes[1:] != self.sizes[:-1])).tolist() + [len(self.sizes)]
+
+    def __getitem__(self, i: int) -> str:
+        return self.text[self.starts[i] : self.ends[i]]
+
+
+def _subsequence(a: Titles, b: Titles, x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """The lengths of the longest common subsequences of ``a[x]`` and ``b[y]``, at most: different characters may be of one sort. A bit
+    for each character of a; all pairs take a character of b at a time."""
+    order = np.argsort(-b.sizes[y], kind="stable")
+    own, row = np.unique(x[order], return_inverse=True)
+    at, sizes, words = b.starts[y[order]], b.sizes[y[order]], -(-int(a.sizes[own].max()) // 64)
+    places = np.zeros((words, len(own), 127), np.uint64)
+    for k in range(int(a.sizes[own].max())):
+        has = np.flatnonzero(a.sizes[own] > k)
+        places[k // 64, has, a.sorts[a.starts[own[has]] + k]] |= np.uint64(1 << k % 64)
+    places, row = places.reshape(words, -1), row * 127
+    free = np.full((words, len(order)), np.uint64(0xFFFFFFFFFFFFFFFF))
+    for k in range(int(sizes[0])):
+        n = int(np.searchsorted(-sizes, -k))  # those of more than k characters
+        cell, carry = row[:n] + b.sorts[at[:n] + k], None
+        for w in range(words):
+            v = free[w, :n]
+            u = v & places[w][cell]
+            total = v + u
+            over = total < u
+            if carry is not None:
+                total += carry
+                over |= total < carry
+            free[w, :n] = total | (v - u)
+            carry = over.astype(np.uint64)
+    out = np.empty(len(order), np.int64)
+    out[order] = 64 * words - np.bitwise_count(free).sum(axis=0, dtype=np.int64)
+    return out
+
 
-    def common(a: np.ndarray, b: np.ndarray, na: np.ndarray, nb: np.ndarray) -> np.ndarray:
-        """Units that two texts have in common, at most: what of a has no mark in b has no partner there."""
-        both = np.zeros(np.broadcast_shapes(a.shape[:-1], b.shape[:-1]), np.int16)
-        for k in range(a.shape[-1]):
-            both += np.bitwise_count(a[..., k] & b[..., k])
-        spare = lambda m, n: n - np.bitwise_count(m).sum(axis=-1, dtype=np.int32)
-        return both + np.minimum(spare(a, na), spare(b, nb))
+def _longest(codes: np.ndarray, at1: np.ndarray, n1: np.ndarray, at2: np.ndarray, n2: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(size, place in the first, place in the second) of the longest run that two pieces of ``codes`` share, the first such run of the
+    first piece, and there the first of the second, as ``SequenceMatcher`` takes it; pieces are shorter than 256."""
+    end = len(codes) - 1
+
+    def laid(at: np.ndarray, n: np.ndarray, pad: int) -> np.ndarray:
+        k = np.arange(n.max())[:, None]
+        return np.where(k < n, codes[np.minimum(at + k, end)], codes.dtype.type(pad))
+
+    top = np.iinfo(codes.dtype).max  # the two largest values are no code
+    first, second = laid(at1, n1, top), laid(at2, n2, top - 1)
+    size, i, j = np.zeros(len(n1), np.uint8), np.zeros(len(n1), np.int64), np.zeros(len(n1), np.int64)
+    last, runs = np.zeros((2, len(second) + 1, len(n1)), np.uint8)
+    for k, row in enumerate(first):
+        np.add(last[:-1], 1, out=runs[1:])
+        runs[1:] *= second == row
+        best = runs.max(axis=0)
+        more = np.flatnonzero(best > size)
+        if len(more):
+            size[more] = best[more]
+            i[more], j[more] = k + 1 - best[more].astype(int), runs[:, more].argmax(axis=0) - best[more]
+        last, runs = runs, last
+    return size.astype(np.int64), i, j
+
+
+def _similar(codes: np.ndarray, at1: np.ndarray, n1: np.ndarray, at2: np.ndarray, n2: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether ``SequenceMatcher(None, first, second).ratio()`` reaches the threshold, for many pairs of pieces of ``codes`` at once, the
+    second of less than 200 (from there on it leaves out what is frequent), the first of less than 256. The longest run that both share
+    is matched, then what lies before and what lies after it, until a pair is settled."""
+    pair, matched, size = np.arange(len(n1)), np.zeros(len(n1), np.int64), n1 + n2
+    while True:
+        rest = np.bincount(pair, np.minimum(n1, n2), len(matched))
+        found = 2.0 * matched / size >= threshold
+        unsettled = ~found & (2.0 * (matched + rest) / size >= threshold)
+        keep = np.flatnonzero(unsettled[pair] & (n1 > 0) & (n2 > 0))
+        if not len(keep):
+            return found
+        keep = keep[np.lexsort((n1[keep], n2[keep]))]
+        pair, at1, n1, at2, n2 = (c[keep] for c in (pair, at1, n1, at2, n2))
+        parts = [_longest(codes, *(c[lo : lo + ABREAST] for c in (at1, n1, at2, n2))) for lo in range(0, len(pair), ABREAST)]
+        run, i, j = (np.concatenate(c) for c in zip(*parts))
+        matched += np.bincount(pair, run, len(matched)).astype(np.int64)
+        some = run > 0
+        pair, run, i, j, at1, n1, at2, n2 = (c[some] for c in (pair, run, i, j, at1, n1, at2, n2))
+        pair, at1, at2 = np.append(pair, pair), np.append(at1, at1 + i + run), np.append(at2, at2 + j + run)
+        n1, n2 = np.append(i, n1 - i - run), np.append(j, n2 - j - run)
+
+
+def _block_pairs(threshold: float):
+    """Of one or two blocks the pairs (x, y) of ids, the smaller first, whose similarity reaches the threshold."""
+
+    def alike(a: Titles, b: Titles, codes: np.ndarray, x: np.ndarray, y: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Those of the pairs (x, y) of places; ``codes``: both blocks' characters in a row."""
+        size = a.sizes[x] + b.sizes[y]
+        need = threshold * size - 1e-6  # twice the characters that must match
+        chars, grams = (sum(np.bitwise_count(m[x] & n[y]).astype(np.int32) for m, n in zip(*marks)) + np.minimum(more[0][x], more[1][y]) for marks, more in (((a.chars, b.chars), (a.more_chars, b.more_chars)), ((a.grams, b.grams), (a.more_grams, b.more_grams))))
+        # M matched characters are n + m - 2 M + 1 runs at most, and a run of k has k - 1 bigrams
+        good = np.flatnonzero((2 * chars >= need) & (2 * (grams + size + 1) >= 3 * need))
+        x, y, need = x[good], y[good], need[good]
+        good = np.ones(len(x), bool)
+        short = np.flatnonzero(a.sizes[x] <= 64 * LONG_WORDS)
+        for lo in range(0, len(short), COMMON):
+            own = short[lo : lo + COMMON]
+            good[own] = 2 * _subsequence(a, b, x[own], y[own]) >= need[own]
+        x, y = x[good], y[good]
+        swap, apart = a.ids[x] > b.ids[y], len(a.sorts)
+        at = np.array([a.starts[x], apart + b.starts[y]])
+        n = np.array([a.sizes[x], b.sizes[y]], np.int64)
+        at, n = np.where(swap, at[::-1], at), np.where(swap, n[::-1], n)
+        short, found = (n[0] < 256) & (n[1] < 200), np.zeros(len(x), bool)
+        found[short] = _similar(codes, at[0, short], n[0, short], at[1, short], n[1, short], threshold)
+        for k in np.flatnonzero(~short).tolist():
+            one, two = a[x[k]], b[y[k]]
+            found[k] = SequenceMatcher(None, *((two, one) if swap[k] else (one, two))).ratio() >= threshold
+        return np.minimum(a.ids[x], b.ids[y])[found], np.maximum(a.ids[x], b.ids[y])[found]
 
     def run(blocks: pa.Table) -> pa.Table:
-        sides = [(np.frombuffer(r["ids"], np.int64), np.frombuffer(r["sizes"], np.int32), np.frombuffer(r["marks"], np.uint64).reshape(-1, GRAM_WORDS + CHAR_WORDS)) for r in blocks.to_pylist()]
-        (ia, la, ma), (ib, lb, mb) = sides[0], sides[-1]
-        gb, xs, ys = np.ascontiguousarray(mb[:, :GRAM_WORDS]), [], []
-        for lo in range(0, len(ia), 64):
-            rows, size = np.s_[lo : lo + 64], la[lo : lo + 64, None] + lb[None]
-            pairs = common(ma[rows, None, :GRAM_WORDS], gb[None], la[rows, None] - 1, lb[None] - 1)
-            # M matched characters are n + m - 2 M + 1 runs at most, and a run of k has k - 1 bigrams
-            near = 2 * (pairs + size + 1) >= 3 * (threshold * size - 1e-6)
-            if len(sides) == 1:
-                near &= np.arange(lo, lo + len(size))[:, None] < np.arange(len(ib))[None]
-            x, y = np.nonzero(near)
-            x += lo
-            chars = common(ma[x, GRAM_WORDS:], mb[y, GRAM_WORDS:], la[x], lb[y])
-            good = 2 * np.minimum(chars, np.minimum(la[x], lb[y])) >= threshold * (la[x] + lb[y]) - 1e-6
-            xs.append(ia[x[good]])
-            ys.append(ib[y[good]])
-        return pa.table({"x": pa.array(np.concatenate(xs), pa.int64()), "y": pa.array(np.concatenate(ys), pa.int64())})
+        sides = [Titles(r) for r in blocks.to_pylist()]
+        a, b = sides[0], sides[-1]
+        codes = _flat([a.text, b.text])[0]
+        place = np.zeros(int(codes.max()) + 1, np.uint32)
+        place[codes] = 1
+        place = np.cumsum(place, dtype=np.uint32) - 1
+        codes = place[codes].astype(np.uint8 if place[-1] < 254 else np.uint32)
+        out, met, waiting = [], [], 0
+        both, counts = np.empty(TILE, np.uint64), np.empty((2, TILE), np.uint8)
+
+        def settle() -> None:
+            nonlocal met, waiting
+            out.append(alike(a, b, codes, *(np.concatenate(c) for c in zip(*met))))
+            met, waiting = [], 0
+
+        def common(rows: slice, part: slice) -> np.ndarray:
+            """Marks of characters that titles of two ranges have in common."""
+            shape = (rows.stop - rows.start, part.stop - part.start)
+            n = shape[0] * shape[1]
+            ands, total, more = both[:n].reshape(shape), counts[0, :n].reshape(shape), counts[1, :n].reshape(shape)
+            for w in range(CHAR_WORDS):
+                np.bitwise_and(a.chars[w, rows, None], b.chars[w, None, part], out=ands)
+                np.bitwise_count(ands, out=more if w else total)
+                if w:
+                    np.add(total, more, out=total)
+            return total
+
+        for top, end in zip(a.runs, a.runs[1:]):
+            for left, right in zip(b.runs, b.runs[1:]):
+                n, m = int(a.sizes[top]), int(b.sizes[left])
+                need = threshold * (n + m) - 1e-6
+                if (a is b and right <= top) or 2 * min(n, m) < need or abs(n - m) > 0.4 * max(n, m):
+                    continue
+                least = np.clip(math.ceil(need / 2) - a.more_chars[top:end], 0, 255).astype(np.uint8)[:, None]  # 128 marks are in common at most
+                for lo in range(top, end, 16):
+                    for at in range(max(left, lo) if a is b else left, right, TILE // 16):
+                        total = common(slice(lo, min(lo + 16, end)), slice(at, min(at + TILE // 16, right)))
+                        x, y = np.divmod(np.flatnonzero(total >= least[lo - top : lo - top + 16]), total.shape[1])
+                        x, y = x + lo, y + at
+                        if a is b:
+                            x, y = x[x < y], y[x < y]
+                        if len(x):
+                            met.append((x, y))
+                            waiting += len(x)
+                            if waiting >= MARKED:
+                                settle()
+        if met:
+            settle()
+        return pa.table({c: pa.array(np.concatenate([np.zeros(0, np.int64), *o]), pa.int64()) for c, o in zip("xy", zip(*out) if out else ((), ()))})
 
     return run
 
 
-def similar_titles(titles: DataFrame, threshold: float = 0.86, block: int = TITLES) -> DataFrame:
-    """(a, b) with a before b, from (title, rank): pairs whose similarity reaches the threshold.
+def numbered(titles: DataFrame) -> DataFrame:
+    """Titles that are not empty, with an ``id`` in the order of their ranks, which differ."""
+    return table(titles.where("title <> ''").orderBy("rank").withColumn("id", F.monotonically_increasing_id()), "title-ids")
+
+
+def alike(facts: DataFrame, threshold: float, block: int = TITLES) -> DataFrame:
+    """(x, y) with x < y, from (id, title): pairs of titles whose similarity reaches the threshold, that of the smaller id to the other.
 
     At such thresholds two similar titles may share a small part of their grams only, so that keys which suffice for a proof let nearly
-    all titles meet. Titles lie in blocks by length, a task compares two blocks by bit maps of bigrams and characters, whose
-    bounds lose nothing, and only what passes is joined to its texts for the costly ratio. Blocks whose lengths are too far apart
-    (a factor of more than (2 - t) / t) don't meet. The work is quadratic, of some ten nanoseconds a pair; a task holds two blocks."""
-    facts = table(titles.where("title <> ''").withColumn("id", F.monotonically_increasing_id()), "title-ids")
-    reach = (2 - threshold) / threshold if threshold > 0 else math.inf
+    all titles meet. Titles lie in blocks by length, a task compares two blocks: all pairs of near lengths by bit maps of their
+    characters, what passes by bit maps of bigrams, then by the longest common subsequence, and what is left (hardly more than is
+    similar) by the ratio itself. No bound loses a pair. Blocks whose lengths are too far apart (a factor of more than (2 - t) / t)
+    don't meet. The work is quadratic, of some ten nanoseconds a pair; a task holds two blocks."""
     if threshold >= 1:  # equal ones only
-        met = facts.select(F.col("id").alias("x"), "title").join(shuffled(facts.select(F.col("id").alias("y"), "title")), "title").where("x < y").select("x", "y")
-    else:
-        laid = facts.select("id", "title").orderBy(F.length("title"), "title")
-        blocks = table(laid.mapInArrow(_title_blocks(block), "block long, lo int, hi int, ids binary, sizes binary, marks binary"), "title-blocks")
-        i, j = (blocks.select(*(F.col(c).alias(f"{c}{n}") for c in ("block", "lo", "hi"))) for n in "ij")
-        meet = (F.col("blocki") <= F.col("blockj")) & (F.col("loi") <= F.col("hij") * reach + 1e-9) & (F.col("loj") <= F.col("hii") * reach + 1e-9)
-        places = i.join(F.broadcast(j), meet).select("blocki", "blockj", F.explode(F.array_distinct(F.array("blocki", "blockj"))).alias("block"))  # three numbers for each block
-        every = blocks.select("block", "ids", "sizes", "marks").join(F.broadcast(places), "block")
-        tasks = every.repartition(F.col("blocki"), F.col("blockj"))
-        met = tasks.groupBy("blocki", "blockj").applyInArrow(_block_pairs(threshold), "x long, y long")
-    met = table(met, "title-pairs")
-    x, y = (facts.select(F.col("id").alias(p), F.struct("rank", "title").alias(f"t{p}")) for p in "xy")
-    both = met.join(shuffled(x), "x").join(shuffled(y), "y").select(F.least("tx", "ty").alias("a"), F.greatest("tx", "ty").alias("b")).where("a.rank < b.rank")
-    pairs = both.select(F.col("a.title").alias("a"), F.col("a.rank").alias("ra"), F.col("b.title").alias("b"), F.col("b.rank").alias("rb"))
-    la, lb = F.length("a"), F.length("b")
-    return pairs.where(F.abs(la - lb) <= 0.4 * F.greatest(la, lb)).repartition("a", "b").where(ratio("a", "b") >= threshold)
+        return facts.select(F.col("id").alias("x"), "title").join(shuffled(facts.select(F.col("id").alias("y"), "title")), "title").where("x < y").select("x", "y")
+    reach = (2 - threshold) / threshold if threshold > 0 else math.inf
+    each = min(block, max(FEW_TITLES, -(-facts.count() // TITLE_BLOCKS)))
+    laid = facts.select("id", "title").repartitionByRange(max(1, -(-facts.count() * 5 // (4 * each))), F.length("title"), "title").sortWithinPartitions(F.length("title"), "title")
+    blocks = table(laid.mapInArrow(_title_blocks(each, _often(facts)), f"block long, lo int, hi int, {', '.join(f'{c} binary' for c in _BLOCK)}"), "title-blocks")
+    i, j = (blocks.select(*(F.col(c).alias(f"{c}{n}") for c in ("block", "lo", "hi"))) for n in "ij")
+    meet = (F.col("blocki") <= F.col("blockj")) & (F.col("loi") <= F.col("hij") * reach + 1e-9) & (F.col("loj") <= F.col("hii") * reach + 1e-9)
+    places = i.join(F.broadcast(j), meet).select("blocki", "blockj", F.explode(F.array_distinct(F.array("blocki", "blockj"))).alias("block"))  # three numbers for each block
+    every = blocks.drop("lo", "hi").join(F.broadcast(places), "block")
+    n = blocks.count()
+    tasks = every.repartition(min(2000, n * (n + 1) // 2 + 1), F.col("blocki"), F.col("blockj"))  # by their number: their rows are small, their work is not
+    return tasks.groupBy("blocki", "blockj").applyInArrow(_block_pairs(threshold), "x long, y long")
+
+
+def similar_titles(titles: DataFrame, threshold: float = 0.86, block: int = TITLES) -> DataFrame:
+    """(a, ra, b, rb) with a before b, from (title, rank), ranks that differ: pairs whose similarity reaches the threshold."""
+    facts = numbered(titles)
+    met = table(alike(facts, threshold, block), "title-pairs")
+    for x, c in (("x", "a"), ("y", "b")):
+        met = met.join(shuffled(facts.select(F.col("id").alias(x), F.col("title").alias(c), F.col("rank").alias(f"r{c}"))), x)
+    return met.select("a", "ra", "b", "rb")
 
 
 def cluster_titles(videos: DataFrame, threshold: float = 0.86) -> DataFrame:
     """(video_id, cluster): equal normalised titles form buckets; in order of size and title each free bucket takes all later free
     ones similar to it. Rounds settle in parallel every bucket whose earliest free neighbour starts a cluster. Empty titles stay
-    unclustered (null)."""
+    unclustered (null). Buckets are numbers in their order until all are settled."""
     rows = table(videos.select("video_id", norm_title(F.col("title")).alias("title")), "titles")
     sizes = rows.where("title <> ''").groupBy("title").agg(F.count("*").alias("n"))
-    buckets = table(sizes.select("title", F.struct((-F.col("n")).alias("n"), "title").alias("rank")), "buckets")
-    edges = table(similar_titles(buckets, threshold), "title-edges")
-    done = None
-    free = buckets.select("title", "rank")
+    buckets = numbered(sizes.select("title", F.struct((-F.col("n")).alias("n"), "title").alias("rank")))
+    edges = table(alike(buckets, threshold), "title-edges")
+    done, free = None, buckets.select("id")
     while True:
-        live = edges.join(shuffled(free.select(F.col("title").alias("a"))), "a", "left_semi").join(shuffled(free.select(F.col("title").alias("b"))), "b", "left_semi")
-        first = live.groupBy("b").agg(F.min("ra").alias("first"))
-        state = table(free.join(shuffled(first), free.title == first.b, "left").select("title", "rank", F.col("first.title").alias("head")), "round")
+        live = edges.join(shuffled(free.select(F.col("id").alias("x"))), "x", "left_semi").join(shuffled(free.select(F.col("id").alias("y"))), "y", "left_semi")
+        first = live.groupBy("y").agg(F.min("x").alias("head"))
+        state = table(free.join(shuffled(first), free.id == first.y, "left").select("id", "head"), "round")
         starts = state.where("head is null")
-        taken = state.join(shuffled(starts.select(F.col("title").alias("head"))), "head", "left_semi").select("title", F.col("head").alias("cluster"))
-        new = starts.select("title", F.col("title").alias("cluster")).unionByName(taken)
+        taken = state.join(shuffled(starts.select(F.col("id").alias("head"))), "head", "left_semi").select("id", F.col("head").alias("cluster"))
+        new = starts.select("id", F.col("id").alias("cluster")).unionByName(taken)
         done = new if done is None else done.unionByName(new)
-        free = table(state.join(shuffled(new.select("title")), "title", "left_anti").select("title", "rank"), "free")
+        free = table(state.join(shuffled(new.select("id")), "id", "left_anti").select("id"), "free")
         if free.isEmpty():
-            return rows.join(shuffled(table(done, "clusters")), "title", "left").select("video_id", "cluster")
+            break
+    names = lambda c: shuffled(buckets.select(F.col("id").alias(c), F.col("title").alias(f"{c}_title")))
+    named = table(done, "clusters").join(names("id"), "id").join(names("cluster"), "cluster").select(F.col("id_title").alias("title"), F.col("cluster_title").alias("cluster"))
+    return rows.join(shuffled(named), "title", "left").select("video_id", "cluster")
 
 
 def prune_plan(videos: DataFrame, drop_pattern: str, min_words: int = 250, threshold: float = 0.86) -> DataFrame:

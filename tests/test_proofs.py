@@ -363,3 +363,46 @@ def test_hydration_report(spark):
 def test_audit(spark):
     outputs = spark.createDataFrame([(1, 0), (2, 5), (2, 0)], "video_id long, length long")
     assert {(r.video_id, r.state) for r in reports.audit(spark.range(4).select(F.col("id").alias("video_id")), outputs).collect()} == {(0, "no output"), (1, "empty output"), (3, "no output")}
+
+
+def _bent_titles(rng, n, letters, longest):
+    out = set()
+    while len(out) < n:
+        t = "".join(rng.choice(letters) for _ in range(rng.randint(1, longest)))
+        for _ in range(3):
+            u = list(t)
+            for _ in range(rng.randint(0, max(1, len(t) // 6))):
+                at = rng.randrange(len(u) + 1)
+                u[at : at + rng.randint(0, 2)] = rng.choice(["", "q", letters[0], "zz"])
+            out.add(" ".join("".join(u).split()))
+    return sorted(out - {""})
+
+
+@pytest.mark.parametrize("threshold", [0.3, 0.6, 0.86, 1.0])
+def test_runs_of_many_pairs_at_once(threshold):
+    import numpy as np
+
+    rng = random.Random(3)
+    pairs = [(a, rng.choice([a, b, a[: len(a) // 2] + b])) for t in ("ab", "abcdefghij ") for a, b in zip(*[iter(_bent_titles(rng, 300, t, 90))] * 2)]
+    codes = np.array([ord(c) for a, b in pairs for c in a + b], np.uint8)
+    n1, n2 = (np.array([len(p[k]) for p in pairs]) for k in (0, 1))
+    at = np.cumsum(n1 + n2) - n1 - n2
+    want = [SequenceMatcher(None, a, b).ratio() >= threshold for a, b in pairs]
+    assert corpus._similar(codes, at, n1, at + n1, n2, threshold).tolist() == want and any(want)
+
+
+def test_only_similar_titles_are_written(spark, monkeypatch):
+    """Titles of common words pass a bound of bigrams without being similar (of 420 titles some hundred pairs did); long ones and ones of many
+    letters are compared as well."""
+    rng, met = random.Random(5), {}
+    words = ["the", "and", "that", "of", "ation", "ther", "hen", "on", "is", "es", "to", "an"]
+    titles = {" ".join(rng.choice(words) + rng.choice(["", *words]) for _ in range(8)) for _ in range(400)}
+    titles |= {t[:9] + "x" + t[10:] for t in list(titles)[:20]} | {"of " * k + "end" for k in range(60, 100)}
+    titles |= set(_bent_titles(rng, 60, "ab cd", 320)) | set(_bent_titles(rng, 30, [chr(0x4E00 + i) for i in range(400)], 40))
+    titles = sorted(titles)
+    written = corpus.table
+    monkeypatch.setattr(corpus, "table", lambda df, name: met.setdefault(name, written(df, name)))
+    got = {(r.a, r.b) for r in corpus.similar_titles(spark.createDataFrame([(t, i) for i, t in enumerate(titles)], "title string, rank long"), 0.86, 64).collect()}
+    alike = lambda a, b: abs(len(a) - len(b)) <= 0.4 * max(len(a), len(b)) and SequenceMatcher(None, a, b).ratio() >= 0.86
+    assert got == {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if alike(a, b)} and any(len(a) > 256 for a, _ in got)
+    assert met["title-pairs"].count() == len(got)
