@@ -406,3 +406,19 @@ def test_only_similar_titles_are_written(spark, monkeypatch):
     alike = lambda a, b: abs(len(a) - len(b)) <= 0.4 * max(len(a), len(b)) and SequenceMatcher(None, a, b).ratio() >= 0.86
     assert got == {(a, b) for i, a in enumerate(titles) for b in titles[i + 1 :] if alike(a, b)} and any(len(a) > 256 for a, _ in got)
     assert met["title-pairs"].count() == len(got)
+
+
+def test_a_plan_of_bent_titles_meets_numbers_only(spark, monkeypatch):
+    """Every video of a plan is kept or a duplicate of its cluster as the plain ratio says; pairs of titles are written as two numbers."""
+    met, written = {}, corpus.table
+    monkeypatch.setattr(corpus, "table", lambda df, name: met.setdefault(name, written(df, name)))
+    titles = sorted(set(_bent_titles(random.Random(4), 90, "abcdefgh", 24)))
+    rows = [(i, t, 100 + i) for i, t in enumerate(titles)]
+    got = {r.video_id: r["class"] for r in corpus.prune_plan(spark.createDataFrame(rows, "video_id long, title string, words long"), "", min_words=0).collect()}
+    heads = {}
+    for i, t in enumerate(titles):
+        near = [h for h in heads if abs(len(h) - len(t)) <= 0.4 * max(len(h), len(t)) and SequenceMatcher(None, h, t).ratio() >= 0.86]
+        heads.setdefault(near[0] if near else t, []).append(i)
+    kept = {max(own) for own in heads.values()}
+    assert got == {i: "deep" if i in kept else "duplicate" for i in range(len(titles))} and len(kept) < len(titles)
+    assert met["title-edges"].columns == ["x", "y"]
