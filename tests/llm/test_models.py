@@ -406,3 +406,15 @@ def test_toxicity_trains_in_pieces_with_right_gradients(spark, monkeypatch):
     for k, f in enumerate(model.filters):
         assert slope(f, (0, 1, 2)) == pytest.approx(grads[1 + k][0, 1, 2], abs=3e-3)
     assert slope(model.weight, 5) == pytest.approx(grads[-2][5], abs=1e-3)
+
+
+def test_every_pass_is_made_however_many_rows_there_are(spark, monkeypatch):
+    """The number of passes does not fall with the rows, and each goes over all of them but the seventh of the calibration."""
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    seen = []
+    monkeypatch.setattr(toxicity, "PART_ROWS", 8)
+    monkeypatch.setattr(toxicity, "trained", lambda rows, model, known, number=0: seen.append((number, rows.count())) or model)
+    toxicity.train(docs, labels)
+    known = toxicity._known(docs, labels)
+    learned = known.where(F.pmod(F.xxhash64("__key", F.lit("calibration")), F.lit(7)) != 3).count()
+    assert learned > 8 * 16 and seen == [(k, learned) for k in range(10)]
