@@ -114,6 +114,10 @@ NEAR, REPAIR = 0.75, 0.7
 COMPARED = 500
 
 
+def _codes(text: str) -> np.ndarray:
+    return np.frombuffer(text.encode("utf-32-le"), np.uint32).astype(np.int64)
+
+
 class Windows:
     """The best windows of anchors in one text.
 
@@ -121,52 +125,100 @@ class Windows:
     have in common as multisets of characters. The matches are runs with something unmatched between them, at most n + m - 2 M + 1
     runs, and a run of k characters has k - 1 bigrams in common; so with B bigrams in common M <= (B + n + m + 1) / 3. Both bounds come
     from running counts for all windows at once. Windows are compared with the greatest bound first, until no bound exceeds the best
-    ratio, and none whose bound is below the ratio that matters."""
+    ratio, and none whose bound is below the ratio that matters. What is left has to pass a third bound, as M is no more than the longest
+    common subsequence, before its ratio is computed."""
 
     def __init__(self, text: str) -> None:
         self.text = text
-        self.codes = np.array([ord(c) for c in text], np.int64)
-        self.pairs = self.codes[:-1] << 21 | self.codes[1:]
-
-    def _common(self, units: np.ndarray, of: np.ndarray, lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
-        total = np.zeros(len(lo), np.int64)
-        for unit, n in zip(*np.unique(of, return_counts=True)):
-            at = np.flatnonzero(units == unit)
-            total += np.minimum(n, np.searchsorted(at, hi) - np.searchsorted(at, lo))
-        return total
-
-    def best(self, anchor: str, wide: float, least: float) -> tuple[float, str | None]:
-        """(ratio, window) of the first best window of ``wide`` anchor lengths, a quarter length apart, if it reaches ``least``."""
-        n, codes = len(anchor), np.array([ord(c) for c in anchor], np.int64)
+        codes = _codes(text)
+        self.units, self.known = (codes, codes[:-1] << 21 | codes[1:]), {}
+
+    def _places(self, anchor: str) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Of the anchor's characters and of its bigrams: how often each occurs in it; where the text has one of them; which it is there."""
+        if anchor not in self.known:
+            codes, out = _codes(anchor), []
+            for units, of in zip(self.units, (codes, codes[:-1] << 21 | codes[1:])):
+                mine, n = np.unique(of, return_counts=True)
+                number = np.searchsorted(mine, units)
+                at = np.flatnonzero(np.append(mine, -1)[number] == units)
+                out.append((n, at, number[at]))
+            self.known = {anchor: out}
+        return self.known[anchor]
+
+    @staticmethod
+    def _steps(places: tuple[np.ndarray, np.ndarray, np.ndarray], step: int, windows: int, wide: int) -> np.ndarray:
+        """What an anchor has in common, at most, with windows that begin a step apart: each counts as the whole steps that it touches."""
+        n, at, number = places
+        reach = -(-wide // step)
+        counts = np.bincount(number * (windows + reach) + np.minimum(at // step, windows + reach - 1), minlength=len(n) * (windows + reach))
+        before = np.zeros((len(n), windows + reach + 1), np.int32)
+        np.cumsum(counts.reshape(len(n), -1), axis=1, out=before[:, 1:])
+        return np.minimum(n[:, None], before[:, reach : reach + windows] - before[:, :windows]).sum(axis=0)
+
+    @staticmethod
+    def _common(places: tuple[np.ndarray, np.ndarray, np.ndarray], lo: np.ndarray, hi: np.ndarray) -> np.ndarray:
+        """What an anchor has in common with each range of the text: the text is counted once, from one end of a range to the next."""
+        n, at, number = places
+        if not len(at):
+            return np.zeros(len(lo), np.int64)
+        bounds = np.unique(np.concatenate([lo, hi]))
+        counts = np.bincount(number * (len(bounds) + 1) + np.searchsorted(bounds, at, "right"), minlength=len(n) * (len(bounds) + 1))
+        before = np.cumsum(counts.reshape(len(n), -1), axis=1)  # of each unit, before the bound of this number
+        first, last = np.searchsorted(bounds, lo), np.searchsorted(bounds, hi)
+        return np.minimum(n[:, None], before[:, last] - before[:, first]).sum(axis=0)
+
+    def best(self, anchor: str, wide: float, least: float, any_of: bool = False) -> tuple[float, str | None]:
+        """(ratio, window) of the first best window of ``wide`` anchor lengths, a quarter length apart, if it reaches ``least``; with
+        ``any_of`` of any window that does."""
+        n, (letters, bigrams) = len(anchor), self._places(anchor)
         starts = np.arange(0, max(len(self.text) - n, 1), max(n // 4, 1))
         ends = np.minimum(starts + int(n * wide), len(self.text))
         size = n + ends - starts
-        chars = self._common(self.codes, codes, starts, ends)
-        pairs = self._common(self.pairs, codes[:-1] << 21 | codes[1:], starts, np.maximum(ends - 1, starts))
+        may = np.flatnonzero(2 * self._steps(letters, max(n // 4, 1), len(starts), int(n * wide)) / np.maximum(size, 1) + 1e-9 >= least)
+        starts, ends, size = starts[may], ends[may], size[may]
+        chars = self._common(letters, starts, ends)
+        pairs = self._common(bigrams, starts, np.maximum(ends - 1, starts))
         bound = 2 * np.minimum(chars, (pairs + size + 1) / 3) / np.maximum(size, 1) + 1e-9
-        score, at, matcher = 0.0, -1, SequenceMatcher(None)
+        score, at, matcher, places = 0.0, -1, SequenceMatcher(None), {}
         matcher.set_seq1(anchor)
+        for k, c in enumerate(anchor):
+            places[c] = places.get(c, 0) | 1 << k
         for k in np.argsort(-bound, kind="stable").tolist():
             if bound[k] < max(score, least):
                 break
-            matcher.set_seq2(self.text[starts[k] : ends[k]])
+            window = self.text[starts[k] : ends[k]]
+            most = 2.0 * common_subsequence(places, n, window) / max(size[k], 1)
+            if most < max(score, least) or most == score and k > at:
+                continue
+            matcher.set_seq2(window)
             r = matcher.ratio()
             if r > score or r == score and at > k:
                 score, at = r, k
+                if any_of and score >= least:
+                    break
         return (score, self.text[starts[at] : ends[at]]) if score >= least else (0.0, None)
 
 
+def common_subsequence(places: dict[str, int], n: int, text: str) -> int:
+    """The length of the longest common subsequence of a text and one of ``n`` characters, from the places of each as bits of a number."""
+    free = full = (1 << n) - 1
+    for c in text:
+        taken = free & places.get(c, 0)
+        free = (free + taken | free - taken) & full
+    return n - free.bit_count()
+
+
 @pandas_udf(T.StructType([T.StructField("near", T.DoubleType()), T.StructField("score", T.DoubleType()), T.StructField("span", T.StringType())]))
 def best_windows(anchor: pd.Series, text: pd.Series) -> pd.DataFrame:
-    """The similarity of the best window of 1.4 anchor lengths if it makes the anchor near, and that of 1.6 with its text if it is worth
-    a repair; else 0."""
+    """The similarity of a window of 1.4 anchor lengths that makes the anchor near, and that of the best of 1.6 with its text if it is
+    worth a repair; else 0."""
     found, known = [], None
     for a, t in zip(anchor, text):
         if not a or t is None:
             found.append((0.0, 0.0, None))
             continue
         known = known if known is not None and known.text == t else Windows(t)
-        found.append((known.best(a, 1.4, NEAR)[0], *known.best(a, 1.6, REPAIR)))
+        found.append((known.best(a, 1.4, NEAR, any_of=True)[0], *known.best(a, 1.6, REPAIR)))
     return pd.DataFrame(found, columns=["near", "score", "span"])
 
 

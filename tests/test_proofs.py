@@ -422,3 +422,26 @@ def test_a_plan_of_bent_titles_meets_numbers_only(spark, monkeypatch):
     kept = {max(own) for own in heads.values()}
     assert got == {i: "deep" if i in kept else "duplicate" for i in range(len(titles))} and len(kept) < len(titles)
     assert met["title-edges"].columns == ["x", "y"]
+
+
+def test_few_windows_are_compared_by_runs(monkeypatch):
+    """The best of many windows with common characters, as by the full slide; a ratio is computed for three of them at most."""
+    rng, asked = random.Random(11), []
+
+    class Counted(SequenceMatcher):
+        def ratio(self):
+            asked.append(1)
+            return super().ratio()
+
+    monkeypatch.setattr(cards, "SequenceMatcher", Counted)
+    parts = ["th", "er", "on", "an", "re", "he", "in", "ed", "ti", "es", "st", "en", "at", "ha"]
+    text = " ".join("".join(rng.choice(parts) for _ in range(rng.randint(1, 4))) for _ in range(400))
+    windows = cards.Windows(text)
+    for at in range(0, len(text) - 70, 97):
+        anchor = f"{text[at : at + 30].strip()} x {text[at + 30 : at + 60].strip()}"
+        asked.clear()
+        for wide, least in ((1.4, cards.NEAR), (1.6, cards.REPAIR)):
+            want = slid(anchor, text, wide)
+            assert windows.best(anchor, wide, least) == (want if want[0] >= least else (0.0, None))
+            assert windows.best(anchor, wide, least, any_of=True)[0] <= want[0]
+        assert len(asked) <= 4 * 3
