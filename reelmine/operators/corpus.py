@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions.text import clean_caption, clock, collapse, corpus_body, duration_seconds, norm_title, short_text, words
 from ..plans.registry import query
-from ..plans.staging import shuffled, small, table
+from ..plans.staging import join_in_parts, shuffled, small, table
 from ..plans.views import Views
 from .catalog import folded
 
@@ -191,30 +191,47 @@ def shingle_sets(bodies: DataFrame, n: int = 5, least: int = 10) -> DataFrame:
 def contained_clips(bodies: DataFrame, short_words: int = 500, least: float = 0.25) -> DataFrame:
     """(clip, clip_words, source, containment): the longer body that holds the largest share of a clip's shingles.
 
-    Only shingles that clips and longer bodies both have can count, so sets are cut to these. Clips whose cut sets are equal have the
-    same best source, and of sources with equal cut sets only the longest (then the smallest id) can be it: each class meets as one.
-    A source that holds enough of a clip also holds one of the clip's rarest shingles, all but the needed number and one more, so
-    only those are keys and what many bodies share is none. Pairs that meet are counted on their whole cut sets."""
+    Only shingles that clips and longer bodies both have can count, so sets are cut to these, and numbered with the rarest first. Clips
+    whose cut sets are equal have the same best source, and of sources with equal cut sets only the longest (then the smallest id) can
+    be it: each class meets as one. What a clip and its best source share begins with one shingle, the rarest; then both share no more
+    than the clip has from there on. First, each clip meets the longest source of each of its shingles. A shingle stays open if a source
+    that begins there could still be better. For an open one, of all sources that have the same from there on only the longest can
+    be best, so a passage that very many bodies have is met once and not once for each. Pairs that meet are counted on their whole cut
+    sets."""
     sets = table(shingle_sets(bodies), "shingles")
     clips, longer = sets.where(F.col("words") <= short_words), sets.where(F.col("words") > short_words)
     held = clips.select(F.col("video_id").alias("clip"), F.col("words").alias("clip_words"), F.size("g").alias("shingles"), F.explode("g").alias("shingle"))
     posted = longer.select(F.col("video_id").alias("source"), F.col("words").alias("source_words"), F.explode("g").alias("shingle"))
     often = shuffled(posted.groupBy("shingle").agg(F.count("*").alias("often")))
-    often = small(table(often.join(shuffled(held.select("shingle").distinct()), "shingle", "left_semi"), "shared-shingles"))
+    often = often.join(shuffled(held.select("shingle").distinct()), "shingle", "left_semi").orderBy("often", "shingle")
+    often = small(table(often.select("shingle", F.monotonically_increasing_id().alias("n")), "shared-shingles"))
     digest = lambda g: F.sha2(F.array_join(F.transform(g, lambda x: x.cast("string")), ","), 256)
-    x = held.join(often, "shingle").groupBy("clip").agg(F.array_sort(F.collect_list(F.struct("often", "shingle"))).alias("x"), F.first("clip_words").alias("clip_words"), F.first("shingles").alias("shingles"))
-    x = table(x.withColumn("set", digest(F.col("x.shingle"))), "clip-sets")
-    y = posted.join(often.select("shingle"), "shingle").groupBy("source").agg(F.array_sort(F.collect_list("shingle")).alias("y"), F.first("source_words").alias("source_words"))
-    y = y.groupBy(digest(F.col("y")).alias("of")).agg(F.min(F.struct((-F.col("source_words")).alias("w"), "source")).alias("s"), F.first("y").alias("y"))
-    y = table(y.select("of", (-F.col("s.w")).alias("source_words"), "s.source", "y"), "source-sets")
-    one = table(x.groupBy("set").agg(F.first("x").alias("x"), F.min("shingles").alias("fewest")), "clip-classes")
-    most = F.size("x") - F.ceil(least * F.col("fewest") - 1e-9).cast("int") + 1
-    keys = one.where(most > 0).select("set", F.explode(F.slice(F.col("x.shingle"), F.lit(1), F.least(most, F.size("x")))).alias("shingle"))
-    pairs = table(keys.join(y.select("of", F.explode("y").alias("shingle")), "shingle").select("set", "of").distinct(), "clip-pairs")
-    found = pairs.join(one.select("set", F.col("x.shingle").alias("x")), "set").join(y, "of")
-    found = found.select("set", "source", "source_words", F.size(F.array_intersect("x", "y")).alias("shared"))
-    best = found.groupBy("set").agg(F.min(F.struct((-F.col("shared")).alias("n"), (-F.col("source_words")).alias("w"), "source")).alias("b"))
-    top = x.select("clip", "clip_words", "shingles", "set").join(best.select("set", "b.source", (-F.col("b.n")).alias("shared")), "set")
+    x = held.join(often, "shingle").groupBy("clip").agg(F.array_sort(F.collect_list("n")).alias("x"), F.first("clip_words").alias("clip_words"), F.first("shingles").alias("shingles"))
+    x = table(x.withColumn("set", digest(F.col("x"))), "clip-sets")
+    order = lambda *more: F.min(F.struct((-F.col("source_words")).alias("w"), "source", *more))
+    y = posted.join(often, "shingle").groupBy("source").agg(F.array_sort(F.collect_list("n")).alias("y"), F.first("source_words").alias("source_words"))
+    y = y.groupBy(digest(F.col("y")).alias("digest")).agg(order().alias("s"), F.first("y").alias("y"))
+    y = table(y.select(F.monotonically_increasing_id().alias("of"), (-F.col("s.w")).alias("source_words"), "s.source", "y"), "source-sets")
+    need = F.greatest(F.lit(1), F.ceil(least * F.col("fewest") - 1e-9).cast("int"))
+    one = x.groupBy("set").agg(F.first("x").alias("x"), F.min("shingles").alias("fewest")).withColumn("need", need).where(F.size("x") >= F.col("need"))
+    one = table(one.withColumn("c", F.monotonically_increasing_id()), "clip-classes")
+
+    def counted(pairs: DataFrame) -> DataFrame:
+        found = pairs.join(shuffled(one.select("c", "x")), "c").join(shuffled(y), "of")
+        return found.select("c", "of", "source", "source_words", F.size(F.array_intersect("x", "y")).alias("shared"))
+
+    best = lambda found: found.groupBy("c").agg(F.min(F.struct((-F.col("shared")).alias("n"), (-F.col("source_words")).alias("w"), "source")).alias("b"))
+    keys = one.select("c", "need", F.size("x").alias("size"), F.posexplode("x").alias("at", "n")).withColumn("most", F.col("size") - F.col("at")).where("most >= need")
+    lies = y.select("of", "source", "source_words", "y", F.posexplode("y").alias("at", "n")).withColumns({"left": F.size("y") - F.col("at"), "after": F.xxhash64(F.slice("y", F.col("at") + 2, F.size("y")))})
+    led = table(keys.join(shuffled(lies.groupBy("n").agg(order("of").alias("s"))), "n").select("c", "n", "most", "s.of"), "clip-keys")
+    first = table(counted(table(led.select("c", "of").distinct(), "clip-pairs")), "clip-firsts")
+    known = best(first).select("c", (-F.col("b.n")).alias("least"), (-F.col("b.w")).alias("least_words"))
+    still = led.join(shuffled(first.select("c", "of", "shared")), ["c", "of"]).where("shared < most").join(shuffled(known), "c").where("most >= least")
+    alike = lies.groupBy("n", "left", "after").agg(order("of").alias("s")).select("n", "left", (-F.col("s.w")).alias("source_words"), "s.of")
+    met = join_in_parts(still.select("c", "n", "most", "least", "least_words"), alike, ["n"], "c").where("left >= least and (most > least or source_words >= least_words)")
+    more = table(met.select("c", "of").distinct().join(shuffled(first.select("c", "of")), ["c", "of"], "left_anti"), "clip-more-pairs")
+    top = best(first.unionByName(counted(more))).join(shuffled(one.select("c", "set")), "c").select("set", "b.source", (-F.col("b.n")).alias("shared"))
+    top = x.select("clip", "clip_words", "shingles", "set").join(shuffled(top), "set")
     return top.where(F.col("shared") >= least * F.col("shingles")).select("clip", "clip_words", "source", F.round(F.col("shared") / F.col("shingles"), 3).alias("containment"))
 
 

@@ -445,3 +445,26 @@ def test_few_windows_are_compared_by_runs(monkeypatch):
             assert windows.best(anchor, wide, least) == (want if want[0] >= least else (0.0, None))
             assert windows.best(anchor, wide, least, any_of=True)[0] <= want[0]
         assert len(asked) <= 4 * 3
+
+
+@pytest.mark.parametrize("least", [0.1, 0.25, 0.6])
+def test_a_passage_of_many_bodies_is_met_once(spark, monkeypatch, least):
+    """Bodies and clips share two common passages, in whole or in part, and some clips are pieces of a body; the best is that of all pairs."""
+    met, written = {}, corpus.table
+    monkeypatch.setattr(corpus, "table", lambda df, name: met.setdefault(name, written(df, name)))
+    rng, passages = random.Random(14), [[f"{p}{i}" for i in range(20)] for p in "pq"]
+    own = lambda n: [f"w{rng.randrange(9)}" if rng.random() < 0.3 else f"u{rng.randrange(10**9)}" for _ in range(n)]
+    longer = [own(rng.randint(20, 40)) + passages[rng.random() < 0.3][rng.choice((0, 0, 0, 8)) :] + own(rng.randint(20, 60)) for _ in range(90)]
+    clips = [own(rng.randint(0, 15)) + rng.choice(passages)[rng.choice((0, 0, 3)) : rng.choice((16, 20))] + own(rng.randint(0, 12)) for _ in range(60)]
+    clips += [w[at : at + rng.randint(14, 45)] for w in rng.sample(longer, 30) for at in (rng.randrange(len(w) - 14),)]
+    rows = [(i, " ".join(w)) for i, w in enumerate(longer + clips)]
+    grams = {i: {tuple(t.split()[k : k + 5]) for k in range(len(t.split()) - 4)} for i, t in rows}
+    want = {}
+    for i, t in rows:
+        if len(t.split()) <= 50 and len(grams[i]) >= 10:
+            best = min((-len(grams[i] & grams[j]), -len(u.split()), j) for j, u in rows if len(u.split()) > 50)
+            if best[0] and -best[0] >= least * len(grams[i]):
+                want[i] = (best[2], round(-best[0] / len(grams[i]), 3))
+    got = {r.clip: (r.source, r.containment) for r in corpus.contained_clips(spark.createDataFrame(rows, "video_id long, body string"), short_words=50, least=least).collect()}
+    assert got == want and len(want) > 40
+    assert sum(df.count() for name, df in met.items() if name in ("clip-pairs", "clip-more-pairs")) < 6 * len(clips)
