@@ -188,10 +188,51 @@ def shingle_sets(bodies: DataFrame, n: int = 5, least: int = 10) -> DataFrame:
     return rows.where(F.size("g") >= least)
 
 
+#: Bits of a shingle that tell its group, and those that are sent beside it; rows of the bit map of what is shared, 128 bits each.
+GROUP_BITS, CODE_BITS, SIEVE = 9, 32, 1 << 20
+
+
+def shared_codes(sets: DataFrame, short_words: int) -> DataFrame:
+    """(code): the first bits of shingles that clips and longer bodies may both have. Of each shingle four bytes are moved, in blocks by
+    group; two shingles of one code are told apart later."""
+
+    def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            g, clip = batch.column("g"), batch.column("words").to_numpy() <= short_words
+            codes, clip = g.flatten().to_numpy().view(np.uint64) >> np.uint64(64 - GROUP_BITS - CODE_BITS), np.repeat(clip, g.value_lengths().to_numpy())
+            for side in (True, False):
+                own = np.unique(codes[clip == side])
+                groups = (own >> np.uint64(CODE_BITS)).astype(np.int32)
+                cuts = np.flatnonzero(np.diff(groups)) + 1
+                parts = [x for x in np.split(own.astype(np.uint32), cuts) if len(x)]
+                yield pa.RecordBatch.from_arrays([pa.array(groups[np.append(0, cuts)] if len(own) else [], pa.int32()), pa.array([side] * len(parts), pa.bool_()), pa.array([x.tobytes() for x in parts], pa.binary())], names=["group", "clip", "codes"])
+
+    def meet(blocks: pa.Table) -> pa.Table:
+        clip = blocks["clip"].to_numpy()
+        codes = [np.frombuffer(c.as_py(), np.uint32) for c in blocks["codes"]]
+        x, y = (np.unique(np.concatenate([np.zeros(0, np.uint32), *(c for c, k in zip(codes, clip) if k == side)])) for side in (True, False))
+        return pa.table({"code": pa.array(np.intersect1d(x, y, assume_unique=True).astype(np.int64) | blocks["group"][0].as_py() << CODE_BITS, pa.int64())})
+
+    return sets.select("words", "g").mapInArrow(pack, "group int, clip boolean, codes binary").groupBy("group").applyInArrow(meet, "code long")
+
+
+def sieved(rows: DataFrame, codes: DataFrame) -> DataFrame:
+    """Rows whose shingle may have one of the codes, told by a bit map of ``SIEVE`` rows at most, so that no other row is moved."""
+    place = lambda code: (F.pmod(code, F.lit(SIEVE)), F.pmod(F.shiftright(code, 20), F.lit(128)).cast("int"))
+    slot, bit = place(F.col("code"))
+    half = lambda k: F.bit_or(F.when(F.floor(F.col("__bit") / 64) == k, F.expr("shiftleft(1L, __bit % 64)")).otherwise(F.lit(0).cast("long")))
+    marks = codes.withColumn("__bit", bit).groupBy(slot.alias("__slot")).agg(half(0).alias("__a"), half(1).alias("__b"))
+    code = F.shiftrightunsigned("shingle", 64 - GROUP_BITS - CODE_BITS)
+    slot, bit = place(code)
+    met = rows.withColumns({"__slot": slot, "__bit": bit}).join(F.broadcast(marks), "__slot")
+    return met.where(F.expr("getbit(if(__bit < 64, __a, __b), __bit % 64) = 1")).select(*rows.columns)
+
+
 def contained_clips(bodies: DataFrame, short_words: int = 500, least: float = 0.25) -> DataFrame:
     """(clip, clip_words, source, containment): the longer body that holds the largest share of a clip's shingles.
 
-    Only shingles that clips and longer bodies both have can count, so sets are cut to these, and numbered with the rarest first. Clips
+    Only shingles that clips and longer bodies both have can count, so sets are cut to these, and numbered with the rarest first;
+    which may be shared is known from four bytes of each, before any row is moved. Clips
     whose cut sets are equal have the same best source, and of sources with equal cut sets only the longest (then the smallest id) can
     be it: each class meets as one. What a clip and its best source share begins with one shingle, the rarest; then both share no more
     than the clip has from there on. First, each clip meets the longest source of each of its shingles. A shingle stays open if a source
@@ -202,6 +243,8 @@ def contained_clips(bodies: DataFrame, short_words: int = 500, least: float = 0.
     clips, longer = sets.where(F.col("words") <= short_words), sets.where(F.col("words") > short_words)
     held = clips.select(F.col("video_id").alias("clip"), F.col("words").alias("clip_words"), F.size("g").alias("shingles"), F.explode("g").alias("shingle"))
     posted = longer.select(F.col("video_id").alias("source"), F.col("words").alias("source_words"), F.explode("g").alias("shingle"))
+    codes = table(shared_codes(sets, short_words), "shared-codes")
+    held, posted = table(sieved(held, codes), "clip-shingles"), table(sieved(posted, codes), "source-shingles")
     often = shuffled(posted.groupBy("shingle").agg(F.count("*").alias("often")))
     often = often.join(shuffled(held.select("shingle").distinct()), "shingle", "left_semi").orderBy("often", "shingle")
     often = small(table(often.select("shingle", F.monotonically_increasing_id().alias("n")), "shared-shingles"))

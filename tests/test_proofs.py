@@ -468,3 +468,17 @@ def test_a_passage_of_many_bodies_is_met_once(spark, monkeypatch, least):
     got = {r.clip: (r.source, r.containment) for r in corpus.contained_clips(spark.createDataFrame(rows, "video_id long, body string"), short_words=50, least=least).collect()}
     assert got == want and len(want) > 40
     assert sum(df.count() for name, df in met.items() if name in ("clip-pairs", "clip-more-pairs")) < 6 * len(clips)
+
+
+def test_shingles_of_one_side_are_not_moved(spark):
+    """Codes of four bytes and the bit map keep all shingles that both sides have, and hardly any other."""
+    spread = lambda k: k * 0x9E3779B97F4A7C15 % 2**64 - 2**63
+    rows = [(i, 10 if i < 40 else 900, [spread(i % 40 * 1000 + k + (i >= 40) * 100) for k in range(300)]) for i in range(80)]
+    sets = spark.createDataFrame(rows, "video_id long, words int, g array<long>")
+    each = sets.select("video_id", "words", F.explode("g").alias("shingle"))
+    both = each.where("words = 10").select("shingle").intersect(each.where("words = 900").select("shingle"))
+    codes = corpus.shared_codes(sets, 500)
+    kept = corpus.sieved(each, codes)
+    want = each.join(both, "shingle", "left_semi")
+    assert want.count() > 5000 and want.select(kept.columns).exceptAll(kept).isEmpty() and kept.count() < 1.05 * want.count() < each.count()
+    assert corpus.shared_codes(sets.limit(0), 500).count() == 0 == corpus.shared_codes(sets.where("words = 10"), 500).count()
